@@ -11,6 +11,12 @@ from stmtflow.schema import BEGIN, COMMIT, ROLLBACK, is_query_op
 SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # Possessive repeats run as loops in the JVM matcher, so a long literal cannot exhaust the stack.
 STRING_LITERAL = r"'[^']*+(?:''[^']*+)*+'?"
+# The byte sequences of well-formed UTF-8.
+UTF8_SEQUENCE = (
+    r"[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}"
+    r"|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}"
+    r"|\xF4[\x80-\x8F][\x80-\xBF]{2}"
+)
 NUMBER_EDGE = r"[ \t\n\r,()=<>+\-*/;]"
 
 
@@ -99,5 +105,11 @@ def escape_pipes(text: Column) -> Column:
 
 
 def sanitize_utf8(raw: Column) -> Column:
-    """Text of raw bytes, each broken sequence replaced by U+FFFD."""
-    return F.make_valid_utf8(raw.cast("string"))
+    """Text of raw bytes, every byte outside a valid sequence replaced by one U+FFFD.
+
+    The bytes are read as Latin-1, so that a pattern over characters is one over bytes.
+    """
+    bytes_as_chars = F.decode(raw, "ISO-8859-1")
+    marked = F.regexp_replace(bytes_as_chars, rf"\G((?:{UTF8_SEQUENCE})*+)[\x80-\xFF]", "$1\u00ef\u00bf\u00bd")
+    text = raw.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.encode(marked, "ISO-8859-1").cast("string"))

@@ -60,12 +60,21 @@ def flagged_cells(selects: DataFrame, config: DetectionConfig = DEFAULTS) -> Dat
     )
 
 
-def with_nplus1(log: DataFrame, key: Column | None = None, config: DetectionConfig = DEFAULTS) -> DataFrame:
-    """Add `n_plus_1`. The key is the raw text unless given."""
+def with_nplus1(
+    log: DataFrame,
+    key: Column | None = None,
+    config: DetectionConfig = DEFAULTS,
+    detect_on: DataFrame | None = None,
+) -> DataFrame:
+    """Add `n_plus_1`. The key is the raw text unless given.
+
+    `detect_on` may name an earlier, cheaper form of the same log to run the detection on.
+    """
     if config.nplus1_threshold == 0:
         return log.withColumn("n_plus_1", F.lit(False))
     key = F.col("query") if key is None else key
-    cells = flagged_cells(watched(log, key), config).withColumnRenamed("start_us", "_cell_us")
+    selects = watched(log if detect_on is None else detect_on, key)
+    cells = flagged_cells(selects, config).withColumnRenamed("start_us", "_cell_us")
     keyed = log.withColumn("_key", F.when(is_table_select(F.col("op"), F.col("query")), key))
     joined = keyed.join(
         cells, (F.col("_key") == F.col("key")) & (F.col("start_us") == F.col("_cell_us")), "left"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stmtflow.functions.text import classify_op
 from stmtflow.operators.transactions import assign_tx
+from stmtflow.plans.materialize import materialize
 from stmtflow.plans.ordered import CHUNK_ROWS, LAST, MIN, SUM, following, running
 
 REQUESTS = ("REQ", "EXEC")
@@ -104,51 +105,79 @@ def resolve_prepared(wire: DataFrame, driver: str = "postgres", chunk_rows: int
 def match_descriptions(wire: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per PD that answers a DESC: the statement it describes.
 
-    Within a query cycle the answers come in the order of the questions. An answer that finds no open
-    question is ignored, which shows as a new low of (questions - answers).
+    Within a query cycle the answers come in the order of the questions. Open questions are questions
+    minus answers; an answer that takes this to a new low of its cycle finds none and is ignored.
     """
-    kept = wire.filter(_is("DESC", "PD", "RFQ"))
-    ended = F.when(_is("RFQ"), F.lit(1)).otherwise(F.lit(0))
-    cycles = running(
-        kept, ["conn_id"], "msg", {"_cycle": (SUM, ended)}, inclusive=False, chunk_rows=chunk_rows
-    ).filter(_is("DESC", "PD"))
-    keys = ["conn_id", "_cycle"]
-    asked = F.when(_is("DESC"), F.lit(1)).otherwise(F.lit(0))
+    asks, answers = _is("DESC").cast("int"), _is("PD").cast("int")
     counted = running(
-        cycles, keys, "msg", {"_asked": (SUM, asked), "_answered": (SUM, 1 - asked)}, chunk_rows=chunk_rows
+        wire.filter(_is("DESC", "PD", "RFQ")).select("msg", "conn_id", "kind", "stmt", "oids"),
+        ["conn_id"],
+        "msg",
+        {"_asked": (SUM, asks), "_answered": (SUM, answers), "_cycle": (SUM, _is("RFQ").cast("int"))},
+        chunk_rows=chunk_rows,
+    ).filter(_is("DESC", "PD"))
+    asked_before, answered_before = F.col("_asked") - asks, F.col("_answered") - answers
+    levels = running(
+        counted,
+        ["conn_id", "_cycle"],
+        "msg",
+        {
+            "_asked_at": (MIN, asked_before),
+            "_answered_at": (MIN, answered_before),
+            "_low": (MIN, asked_before - answered_before),
+        },
+        chunk_rows=chunk_rows,
+    ).withColumns(
+        {"_open": F.col("_asked") - F.col("_answered"), "_open_at": F.col("_asked_at") - F.col("_answered_at")}
     )
-    low = running(
-        counted, keys, "msg", {"_low": (MIN, F.col("_asked") - F.col("_answered"))}, chunk_rows=chunk_rows
-    ).withColumn("_stray", -F.least(F.col("_low"), F.lit(0)))
-    # A stray answer is the one at which the count of strays rises.
-    before = running(low, keys, "msg", {"_had": (LAST, F.col("_stray"))}, inclusive=False, chunk_rows=chunk_rows)
-    answers = before.filter(_is("PD") & (F.col("_stray") == F.coalesce("_had", F.lit(0)))).select(
-        *keys, "msg", "oids", (F.col("_answered") - F.col("_stray")).alias("_n")
+    # Both sides of the join below come from this table.
+    table = materialize(levels, "descriptions")
+    strays = F.col("_open_at") - F.least(F.col("_low"), F.col("_open"))
+    number = F.col("_answered") - F.col("_answered_at") - strays
+    given = table.filter(_is("PD") & (F.col("_open") >= F.col("_low"))).select(
+        "conn_id", "_cycle", "msg", "oids", number.alias("_n")
     )
-    questions = counted.filter(_is("DESC")).select(
-        *keys, F.col("_asked").alias("_n"), F.coalesce("stmt", F.lit("")).alias("stmt")
+    wanted = table.filter(_is("DESC")).select(
+        "conn_id",
+        "_cycle",
+        (F.col("_asked") - F.col("_asked_at")).alias("_n"),
+        F.coalesce("stmt", F.lit("")).alias("stmt"),
     )
-    return answers.join(questions, [*keys, "_n"]).select("msg", "conn_id", "stmt", "oids")
+    return given.join(wanted, ["conn_id", "_cycle", "_n"]).select("msg", "conn_id", "stmt", "oids")
 
 
 def resolve_param_types(wire: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per BIND: the parameter types in force for its statement.
 
     PARSE sets the types of its name and of the fallback; a description sets one of the two. A name
-    without types of its own uses the fallback.
+    without types of its own uses the fallback. Both lookups run in one pass, over the scopes `name` and
+    `fallback`.
     """
-    stmt = F.coalesce("stmt", F.lit(""))
-    own = wire.filter(_is("PARSE", "BIND")).select("msg", "conn_id", "kind", stmt.alias("stmt"), "oids")
+    own = wire.filter(_is("PARSE", "BIND")).select(
+        "msg", "conn_id", "kind", F.coalesce("stmt", F.lit("")).alias("stmt"), "oids"
+    )
     described = match_descriptions(wire, chunk_rows).select("msg", "conn_id", F.lit("PD").alias("kind"), "stmt", "oids")
-    rows = own.unionByName(described).withColumn(
-        "_set", F.struct(F.coalesce("oids", F.array().cast("array<int>")).alias("oids"))
+    named = F.col("stmt") != ""
+    general = _is("PARSE", "BIND") | ~named
+    scopes = F.array_compact(F.array(F.when(general, F.lit("fallback")), F.when(named, F.lit("name"))))
+    rows = own.unionByName(described).withColumn("_scope", F.explode(scopes)).withColumn(
+        "_scope_stmt", F.when(F.col("_scope") == "name", F.col("stmt")).otherwise(F.lit(""))
+    )
+    none = F.array().cast("array<int>")
+    types = F.when(_is("PARSE", "PD"), F.struct(F.coalesce("oids", none).alias("oids")))
+    found = running(rows, ["conn_id", "_scope", "_scope_stmt"], "msg", {"_types": (LAST, types)}, chunk_rows=chunk_rows)
+
+    def of(scope: str) -> Column:
+        return F.max_by("_types", F.when((F.col("_scope") == scope) & F.col("_types").isNotNull(), F.lit(1)))
+
+    return (
+        found.filter(_is("BIND"))
+        .groupBy("msg", "conn_id", "stmt")
+        .agg(of("name").alias("_name"), of("fallback").alias("_fallback"))
+        .select(
+            "msg", "conn_id", "stmt", F.coalesce(F.col("_name.oids"), F.col("_fallback.oids"), none).alias("oids")
+        )
     )
-    general = F.when(_is("PARSE") | (_is("PD") & (F.col("stmt") == "")), F.col("_set"))
-    of_name = F.when(_is("PARSE", "PD") & (F.col("stmt") != ""), F.col("_set"))
-    fallback = running(rows, ["conn_id"], "msg", {"_general": (LAST, general)}, chunk_rows=chunk_rows)
-    both = running(fallback, ["conn_id", "stmt"], "msg", {"_named": (LAST, of_name)}, chunk_rows=chunk_rows)
-    chosen = F.coalesce(F.col("_named.oids"), F.col("_general.oids"), F.array().cast("array<int>"))
-    return both.filter(_is("BIND")).select("msg", "conn_id", "stmt", chosen.alias("oids"))
 
 
 def rebuild_statements(wire: DataFrame, driver: str = "postgres", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -170,7 +199,7 @@ def rebuild_statements(wire: DataFrame, driver: str = "postgres", chunk_rows: in
             F.coalesce("_args", F.array().cast("array<string>")).alias("args"),
         )
     )
-    labelled = assign_tx(requests, driver, chunk_rows)
+    labelled = assign_tx(materialize(requests, "requests"), driver, chunk_rows)
     answered = pair_requests(wire, chunk_rows).select(
         F.col("msg").alias("seq"), "start_us", "dur_us", "rows_affected", "error", "answer_msg"
     )

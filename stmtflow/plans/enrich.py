@@ -31,4 +31,4 @@ def enrich(log: DataFrame, config: DetectionConfig = DEFAULTS, key: str = "raw",
         raise ValueError(f"unknown N+1 key: {key}")
     scalar = with_slow(with_template(log), config)
     by = F.col("query") if key == "raw" else F.col("normalized_query")
-    return assign_tx(with_nplus1(scalar, by, config), driver)
+    return with_nplus1(assign_tx(scalar, driver), by, config, detect_on=scalar)

@@ -1,0 +1,56 @@
+"""Jobs made of several streams: fan-out, the live alert feed, the CI gate."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stmtflow.config import DEFAULTS, DetectionConfig
+from stmtflow.operators.feed import alert_feed
+from stmtflow.streaming.jobs import read_back, run_available, stream_enrich
+from stmtflow.streaming.stateful import stream_nplus1
+
+
+def fanout_sinks(
+    spark: SparkSession, stream: DataFrame, folder: str, subscribers: dict[str, Column]
+) -> dict[str, str]:
+    """Serve one stream to many subscribers, each with its own condition and progress, losing nothing.
+
+    The stream is enriched once into a hub folder, which every subscriber follows at its own pace.
+    """
+    enriched = stream_enrich(stream)
+    hub = run_available(enriched, folder, "hub")
+    followed = spark.readStream.schema(enriched.schema).parquet(hub)
+    return {name: run_available(followed.filter(wanted), folder, name) for name, wanted in subscribers.items()}
+
+
+def flagged_events(
+    spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS, delay: str = "1 second"
+) -> DataFrame:
+    """Run the enrichment and the N+1 job over the stream; the events with both flags, from their files."""
+    enriched, repeated = stream_enrich(stream, config), stream_nplus1(stream, config=config, delay=delay)
+    events = read_back(spark, run_available(enriched, folder, "enriched"), enriched)
+    marks = read_back(spark, run_available(repeated, folder, "nplus1"), repeated)
+    hits = marks.filter("n_plus_1").select("seq", F.lit(True).alias("n_plus_1"))
+    return events.join(hits, "seq", "left").withColumn("n_plus_1", F.coalesce("n_plus_1", F.lit(False)))
+
+
+def stream_slow_feed(stream: DataFrame, config: DetectionConfig = DEFAULTS) -> DataFrame:
+    """Live lines of slow statements, whatever their N+1 flag turns out to be; stateless."""
+    return alert_feed(stream_enrich(stream, config).withColumn("n_plus_1", F.lit(False)))
+
+
+def stream_nplus1_feed(stream: DataFrame, config: DetectionConfig = DEFAULTS, delay: str = "1 second") -> DataFrame:
+    """Live lines of N+1 statements."""
+    marked = stream_nplus1(stream, config=config, delay=delay).filter("n_plus_1")
+    return alert_feed(marked.select("seq", F.col("key").alias("query"), "n_plus_1", F.lit(False).alias("slow_query")))
+
+
+def stream_alert_feed(
+    spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS, delay: str = "1 second"
+) -> DataFrame:
+    """The alert feed: N+1 lines, and slow lines of the other events, each appended live by its own job."""
+    slow, repeated = stream_slow_feed(stream, config), stream_nplus1_feed(stream, config, delay)
+    slow_lines = read_back(spark, run_available(slow, folder, "slow"), slow)
+    repeated_lines = read_back(spark, run_available(repeated, folder, "repeated"), repeated)
+    return repeated_lines.unionByName(slow_lines.join(repeated_lines, "seq", "left_anti"))
