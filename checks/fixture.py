@@ -229,7 +229,7 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("pg_int1", "pg", 16, big(conn - 10, 1)),
         ("pg_time", "pg", 1114, big(F.col("start_us") * 3600 - 946_684_800_000_000, 8)),
         ("pg_uuid", "pg", 2950, F.unhex(F.md5("query"))),
-        ("pg_text", "pg", 25, F.concat(F.lit("text "), F.col("query")).cast("binary")),
+        ("pg_text", "pg", 25, F.concat(F.lit("text of statement "), F.col("query")).cast("binary")),
         ("mysql_tiny", "mysql", 1, little(-conn, 1)),
         ("mysql_short", "mysql", 2, little(seq % 1000 - 500, 2)),
         ("mysql_long", "mysql", 3, little(-seq, 4)),
