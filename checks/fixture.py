@@ -78,7 +78,16 @@ def statement_log_duckdb() -> str:
 
 
 def wire_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages behind the statement log, numbered by arrival (us, seq, rank)."""
+    """The messages behind the statement log, numbered by arrival, as a table written once per session."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _WIRE:
+        _WIRE[place] = work_dir(spark, "wire")
+        _wire_messages(spark, sf_dir).write.parquet(_WIRE[place])
+    return spark.read.parquet(_WIRE[place])
+
+
+def _wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages ordered by (us, seq, rank)."""
     log = statement_log(spark, sf_dir)
     execute, seq = F.col("op") == 4, F.col("seq")
     parsed = execute & (seq % 7 != 0)
@@ -127,6 +136,8 @@ def wire_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("msg", "conn_id", "us", "kind", "stmt", "query", "args", "oids", "tag", "seq")
 
 
+_WIRE: dict[tuple[str, str], str] = {}
+
 WIRE_DUCKDB = """
 wire_rows AS (
   SELECT *, CASE WHEN (conn_id + seq) % 4 = 0 THEN '' ELSE concat('s', CAST((conn_id + seq) % 3 AS VARCHAR)) END AS nm
@@ -210,9 +221,9 @@ def _float_bytes(value: pd.Series, kind: pd.Series) -> pd.Series:
 
 def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded parameter values: (seq, what, proto, type_id, payload)."""
-    events = read_table(spark, sf_dir, "events")
-    log = statement_log(spark, sf_dir).select("seq", "conn_id", "query", "start_us")
-    values = log.join(events.select(F.col("event_id").alias("seq"), "value"), "seq")
+    values = statement_log(spark, sf_dir).select(
+        "seq", "conn_id", "query", "start_us", (F.col("dur_us") / F.lit(1000.0)).alias("value")
+    )
 
     def big(value: Column, size: int) -> Column:
         return F.unhex(F.substring(F.lpad(F.hex(value.cast("bigint")), 16, "0"), 17 - 2 * size, 2 * size))

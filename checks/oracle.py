@@ -392,7 +392,7 @@ add(
     "decode_params",
     "\nUNION ALL ".join(f"SELECT seq, {q(w)} AS what, {e} AS value FROM logv" for w, e in _PARAMS.items()),
     LOG,
-    "logv AS (SELECT log.*, value FROM log JOIN events ON event_id = seq)",
+    "logv AS (SELECT *, dur_us / 1000.0::DOUBLE AS value FROM log)",
 )
 add(
     "binary_format_flags",

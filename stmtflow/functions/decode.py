@@ -113,6 +113,6 @@ def decode_mysql_param(raw: Column, kind: Column) -> Column:
         .when(kind.isin(*MYSQL_TWO_BYTES), whole(2))
         .when(kind.isin(*MYSQL_FOUR_BYTES), whole(4))
         .when(kind == MYSQL_EIGHT_BYTES, whole(8))
-        .when(is_float, F.coalesce(_float_text(raw, kind == MYSQL_DOUBLE), missing))
+        .when(is_float, F.coalesce(_float_text(F.when(is_float, raw), kind == MYSQL_DOUBLE), missing))
         .otherwise(raw.cast("string"))
     )

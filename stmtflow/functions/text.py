@@ -11,13 +11,16 @@ from stmtflow.schema import BEGIN, COMMIT, ROLLBACK, is_query_op
 SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # Possessive repeats run as loops in the JVM matcher, so a long literal cannot exhaust the stack.
 STRING_LITERAL = r"'[^']*+(?:''[^']*+)*+'?"
+STRING_LITERAL_CAPTURED = r"(')[^']*+(?:''[^']*+)*+'?"
 # The byte sequences of well-formed UTF-8.
 UTF8_SEQUENCE = (
     r"[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}"
     r"|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}"
     r"|\xF4[\x80-\x8F][\x80-\xBF]{2}"
 )
-NUMBER_EDGE = r"[ \t\n\r,()=<>+\-*/;]"
+NUMBER_EDGES = r" \t\n\r,()=<>+\-*/;"
+# A digit not preceded by anything but an edge, tested digit first, and the same after the number.
+NUMBER_LITERAL = rf"[0-9](?<![^{NUMBER_EDGES}][0-9])[0-9.]*+(?![^{NUMBER_EDGES}])"
 
 
 def trim_space(text: Column) -> Column:
@@ -31,10 +34,9 @@ def _starts_with_word(query: Column, word: str) -> Column:
 
 def normalize_query(query: Column) -> Column:
     """Template of a statement: string literals become '?', free-standing numbers ?, spaces one space."""
-    text = F.regexp_replace(query, STRING_LITERAL, "'?'")
-    text = F.regexp_replace(text, rf"(?<=\A|{NUMBER_EDGE})[0-9][0-9.]*+(?=\z|{NUMBER_EDGE})", "?")
-    text = F.regexp_replace(text, r"[ \t\n\r]++", " ")
-    return F.trim(text)
+    # One pass for literals: the captured quote, empty for a number, goes back around the mark.
+    text = F.regexp_replace(query, f"{STRING_LITERAL_CAPTURED}|{NUMBER_LITERAL}", "$1?$1")
+    return F.trim(F.regexp_replace(text, r"[ \t\n\r]{2,}+|[\t\n\r]", " "))
 
 
 def is_select(op: Column, query: Column) -> Column:

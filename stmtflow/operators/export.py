@@ -17,7 +17,7 @@ from stmtflow.functions.text import escape_pipes
 from stmtflow.operators.stats import template_stats_export
 from stmtflow.operators.transactions import tx_label
 from stmtflow.plans.ordered import CHUNK_ROWS, with_ordinal
-from stmtflow.schema import op_name
+from stmtflow.schema import is_lifecycle_op, op_name
 
 TITLE = "# SQL traffic export"
 
@@ -57,14 +57,24 @@ def exported_events(events: DataFrame, filter_text: str = "", search: str = "",
 
 def export_summary(events: DataFrame, filter_text: str = "", search: str = "", web: bool = False) -> DataFrame:
     """One row: captured, exported, filter, search, first and last start of the exported rows by arrival."""
+    return _summary(events, filter_text, search, web).drop("measured")
+
+
+def _summary(events: DataFrame, filter_text: str, search: str, web: bool) -> DataFrame:
+    """The summary, with the number of exported rows that statistics may count."""
     wanted = compile_filter(filter_text, web) & compile_search(search)
     at = F.when(wanted, F.col("seq"))
+    counts = wanted & ~is_lifecycle_op(F.col("op"))
+    if "normalized_query" in events.columns:
+        counts = counts & (F.col("normalized_query") != "")
     return events.agg(
         F.count(F.lit(1)).alias("captured"),
         F.count_if(wanted).alias("exported"),
+        F.count_if(counts).alias("measured"),
         F.min_by("start_us", at).alias("_first"),
         F.max_by("start_us", at).alias("_last"),
     ).select(
+        "measured",
         "captured",
         "exported",
         F.lit(filter_text).alias("filter"),
@@ -82,7 +92,7 @@ def _lines(section: int, lines: list[Column]) -> list[Column]:
 
 
 def _numbered(exported: DataFrame) -> DataFrame:
-    return with_ordinal(exported, floor_div(F.col("seq"), CHUNK_ROWS), ["seq"], "position")
+    return with_ordinal(exported, floor_div(F.col("seq"), CHUNK_ROWS), ["seq"], "position", total="_total")
 
 
 def export_markdown(events: DataFrame, filter_text: str = "", search: str = "", web: bool = False) -> DataFrame:
@@ -113,8 +123,19 @@ def export_markdown(events: DataFrame, filter_text: str = "", search: str = "",
         F.lit("| # | Time | Op | Duration | Query | Args | Error |"),
         F.lit("|---|------|----|----------|-------|------|-------|"),
     ]
-    summary = export_summary(events, filter_text, search, web)
-    top = summary.select(F.inline(F.array(*_lines(0, head)))).filter(F.col("line").isNotNull())
+    stats_head = [
+        F.lit(""),
+        F.lit("## Analytics"),
+        F.lit(""),
+        F.lit("| Query | Count | Avg | P95 | Max | Total |"),
+        F.lit("|-------|-------|-----|-----|-----|-------|"),
+    ]
+    shown = [F.when(F.col("measured") > 0, line) for line in stats_head]
+    frame = (
+        _summary(events, filter_text, search, web)
+        .select(F.inline(F.array(*_lines(0, head), *_lines(2, shown))))
+        .filter(F.col("line").isNotNull())
+    )
 
     def table_row(*cells: Column) -> Column:
         return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
@@ -133,18 +154,6 @@ def export_markdown(events: DataFrame, filter_text: str = "", search: str = "",
     )
     body = _numbered(exported).select(F.lit(1).alias("section"), "position", row.alias("line"))
     stats = template_stats_export(exported)
-    stats_head = [
-        F.lit(""),
-        F.lit("## Analytics"),
-        F.lit(""),
-        F.lit("| Query | Count | Avg | P95 | Max | Total |"),
-        F.lit("|-------|-------|-----|-----|-----|-------|"),
-    ]
-    stats_top = (
-        stats.agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > 0)
-        .select(F.inline(F.array(*_lines(2, stats_head))))
-    )
     stats_row = table_row(
         escape_pipes(F.col("normalized_query")),
         F.col("count").cast("string"),
@@ -153,7 +162,7 @@ def export_markdown(events: DataFrame, filter_text: str = "", search: str = "",
     stats_body = stats.select(
         F.lit(3).alias("section"), F.col("first_seq").alias("position"), stats_row.alias("line")
     )
-    return top.unionByName(body).unionByName(stats_top).unionByName(stats_body)
+    return frame.unionByName(body).unionByName(stats_body)
 
 
 def export_json(events: DataFrame, filter_text: str = "", search: str = "", web: bool = False) -> DataFrame:
@@ -201,14 +210,10 @@ def export_json(events: DataFrame, filter_text: str = "", search: str = "", web:
     def element(json: Column, last: Column) -> Column:
         return F.concat(F.lit("    "), json, F.when(last, F.lit("")).otherwise(F.lit(",")))
 
-    rows = (
-        _numbered(exported)
-        .crossJoin(F.broadcast(summary.select("exported")))
-        .select(
-            F.lit(1).alias("section"),
-            "position",
-            element(F.to_json(record), F.col("position") == F.col("exported")).alias("line"),
-        )
+    rows = _numbered(exported).select(
+        F.lit(1).alias("section"),
+        "position",
+        element(F.to_json(record), F.col("position") == F.col("_total")).alias("line"),
     )
     stats = template_stats_export(exported)
     stat = F.struct(

@@ -15,14 +15,19 @@ SORT_MODES = {"total": "total_us", "count": "n", "avg": "avg_us", "p95": "p95_us
 
 
 def measured(events: DataFrame) -> DataFrame:
-    """What statistics count: everything but lifecycle operations and empty templates; no duration is 0."""
-    kept = events.filter(~is_lifecycle_op(F.col("op")) & (F.col("normalized_query") != ""))
-    return kept.withColumn("dur_us", F.coalesce("dur_us", F.lit(0)))
+    """What statistics count: everything but lifecycle operations; a missing duration is 0."""
+    return events.filter(~is_lifecycle_op(F.col("op"))).withColumn("dur_us", F.coalesce("dur_us", F.lit(0)))
+
+
+def _stats(measured_events: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Statistics of every template that is not empty."""
+    keep = F.col("normalized_query") != ""
+    return stats_with_quantile(measured_events, ["normalized_query"], "dur_us", P95, extra, keep)
 
 
 def template_stats(events: DataFrame) -> DataFrame:
     """Count, total, whole-number average, p95 and maximum per template, in microseconds."""
-    stats = stats_with_quantile(measured(events), ["normalized_query"], "dur_us", P95)
+    stats = _stats(measured(events))
     return stats.select(
         "normalized_query",
         "n",
@@ -46,30 +51,29 @@ def _milliseconds(stats: DataFrame) -> list[Column]:
 
 def template_stats_export(exported: DataFrame) -> DataFrame:
     """The statistics of an export in milliseconds; `first_seq` is the order of first appearance."""
-    stats = stats_with_quantile(
-        measured(exported), ["normalized_query"], "dur_us", P95, {"first_seq": F.col("seq")}
-    )
+    stats = _stats(measured(exported), {"first_seq": F.col("seq")})
     return stats.select("normalized_query", *_milliseconds(stats), "first_seq")
 
 
 def template_stats_web(events: DataFrame, filter_text: str = "") -> DataFrame:
     """Statistics whose template holds the text tokens of the filter; other tokens do not count."""
     kept = measured(events).filter(compile_template_filter(filter_text))
-    stats = stats_with_quantile(kept, ["normalized_query"], "dur_us", P95)
+    stats = _stats(kept)
     return stats.select("normalized_query", *_milliseconds(stats))
 
 
 def template_p95(events: DataFrame) -> DataFrame:
     """The exact lower p95 per template."""
-    stats = stats_with_quantile(measured(events), ["normalized_query"], "dur_us", P95)
+    stats = _stats(measured(events))
     return stats.select("normalized_query", F.col("quantile").alias("p95_us"))
 
 
 def template_p95_approx(events: DataFrame, accuracy: int = 10_000) -> DataFrame:
     """An approximate p95 per template from one mergeable sketch."""
-    return measured(events).groupBy("normalized_query").agg(
+    sketches = measured(events).groupBy("normalized_query").agg(
         F.percentile_approx("dur_us", P95, accuracy).alias("p95_us_approx"), F.count(F.lit(1)).alias("n")
     )
+    return sketches.filter(F.col("normalized_query") != "")
 
 
 def top_templates(stats: DataFrame, mode: str = "total", top: int | None = None, ascending: bool = False) -> DataFrame:

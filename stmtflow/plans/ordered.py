@@ -95,22 +95,31 @@ def following(
     return local.join(carry, [*keys, "_chunk"]).select(*df.columns, *[chosen[name].alias(name) for name in values])
 
 
-def with_ordinal(df: DataFrame, chunk: Column, order: list[str], name: str, first: int = 1) -> DataFrame:
-    """Number all rows by `order`, without sorting them in one task.
+def with_ordinal(
+    df: DataFrame, chunk: Column, order: list[str], name: str, total: str | None = None, first: int = 1
+) -> DataFrame:
+    """Number all rows by `order`, without sorting them in one task; optionally add the number of rows.
 
     `chunk` must rise with the order. Chunks are numbered apart; only their sizes, one row per chunk,
     meet in a single window.
     """
     chunked = df.withColumn("_chunk", chunk)
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    all_chunks = Window.orderBy("_chunk")
+    before = all_chunks.rowsBetween(Window.unboundedPreceding, -1)
+    whole = all_chunks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = (
         chunked.groupBy("_chunk")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+        .select(
+            "_chunk",
+            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+            F.sum("_size").over(whole).alias("_total"),
+        )
     )
     numbered = chunked.withColumn("_n", F.row_number().over(Window.partitionBy("_chunk").orderBy(*order)))
-    position = F.col("_start") + F.col("_n") + F.lit(first - 1)
-    return numbered.join(starts, "_chunk").select(*df.columns, position.cast("bigint").alias(name))
+    position = (F.col("_start") + F.col("_n") + F.lit(first - 1)).cast("bigint").alias(name)
+    added = [position] if total is None else [position, F.col("_total").alias(total)]
+    return numbered.join(starts, "_chunk").select(*df.columns, *added)
 
 
 def prefix_sum(df: DataFrame, position: str, value: str, name: str, chunk_width: int = 1 << 16) -> DataFrame:

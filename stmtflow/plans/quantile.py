@@ -21,18 +21,26 @@ def _coarse(value: Column) -> Column:
 
 
 def stats_with_quantile(
-    df: DataFrame, keys: list[str], value: str, share: float, extra: dict[str, Column] | None = None
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    share: float,
+    extra: dict[str, Column] | None = None,
+    keep: Column | None = None,
 ) -> DataFrame:
     """Per key: count, total, max, and the value of 0-based rank floor((count - 1) * share).
 
-    `extra` holds aggregates that may be taken twice in a row under the same name, that is min or max.
+    `extra` names columns of which the least value is wanted. `keep` is a condition on the keys, tested on
+    the folded rows, so that a costly key expression is not evaluated once more in a filter below.
     Output columns: keys, n, total, quantile, largest and the extras.
     """
     extra = extra or {}
     histogram = df.groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(name) for name, c in extra.items()]
+        F.count(F.lit(1)).alias("_n"),
+        F.bool_or(F.lit(True) if keep is None else keep).alias("_keep"),
+        *[F.min(c).alias(name) for name, c in extra.items()],
     )
-    histogram = histogram.withColumn("_coarse", _coarse(F.col(value)))
+    histogram = histogram.filter("_keep").withColumn("_coarse", _coarse(F.col(value)))
     buckets = histogram.groupBy(*keys, "_coarse").agg(
         F.sum("_n").alias("_n"),
         F.sum(F.col("_n") * F.col(value)).alias("_total"),

@@ -46,8 +46,9 @@ def stream_template_stats(stream: DataFrame, delay: str = "1 second", every: str
 
     `merge_template_stats` folds the slices; the p95 of a slice is a live approximation.
     """
+    events = measured(with_event_time(with_template(stream), delay))
     return (
-        measured(with_event_time(with_template(stream), delay))
+        events.filter(F.col("normalized_query") != "")
         .groupBy(F.window("ts", every).alias("slice"), "normalized_query")
         .agg(
             F.count(F.lit(1)).alias("n"),
