@@ -15,7 +15,7 @@ from stmtflow.schema import op_name
 from stmtflow.session import work_dir
 from stmtflow.sources.log import read_event_feed, read_statement_log, stream_statement_log
 from stmtflow.sources.sinks import write_event_feed
-from stmtflow.streaming import jobs, pipelines, stateful
+from stmtflow.streaming import jobs, combined, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,7 +155,7 @@ def fanout_sinks(spark, sf):
         "slow": F.col("slow_query"),
         "selects": text.is_select(F.col("op"), F.col("query")),
     }
-    out = pipelines.fanout_sinks(spark, replay(spark, sf), work_dir(spark, "fanout"), subscribers)
+    out = combined.fanout_sinks(spark, replay(spark, sf), work_dir(spark, "fanout"), subscribers)
     counts = [
         spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs")).select(
             F.lit(name).alias("subscriber"), "n", "seqs"
@@ -638,7 +638,7 @@ def stream_nplus1(spark, sf):
 
 @query
 def stream_alert_feed(spark, sf):
-    return pipelines.stream_alert_feed(spark, replay(spark, sf), work_dir(spark, "feed"))
+    return combined.stream_alert_feed(spark, replay(spark, sf), work_dir(spark, "feed"))
 
 
 @query
@@ -665,7 +665,7 @@ def stream_tx_summary(spark, sf):
 
 @query
 def stream_ci_gate(spark, sf):
-    return ci.ci_problems(pipelines.flagged_events(spark, replay(spark, sf), work_dir(spark, "gate")))
+    return ci.ci_problems(combined.flagged_events(spark, replay(spark, sf), work_dir(spark, "gate")))
 
 
 @query

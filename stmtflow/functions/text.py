@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +39,10 @@ def normalize_query(query: Column) -> Column:
     """Template of a statement: string literals become '?', free-standing numbers ?, spaces one space."""
     # One pass for literals: the captured quote, empty for a number, goes back around the mark.
     text = F.regexp_replace(query, f"{STRING_LITERAL_CAPTURED}|{NUMBER_LITERAL}", "$1?$1")
-    return F.trim(F.regexp_replace(text, r"[ \t\n\r]{2,}+|[\t\n\r]", " "))
+    # Most statements are already on one line with single spaces; a byte search tells.
+    spaced = reduce(or_, [F.contains(query, F.lit(s)) for s in ("  ", "\n", "\t", "\r")])
+    flat = F.regexp_replace(text, r"[ \t\n\r]{2,}+|[\t\n\r]", " ")
+    return F.trim(F.when(spaced, flat).otherwise(text))
 
 
 def is_select(op: Column, query: Column) -> Column:

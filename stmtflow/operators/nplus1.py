@@ -34,7 +34,8 @@ def flagged_cells(selects: DataFrame, config: DetectionConfig = DEFAULTS) -> Dat
     """Flagged (key, start_us) with the first flagged arrival in it; later arrivals there are flagged too."""
     threshold, window = config.nplus1_threshold, config.nplus1_window_us
     bucket = BUCKET_WINDOWS * window
-    ties = Window.partitionBy("key", "start_us").orderBy("seq")
+    # Numbers before texts in every sort, so that few texts are compared.
+    ties = Window.partitionBy("start_us", "key").orderBy("seq")
     # The rank limit also runs before the shuffle, so copies of one instant do not pile up.
     thinned = selects.withColumn("_rank", F.row_number().over(ties)).filter(F.col("_rank") <= threshold)
     # The last window of a bucket is also context for the next bucket.
@@ -42,7 +43,7 @@ def flagged_cells(selects: DataFrame, config: DetectionConfig = DEFAULTS) -> Dat
     placed = thinned.select(
         "key", "start_us", "seq", F.explode(F.coalesce(ahead, F.array(F.lit(0)))).alias("_context")
     ).withColumn("_bucket", floor_div(F.col("start_us"), bucket) + F.col("_context"))
-    order = Window.partitionBy("key", "_bucket").orderBy("start_us", "seq")
+    order = Window.partitionBy("_bucket", "key").orderBy("start_us", "seq")
     since = F.col("start_us") - window
     looked = placed.withColumns(
         {
@@ -77,7 +78,7 @@ def with_nplus1(
     cells = flagged_cells(selects, config).withColumnRenamed("start_us", "_cell_us")
     keyed = log.withColumn("_key", F.when(is_table_select(F.col("op"), F.col("query")), key))
     joined = keyed.join(
-        cells, (F.col("_key") == F.col("key")) & (F.col("start_us") == F.col("_cell_us")), "left"
+        cells, (F.col("start_us") == F.col("_cell_us")) & (F.col("_key") == F.col("key")), "left"
     )
     return joined.select(*log.columns, F.coalesce(F.col("seq") >= F.col("first_seq"), F.lit(False)).alias("n_plus_1"))
 
@@ -92,7 +93,7 @@ def nplus1_alerts(log: DataFrame, key: Column | None = None, config: DetectionCo
         return selects.limit(0).withColumn("cnt", F.lit(0).cast("bigint"))
     cells = flagged_cells(selects, config)
     if config.nplus1_cooldown_us == 0:
-        later = selects.join(cells, ["key", "start_us"]).filter(F.col("seq") >= F.col("first_seq"))
+        later = selects.join(cells, ["start_us", "key"]).filter(F.col("seq") >= F.col("first_seq"))
         return _with_counts(later.select("key", "start_us", "seq"), selects, config)
     return _with_counts(_cooldown_chain(cells, config.nplus1_cooldown_us), selects, config)
 
@@ -110,7 +111,7 @@ def _with_counts(alerts: DataFrame, selects: DataFrame, config: DetectionConfig)
         (F.col("start_us") < F.col("_at")) | ((F.col("start_us") == F.col("_at")) & (F.col("seq") <= F.col("_seq")))
     )
     return (
-        placed.join(wanted, ["key", "_bucket"])
+        placed.join(wanted, ["_bucket", "key"])
         .filter(inside)
         .groupBy("key", "_at", "_seq")
         .agg(F.count(F.lit(1)).alias("cnt"))
@@ -241,7 +242,7 @@ def _cooldown_chain(cells: DataFrame, cooldown: int) -> DataFrame:
         .mapInArrow(follow, "key string, _chunk bigint, entry bigint")
     )
     return (
-        chunked.join(entries, ["key", "_chunk"])
+        chunked.join(entries, ["_chunk", "key"])
         .select("key", "_chunk", "start_us", "first_seq", "entry")
         .repartition("key", "_chunk")
         .sortWithinPartitions("key", "_chunk", "start_us")

@@ -63,10 +63,15 @@ def tx_listing(events: DataFrame, collapsed: DataFrame | None = None) -> DataFra
         .groupBy("tx_id")
         .agg(F.min("seq").alias("anchor"))
     )
-    shown = events.select("tx_id", "seq").join(anchors, "tx_id", "left")
     if collapsed is not None:
-        hidden = collapsed.select("tx_id", F.lit(True).alias("_hidden")).distinct()
-        shown = shown.join(hidden, "tx_id", "left").filter(F.col("_hidden").isNull() | F.col("anchor").isNull())
+        folded = collapsed.select("tx_id", F.lit(True).alias("_folded")).distinct()
+        placed = anchors.join(folded, "tx_id", "left")
+    else:
+        placed = anchors.withColumn("_folded", F.lit(None).cast("boolean"))
+    # Events outside transactions get join keys of their own, or they would all meet in one task.
+    single = F.concat(F.lit("none-"), F.col("seq").cast("string"))
+    keyed = events.select("tx_id", "seq", F.coalesce("tx_id", single).alias("_tx"))
+    shown = keyed.join(placed.withColumnRenamed("tx_id", "_tx"), "_tx", "left").filter(F.col("_folded").isNull())
     rows = shown.select(
         F.coalesce("anchor", "seq").alias("anchor"), F.lit(EVENT_ROW).alias("kind"), "seq", "tx_id"
     )

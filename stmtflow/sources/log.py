@@ -43,12 +43,22 @@ def read_statement_log(spark: SparkSession, path: str, fmt: str = "parquet") ->
 
 
 def stream_statement_log(
-    spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: str = "1g",
 ) -> DataFrame:
-    """A growing folder of log files as an unbounded stream."""
+    """A growing folder of log files as an unbounded stream.
+
+    A micro-batch takes `files_per_trigger` files, or else about `bytes_per_trigger`. This bounds what one
+    key can bring to a task of a keyed job, also when a backlog is worked off.
+    """
     reader = spark.readStream.schema(_schema(fmt)).format(fmt)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.load(path)
 
 

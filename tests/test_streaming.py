@@ -12,7 +12,7 @@ from stmtflow.operators.transactions import assign_tx, tx_summary
 from stmtflow.session import work_dir
 from stmtflow.sources.log import read_event_feed, read_statement_log, stream_statement_log
 from stmtflow.sources.sinks import write_enriched, write_event_feed
-from stmtflow.streaming import jobs, pipelines, stateful
+from stmtflow.streaming import jobs, combined, stateful
 
 Q = "SELECT id FROM users WHERE id = $1"
 
@@ -92,7 +92,7 @@ def test_windows_drop_late_rows_and_hold_open_ones(spark, tmp_path):
 def test_fanout_loses_nothing(spark, tmp_path):
     rows = [{"query": "a", "start_us": i, "error": "e" if i % 3 else ""} for i in range(90)]
     stream = files(spark, rows, tmp_path, 3)
-    out = pipelines.fanout_sinks(spark, stream, str(tmp_path / "out"), {"all": F.lit(True), "bad": F.col("error") != ""})
+    out = combined.fanout_sinks(spark, stream, str(tmp_path / "out"), {"all": F.lit(True), "bad": F.col("error") != ""})
     assert {n: spark.read.parquet(p).count() for n, p in out.items()} == {"all": 90, "bad": 60}
 
 
@@ -128,3 +128,11 @@ def test_work_dir_follows_the_session(spark, tmp_path):
     cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_dir(cluster, "a")
+
+
+def test_backlog_is_taken_in_bounded_batches(spark, tmp_path):
+    rows = [{"query": "a", "start_us": i} for i in range(40)]
+    files(spark, rows, tmp_path, 4)
+    stream = stream_statement_log(spark, str(tmp_path / "in"), bytes_per_trigger="1")
+    assert result(spark, stream, tmp_path).count() == 40
+    assert len(list((tmp_path / "out" / "job-state" / "commits").glob("[0-9]*"))) == 4
