@@ -216,12 +216,7 @@ def resolve_param_types(spark, sf):
 
 @query
 def decode_params(spark, sf):
-    params = fixture.parameters(spark, sf)
-    pg = decode.decode_pg_param(F.col("payload"), F.col("type_id"))
-    mysql = decode.decode_mysql_param(F.col("payload"), F.col("type_id"))
-    return params.filter("proto = 'pg'").select("seq", "what", pg.alias("value")).unionByName(
-        params.filter("proto = 'mysql'").select("seq", "what", mysql.alias("value"))
-    )
+    return decode.decode_params(fixture.parameters(spark, sf)).select("seq", "what", "value")
 
 
 @query
@@ -670,7 +665,10 @@ def stream_ci_gate(spark, sf):
 
 @query
 def late_event_report(spark, sf):
-    late = streamed(spark, stateful.late_event_report(jobs.stream_enrich(replay(spark, sf))), "late")
+    # Failed statements are reported 200 seconds late.
+    shift = F.when(F.col("error") != "", F.lit(200_000_000)).otherwise(F.lit(0))
+    stream = jobs.stream_enrich(replay(spark, sf)).withColumn("start_us", F.col("start_us") - shift)
+    late = streamed(spark, stateful.late_event_report(stream), "late")
     return late.groupBy("normalized_query").agg(F.sum("late").alias("late"), F.sum("seen").alias("seen"))
 
 

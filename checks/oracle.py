@@ -744,6 +744,19 @@ add(
     *LABELLED,
 )
 
+# The stream takes the log in four slices by arrival; the watermark of a slice comes from the slices before it.
+add(
+    "late_event_report",
+    """SELECT normalized_query, count(*) FILTER (WHERE shown_us < mark) AS late, count(*) AS seen
+    FROM sliced LEFT JOIN marks USING (slice) GROUP BY 1""",
+    *BASE,
+    """sliced AS (SELECT *, (seq - lo) // ((hi - lo) // 4 + 1) AS slice FROM (
+      SELECT *, start_us - CASE WHEN error <> '' THEN 200000000 ELSE 0 END AS shown_us,
+        min(seq) OVER () AS lo, max(seq) OVER () AS hi FROM tpl))""",
+    """marks AS (SELECT slice, (max(top) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      // 1000 - 1000) * 1000 AS mark FROM (SELECT slice, max(shown_us) AS top FROM sliced GROUP BY 1))""",
+)
+
 # Text libraries
 _STRING = q("'(?:[^']|'')*'?")
 _BARE = f"regexp_replace(query, {_STRING}, {q(chr(39) * 2)}, 'g')"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ MYSQL_FLOAT = 0x04
 MYSQL_DOUBLE = 0x05
 MYSQL_NULL = 0x06
 MYSQL_EIGHT_BYTES = 0x08
-LARGE_POWER = 6
+LARGE = 1e6
 
 
 def _signed(hex_text: Column, size: int) -> Column:
@@ -69,7 +69,7 @@ def decode_pg_param(raw: Column, oid: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def _float_text(raw: pd.Series, double: pd.Series) -> pd.Series:
+def float_text(raw: pd.Series, double: pd.Series) -> pd.Series:
     """Shortest text of little-endian floats; exponent form below 1e-4 and from 1e6 up."""
 
     def text(data: bytes, is_double: bool) -> str | None:
@@ -77,29 +77,22 @@ def _float_text(raw: pd.Series, double: pd.Series) -> pd.Series:
         if data is None or len(data) < size:
             return None
         value = np.frombuffer(data[:size], dtype=kind)[0]
-        if np.isnan(value):
-            return "NaN"
-        if np.isinf(value):
-            return "+Inf" if value > 0 else "-Inf"
-        if value == 0:
-            return "-0" if np.signbit(value) else "0"
-        shown = np.format_float_scientific(value, unique=True, trim="-")
-        mantissa, exponent = shown.split("e")
-        power = int(exponent)
-        if power < -4 or power >= LARGE_POWER:
-            return f"{mantissa}e{'-' if power < 0 else '+'}{abs(power):02d}"
-        return np.format_float_positional(value, unique=True, trim="-")
+        if not np.isfinite(value):
+            return "NaN" if np.isnan(value) else "+Inf" if value > 0 else "-Inf"
+        if value == 0 or 1e-4 <= abs(value) < LARGE:
+            return str(value).removesuffix(".0")
+        mantissa, power = np.format_float_scientific(value, unique=True, trim="-").split("e")
+        return f"{mantissa}e{power[0]}{power[1:].zfill(2)}"
 
     return pd.Series([text(d, bool(k)) for d, k in zip(raw, double)], dtype=object)
 
 
 def decode_mysql_param(raw: Column, kind: Column) -> Column:
-    """Binary MySQL value as text by type; a question mark when bytes are missing.
+    """Binary MySQL value as text by type, floats excepted; a question mark when bytes are missing.
 
     `raw` of a text type is the value without its length prefix.
     """
     size = F.octet_length(raw)
-    is_float = kind.isin(MYSQL_FLOAT, MYSQL_DOUBLE)
     missing = F.lit("?")
 
     def whole(width: int) -> Column:
@@ -113,6 +106,21 @@ def decode_mysql_param(raw: Column, kind: Column) -> Column:
         .when(kind.isin(*MYSQL_TWO_BYTES), whole(2))
         .when(kind.isin(*MYSQL_FOUR_BYTES), whole(4))
         .when(kind == MYSQL_EIGHT_BYTES, whole(8))
-        .when(is_float, F.coalesce(_float_text(F.when(is_float, raw), kind == MYSQL_DOUBLE), missing))
         .otherwise(raw.cast("string"))
     )
+
+
+def decode_params(params: DataFrame) -> DataFrame:
+    """Add `value` to parameters (proto 'pg' or 'mysql', type_id, payload).
+
+    Only the rows that hold floats go through Python.
+    """
+    mysql = F.col("proto") == "mysql"
+    is_float = mysql & F.col("type_id").isin(MYSQL_FLOAT, MYSQL_DOUBLE)
+    plain = F.when(mysql, decode_mysql_param(F.col("payload"), F.col("type_id"))).otherwise(
+        decode_pg_param(F.col("payload"), F.col("type_id"))
+    )
+    floats = F.coalesce(float_text("payload", F.col("type_id") == MYSQL_DOUBLE), F.lit("?"))
+    return params.filter(~is_float).withColumn("value", plain).unionByName(
+        params.filter(is_float).withColumn("value", floats)
+    )

@@ -31,11 +31,6 @@ def test_approximate_p95_is_near(spark):
     assert all(abs(near[k] - exact[k]) <= 0.25 * exact[k] for k in exact)
 
 
-def test_no_event_is_late_in_order(spark):
-    rows = QUERIES["late_event_report"](spark, SF).collect()
-    assert sum(r.late for r in rows) == 0 and sum(r.seen for r in rows) == 1000
-
-
 def test_contract(spark):
     assert driver.queries().keys() >= driver.oracle_sql().keys()
     assert driver.entry(spark).count() > 0

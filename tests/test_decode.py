@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from stmtflow.functions import decode
 
 
-def run(spark, cases, fn):
-    df = spark.createDataFrame([(i, b, t) for i, (b, t, _) in enumerate(cases)], "i int, b binary, t int")
-    return [r[0] for r in df.orderBy("i").select(fn(F.col("b"), F.col("t"))).collect()]
+def run(spark, cases, proto):
+    rows = [(i, proto, b, t) for i, (b, t, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, proto string, payload binary, type_id int")
+    return [r.value for r in decode.decode_params(df).orderBy("i").collect()]
 
 
 def test_postgres_values(spark):
@@ -29,7 +30,7 @@ def test_postgres_values(spark):
         (b"plain text", 0, "plain text"),
         (b"", 0, ""),
     ]
-    assert run(spark, cases, decode.decode_pg_param) == [w for _, _, w in cases]
+    assert run(spark, cases, "pg") == [w for _, _, w in cases]
 
 
 def test_mysql_values(spark):
@@ -55,7 +56,7 @@ def test_mysql_values(spark):
         (None, 253, "?"),
         (b"text", 253, "text"),
     ]
-    assert run(spark, cases, decode.decode_mysql_param) == [w for _, _, w in cases]
+    assert run(spark, cases, "mysql") == [w for _, _, w in cases]
 
 
 def test_format_codes(spark):
