@@ -628,7 +628,12 @@ def stream_enrich(spark, sf):
 
 @query
 def stream_nplus1(spark, sf):
-    return streamed(spark, stateful.stream_nplus1(replay(spark, sf)), "nplus1")
+    return streamed(spark, stateful.stream_nplus1(replay(spark, sf)), "nplus1").drop("lead")
+
+
+@query
+def stream_nplus1_alerts(spark, sf):
+    return combined.nplus1_alerts(spark, replay(spark, sf), work_dir(spark, "alerts"))
 
 
 @query

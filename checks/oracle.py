@@ -702,14 +702,8 @@ add("rfc3339_time", f"SELECT seq, {rfc3339(_CUT)} AS time FROM log")
 
 # Streams
 add("stream_enrich", "SELECT seq, normalized_query, slow_query FROM tpl", *BASE)
-add(
-    "stream_nplus1",
-    """SELECT c.key, c.start_us, c.seq, c.cnt >= 5 AS n_plus_1, c.cnt, a.seq IS NOT NULL AS alert
-    FROM counted c LEFT JOIN alert a USING (seq)""",
-    *FLAGGED,
-    CHAIN,
-    recursive=True,
-)
+add("stream_nplus1", "SELECT key, start_us, seq, cnt >= 5 AS n_plus_1, cnt FROM counted", *FLAGGED)
+ORACLES["stream_nplus1_alerts"] = ORACLES["nplus1_alerts"]
 ORACLES["stream_alert_feed"] = ORACLES["alert_feed"]
 # A window is emitted once the watermark, a second behind the latest start in whole milliseconds, has passed it.
 MARK = "mark AS (SELECT max(start_us) // 1000 * 1000 - 1000000 AS mark FROM {source})"

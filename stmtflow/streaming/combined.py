@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stmtflow.config import DEFAULTS, DetectionConfig
 from stmtflow.operators.feed import alert_feed
 from stmtflow.streaming.jobs import read_back, run_available, stream_enrich
-from stmtflow.streaming.stateful import stream_nplus1
+from stmtflow.streaming.stateful import stream_nplus1, stream_nplus1_alerts
 
 
 def fanout_sinks(
@@ -24,6 +24,16 @@ def fanout_sinks(
     return {name: run_available(followed.filter(wanted), folder, name) for name, wanted in subscribers.items()}
 
 
+def nplus1_alerts(
+    spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS, delay: str = "1 second"
+) -> DataFrame:
+    """Run the flagging job, and behind it the alert job that follows its output; the alerts so far."""
+    marked = stream_nplus1(stream, config=config, delay=delay)
+    flags = spark.readStream.schema(marked.schema).parquet(run_available(marked, folder, "nplus1"))
+    alerts = stream_nplus1_alerts(flags, config, delay)
+    return read_back(spark, run_available(alerts, folder, "alerts"), alerts)
+
+
 def flagged_events(
     spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS, delay: str = "1 second"
 ) -> DataFrame:

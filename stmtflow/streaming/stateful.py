@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stmtflow.config import DEFAULTS, DetectionConfig
+from stmtflow.functions.ints import floor_div
 from stmtflow.functions.text import classify_op, is_table_select
+from stmtflow.operators.nplus1 import BUCKET_WINDOWS
 from stmtflow.schema import BEGIN, COMMIT, LIFECYCLE_OPS, QUERY_OPS, ROLLBACK
 from stmtflow.streaming.jobs import with_event_time
 
@@ -19,68 +21,107 @@ from stmtflow.streaming.jobs import with_event_time
 def stream_nplus1(
     stream: DataFrame, key: Column | None = None, config: DetectionConfig = DEFAULTS, delay: str = "1 second"
 ) -> DataFrame:
-    """Watched statements with `n_plus_1`, the count in the window, and whether an alert fires.
+    """Watched statements with `n_plus_1`, their count in the window, and `lead`, the first flagged of an instant.
 
-    State per key is the instants of the last window with their counts, and the last alert. A key idle
-    for longer than window and cooldown is dropped, which changes nothing: both would have expired.
+    State is kept per key and time bucket, with the last window of a bucket repeated in the next one as
+    context, as in the batch form: a hot key spreads over its buckets. It holds the instants of the last
+    window with their counts and goes once the watermark has passed the bucket.
     """
-    threshold, window, cooldown = config.nplus1_threshold, config.nplus1_window_us, config.nplus1_cooldown_us
-    idle_us = max(window, cooldown)
+    threshold, window = config.nplus1_threshold, config.nplus1_window_us
+    width = BUCKET_WINDOWS * window
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        times, counts, last = state.get if state.exists else ([], [], None)
-        rows = pd.concat(list(frames)).sort_values(["start_us", "seq"])
-        new = rows["start_us"].to_numpy()
-        seen = np.concatenate([np.asarray(times, dtype=np.int64), new])
-        weight = np.concatenate([np.asarray(counts, dtype=np.int64), np.ones(len(new), dtype=np.int64)])
+        times, counts = (np.asarray(v, dtype=np.int64) for v in (state.get if state.exists else ([], [])))
+        # Only the numbers are kept; the frames repeat the key on every row.
+        parts = [f[["start_us", "seq", "context"]].to_numpy(dtype=np.int64) for f in frames]
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        new, seq, own = rows[:, 0], rows[:, 1], rows[:, 2] == 0
+        seen = np.concatenate([times, new])
+        weight = np.concatenate([counts, np.ones(len(new), dtype=np.int64)])
         order = np.argsort(seen, kind="stable")
-        place = np.empty(len(seen), dtype=np.int64)
-        place[order] = np.arange(len(seen))
+        at = np.empty(len(seen), dtype=np.int64)
+        at[order] = np.arange(len(seen))
+        at = at[len(times) :]
         seen, weight = seen[order], weight[order]
         upto = np.cumsum(weight)
-        at = place[len(times) :]
         first = np.searchsorted(seen, new - window)
         count = upto[at] - upto[first] + weight[first]
         flagged = count >= threshold
-        alert = np.zeros(len(new), dtype=bool)
-        i = 0
-        hits = np.flatnonzero(flagged)
-        hit_times = new[hits]
-        while i < len(hits):
-            if last is not None:
-                i = max(i, int(np.searchsorted(hit_times, last + cooldown)))
-                if i >= len(hits):
-                    break
-            alert[hits[i]] = True
-            last = int(hit_times[i])
-            i += 1
+        lead = flagged.copy()
+        lead[1:] &= ~(flagged[:-1] & (new[1:] == new[:-1]))
         keep = seen >= seen[-1] - window
         kept, start = np.unique(seen[keep], return_index=True)
-        state.update((kept.tolist(), np.add.reduceat(weight[keep], start).tolist(), last))
-        state.setTimeoutTimestamp(max(int(seen[-1] + idle_us) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(
-            {
-                "key": keys[0],
-                "start_us": new,
-                "seq": rows["seq"].to_numpy(),
-                "n_plus_1": flagged,
-                "cnt": count,
-                "alert": alert,
-            }
-        )
+        state.update((kept.tolist(), np.add.reduceat(weight[keep], start).tolist()))
+        state.setTimeoutTimestamp(max((int(keys[1]) + 1) * width // 1000, state.getCurrentWatermarkMs()) + 1)
+        if own.any():
+            yield pd.DataFrame(
+                {
+                    "key": keys[0],
+                    "start_us": new[own],
+                    "seq": seq[own],
+                    "n_plus_1": flagged[own],
+                    "cnt": count[own],
+                    "lead": lead[own],
+                }
+            )
 
     by = F.col("query") if key is None else key
     watched = with_event_time(stream, delay).filter(is_table_select(F.col("op"), F.col("query")))
+    ahead = F.when(F.pmod("start_us", F.lit(width)) >= width - window, F.array(F.lit(0), F.lit(1)))
+    placed = watched.select(
+        by.alias("key"), "start_us", "seq", "ts", F.explode(F.coalesce(ahead, F.array(F.lit(0)))).alias("context")
+    ).withColumn("bucket", floor_div(F.col("start_us"), width) + F.col("context"))
+    return placed.groupBy("key", "bucket").applyInPandasWithState(
+        step,
+        "key string, start_us bigint, seq bigint, n_plus_1 boolean, cnt bigint, lead boolean",
+        "times array<bigint>, counts array<bigint>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
+def stream_nplus1_alerts(flags: DataFrame, config: DetectionConfig = DEFAULTS, delay: str = "1 second") -> DataFrame:
+    """Alerts (key, start_us, seq, cnt) from a stream of flags: one per key and cooldown at most.
+
+    State is the last alert. A key idle for longer than the cooldown is dropped, which changes nothing.
+    """
+    cooldown = config.nplus1_cooldown_us
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = np.concatenate([f[["start_us", "seq", "cnt"]].to_numpy(dtype=np.int64) for f in frames])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        times, fired, i = rows[:, 0], [], 0
+        while i < len(times):
+            if last is not None and times[i] - last < cooldown:
+                i = int(np.searchsorted(times, last + cooldown))
+                continue
+            fired.append(i)
+            last = int(times[i])
+            i += 1
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + cooldown) // 1000, state.getCurrentWatermarkMs()) + 1)
+        if fired:
+            out = rows[fired]
+            yield pd.DataFrame({"key": keys[0], "start_us": out[:, 0], "seq": out[:, 1], "cnt": out[:, 2]})
+
+    # With a cooldown, only the first flagged statement of an instant can raise an alert.
+    candidates = flags.filter("lead" if cooldown > 0 else "n_plus_1")
     return (
-        watched.select(by.alias("key"), "start_us", "seq", "ts")
+        with_event_time(candidates, delay)
+        .select("key", "start_us", "seq", "cnt", "ts")
         .groupBy("key")
         .applyInPandasWithState(
             step,
-            "key string, start_us bigint, seq bigint, n_plus_1 boolean, cnt bigint, alert boolean",
-            "times array<bigint>, counts array<bigint>, last bigint",
+            "key string, start_us bigint, seq bigint, cnt bigint",
+            "last bigint",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )

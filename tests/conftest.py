@@ -12,7 +12,7 @@ from stmtflow.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", "tests")
+    session = local_session("8", "tests", **{"spark.sql.shuffle.partitions": "4"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -31,18 +31,19 @@ def result(spark, job, tmp_path, name="job"):
     return jobs.read_back(spark, jobs.run_available(job, str(tmp_path / "out"), name), job)
 
 
-@pytest.mark.parametrize("slices", [1, 5])
-def test_nplus1_equals_replay(spark, tmp_path, slices):
+@pytest.mark.parametrize(("slices", "cooldown"), [(1, 2_000_000), (5, 2_000_000), (5, 0)])
+def test_nplus1_equals_replay(spark, tmp_path, slices, cooldown):
     rng = random.Random(slices)
     t, rows = 1_000_000_000, []
     for i in range(600):
         t += rng.choice([0, 0, 10, 40_000, 300_000]) if i % 150 else 5_000_000
         rows.append({"query": rng.choice([Q] * 4 + ["SELECT a FROM b"]), "start_us": t})
-    config = DetectionConfig(4, 500_000, 2_000_000)
-    got = result(spark, stateful.stream_nplus1(files(spark, rows, tmp_path, slices), config=config), tmp_path).collect()
-    flags, alerts = replay_nplus1([(r["query"], r["start_us"], i) for i, r in enumerate(rows)], 4, 500_000, 2_000_000)
-    assert {r.seq: r.n_plus_1 for r in got} == flags
-    assert sorted((r.key, r.start_us, r.seq, r.cnt) for r in got if r.alert) == alerts
+    config = DetectionConfig(4, 500_000, cooldown)
+    out = str(tmp_path / "out")
+    got = combined.nplus1_alerts(spark, files(spark, rows, tmp_path, slices), out, config).collect()
+    flags, alerts = replay_nplus1([(r["query"], r["start_us"], i) for i, r in enumerate(rows)], 4, 500_000, cooldown)
+    assert {r.seq: r.n_plus_1 for r in spark.read.parquet(f"{out}/nplus1").collect()} == flags
+    assert sorted((r.key, r.start_us, r.seq, r.cnt) for r in got) == alerts
 
 
 @pytest.mark.parametrize("slices", [1, 4])
