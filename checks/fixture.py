@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,13 +78,27 @@ def statement_log_duckdb() -> str:
     return LOG_SQL.format(**DUCKDB)
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable) -> DataFrame:
+    """A derived input as a table, written once per session, as a capture would have left it."""
+    place = (spark.sparkContext.applicationId, sf_dir, name)
+    if place not in _STORED:
+        path = work_dir(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _STORED[place] = path
+    return spark.read.parquet(_STORED[place])
+
+
 def wire_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages behind the statement log, numbered by arrival, as a table written once per session."""
-    place = (spark.sparkContext.applicationId, sf_dir)
-    if place not in _WIRE:
-        _WIRE[place] = work_dir(spark, "wire")
-        _wire_messages(spark, sf_dir).write.parquet(_WIRE[place])
-    return spark.read.parquet(_WIRE[place])
+    """The messages behind the statement log, numbered by arrival."""
+    return _stored(spark, sf_dir, "wire", _wire_messages)
+
+
+def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded parameter values: (seq, what, proto, type_id, payload)."""
+    return _stored(spark, sf_dir, "parameters", _parameters)
 
 
 def _wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +151,6 @@ def _wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("msg", "conn_id", "us", "kind", "stmt", "query", "args", "oids", "tag", "seq")
 
 
-_WIRE: dict[tuple[str, str], str] = {}
-
 WIRE_DUCKDB = """
 wire_rows AS (
   SELECT *, CASE WHEN (conn_id + seq) % 4 = 0 THEN '' ELSE concat('s', CAST((conn_id + seq) % 3 AS VARCHAR)) END AS nm
@@ -219,8 +232,8 @@ def _float_bytes(value: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([struct.pack("<f" if k == 4 else "<d", v) for v, k in zip(value, kind)])
 
 
-def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded parameter values: (seq, what, proto, type_id, payload)."""
+def _parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known values in the encodings of both protocols."""
     values = statement_log(spark, sf_dir).select(
         "seq", "conn_id", "query", "start_us", (F.col("dur_us") / F.lit(1000.0)).alias("value")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,8 +34,8 @@ def _signed(hex_text: Column, size: int) -> Column:
 
 
 def _reversed_bytes(raw: Column, size: int) -> Column:
-    pairs = F.hex(F.substring(raw, 1, size))
-    return F.regexp_replace(F.reverse(pairs), "(.)(.)", "$2$1")
+    """Hex of the first `size` bytes, last byte first."""
+    return F.concat(*[F.hex(F.substring(raw, i, 1)) for i in range(size, 0, -1)])
 
 
 def is_binary_format(codes: Column, position: Column) -> Column:
@@ -55,7 +57,8 @@ def decode_pg_param(raw: Column, oid: Column) -> Column:
     """Binary PostgreSQL value as text: times by type, otherwise by length."""
     hexed = F.hex(raw)
     size = F.octet_length(raw)
-    uuid = F.regexp_replace(F.lower(hexed), r"\A(.{8})(.{4})(.{4})(.{4})(.{12})\z", "$1-$2-$3-$4-$5")
+    groups = [F.substring(hexed, at, length) for at, length in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    uuid = F.lower(F.concat_ws("-", *groups))
     is_time = oid.isin(*PG_TIMESTAMP_OIDS) & (size == 8)
     return (
         F.when(is_time, rfc3339_time(_signed(hexed, 8) + F.lit(PG_EPOCH_US)))
@@ -113,14 +116,16 @@ def decode_mysql_param(raw: Column, kind: Column) -> Column:
 def decode_params(params: DataFrame) -> DataFrame:
     """Add `value` to parameters (proto 'pg' or 'mysql', type_id, payload).
 
-    Only the rows that hold floats go through Python.
+    The protocols are decoded in branches of their own, which keeps the compiled methods small enough for the
+    JVM to optimise, and only the rows that hold floats go through Python.
     """
-    mysql = F.col("proto") == "mysql"
-    is_float = mysql & F.col("type_id").isin(MYSQL_FLOAT, MYSQL_DOUBLE)
-    plain = F.when(mysql, decode_mysql_param(F.col("payload"), F.col("type_id"))).otherwise(
-        decode_pg_param(F.col("payload"), F.col("type_id"))
-    )
-    floats = F.coalesce(float_text("payload", F.col("type_id") == MYSQL_DOUBLE), F.lit("?"))
-    return params.filter(~is_float).withColumn("value", plain).unionByName(
-        params.filter(is_float).withColumn("value", floats)
-    )
+    raw, kind = F.col("payload"), F.col("type_id")
+    mysql, is_float = F.col("proto") == "mysql", kind.isin(MYSQL_FLOAT, MYSQL_DOUBLE)
+    floats = F.coalesce(float_text(raw, kind == MYSQL_DOUBLE), F.lit("?"))
+    branches = [
+        (F.col("proto") == "pg", decode_pg_param(raw, kind)),
+        (mysql & ~is_float, decode_mysql_param(raw, kind)),
+        (mysql & is_float, floats),
+    ]
+    decoded = [params.filter(wanted).withColumn("value", value) for wanted, value in branches]
+    return reduce(DataFrame.unionByName, decoded)
