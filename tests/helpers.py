@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from stmtflow.schema import STATEMENT, WIRE
 
 
@@ -51,7 +49,3 @@ def replay_nplus1(rows, threshold, window, cooldown):
             last[key] = t
             alerts.append((key, t, seq, count))
     return flags, sorted(alerts)
-
-
-def lit_array(values):
-    return F.array(*[F.lit(v) for v in values])
