@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtflow.llm import licenses, mixing, url_templates, warc
-from stmtflow.llm.common import table
+from stmtflow.llm import licenses, mixing, rule_ensemble, toxicity, url_templates, warc
+from stmtflow.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,11 +24,39 @@ def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        held_out("doc_id").alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        "toxic_clauses",
+        "clause_sum",
+    )
+
+
 @query
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"))
+    scored = rule_ensemble.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        held_out("doc_id").alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = warc.archive_history(table(spark, sf_dir, "pages"))
