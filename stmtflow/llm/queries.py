@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtflow.llm import licenses, mixing, rule_ensemble, toxicity, url_templates, warc
+from stmtflow.llm import licenses, mixing, rule_ensemble, tiling, toxicity, url_templates, warc
 from stmtflow.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,10 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tiling.find_leaks(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", F.inline("leaks")).withColumn("n_tiles", F.size("tiles")).drop("tiles")
