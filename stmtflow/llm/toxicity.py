@@ -192,34 +192,73 @@ def features(scores: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(scores)), np.log1p(total), np.log1p(100 * total / np.maximum(words, 20)), np.log1p(largest)])
 
 
+def _chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of consecutive parts of about `most` characters."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield begin, texts[begin:i]
+            begin, size = i, 0
+        size += len(t)
+    if begin < len(texts):
+        yield begin, texts[begin:]
+
+
+def _lowered(texts: list[str]) -> Words:
+    return words_of(pc.utf8_lower(pa.array(texts, pa.string())), GAP, PLAIN)
+
+
+def _clauses_of(texts: list[str], lexicon: Lexicon) -> np.ndarray:
+    parts = [clause_scores(pa.array(t, pa.string()), lexicon) for _, t in _chunks(texts)]
+    return np.concatenate(parts) if parts else np.zeros((0, 4))
+
+
 def learned_arcs(texts: list[str], toxic: np.ndarray) -> list[Arc]:
     """Insult arcs over words and first parts that toxic documents hold far more often."""
-    words = words_of(pc.utf8_lower(pa.array(texts, pa.string())), GAP, PLAIN)
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
-    arcs = []
-    for length in (0, *PART_BYTES):
-        own = np.flatnonzero(words.end - words.start >= length)
-        if not len(own):
+    lengths = (0, *PART_BYTES)
+    found: dict[int, list] = {n: [] for n in lengths}
+    for begin, part in _chunks(texts):
+        words = _lowered(part)
+        for length in lengths:
+            own = np.flatnonzero(words.end - words.start >= length)
+            hashes, docs = _distinct(words.hashes(length or None)[own], words.doc[own])
+            found[length].append((hashes, docs + begin))
+    chosen = {}
+    for length, parts in found.items():
+        term, doc = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(term, kind="stable")
+        term, doc = term[order], doc[order]
+        heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+        if not len(heads):
             continue
-        hashes = words.hashes(length or None)[own]
-        term, doc, example = _distinct(hashes, words.doc[own])
-        heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
         in_toxic = np.add.reduceat(toxic[doc].astype(np.int64), heads)
         in_clean = np.add.reduceat((~toxic[doc]).astype(np.int64), heads)
         odds = np.log((in_toxic + 0.5) / (n_toxic + 1)) - np.log((in_clean + 0.5) / (n_clean + 1))
-        for i in np.flatnonzero((in_toxic >= MIN_TOXIC) & (odds >= MIN_WEIGHT)):
-            at = own[example[heads[i]]]
-            stop = words.end[at] if not length else words.start[at] + length
-            arcs.append((length, words.data[words.start[at] : stop].tobytes(), 0, float(odds[i])))
-    return arcs
-
-
-def _distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (hash, document) in order of hash, each with the place of one example."""
+        use = np.flatnonzero((in_toxic >= MIN_TOXIC) & (odds >= MIN_WEIGHT))
+        chosen[length] = dict(zip(term[heads[use]].tolist(), odds[use].tolist()))
+    arcs = {}
+    for _, part in _chunks(texts):
+        words = _lowered(part)
+        for length, weights in chosen.items():
+            if len(weights) == 0:
+                continue
+            own = np.flatnonzero(words.end - words.start >= length)
+            hashes = words.hashes(length or None)[own]
+            for i in np.flatnonzero(np.isin(hashes, np.array(list(weights), np.uint64))).tolist():
+                at = own[i]
+                stop = words.end[at] if not length else words.start[at] + length
+                text = words.data[words.start[at] : stop].tobytes()
+                arcs[length, text] = (length, text, 0, weights[int(hashes[i])])
+    return list(arcs.values())
+
+
+def _distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (hash, document), in order of hash."""
     order = np.lexsort((docs, hashes))
     h, d = hashes[order], docs[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-    return h[new], d[new], order[new]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[: len(h)]
+    return h[new], d[new]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -258,7 +297,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     for own in (half, ~half):
         lexicon = Lexicon.of(_merged(base, learned_arcs([t for t, o in zip(texts, own) if o], y[own])))
         rest = np.flatnonzero(~own)
-        x[rest] = features(clause_scores(pa.array([texts[i] for i in rest], pa.string()), lexicon))
+        x[rest] = features(_clauses_of([texts[i] for i in rest], lexicon))
     return Model(Lexicon.of(_merged(base, learned_arcs(texts, y))), tuple(logistic(x, y.astype(float))))
 
 
