@@ -24,6 +24,7 @@ SHARE_PERCENT = 150
 MOST = 2
 SEED = "mix"
 BROADCAST_SOURCES = 100_000
+SALTS = 64
 
 
 def source_table(sized: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -69,7 +70,7 @@ def fill_targets(sources: DataFrame, share_percent: int = SHARE_PERCENT, most: i
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
     """A number in [0, 1) that the id and the seed fix."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string")).cast("binary")), 1, 8)
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 8)
     return F.conv(digits, 16, 10).cast("bigint") / F.lit(float(1 << 32))
 
 
@@ -87,24 +88,25 @@ def mix(
     gives an empty result.
     """
     added = ("size", "source_size", "target", "copies", "taken")
-    plain = docs.drop(*added)
-    sized = plain.withColumn("size", word_count("text"))
-    sources = materialize(source_table(sized.select("source", "size"), "source", weights), "mix-sources")
+    own = [c for c in docs.columns if c not in added]
+    sized = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc"), F.col("doc_id").alias("_id"), F.col("source").alias("_own"), word_count("text").alias("size")
+    )
+    sources = materialize(source_table(sized.select("_own", "size"), "_own", weights), "mix-sources")
     filled = fill_targets(sources, share_percent, most).select(F.col("source").alias("_source"), "source_size", "target")
     if filled.count() <= BROADCAST_SOURCES:
-        joined = sized.join(F.broadcast(filled), F.col("source").eqNullSafe(F.col("_source")))
+        joined = sized.join(F.broadcast(filled), F.col("_own").eqNullSafe(F.col("_source")))
     else:
-        spread = 64
-        dealt = filled.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-        salted = sized.withColumn("_of", F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread)).cast("int"))
-        joined = salted.join(dealt, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_of") == F.col("_salt")))
+        dealt = filled.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        salted = sized.withColumn("_of", F.pmod(F.xxhash64("_id", "_doc"), F.lit(SALTS)))
+        joined = salted.join(dealt, F.col("_own").eqNullSafe(F.col("_source")) & (F.col("_of") == F.col("_salt")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    extra = F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)
+    extra = F.when(draw(F.col("_id"), seed) < rate - whole, 1).otherwise(0)
     return (
         joined.withColumn("copies", (whole + extra).cast("bigint"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*plain.columns, *added)
+        .select("_doc.*", *added)
     )
 
 

@@ -200,6 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add `quality_score`, the rules' probability of a good text."""
-    told, _ = with_statistics(docs.drop("quality_score"), text)
-    return told.select(*[c for c in docs.columns if c != "quality_score"], (1 / (1 + F.exp(-model.margin()))).alias("quality_score"))
+    """Add `quality_score`, the rules' probability of a good text; an input column of that name is replaced."""
+    own = [c for c in docs.columns if c != "quality_score"]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc"), F.col(text).alias("_text"))
+    told, _ = with_statistics(packed, "_text")
+    return told.select("_doc.*", (1 / (1 + F.exp(-model.margin()))).alias("quality_score"))

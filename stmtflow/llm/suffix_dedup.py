@@ -421,7 +421,7 @@ def removed_bytes(block: Block, marks: pa.Table) -> np.ndarray:
     return np.cumsum(edge)[: len(block.data)] > 0
 
 
-def block_result(rows: pa.Table, marks: pa.Table, schema: pa.Schema, extra: list[str], with_text: bool) -> pa.Table:
+def block_result(rows: pa.Table, marks: pa.Table, schema: pa.Schema, with_text: bool) -> pa.Table:
     block = Block(rows)
     gone = removed_bytes(block, marks)
     n = len(block.offsets) - 1
@@ -440,8 +440,7 @@ def block_result(rows: pa.Table, marks: pa.Table, schema: pa.Schema, extra: list
         else:
             digest.append(hashlib.sha256(left).hexdigest())
     ordered = rows.take(pa.array(block.order))
-    out = {c: ordered.column(c) for c in extra}
-    out |= {"n_bytes": np.diff(block.offsets), "n_removed": removed, "n_spans": spans}
+    out = {"_doc": ordered.column("_doc"), "n_bytes": np.diff(block.offsets), "n_removed": removed, "n_spans": spans}
     out |= {"kept_text": pa.array(texts, pa.string())} if with_text else {"kept_sha256": pa.array(digest, pa.string())}
     return pa.table([pa.array(out[f.name], f.type) if isinstance(out[f.name], np.ndarray) else out[f.name].cast(f.type) for f in schema], schema=schema)
 
@@ -452,19 +451,24 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, with_text: bool
     What remains of a text is decoded without the parts of characters that were cut.
     """
     keep = ["doc_id"] if keep is None else keep
+    added = ["n_bytes", "n_removed", "n_spans", "kept_text" if with_text else "kept_sha256"]
+    own = [c for c in keep if c not in added]
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks, shards = pieces(total, BLOCK_BYTES), pieces(total, SHARD_BYTES)
     parts = pieces(total // 30, ANCHORS_PER_PART, 8)
-    columns = list(dict.fromkeys([*keep, "doc_id", "text"]))
-    texts = docs.select(*columns).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("_row", F.monotonically_increasing_id())
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
+    texts = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        "text",
+        F.monotonically_increasing_id().alias("_row"),
+    ).withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
     anchors = texts.groupBy("block").applyInArrow(block_anchors, ANCHORS)
     repeated = anchors.repartition(parts, "h").mapInArrow(repeated_anchors, MARKS)
     cut = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(lambda rows, marks: block_parts(rows, marks, shards), PARTS)
     firsts = cut.groupBy("route").applyInArrow(shard_firsts, MARKS)
     marks = repeated.unionByName(firsts)
-    added = "n_bytes bigint, n_removed bigint, n_spans bigint, " + ("kept_text string" if with_text else "kept_sha256 string")
-    schema = StructType([f for f in texts.schema.fields if f.name in keep] + StructType.fromDDL(added).fields)
+    kinds = ["bigint", "bigint", "bigint", "string"]
+    schema = StructType([texts.schema["_doc"], *StructType.fromDDL(", ".join(map(" ".join, zip(added, kinds)))).fields])
     arrow = to_arrow_schema(schema)
-    own = [c for c in texts.columns if c in keep]
-    return texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda rows, m: block_result(rows, m, arrow, own, with_text), schema)
+    done = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda rows, m: block_result(rows, m, arrow, with_text), schema)
+    return done.select("_doc.*", *added)

@@ -188,18 +188,25 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[Block]:
         yield Block.of(got.column("item_id").to_pylist(), texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all) of docs with `leaks`, an array of the leaked items with coverage and tiles."""
-    found = docs.drop("leaks").withColumn("leaks", F.lit(None).cast(HITS))
+def with_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], coverage: float = COVERAGE, text: str = "text") -> DataFrame:
+    """(_doc, leaks): the columns `keep` of each row as a struct, and the items leaked into it (null: none)."""
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"), F.col(text).alias("_text"), F.lit(None).cast(HITS).alias("leaks"))
     for block in blocks_of(benchmark):
-        found = _pass(found, docs.sparkSession.sparkContext.broadcast(block), coverage, text)
-    none = F.array().cast(HITS)
-    return found.select(*(keep or [c for c in docs.columns if c != "leaks"]), F.coalesce("leaks", none).alias("leaks"))
+        found = _pass(found, docs.sparkSession.sparkContext.broadcast(block), coverage)
+    return found.select("_doc", "leaks")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (all) of docs with `leaks`, an array of the leaked items with coverage and tiles.
+
+    An input column of that name is replaced.
+    """
+    own = [c for c in keep or docs.columns if c != "leaks"]
+    return with_leaks(docs, benchmark, own, coverage, text).select("_doc.*", F.coalesce("leaks", F.array().cast(HITS)).alias("leaks"))
 
 
-def _pass(docs: DataFrame, block, coverage: float, text: str) -> DataFrame:
-    names = docs.columns
-    at, hits = names.index(text), names.index("leaks")
+def _pass(docs: DataFrame, block, coverage: float) -> DataFrame:
+    names, at, hits = ["_doc", "_text", "leaks"], 1, 2
     schema = StructType(list(docs.schema.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +218,11 @@ def _pass(docs: DataFrame, block, coverage: float, text: str) -> DataFrame:
                 column = pa.array([(a or []) + b if b else a for a, b in zip(old, new)], kind)
             else:
                 column = batch.column(hits)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:hits], column, *batch.columns[hits + 1 :]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents into which no item has leaked."""
-    return find_leaks(docs, benchmark, coverage).filter(F.size("leaks") == 0).drop("leaks")
+    return with_leaks(docs, benchmark, docs.columns, coverage).filter("leaks is null").select("_doc.*")
