@@ -14,7 +14,9 @@ classes, whatever the size of a region.
 
 Candidates are confirmed on the whole sets, taken anew from the texts, by 100 * common >= PERCENT * union. First only each
 class's best candidates are; then, with the components these give, the candidates between components, until none is
-left. Pairs inside a component need no confirmation: they change nothing.
+left. Pairs inside a component need no confirmation: they change nothing. At last, classes that proved nearly similar
+to a member of another component (by at most 2 * (100 - PERCENT) per cent, as a common link would have it) are compared
+with all of that component, in blocks; this finds the links that neighbours and centres of a large region miss.
 
 Null and empty texts have empty sets and are linked with nothing; texts of fewer than WIDTH words have one shingle, all
 of their words. Null ids are classes of their own. Rows with equal ids and texts are in one class; each is returned.
@@ -39,6 +41,9 @@ WIDTH = 4
 PERCENT = 80
 TREES, DEPTH, LEAST, REACH = 16, 7, 3, 2
 RANGE_ROWS = 250_000
+#: Per cent below PERCENT that count as nearly similar: what is linked to one class is at most 2 * (100 - PERCENT) apart.
+NEAR = 20
+BLOCK_TEXTS = 512
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, size=(2, TREES * DEPTH), dtype=np.int64).astype(np.uint64)
 FACTORS, SHIFTS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 
@@ -191,7 +196,7 @@ def walk_orders(trees: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """(a, b, link) of the pairs whose whole sets are similar enough (link) or nearly so."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -201,20 +206,69 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text", width: int
         for batch in small_batches(batches, 2, 2 << 20):
             x, x_at = shingle_sets(batch.column(2), width)
             y, y_at = shingle_sets(batch.column(3), width)
-            keep = []
+            near, link = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 p, q = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
                 n, m = len(p), len(q)
-                if 100 * min(n, m) < percent * max(n, m):
-                    keep.append(False)
-                    continue
-                whole = np.sort(np.concatenate([p, q]))
-                common = int((whole[1:] == whole[:-1]).sum())
-                keep.append(100 * common >= percent * (n + m - common))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return both.mapInArrow(check, "a bigint, b bigint")
+                if 100 * min(n, m) >= (percent - NEAR) * max(n, m):
+                    whole = np.sort(np.concatenate([p, q]))
+                    common = int((whole[1:] == whole[:-1]).sum())
+                    near[i] = 100 * common >= (percent - NEAR) * (n + m - common)
+                    link[i] = 100 * common >= percent * (n + m - common)
+            keep = pa.array(near)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(link[near])], names=["a", "b", "link"])
+
+    return both.mapInArrow(check, "a bigint, b bigint, link boolean")
+
+
+def block_links(left: pa.Table, right: pa.Table, width: int, percent: int) -> pa.Table:
+    """All links between two blocks of whole texts, counted through the blocks' sorted shingles."""
+    x, x_at = shingle_sets(left.column("text").combine_chunks(), width)
+    y, y_at = shingle_sets(right.column("text").combine_chunks(), width)
+    order = np.argsort(y, kind="stable")
+    sizes = np.diff(y_at)
+    known, owner = y[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+    a, b = [], []
+    ids, others = left.column("id").to_numpy(), right.column("id").to_numpy()
+    for i in range(len(ids)):
+        own = x[x_at[i] : x_at[i + 1]]
+        low, high = np.searchsorted(known, own), np.searchsorted(known, own, side="right")
+        common = np.bincount(owner[ranges(low, high - low)], minlength=len(sizes))
+        hit = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (others != ids[i]))
+        a.append(np.full(len(hit), ids[i]))
+        b.append(others[hit])
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"a": np.concatenate(none + a), "b": np.concatenate(none + b)})
+
+
+def settle(near: DataFrame, found: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame | None:
+    """Links of classes that are nearly similar to a member of another component, to any member of it.
+
+    If x is linked to some y, it is nearly similar to whatever y is linked to. Such classes are few; each is
+    compared with the whole of the component, block by block. None if there are none.
+    """
+    label = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    told = near.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    told = told.select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b")).filter("c_a <> c_b")
+    told = materialize(told, "near-candidates")
+    open_ = told.select(F.col("a").alias("id"), F.col("c_b").alias("c")).union(told.select(F.col("b").alias("id"), F.col("c_a").alias("c"))).distinct()
+    open_ = materialize(open_, "open-classes")
+    if not open_.limit(1).count():
+        return None
+    named = open_.select("c").distinct()
+    grown = found.select(F.col("node").alias("id"), F.col("component").alias("c")).join(named, "c", "left_semi")
+    alone = named.select(F.col("c").alias("id"), "c").join(found.select(F.col("component").alias("c")).distinct(), "c", "left_anti")
+    members = materialize(grown.select("id", "c").union(alone.select("id", "c")), "members")
+    sizes = members.groupBy("c").agg(F.count(F.lit(1)).alias("n")).join(open_.groupBy("c").agg(F.count(F.lit(1)).alias("m")), "c")
+    cuts = materialize(sizes.select("c", F.expr(f"cast(ceil(n / {BLOCK_TEXTS}) as bigint)").alias("right"), F.expr(f"cast(ceil(m / {BLOCK_TEXTS}) as bigint)").alias("left")), "blocks")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).alias("text"))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    to_all = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
+    left = open_.join(cuts, "c").withColumn("x", place("left")).withColumn("y", to_all("right")).select("c", "x", "y", "id").join(texts, "id")
+    right = members.join(cuts, "c").withColumn("y", place("right")).withColumn("x", to_all("left")).select("c", "x", "y", "id").join(texts, "id")
+    key = ["c", "x", "y"]
+    left, right = materialize(left, "open-texts"), materialize(right, "member-texts")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: block_links(a, b, width, percent), "a bigint, b bigint")
 
 
 def best_of(pairs: DataFrame) -> DataFrame:
@@ -237,14 +291,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = WIDTH, per
     ).select("key.region", "key.o1", "key.o2", "doc_id")
     pairs = materialize(walk_orders(materialize(trees, "trees")), "candidates")
     first = materialize(best_of(pairs), "best-candidates")
-    links = materialize(confirmed(first, docs, text, width, percent), "links")
-    found = components(links)
+    checked = materialize(confirmed(first, docs, text, width, percent), "checked")
+    found = components(checked.filter("link"))
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
     label = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
     rest = rest.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    more = materialize(confirmed(materialize(rest, "open-candidates"), docs, text, width, percent), "links")
-    if more.limit(1).count():
-        found = components(links.union(more))
+    more = materialize(confirmed(materialize(rest, "open-candidates"), docs, text, width, percent), "checked")
+    checked = checked.union(more)
+    links = checked.filter("link").select("a", "b")
+    if more.filter("link").limit(1).count():
+        found = components(links)
+    last = settle(checked.filter("not link").select("a", "b"), found, docs, text, width, percent)
+    if last is not None:
+        found = components(links.union(materialize(last, "links")))
     of = found.select(F.col("node").alias("rep"), "component")
     joined = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes.join(of, "rep", "left"), ["k1", "k2", "n_shingles"], "left")
     component = F.coalesce("component", "rep", "doc_id")
