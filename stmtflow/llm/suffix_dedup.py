@@ -45,7 +45,7 @@ from stmtflow.llm.tokens import mixed, powers, ranges, raw_bytes
 MATCH, GRAM = 100, 32
 SPAN = MATCH - GRAM + 1
 BLOCK_BYTES, SHARD_BYTES, ANCHORS_PER_PART = 2 << 20, 4 << 20, 1_000_000
-HOT = 256
+HOT = 4096
 PLACE_BITS = 26
 
 ANCHORS = "h bigint, block bigint, times bigint, kinds bigint"

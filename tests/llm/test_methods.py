@@ -55,7 +55,7 @@ def brute_repeats(rows: list[tuple[int, str | None]], match: int = 100) -> dict[
     return out
 
 
-@pytest.mark.parametrize("hot", [2, 256])
+@pytest.mark.parametrize("hot", [2, 4096])
 def test_repeated_strings(spark, monkeypatch, hot):
     rng = random.Random(3)
     passage, other = text_of(rng, 40), "ünï" + text_of(rng, 30)
