@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stmtflow.plans.materialize import materialize
+from stmtflow.session import work_dir
+
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -38,3 +42,40 @@ def pieces(amount: int, each: int, least: int = 1) -> int:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Scratch:
+    """Intermediate tables of one operator, in a folder of its own below the shared one.
+
+    Called with a frame it writes it and gives back the table read from there. `finish` keeps one last table, written
+    elsewhere, and removes the folder; `drop` removes a table that nothing reads any more.
+    """
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.purpose = spark, purpose
+        self.folder, self.number = work_dir(spark, f"{purpose}-scratch"), 0
+        self.places: list[tuple[DataFrame, str]] = []
+
+    def __call__(self, df: DataFrame, name: str = "table") -> DataFrame:
+        self.number += 1
+        path = os.path.join(self.folder, f"{self.number:03d}-{name}")
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.places.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in self.places:
+            if any(table is t for t in tables):
+                remove(self.spark, path)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        kept = materialize(df, self.purpose)
+        remove(self.spark, self.folder)
+        return kept
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this program's own, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -10,8 +10,8 @@ task from at most about PAGE * LEAF vectors: it is halved by two distant objects
 stores its routing object, covering radius and distance to its parent; its entries store theirs.
 
 Search. A query first looks into the subtrees of the nearest pivot, which gives a floor for its k-th score. Then it is
-routed to the pivots whose covering balls may hold as good a score. In a subtree it takes pages best first and stops when no
-ball left can reach its k-th score. A page's distance to the query is computed only if the stored distance to the
+routed to the pivots whose covering balls may hold as good a score. In a subtree it takes its FIRST_PAGES best pages first,
+which lifts its k-th score, then the others whose balls can still reach that, nearest first. A page's distance to the query is computed only if the stored distance to the
 parent does not already rule it out (|d(q, p) - d(r, p)| - radius), and likewise for entries. Bounds are
 floored with SLACK, scores are whole numbers, so results are exact; ties go to smaller ids.
 
@@ -32,23 +32,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stmtflow.llm.common import pieces
-from stmtflow.plans.materialize import materialize
+from stmtflow.llm.common import Scratch, pieces
+from stmtflow.llm.tokens import ranges
 
 K = 20
 PIVOTS = 4096
-LEAF, PAGE, BLOCK = 32, 16, 1024
+LEAF, PAGE, BLOCK, FIRST_PAGES = 32, 32, 1024, 2
 SLACK = 1e-6
 
 LEAVES = "sub bigint, leaf bigint, radius double, up double, norm double, routing binary, ids array<bigint>, down array<double>, vectors binary, pivot binary"
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
-def matrix(rows: list, dim: int) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """Lists of whole numbers as the rows of a float matrix, filled up with zeros."""
+    rows = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    if not len(rows):
+        return np.zeros((0, dim))
+    values, sizes = rows.flatten().to_numpy(zero_copy_only=False).astype(float), rows.value_lengths().to_numpy(zero_copy_only=False)
+    if (sizes == dim).all():
+        return values.reshape(len(rows), dim)
     out = np.zeros((len(rows), dim))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    out[np.repeat(np.arange(len(rows)), sizes), ranges(np.zeros(len(rows), np.int64), sizes)] = values
     return out
 
 
@@ -101,7 +106,7 @@ def split_pages(x: np.ndarray, most: int = LEAF) -> list[np.ndarray]:
 
 def build(rows: pa.Table, pivots: np.ndarray, dim: int, biggest: float, fan: int) -> pa.Table:
     """The leaf pages of one subtree."""
-    ids, x = rows.column("vec_id").to_numpy(), matrix(rows.column("v").to_pylist(), dim)
+    ids, x = rows.column("vec_id").to_numpy(), matrix(rows.column("v"), dim)
     order = np.lexsort((ids,))
     ids, x = ids[order], x[order]
     sub = rows.column("sub")[0].as_py()
@@ -122,7 +127,7 @@ def search(queries: pa.Table, leaves: pa.Table, dim: int, k: int) -> pa.Table:
     """The best k of a subtree's (or several subtrees') entries for each query that reach its floor."""
     if not queries.num_rows or not leaves.num_rows:
         return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-    ids, q = queries.column("vec_id").to_numpy(), matrix(queries.column("v").to_pylist(), dim)
+    ids, q = queries.column("vec_id").to_numpy(), matrix(queries.column("v"), dim)
     floor = queries.column("floor").to_numpy().astype(float)
     n, m = len(ids), leaves.num_rows
     square = (q * q).sum(axis=1)
@@ -150,33 +155,44 @@ def search(queries: pa.Table, leaves: pa.Table, dim: int, k: int) -> pa.Table:
     # Stored distances to the parent rule pages out before anything is computed for them.
     alive = np.abs(to_parent - up[None, :]) - radius[None, :] <= limit[:, None]
     exact = np.full((n, m), np.inf)
-    for j in range(m):
-        at = np.flatnonzero(alive[:, j])
-        if len(at):
-            exact[at, j] = distances(high[at], routing[j : j + 1])[:, 0]
+    at = np.flatnonzero(alive.any(axis=0))
+    exact[:, at] = distances(high, routing[at])
     nearest = np.where(alive, np.maximum(exact - radius[None, :], 0), np.inf)
     order = np.argsort(nearest, axis=1, kind="stable")
-    for step in range(m):
+
+    def visit(j: int, group: np.ndarray) -> None:
+        own, down, vectors = pages[j]
+        near = np.abs(exact[group, j][:, None] - down[None, :]) <= limit[group][:, None]
+        use = np.flatnonzero(near.any(axis=0))
+        if not len(use):
+            return
+        scores = products(q[group], vectors[use]).astype(float)
+        scores[~near[:, use] | (ids[group][:, None] == own[use][None, :]) | (scores < floor[group][:, None])] = -np.inf
+        # Most pages hold nothing better for most queries.
+        top = scores.max(axis=1)
+        better = np.isfinite(top) & (top >= best[group, -1])
+        group, scores = group[better], scores[better]
+        if not len(group):
+            return
+        all_scores = np.concatenate([best[group], scores], axis=1)
+        all_ids = np.concatenate([who[group], np.broadcast_to(own[use], scores.shape)], axis=1)
+        rank = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+        best[group], who[group] = np.take_along_axis(all_scores, rank, 1), np.take_along_axis(all_ids, rank, 1)
+
+    # Each query's best pages set its bound; then the pages that still matter, the generally nearest first.
+    left = alive.copy()
+    for step in range(min(FIRST_PAGES, m)):
         page = order[np.arange(n), step]
         go = np.flatnonzero(nearest[np.arange(n), page] <= limit)
-        if not len(go):
-            break
-        by_page = go[np.argsort(page[go], kind="stable")]
-        cuts = np.flatnonzero(np.diff(page[by_page])) + 1
-        for group in np.split(by_page, cuts):
-            j = page[group[0]]
-            own, down, vectors = pages[j]
-            near = np.abs(exact[group, j][:, None] - down[None, :]) <= limit[group][:, None]
-            use = np.flatnonzero(near.any(axis=0))
-            if not len(use):
-                continue
-            scores = products(q[group], vectors[use]).astype(float)
-            scores[~near[:, use] | (ids[group][:, None] == own[use][None, :]) | (scores < floor[group][:, None])] = -np.inf
-            all_scores = np.concatenate([best[group], scores], axis=1)
-            all_ids = np.concatenate([who[group], np.broadcast_to(own[use], scores.shape)], axis=1)
-            rank = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
-            best[group], who[group] = np.take_along_axis(all_scores, rank, 1), np.take_along_axis(all_ids, rank, 1)
+        for j in np.unique(page[go]).tolist():
+            visit(j, go[page[go] == j])
+        left[go, page[go]] = False
         limit = reach()
+    for j in np.argsort(np.where(left, nearest, np.inf).min(axis=0), kind="stable").tolist():
+        group = np.flatnonzero(left[:, j] & (nearest[:, j] <= limit))
+        if len(group):
+            visit(j, group)
+            limit = reach()
     found = np.isfinite(best)
     return pa.table({"query_id": np.repeat(ids, k)[found.reshape(-1)], "vec_id": who[found], "score": best[found].astype(np.int64)})
 
@@ -184,29 +200,30 @@ def search(queries: pa.Table, leaves: pa.Table, dim: int, k: int) -> pa.Table:
 def top_k(vectors: DataFrame, is_query, k: int = K, column: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of each query row."""
     spark = vectors.sparkSession
-    rows = materialize(whole_vectors(vectors, column, key), "vectors")
+    scratch = Scratch(spark, "top-k")
+    rows = scratch(whole_vectors(vectors, column, key), "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, dim, biggest = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(norm)).first()
     if not n or not dim:
         pairs = rows.filter(is_query).select(F.col("vec_id").alias("query_id")).join(rows.select("vec_id"), F.col("query_id") != F.col("vec_id"))
         if n:
-            return ranked(pairs.withColumn("score", F.lit(0).cast("bigint")), k)
+            return scratch.finish(ranked(pairs.withColumn("score", F.lit(0).cast("bigint")), k))
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     copies = Window.partitionBy("hash", "v").orderBy("vec_id")
     kept = rows.withColumn("hash", F.xxhash64("v")).withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1)
-    kept = materialize(kept.select("vec_id", "v"), "vectors")
+    kept = scratch(kept.select("vec_id", "v"), "vectors")
     count = kept.count()
     wanted = min(PIVOTS, pieces(count, LEAF * PAGE))
-    chosen = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("v").toArrow().column("v").to_pylist()
+    chosen = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("v").toArrow().column("v")
     pivots = lifted(np.unique(matrix(chosen, dim), axis=0), biggest)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = distances(lifted(matrix(batch.column(1).to_pylist(), dim), biggest), pivots)
+            far = distances(lifted(matrix(batch.column(1), dim), biggest), pivots)
             at = far.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(far[np.arange(len(at)), at])], names=["vec_id", "v", "pivot", "far"])
 
-    assigned = materialize(kept.mapInArrow(assign, "vec_id bigint, v array<bigint>, pivot bigint, far double"), "assigned")
+    assigned = scratch(kept.mapInArrow(assign, "vec_id bigint, v array<bigint>, pivot bigint, far double"), "assigned")
     # One row per pivot: at most PIVOTS.
     sizes = {r[0]: (r[1], r[2]) for r in assigned.groupBy("pivot").agg(F.count(F.lit(1)), F.max("far")).collect()}
     parts = np.array([pieces(sizes.get(p, (0, 0))[0], LEAF * PAGE) for p in range(len(pivots))])
@@ -215,7 +232,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, column: str = "embedding", k
     counts = spark.createDataFrame([(i, int(p)) for i, p in enumerate(parts)], "pivot bigint, parts int")
     placed = assigned.join(F.broadcast(counts), "pivot").withColumn("sub", F.col("pivot") * fan + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
     leaves = placed.select("sub", "vec_id", "v").groupBy("sub").applyInArrow(lambda t: build(t, pivots, dim, biggest, fan), LEAVES)
-    leaves = materialize(leaves, "leaf-pages")
+    leaves = scratch(leaves, "leaf-pages")
     blocks = pieces(rows.filter(is_query).count(), BLOCK)
     queries = rows.filter(is_query).select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
     dealt = leaves.withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
@@ -223,7 +240,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, column: str = "embedding", k
     def route(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                q = matrix(batch.column(1).to_pylist(), dim)
+                q = matrix(batch.column(1), dim)
                 far = distances(np.column_stack([q, np.zeros(len(q))]), pivots)
                 near = np.where(np.isfinite(radii), np.maximum(far - radii, 0), np.inf)
                 if first:
@@ -251,7 +268,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, column: str = "embedding", k
     near = ranked(look(queries.mapInArrow(route(True), routed)), k)
     floors = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
     known = queries.join(floors, "vec_id", "left").select("vec_id", "v", "block", F.coalesce("floor", F.lit(-1e300)).alias("floor"))
-    return ranked(look(known.mapInArrow(route(False), routed)), k)
+    return scratch.finish(ranked(look(known.mapInArrow(route(False), routed)), k))
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
