@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixture
+from stmtflow.config import DetectionConfig
 from stmtflow.functions import binding, decode, render, text
 from stmtflow.operators import census, ci, export, feed, listing, nplus1, stats, timeline, transactions, wire
 from stmtflow.plans.enrich import enrich, with_slow, with_template
@@ -62,10 +63,10 @@ def flat_log(df: DataFrame) -> DataFrame:
     )
 
 
-def replay(spark: SparkSession, sf: str) -> DataFrame:
-    """The log as a stream of files in arrival order, one file per trigger."""
-    folder = fixture.replay_folder(spark, sf)
-    return stream_statement_log(spark, f"{folder}/log", files_per_trigger=1)
+def replay(spark: SparkSession, sf: str, completed: bool = False) -> DataFrame:
+    """The log as a stream, one slice after the other, by arrival or by completion."""
+    folder = fixture.replay_folder(spark, sf, completed=completed)
+    return stream_statement_log(spark, f"{folder}/log", files_per_trigger=3)
 
 
 # Sources and sinks
@@ -125,6 +126,19 @@ def sanitize_utf8(spark, sf):
     return log(spark, sf).select("seq", text.sanitize_utf8(raw).alias("query"))
 
 
+@query
+def sanitize_event(spark, sf):
+    broken = lambda c, end: F.concat(c.cast("binary"), F.unhex(F.lit(end)))
+    raw = templated(spark, sf).select(
+        "seq",
+        broken(F.col("query"), "FF").alias("query"),
+        F.transform("args", lambda a: broken(a, "C3")).alias("args"),
+        broken(F.col("error"), "E282").alias("error"),
+        broken(F.col("normalized_query"), "F09F98").alias("normalized_query"),
+    )
+    return text.sanitize_event(raw).withColumn("args", joined("args"))
+
+
 @query
 def export_json(spark, sf):
     return export.export_json(transactions.assign_tx(templated(spark, sf)), FILTER, "users")
@@ -155,12 +169,13 @@ def fanout_sinks(spark, sf):
         "slow": F.col("slow_query"),
         "selects": text.is_select(F.col("op"), F.col("query")),
     }
-    out = combined.fanout_sinks(spark, replay(spark, sf), work_dir(spark, "fanout"), subscribers)
+    folder = work_dir(spark, "fanout")
+    combined.fanout_sinks(spark, replay(spark, sf), folder, subscribers)
     counts = [
-        spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs")).select(
+        spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs")).select(
             F.lit(name).alias("subscriber"), "n", "seqs"
         )
-        for name, path in out.items()
+        for name in subscribers
     ]
     whole = counts[0]
     for part in counts[1:]:
@@ -382,10 +397,22 @@ filtered("filter_op_keyword", "op:UPDATE", log)
 filtered("filter_text", "POSTS", log)
 filtered("filter_text_web", "key", log, web=True)
 filtered("filter_combined", FILTER, log)
-filtered("filter_unknown_op", "op:merge", log)
 filtered("search_text", "op:select", log, search="FROM users WHERE")
 
 
+@query
+def filter_unknown_op(spark, sf):
+    return listing.op_pattern_counts(log(spark, sf), ("select", "UPDATE", "execute", "begin", "merge", "op:query"))
+
+
+@query
+def filter_large_duration(spark, sf):
+    lines = log(spark, sf).select(
+        F.concat(F.lit("d>"), F.col("start_us").cast("string"), F.repeat(F.lit("0"), (F.col("seq") % 3 * 4).cast("int")), F.lit("us users")).alias("filter")
+    )
+    return listing.describe_filters(lines)
+
+
 @query
 def describe_filter(spark, sf):
     return listing.describe_filters(fixture.saved_filters(spark, sf))
@@ -433,7 +460,7 @@ def template_p95(spark, sf):
 
 @query
 def template_p95_approx(spark, sf):
-    return stats.template_p95_approx(templated(spark, sf))
+    return stats.template_p95_check(templated(spark, sf))
 
 
 def _top(mode: str, ascending: bool = False) -> Query:
@@ -628,44 +655,61 @@ def stream_enrich(spark, sf):
 
 @query
 def stream_nplus1(spark, sf):
-    return streamed(spark, stateful.stream_nplus1(replay(spark, sf)), "nplus1").drop("lead")
+    return combined.nplus1_job(spark, replay(spark, sf, True), work_dir(spark, "nplus1")).flags(spark)
+
+
+@query
+def stream_nplus1_off(spark, sf):
+    off = DetectionConfig(nplus1_threshold=0)
+    return combined.nplus1_job(spark, replay(spark, sf), work_dir(spark, "nplus1"), off).flags(spark)
 
 
 @query
 def stream_nplus1_alerts(spark, sf):
-    return combined.nplus1_alerts(spark, replay(spark, sf), work_dir(spark, "alerts"))
+    return combined.nplus1_job(spark, replay(spark, sf, True), work_dir(spark, "alerts")).alerts(spark)
 
 
 @query
 def stream_alert_feed(spark, sf):
-    return combined.stream_alert_feed(spark, replay(spark, sf), work_dir(spark, "feed"))
+    return combined.stream_alert_feed(spark, replay(spark, sf, True), work_dir(spark, "feed"))
 
 
 @query
 def stream_template_stats(spark, sf):
-    slices = streamed(spark, jobs.stream_template_stats(replay(spark, sf)), "stats")
-    return jobs.merge_template_stats(slices)
+    folder = work_dir(spark, "stats")
+    job = jobs.TemplateStatsJob(spark, folder)
+    jobs.run_batches(replay(spark, sf, True), folder, "stats", job)
+    return job.stats(spark)
+
+
+def _rates(spark: SparkSession, sf: str, slide: str | None = None) -> DataFrame:
+    folder = work_dir(spark, "rates")
+    job = jobs.WindowedRatesJob(spark, folder, slide=slide)
+    jobs.run_batches(replay(spark, sf, True), folder, "rates", job)
+    return job.rates(spark)
 
 
 @query
 def stream_windowed_rates(spark, sf):
-    return streamed(spark, jobs.stream_windowed_rates(replay(spark, sf)), "rates")
+    return _rates(spark, sf)
 
 
 @query
 def stream_sliding_rates(spark, sf):
-    return streamed(spark, jobs.stream_windowed_rates(replay(spark, sf), slide="200 milliseconds"), "rates")
+    return _rates(spark, sf, "200 milliseconds")
 
 
 @query
 def stream_tx_summary(spark, sf):
-    rows = streamed(spark, stateful.stream_tx_summary(replay(spark, sf)), "tx")
-    return rows.filter("closed").drop("closed")
+    folder = work_dir(spark, "tx")
+    job = stateful.TxJob(spark, folder)
+    jobs.run_batches(replay(spark, sf), folder, "tx", job)
+    return job.summary(spark)
 
 
 @query
 def stream_ci_gate(spark, sf):
-    return ci.ci_problems(combined.flagged_events(spark, replay(spark, sf), work_dir(spark, "gate")))
+    return ci.ci_problems(combined.flagged_events(spark, replay(spark, sf, True), work_dir(spark, "gate")))
 
 
 @query

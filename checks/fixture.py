@@ -282,20 +282,27 @@ def _parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.unionByName(floats)
 
 
-_REPLAYS: dict[tuple[str, str], str] = {}
+_REPLAYS: dict[tuple[str, str, str], str] = {}
 
 
-def replay_folder(spark: SparkSession, sf_dir: str, slices: int = 4) -> str:
-    """The whole log as files written one after the other in arrival order, for a stream to pick up."""
-    known = _REPLAYS.get((spark.sparkContext.applicationId, sf_dir))
+def replay_folder(spark: SparkSession, sf_dir: str, slices: int = 4, parts: int = 3, completed: bool = False) -> str:
+    """The whole log as files for a stream to pick up, slice after slice, each in several files.
+
+    Slices follow the arrival or, when `completed`, the completion, with one statement of 37 taking 20 seconds
+    longer: many start long before what came earlier.
+    """
+    name = f"{slices}-{parts}-{completed}"
+    known = _REPLAYS.get((spark.sparkContext.applicationId, sf_dir, name))
     if known:
         return known
     folder = work_dir(spark, "replay")
-    log = statement_log(spark, sf_dir)
-    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    slow = F.when(F.col("seq") % 37 == 0, F.lit(20_000_000)).otherwise(F.lit(0))
+    at = F.col("start_us") + F.coalesce(F.col("dur_us"), F.lit(0)) + slow if completed else F.col("seq")
+    log = statement_log(spark, sf_dir).withColumn("_at", at)
+    low, high = log.agg(F.min("_at"), F.max("_at")).first()
     step = (high - low) // slices + 1
     for i in range(slices):
-        part = log.filter((F.col("seq") >= low + i * step) & (F.col("seq") < low + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(os.path.join(folder, "log"))
-    _REPLAYS[(spark.sparkContext.applicationId, sf_dir)] = folder
+        part = log.filter((F.col("_at") >= low + i * step) & (F.col("_at") < low + (i + 1) * step)).drop("_at")
+        part.repartition(parts, "seq").write.mode("append").parquet(os.path.join(folder, "log"))
+    _REPLAYS[(spark.sparkContext.applicationId, sf_dir, name)] = folder
     return folder

@@ -172,6 +172,12 @@ add(
     ',"normalized_query":', to_json(normalized_query), '}}') AS json FROM tx""",
     *EVENTS,
 )
+add(
+    "sanitize_event",
+    """SELECT seq, concat(query, chr(65533)) AS query, array_to_string(list_transform(args, lambda a: concat(a, chr(65533))), '|') AS args,
+      concat(error, repeat(chr(65533), 2)) AS error, concat(normalized_query, repeat(chr(65533), 3)) AS normalized_query FROM tpl""",
+    *BASE,
+)
 add("sanitize_utf8", "SELECT seq, concat(query, chr(65533), error, chr(65533), chr(65533), 'z') AS query FROM log")
 
 FILTERED = "regexp_matches(query, '(?i)^[[:space:]]*select') AND dur_us > 100000"
@@ -477,7 +483,20 @@ add("filter_op_keyword", f"{_ROW} log WHERE starts_with(lower(trim(query)), 'upd
 add("filter_text", f"{_ROW} log WHERE contains(lower(query), 'posts')")
 add("filter_text_web", f"{_ROW} log WHERE {web_text('key')}")
 add("filter_combined", f"{_ROW} log WHERE {FILTERED}")
-add("filter_unknown_op", f"{_ROW} log WHERE false")
+add(
+    "filter_unknown_op",
+    """SELECT p.pattern, count(*) FILTER (WHERE CASE p.pattern WHEN 'execute' THEN op = 4 WHEN 'begin' THEN op = 5
+        WHEN 'select' THEN starts_with(lower(trim(query)), 'select')
+        WHEN 'update' THEN starts_with(lower(trim(query)), 'update') ELSE false END) AS matched, count(*) AS total
+    FROM log, (VALUES ('select'), ('update'), ('execute'), ('begin'), ('merge'), ('op:query')) p(pattern) GROUP BY 1""",
+)
+# More nanoseconds than 63 bits hold make the token a text.
+add(
+    "filter_large_duration",
+    f"""SELECT CASE WHEN us > 9223372036854775 THEN concat('text:d>', CAST(us AS VARCHAR), 'us text:users')
+        ELSE concat('d>', {duration_text("CAST(least(us, 9223372036854775) * 1000 AS BIGINT)")}, ' text:users') END AS canonical, count(*) AS n
+    FROM (SELECT CAST(start_us AS HUGEINT) * CASE seq % 3 WHEN 0 THEN 1 WHEN 1 THEN 10000 ELSE 100000000 END AS us FROM log) GROUP BY 1""",
+)
 add(
     "search_text",
     f"{_ROW} log WHERE starts_with(lower(trim(query)), 'select') AND contains(lower(query), 'from users where')",
@@ -490,6 +509,12 @@ add(
       AS canonical, count(*) AS n FROM events GROUP BY 1""",
     "one AS (SELECT 1)",
 )
+add(
+    "template_p95_approx",
+    """SELECT normalized_query, count(*) AS n, true AS within FROM tpl
+    WHERE op NOT IN (2, 3, 5, 6, 7) AND normalized_query <> '' GROUP BY 1""",
+    *BASE,
+)
 add("match_counts", f"SELECT count(*) FILTER (WHERE {SEARCHED}) AS matched, count(*) AS total FROM log")
 
 # Aggregations
@@ -705,36 +730,27 @@ add("stream_enrich", "SELECT seq, normalized_query, slow_query FROM tpl", *BASE)
 add("stream_nplus1", "SELECT key, start_us, seq, cnt >= 5 AS n_plus_1, cnt FROM counted", *FLAGGED)
 ORACLES["stream_nplus1_alerts"] = ORACLES["nplus1_alerts"]
 ORACLES["stream_alert_feed"] = ORACLES["alert_feed"]
-# A window is emitted once the watermark, a second behind the latest start in whole milliseconds, has passed it.
-MARK = "mark AS (SELECT max(start_us) // 1000 * 1000 - 1000000 AS mark FROM {source})"
+add("stream_nplus1_off", "SELECT key, start_us, seq, false AS n_plus_1, cnt FROM counted", *FLAGGED)
 add(
     "stream_template_stats",
     """SELECT normalized_query, count(*) AS n, CAST(sum(dur_us) AS BIGINT) AS total_us, max(dur_us) AS max_us
-    FROM m, mark WHERE (start_us // 10000000 + 1) * 10000000 <= mark GROUP BY 1""",
+    FROM tpl WHERE op NOT IN (2, 3, 5, 6, 7) AND normalized_query <> '' GROUP BY 1""",
     *BASE,
-    "m AS (SELECT * FROM tpl WHERE op NOT IN (2, 3, 5, 6, 7) AND normalized_query <> '')",
-    # The watermark precedes the filter.
-    MARK.format(source="tpl"),
 )
 _RATES = """SELECT window_us, normalized_query, count(*) AS n, count(*) FILTER (WHERE error <> '') AS errors,
-  count(*) FILTER (WHERE slow_query) AS slow FROM w, mark WHERE window_us + 1000000 <= mark GROUP BY 1, 2"""
-add(
-    "stream_windowed_rates",
-    _RATES,
-    *BASE,
-    "w AS (SELECT *, start_us // 1000000 * 1000000 AS window_us FROM tpl)",
-    MARK.format(source="tpl"),
-)
+  count(*) FILTER (WHERE slow_query) AS slow FROM w GROUP BY 1, 2"""
+add("stream_windowed_rates", _RATES, *BASE, "w AS (SELECT *, start_us // 1000000 * 1000000 AS window_us FROM tpl)")
 add(
     "stream_sliding_rates",
     _RATES,
     *BASE,
     "w AS (SELECT tpl.*, start_us // 200000 * 200000 - i * 200000 AS window_us FROM tpl, range(5) t(i))",
-    MARK.format(source="tpl"),
 )
 add(
     "stream_tx_summary",
-    f"SELECT * FROM ({TX_SUMMARY}) WHERE tx_id IN (SELECT tx_id FROM tx WHERE op IN (6, 7))",
+    f"""SELECT s.*, CASE WHEN tx_id IN (SELECT tx_id FROM tx WHERE op IN (6, 7)) THEN 'closed'
+        WHEN tx_id IN (SELECT max_by(tx_id, seq) FROM tx WHERE op IN (5, 6, 7) GROUP BY conn_id) THEN 'open' ELSE 'replaced' END AS state
+    FROM ({TX_SUMMARY}) s""",
     *LABELLED,
 )
 

@@ -114,18 +114,22 @@ def decode_mysql_param(raw: Column, kind: Column) -> Column:
 
 
 def decode_params(params: DataFrame) -> DataFrame:
-    """Add `value` to parameters (proto 'pg' or 'mysql', type_id, payload).
+    """Add `value` to parameters (proto pg, mysql or tidb, type_id, payload): one row out for each row in.
 
-    The protocols are decoded in branches of their own, which keeps the compiled methods small enough for the
-    JVM to optimise, and only the rows that hold floats go through Python.
+    A null or other protocol, and a type that is null, leave the bytes as text. The protocols are decoded in branches
+    of their own, which keeps the compiled methods small enough for the JVM to optimise, and only the rows that
+    hold floats go through Python.
     """
     raw, kind = F.col("payload"), F.col("type_id")
-    mysql, is_float = F.col("proto") == "mysql", kind.isin(MYSQL_FLOAT, MYSQL_DOUBLE)
+    proto = F.coalesce(F.col("proto"), F.lit(""))
+    pg, mysql = proto == "pg", proto.isin("mysql", "tidb")
+    is_float = F.coalesce(kind.isin(MYSQL_FLOAT, MYSQL_DOUBLE), F.lit(False))
     floats = F.coalesce(float_text(raw, kind == MYSQL_DOUBLE), F.lit("?"))
     branches = [
-        (F.col("proto") == "pg", decode_pg_param(raw, kind)),
+        (pg, decode_pg_param(raw, kind)),
         (mysql & ~is_float, decode_mysql_param(raw, kind)),
         (mysql & is_float, floats),
+        (~pg & ~mysql, raw.cast("string")),
     ]
     decoded = [params.filter(wanted).withColumn("value", value) for wanted, value in branches]
     return reduce(DataFrame.unionByName, decoded)

@@ -22,6 +22,7 @@ from stmtflow.schema import OP_CODES, op_name
 SQL_KEYWORDS = ("select", "insert", "update", "delete")
 NPLUS1_WORDS = ("n+1", "nplus1")
 UNIT_NS = {"us": 1_000, "µs": 1_000, "ms": 1_000_000, "s": 1_000_000_000, "m": 60_000_000_000}
+MOST_NS = (1 << 63) - 1
 DURATION = r"d([><])([0-9]+(?:\.[0-9]+)?)(us|µs|ms|s|m)"
 
 
@@ -43,7 +44,9 @@ def _parse_token(token: str) -> Condition:
     duration = re.fullmatch(DURATION, token)
     if duration:
         sign, number, unit = duration.groups()
-        return Condition("duration", int(Decimal(number) * UNIT_NS[unit]), sign == "<")
+        ns = _nanoseconds(number, UNIT_NS[unit])
+        if ns <= MOST_NS:
+            return Condition("duration", ns, sign == "<")
     word = token.lower()
     if word in ("error", "slow"):
         return Condition(word)
@@ -54,6 +57,12 @@ def _parse_token(token: str) -> Condition:
     return Condition("text", word)
 
 
+def _nanoseconds(number: str, scale: int) -> int:
+    """Whole nanoseconds of a decimal number of units, whatever its length."""
+    whole, _, part = number.partition(".")
+    return int(whole) * scale + int(part or 0) * scale // 10 ** len(part)
+
+
 def _duration(dur_us: Column, cond: Condition) -> Column:
     # Whole microseconds against a limit in ns: round so that a bare column meets a literal.
     ns = int(cond.value)
@@ -114,12 +123,18 @@ def describe_filter(text: Column) -> Column:
     def described(token: Column) -> Column:
         word = F.lower(token)
         sign, number, unit = (F.regexp_extract(token, rf"\A{DURATION}\z", i) for i in (1, 2, 3))
-        scale = F.lit(None).cast("decimal(20,0)")
+        scale = F.lit(None).cast("decimal(11,0)")
         for name, ns in UNIT_NS.items():
-            scale = F.when(unit == name, F.lit(ns).cast("decimal(20,0)")).otherwise(scale)
-        ns = F.floor(number.try_cast("decimal(18,9)") * scale).cast("bigint")
+            scale = F.when(unit == name, F.lit(ns).cast("decimal(11,0)")).otherwise(scale)
+        # Units and their parts apart, so that no length of the number is cut; too long a duration is a text.
+        whole = F.regexp_replace(F.regexp_extract(number, r"\A([0-9]+)", 1), r"\A0+(?=.)", "").try_cast("decimal(20,0)")
+        part = F.rpad(F.substring(F.regexp_extract(number, r"\.([0-9]+)", 1), 1, 18), 18, "0").cast("decimal(18,0)")
+        unit_part = part * scale
+        billionth = F.lit(Decimal(10**18)).cast("decimal(19,0)")
+        ns = whole * scale + ((unit_part - unit_part % billionth) / billionth).cast("decimal(20,0)")
+        fits = F.coalesce(ns <= F.lit(Decimal(MOST_NS)).cast("decimal(20,0)"), F.lit(False))
         return (
-            F.when(sign != "", F.concat(F.lit("d"), sign, duration_text(ns)))
+            F.when((sign != "") & fits, F.concat(F.lit("d"), sign, duration_text(ns.try_cast("bigint"))))
             .when(word.isin("error", "slow"), word)
             .when(word.isin(*NPLUS1_WORDS), F.lit("n+1"))
             .when(word.startswith("op:") & (F.length(word) > 3), word)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtflow.schema import BEGIN, COMMIT, ROLLBACK, is_query_op
@@ -121,3 +121,12 @@ def sanitize_utf8(raw: Column) -> Column:
     marked = F.regexp_replace(bytes_as_chars, rf"\G((?:{UTF8_SEQUENCE})*+)[\x80-\xFF]", "$1\u00ef\u00bf\u00bd")
     text = raw.cast("string")
     return F.when(F.is_valid_utf8(text), text).otherwise(F.encode(marked, "ISO-8859-1").cast("string"))
+
+
+def sanitize_event(events: DataFrame) -> DataFrame:
+    """The same for a whole event: statement, every argument, error and template, where they are there."""
+    names = [c for c in ("query", "error", "normalized_query") if c in events.columns]
+    repaired = {c: sanitize_utf8(F.col(c).cast("binary")) for c in names}
+    if "args" in events.columns:
+        repaired["args"] = F.transform("args", lambda a: sanitize_utf8(a.cast("binary")))
+    return events.withColumns(repaired)

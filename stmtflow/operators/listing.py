@@ -22,3 +22,11 @@ def match_counts(events: DataFrame, filter_text: str = "", search: str = "", web
 def describe_filters(saved: DataFrame, column: str = "filter") -> DataFrame:
     """Saved filter lines counted by their canonical form."""
     return saved.groupBy(describe_filter(F.col(column)).alias("canonical")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def op_pattern_counts(events: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
+    """For each pattern of an op: token the events it matches, and all events. Unknown patterns match none."""
+    found = F.struct(*[F.count_if(compile_filter(f"op:{p}")).alias(f"p{i}") for i, p in enumerate(patterns)])
+    counted = events.agg(found.alias("found"), F.count(F.lit(1)).alias("total"))
+    rows = F.array(*[F.struct(F.lit(p.lower()).alias("pattern"), F.col(f"found.p{i}").alias("matched")) for i, p in enumerate(patterns)])
+    return counted.select(F.inline(rows), "total")

@@ -93,9 +93,38 @@ def nplus1_alerts(log: DataFrame, key: Column | None = None, config: DetectionCo
         return selects.limit(0).withColumn("cnt", F.lit(0).cast("bigint"))
     cells = flagged_cells(selects, config)
     if config.nplus1_cooldown_us == 0:
-        later = selects.join(cells, ["start_us", "key"]).filter(F.col("seq") >= F.col("first_seq"))
-        return _with_counts(later.select("key", "start_us", "seq"), selects, config)
-    return _with_counts(_cooldown_chain(cells, config.nplus1_cooldown_us), selects, config)
+        return window_counts(selects, config.nplus1_window_us).filter(F.col("cnt") >= config.nplus1_threshold)
+    if config.nplus1_cooldown_us < config.nplus1_window_us:
+        # Alerts are dense: their windows overlap, so all counts are taken at once.
+        chain = cooldown_chain(cells, config.nplus1_cooldown_us).select("seq")
+        return window_counts(selects, config.nplus1_window_us).join(chain, "seq", "left_semi")
+    return _with_counts(cooldown_chain(cells, config.nplus1_cooldown_us), selects, config)
+
+
+def window_counts(selects: DataFrame, window: int) -> DataFrame:
+    """(key, start_us, seq, cnt): statements of the key in the window up to and including each one.
+
+    Statements are folded to instants first. Running sums over instants, and over the places where windows begin,
+    give what lies before an instant and before its window; the difference is what the window holds. Instants are
+    cut into time buckets with a halo, so the work is linear in the statements and a hot text spreads.
+    """
+    width = BUCKET_WINDOWS * max(window, 1)
+    instants = selects.groupBy("key", "start_us").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.when(F.pmod("start_us", F.lit(width)) >= width - window, F.array(F.lit(0), F.lit(1)))
+    placed = instants.select("key", "start_us", "_n", F.explode(F.coalesce(ahead, F.array(F.lit(0)))).alias("_context"))
+    events = placed.select("key", "start_us", "_n", "_context", F.col("start_us").alias("_at"), F.lit(1).alias("_kind"))
+    begins = instants.select(
+        "key", "start_us", F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_context"), (F.col("start_us") - window).alias("_at"), F.lit(0).alias("_kind")
+    )
+    marked = events.unionByName(begins).withColumn("_bucket", floor_div(F.col("start_us"), width) + F.col("_context"))
+    order = Window.partitionBy("_bucket", "key").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    sums = marked.withColumn("_upto", F.sum("_n").over(order)).filter(F.col("_context") == 0)
+    held = sums.groupBy("_bucket", "key", "start_us").agg(
+        (F.max(F.when(F.col("_kind") == 1, F.col("_upto") - F.col("_n"))) - F.max(F.when(F.col("_kind") == 0, F.col("_upto")))).alias("_before")
+    )
+    rank = F.row_number().over(Window.partitionBy("start_us", "key").orderBy("seq"))
+    ranked = selects.withColumn("_rank", rank)
+    return ranked.join(held, ["start_us", "key"]).select("key", "start_us", "seq", (F.col("_before") + F.col("_rank")).alias("cnt"))
 
 
 def _with_counts(alerts: DataFrame, selects: DataFrame, config: DetectionConfig) -> DataFrame:
@@ -170,7 +199,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> It
         yield flushed()
 
 
-def _cooldown_chain(cells: DataFrame, cooldown: int) -> DataFrame:
+def cooldown_chain(cells: DataFrame, cooldown: int) -> DataFrame:
     """The greedy chain: an alert, then the first flagged statement at least a cooldown later, and so on.
 
     Time is cut into chunks of several cooldowns. (1) Every chunk computes, for each instant the chain

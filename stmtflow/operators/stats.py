@@ -76,6 +76,17 @@ def template_p95_approx(events: DataFrame, accuracy: int = 10_000) -> DataFrame:
     return sketches.filter(F.col("normalized_query") != "")
 
 
+def template_p95_check(events: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """Per template the events and whether the approximate p95 has a rank within the sketch's stated accuracy."""
+    near = template_p95_approx(events, accuracy)
+    placed = measured(events).join(near, "normalized_query")
+    below, upto = F.count_if(F.col("dur_us") < F.col("p95_us_approx")), F.count_if(F.col("dur_us") <= F.col("p95_us_approx"))
+    ranks = placed.groupBy("normalized_query", "n").agg(below.alias("_below"), upto.alias("_upto"))
+    slack, rank = F.col("n") / accuracy + 1, F.col("n") * P95
+    within = (F.col("_below") <= rank + slack) & (F.col("_upto") >= rank - slack)
+    return ranks.select("normalized_query", "n", within.alias("within"))
+
+
 def top_templates(stats: DataFrame, mode: str = "total", top: int | None = None, ascending: bool = False) -> DataFrame:
     """Statistics sorted by total, count, avg, p95 or max, ties by template; the first `top` when given."""
     column = F.col(SORT_MODES[mode])

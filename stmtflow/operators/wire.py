@@ -75,7 +75,8 @@ def resolve_prepared(wire: DataFrame, driver: str = "postgres", chunk_rows: int
     last text parsed under any name when the name is empty or unknown. MySQL: EXEC names the statement
     itself, CLOSE removes it, and an unknown one has empty text.
     """
-    kept = wire.filter(_is("PARSE", "BIND", "EXEC", "CLOSE"))
+    # PostgreSQL keeps the text of a closed name: only a new PARSE replaces it.
+    kept = wire.filter(_is("PARSE", "BIND", "EXEC") if driver == "postgres" else _is("PARSE", "BIND", "EXEC", "CLOSE"))
     if driver == "postgres":
         bound = F.when(_is("BIND"), F.struct(F.coalesce("stmt", F.lit("")).alias("stmt"), F.col("args")))
         located = _as_of(

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from stmtflow.schema import OP_CODES, STATEMENT
 
 CORRUPT = "_corrupt_record"
+BYTES_PER_TRIGGER = 1 << 30
 
 # The JSON object of the event feed.
 FEED = T.StructType(
@@ -47,7 +48,7 @@ def stream_statement_log(
     path: str,
     fmt: str = "parquet",
     files_per_trigger: int | None = None,
-    bytes_per_trigger: str = "1g",
+    bytes_per_trigger: int | str = BYTES_PER_TRIGGER,
 ) -> DataFrame:
     """A growing folder of log files as an unbounded stream.
 

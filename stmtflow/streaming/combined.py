@@ -4,43 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from stmtflow.config import DEFAULTS, DetectionConfig
 from stmtflow.operators.feed import alert_feed
-from stmtflow.streaming.jobs import read_back, run_available, stream_enrich
-from stmtflow.streaming.stateful import stream_nplus1, stream_nplus1_alerts
+from stmtflow.sources.log import BYTES_PER_TRIGGER
+from stmtflow.streaming.jobs import read_back, run_available, run_batches, start, stream_enrich
+from stmtflow.streaming.stateful import NPlus1Job
 
 
 def fanout_sinks(
-    spark: SparkSession, stream: DataFrame, folder: str, subscribers: dict[str, Column]
-) -> dict[str, str]:
+    spark: SparkSession, stream: DataFrame, folder: str, subscribers: dict[str, Column], trigger: dict | None = None
+) -> dict[str, StreamingQuery]:
     """Serve one stream to many subscribers, each with its own condition and progress, losing nothing.
 
-    The stream is enriched once into a hub folder, which every subscriber follows at its own pace.
+    The stream is enriched once into a hub folder, which every subscriber follows side by side at its own pace, in
+    batches of bounded size. Without a trigger the hub runs over what is there and then all subscribers do; the
+    queries returned write to folders of their names.
     """
     enriched = stream_enrich(stream)
-    hub = run_available(enriched, folder, "hub")
-    followed = spark.readStream.schema(enriched.schema).parquet(hub)
-    return {name: run_available(followed.filter(wanted), folder, name) for name, wanted in subscribers.items()}
-
-
-def nplus1_alerts(
-    spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS, delay: str = "1 second"
-) -> DataFrame:
-    """Run the flagging job, and behind it the alert job that follows its output; the alerts so far."""
-    marked = stream_nplus1(stream, config=config, delay=delay)
-    flags = spark.readStream.schema(marked.schema).parquet(run_available(marked, folder, "nplus1"))
-    alerts = stream_nplus1_alerts(flags, config, delay)
-    return read_back(spark, run_available(alerts, folder, "alerts"), alerts)
-
-
-def flagged_events(
-    spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS, delay: str = "1 second"
-) -> DataFrame:
+    hub = start(enriched, folder, "hub", trigger=trigger)
+    if trigger is None:
+        hub.awaitTermination()
+    followed = (
+        spark.readStream.schema(enriched.schema).option("maxBytesPerTrigger", BYTES_PER_TRIGGER).parquet(f"{folder}/hub")
+    )
+    queries = {name: start(followed.filter(wanted), folder, name, trigger=trigger) for name, wanted in subscribers.items()}
+    if trigger is None:
+        for query in queries.values():
+            query.awaitTermination()
+        return queries
+    return {"hub": hub, **queries}
+
+
+def nplus1_job(
+    spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS, key: Column | None = None
+) -> NPlus1Job:
+    """Run the detector over everything present."""
+    job = NPlus1Job(spark, folder, key, config)
+    run_batches(stream, folder, "nplus1", job)
+    return job
+
+
+def flagged_events(spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS) -> DataFrame:
     """Run the enrichment and the N+1 job over the stream; the events with both flags, from their files."""
-    enriched, repeated = stream_enrich(stream, config), stream_nplus1(stream, config=config, delay=delay)
+    enriched = stream_enrich(stream, config)
+    marks = nplus1_job(spark, stream, folder, config).flags(spark)
     events = read_back(spark, run_available(enriched, folder, "enriched"), enriched)
-    marks = read_back(spark, run_available(repeated, folder, "nplus1"), repeated)
     hits = marks.filter("n_plus_1").select("seq", F.lit(True).alias("n_plus_1"))
     return events.join(hits, "seq", "left").withColumn("n_plus_1", F.coalesce("n_plus_1", F.lit(False)))
 
@@ -50,17 +60,10 @@ def stream_slow_feed(stream: DataFrame, config: DetectionConfig = DEFAULTS) -> D
     return alert_feed(stream_enrich(stream, config).withColumn("n_plus_1", F.lit(False)))
 
 
-def stream_nplus1_feed(stream: DataFrame, config: DetectionConfig = DEFAULTS, delay: str = "1 second") -> DataFrame:
-    """Live lines of N+1 statements."""
-    marked = stream_nplus1(stream, config=config, delay=delay).filter("n_plus_1")
-    return alert_feed(marked.select("seq", F.col("key").alias("query"), "n_plus_1", F.lit(False).alias("slow_query")))
-
-
-def stream_alert_feed(
-    spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS, delay: str = "1 second"
-) -> DataFrame:
-    """The alert feed: N+1 lines, and slow lines of the other events, each appended live by its own job."""
-    slow, repeated = stream_slow_feed(stream, config), stream_nplus1_feed(stream, config, delay)
+def stream_alert_feed(spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS) -> DataFrame:
+    """The alert feed: N+1 lines, and slow lines of the other events, each kept by its own job."""
+    marked = nplus1_job(spark, stream, folder, config).flags(spark).filter("n_plus_1")
+    repeated = alert_feed(marked.select("seq", F.col("key").alias("query"), "n_plus_1", F.lit(False).alias("slow_query")))
+    slow = stream_slow_feed(stream, config)
     slow_lines = read_back(spark, run_available(slow, folder, "slow"), slow)
-    repeated_lines = read_back(spark, run_available(repeated, folder, "repeated"), repeated)
-    return repeated_lines.unionByName(slow_lines.join(repeated_lines, "seq", "left_anti"))
+    return repeated.unionByName(slow_lines.join(repeated, "seq", "left_anti"))

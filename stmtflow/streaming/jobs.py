@@ -1,15 +1,21 @@
-"""Stateless and windowed jobs, and the runner that drives a job to files."""
+"""Stateless jobs, jobs of mergeable sums, and the runners that drive a job to files."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from stmtflow.config import DEFAULTS, DetectionConfig
 from stmtflow.operators.stats import measured
 from stmtflow.plans.enrich import with_slow, with_template
+from stmtflow.streaming.tables import Parts
+
+Step = Callable[[DataFrame, int], None]
+AVAILABLE = {"availableNow": True}
 
 
 def with_event_time(stream: DataFrame, delay: str) -> DataFrame:
@@ -17,18 +23,36 @@ def with_event_time(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withColumn("ts", F.timestamp_micros("start_us")).withWatermark("ts", delay)
 
 
-def run_available(stream: DataFrame, folder: str, name: str, fmt: str = "parquet") -> str:
-    """Run a job over everything present, append its rows below `folder`, and return where."""
-    out = os.path.join(folder, name)
-    query = (
+def start(stream: DataFrame, folder: str, name: str, fmt: str = "parquet", trigger: dict | None = None) -> StreamingQuery:
+    """Start a job that appends its rows to `name` below `folder`; by default over what is there now."""
+    return (
         stream.writeStream.format(fmt)
         .outputMode("append")
         .option("checkpointLocation", os.path.join(folder, f"{name}-state"))
-        .trigger(availableNow=True)
-        .start(out)
+        .trigger(**(trigger or AVAILABLE))
+        .start(os.path.join(folder, name))
+    )
+
+
+def run_available(stream: DataFrame, folder: str, name: str, fmt: str = "parquet") -> str:
+    """Run a job over everything present, append its rows below `folder`, and return where."""
+    start(stream, folder, name, fmt).awaitTermination()
+    return os.path.join(folder, name)
+
+
+def start_batches(stream: DataFrame, folder: str, name: str, step: Step, trigger: dict | None = None) -> StreamingQuery:
+    """Start a job that hands each micro-batch and its number to `step`, which writes by that number."""
+    return (
+        stream.writeStream.foreachBatch(step)
+        .option("checkpointLocation", os.path.join(folder, f"{name}-state"))
+        .trigger(**(trigger or AVAILABLE))
+        .start()
     )
-    query.awaitTermination()
-    return out
+
+
+def run_batches(stream: DataFrame, folder: str, name: str, step: Step) -> None:
+    """The same over everything present."""
+    start_batches(stream, folder, name, step).awaitTermination()
 
 
 def read_back(spark: SparkSession, out: str, like: DataFrame) -> DataFrame:
@@ -41,47 +65,40 @@ def stream_enrich(stream: DataFrame, config: DetectionConfig = DEFAULTS) -> Data
     return with_slow(with_template(stream), config)
 
 
-def stream_template_stats(stream: DataFrame, delay: str = "1 second", every: str = "10 seconds") -> DataFrame:
-    """Mergeable statistics per template and time slice, appended once a slice is complete.
+class TemplateStatsJob:
+    """Statistics per template, newest events included: each batch adds sums that can be merged."""
 
-    `merge_template_stats` folds the slices; the p95 of a slice is a live approximation.
-    """
-    events = measured(with_event_time(with_template(stream), delay))
-    return (
-        events.filter(F.col("normalized_query") != "")
-        .groupBy(F.window("ts", every).alias("slice"), "normalized_query")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("dur_us").alias("total_us"),
-            F.max("dur_us").alias("max_us"),
-            F.percentile_approx("dur_us", 0.95).alias("p95_us_live"),
+    def __init__(self, spark: SparkSession, folder: str):
+        self.parts = Parts(spark, os.path.join(folder, "stats"), "normalized_query string, n bigint, total_us bigint, max_us bigint")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        events = measured(with_template(batch)).filter(F.col("normalized_query") != "")
+        sums = events.groupBy("normalized_query").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("dur_us").alias("total_us"), F.max("dur_us").alias("max_us")
+        )
+        self.parts.put(sums, number)
+
+    def stats(self, spark: SparkSession) -> DataFrame:
+        return self.parts.rows(spark).groupBy("normalized_query").agg(
+            F.sum("n").alias("n"), F.sum("total_us").alias("total_us"), F.max("max_us").alias("max_us")
         )
-        .select(F.unix_micros("slice.start").alias("slice_us"), "normalized_query", "n", "total_us", "max_us", "p95_us_live")
-    )
 
 
-def merge_template_stats(slices: DataFrame) -> DataFrame:
-    """Statistics over all slices."""
-    return slices.groupBy("normalized_query").agg(
-        F.sum("n").alias("n"), F.sum("total_us").alias("total_us"), F.max("max_us").alias("max_us")
-    )
+class WindowedRatesJob:
+    """Statements, errors and slow statements per template in tumbling or sliding windows of the start, all of them."""
 
+    def __init__(self, spark: SparkSession, folder: str, width: str = "1 second", slide: str | None = None, config: DetectionConfig = DEFAULTS):
+        self.width, self.slide, self.config = width, slide or width, config
+        self.parts = Parts(spark, os.path.join(folder, "rates"), "window_us bigint, normalized_query string, n bigint, errors bigint, slow bigint")
 
-def stream_windowed_rates(
-    stream: DataFrame,
-    delay: str = "1 second",
-    width: str = "1 second",
-    slide: str | None = None,
-    config: DetectionConfig = DEFAULTS,
-) -> DataFrame:
-    """Statements, errors and slow statements per template in tumbling or sliding windows."""
-    events = with_event_time(stream_enrich(stream, config), delay)
-    return (
-        events.groupBy(F.window("ts", width, slide or width).alias("w"), "normalized_query")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("error") != "").alias("errors"),
-            F.count_if("slow_query").alias("slow"),
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        events = stream_enrich(batch, self.config).withColumn("ts", F.timestamp_micros("start_us"))
+        counts = events.groupBy(F.window("ts", self.width, self.slide).alias("w"), "normalized_query").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("error") != "").alias("errors"), F.count_if("slow_query").alias("slow")
+        )
+        self.parts.put(counts.withColumn("window_us", F.unix_micros("w.start")), number)
+
+    def rates(self, spark: SparkSession) -> DataFrame:
+        return self.parts.rows(spark).groupBy("window_us", "normalized_query").agg(
+            F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.sum("slow").alias("slow")
         )
-        .select(F.unix_micros("w.start").alias("window_us"), "normalized_query", "n", "errors", "slow")
-    )

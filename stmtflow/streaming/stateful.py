@@ -1,213 +1,167 @@
-"""Jobs with keyed state: N+1 detection, transactions, late events."""
+"""Jobs that follow texts and connections over time. They lose nothing and need no watermark.
+
+Events come in order of completion, so a slow statement starts long before the ones beside it, and a late one may come
+at any time. Order is (start_us, seq) for the N+1 detector and seq, the arrival, within a connection, as in batch. The
+detector keeps the watched statements by time slice and evaluates the slices that a batch touches with the batch
+operators anew; results are corrected, not dropped. So they do not depend on how files are cut into batches.
+"""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stmtflow.config import DEFAULTS, DetectionConfig
 from stmtflow.functions.ints import floor_div
-from stmtflow.functions.text import classify_op, is_table_select
-from stmtflow.operators.nplus1 import BUCKET_WINDOWS
-from stmtflow.schema import BEGIN, COMMIT, LIFECYCLE_OPS, QUERY_OPS, ROLLBACK
+from stmtflow.operators.nplus1 import BUCKET_WINDOWS, cooldown_chain, watched, window_counts
+from stmtflow.operators.transactions import assign_tx
+from stmtflow.schema import BEGIN, COMMIT, ROLLBACK, is_lifecycle_op, is_query_op
 from stmtflow.streaming.jobs import with_event_time
-
-
-def stream_nplus1(
-    stream: DataFrame, key: Column | None = None, config: DetectionConfig = DEFAULTS, delay: str = "1 second"
-) -> DataFrame:
-    """Watched statements with `n_plus_1`, their count in the window, and `lead`, the first flagged of an instant.
-
-    State is kept per key and time bucket, with the last window of a bucket repeated in the next one as
-    context, as in the batch form: a hot key spreads over its buckets. It holds the instants of the last
-    window with their counts and goes once the watermark has passed the bucket.
-    """
-    threshold, window = config.nplus1_threshold, config.nplus1_window_us
-    width = BUCKET_WINDOWS * window
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+from stmtflow.streaming.tables import BATCH, Parts, Slices
+
+
+class NPlus1Job:
+    """Flags and alerts of a stream, for `run_batches`; `flags` and `alerts` read what is known so far."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: Column | None = None, config: DetectionConfig = DEFAULTS):
+        self.key = F.col("query") if key is None else key
+        self.config = config
+        self.width = BUCKET_WINDOWS * max(config.nplus1_window_us, 1)
+        row = "key string, start_us bigint, seq bigint"
+        self.events = Parts(spark, os.path.join(folder, "watched"), f"slice bigint, {row}")
+        self.results = Slices(spark, os.path.join(folder, "flags"), f"{row}, n_plus_1 boolean, cnt bigint")
+        self.raised = Slices(spark, os.path.join(folder, "alerts"), f"{row}, cnt bigint")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = watched(batch, self.key).withColumn("slice", floor_div(F.col("start_us"), self.width))
+        self.events.put(rows, number)
+        new = self.events.rows(spark).filter(F.col(BATCH) == number).select("slice").distinct()
+        # A statement also counts for the first window of the next slice, and needs the last window of its own past.
+        shifted = lambda *by: reduce(DataFrame.union, [new.select((F.col("slice") + n).alias("slice")) for n in by]).distinct()
+        self._touch(spark, shifted(0, 1), shifted(-1, 0, 1), number)
+        first = new.agg(F.min("slice")).first()[0]
+        if self.config.nplus1_threshold and self.config.nplus1_cooldown_us:
+            self._alert(spark, first, shifted(0, 1), number)
+
+    def _touch(self, spark: SparkSession, touched: DataFrame, seen: DataFrame, number: int) -> None:
+        known = self.events.rows(spark).join(seen, "slice", "left_semi").select("key", "start_us", "seq")
+        counts = window_counts(known, self.config.nplus1_window_us)
+        flagged = F.lit(False) if not self.config.nplus1_threshold else F.col("cnt") >= self.config.nplus1_threshold
+        own = counts.withColumn("slice", floor_div(F.col("start_us"), self.width)).join(touched, "slice", "left_semi")
+        self.results.put(own.withColumn("n_plus_1", flagged), touched, number)
+
+    def _alert(self, spark: SparkSession, first: int | None, touched: DataFrame, number: int) -> None:
+        """Alerts from the first touched slice on; the last alert before it says until when a text is quiet."""
+        empty = self.results.rows(spark).limit(0)
+        if first is None:
+            self.raised.put(empty.select("slice", "key", "start_us", "seq", "cnt"), touched, number)
             return
-        times, counts = (np.asarray(v, dtype=np.int64) for v in (state.get if state.exists else ([], [])))
-        # Only the numbers are kept; the frames repeat the key on every row.
-        parts = [f[["start_us", "seq", "context"]].to_numpy(dtype=np.int64) for f in frames]
-        rows = np.concatenate(parts)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        new, seq, own = rows[:, 0], rows[:, 1], rows[:, 2] == 0
-        seen = np.concatenate([times, new])
-        weight = np.concatenate([counts, np.ones(len(new), dtype=np.int64)])
-        order = np.argsort(seen, kind="stable")
-        at = np.empty(len(seen), dtype=np.int64)
-        at[order] = np.arange(len(seen))
-        at = at[len(times) :]
-        seen, weight = seen[order], weight[order]
-        upto = np.cumsum(weight)
-        first = np.searchsorted(seen, new - window)
-        count = upto[at] - upto[first] + weight[first]
-        flagged = count >= threshold
-        lead = flagged.copy()
-        lead[1:] &= ~(flagged[:-1] & (new[1:] == new[:-1]))
-        keep = seen >= seen[-1] - window
-        kept, start = np.unique(seen[keep], return_index=True)
-        state.update((kept.tolist(), np.add.reduceat(weight[keep], start).tolist()))
-        state.setTimeoutTimestamp(max((int(keys[1]) + 1) * width // 1000, state.getCurrentWatermarkMs()) + 1)
-        if own.any():
-            yield pd.DataFrame(
-                {
-                    "key": keys[0],
-                    "start_us": new[own],
-                    "seq": seq[own],
-                    "n_plus_1": flagged[own],
-                    "cnt": count[own],
-                    "lead": lead[own],
-                }
-            )
-
-    by = F.col("query") if key is None else key
-    watched = with_event_time(stream, delay).filter(is_table_select(F.col("op"), F.col("query")))
-    ahead = F.when(F.pmod("start_us", F.lit(width)) >= width - window, F.array(F.lit(0), F.lit(1)))
-    placed = watched.select(
-        by.alias("key"), "start_us", "seq", "ts", F.explode(F.coalesce(ahead, F.array(F.lit(0)))).alias("context")
-    ).withColumn("bucket", floor_div(F.col("start_us"), width) + F.col("context"))
-    return placed.groupBy("key", "bucket").applyInPandasWithState(
-        step,
-        "key string, start_us bigint, seq bigint, n_plus_1 boolean, cnt bigint, lead boolean",
-        "times array<bigint>, counts array<bigint>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-
-
-def stream_nplus1_alerts(flags: DataFrame, config: DetectionConfig = DEFAULTS, delay: str = "1 second") -> DataFrame:
-    """Alerts (key, start_us, seq, cnt) from a stream of flags: one per key and cooldown at most.
-
-    State is the last alert. A key idle for longer than the cooldown is dropped, which changes nothing.
+        cooldown = self.config.nplus1_cooldown_us
+        later = self.results.rows(spark).filter(F.col("slice") >= first)
+        cells = later.filter("n_plus_1").groupBy("key", "start_us").agg(F.min("seq").alias("first_seq"))
+        before = self.raised.rows(spark).filter((F.col("slice") < first) & (F.col("start_us") > first * self.width - cooldown))
+        carried = before.groupBy("key").agg(F.max("start_us").alias("start_us")).withColumn("first_seq", F.lit(-1).cast("bigint"))
+        chain = cooldown_chain(cells.unionByName(carried), cooldown).filter("seq >= 0")
+        found = chain.select("seq").join(later, "seq").select("slice", "key", "start_us", "seq", "cnt")
+        all_later = self.results.marks.rows(spark).filter(F.col("slice") >= first).select("slice").distinct()
+        self.raised.put(found, all_later, number)
+
+    def flags(self, spark: SparkSession) -> DataFrame:
+        """Watched statements with `n_plus_1` and their count in the window."""
+        return self.results.rows(spark).select("key", "start_us", "seq", "n_plus_1", "cnt")
+
+    def alerts(self, spark: SparkSession) -> DataFrame:
+        """Alerts (key, start_us, seq, cnt): one per key and cooldown at most, all flagged ones without a cooldown."""
+        rows = self.raised.rows(spark) if self.config.nplus1_cooldown_us else self.results.rows(spark).filter("n_plus_1")
+        return rows.select("key", "start_us", "seq", "cnt")
+
+
+class TxJob:
+    """Transactions of a stream, for `run_batches`. No time limit ends a transaction: only its connection does.
+
+    Each batch is labelled like a log of its own, with the Begin of each open transaction put before it; what is kept
+    is one open Begin per connection and one part of a summary per transaction and batch. A connection is cut
+    into chunks by arrival, so a hot one is no task of its own.
     """
-    cooldown = config.nplus1_cooldown_us
 
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = np.concatenate([f[["start_us", "seq", "cnt"]].to_numpy(dtype=np.int64) for f in frames])
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        times, fired, i = rows[:, 0], [], 0
-        while i < len(times):
-            if last is not None and times[i] - last < cooldown:
-                i = int(np.searchsorted(times, last + cooldown))
-                continue
-            fired.append(i)
-            last = int(times[i])
-            i += 1
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + cooldown) // 1000, state.getCurrentWatermarkMs()) + 1)
-        if fired:
-            out = rows[fired]
-            yield pd.DataFrame({"key": keys[0], "start_us": out[:, 0], "seq": out[:, 1], "cnt": out[:, 2]})
-
-    # With a cooldown, only the first flagged statement of an instant can raise an alert.
-    candidates = flags.filter("lead" if cooldown > 0 else "n_plus_1")
-    return (
-        with_event_time(candidates, delay)
-        .select("key", "start_us", "seq", "cnt", "ts")
-        .groupBy("key")
-        .applyInPandasWithState(
-            step,
-            "key string, start_us bigint, seq bigint, cnt bigint",
-            "last bigint",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
+    def __init__(self, spark: SparkSession, folder: str, driver: str = "postgres"):
+        self.driver = driver
+        self.parts = Parts(
+            spark,
+            os.path.join(folder, "parts"),
+            "tx_id string, n_queries bigint, n_not_lifecycle bigint, n_events bigint, first_seq bigint,"
+            " start_us bigint, last_seq bigint, end_us bigint, closed boolean",
         )
-    )
-
-
-def stream_tx_summary(
-    stream: DataFrame, driver: str = "postgres", delay: str = "1 second", idle_us: int = 60_000_000
-) -> DataFrame:
-    """One row per transaction when it ends, `closed` false when it was replaced or left idle."""
-    columns = ["tx_id", "n_queries", "n_not_lifecycle", "n_events", "start_us", "wall_us", "closed"]
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        conn = keys[0]
-        held = state.getOption
-
-        def row(t: tuple, closed: bool) -> tuple:
-            begin, queries, others, events, start, end = t
-            return f"{conn}-{begin}", queries, others, events, start, end - start, closed
-
-        if state.hasTimedOut:
-            state.remove()
-            if held is not None:
-                yield pd.DataFrame([row(held, False)], columns=columns)
-            return
-        rows = pd.concat(list(frames)).sort_values("seq")
-        op = rows["op"].to_numpy()
-        boundary = np.isin(op, (BEGIN, COMMIT, ROLLBACK))
-        opens = op == BEGIN
-        # Part number of each row: a Begin starts one, a Commit or Rollback is the last row of one.
-        part = np.cumsum(opens) + np.concatenate([[0], np.cumsum(boundary & ~opens)[:-1]])
-        frame = pd.DataFrame(
-            {
-                "part": part,
-                "begin": np.where(opens, rows["seq"], -1),
-                "queries": np.isin(op, QUERY_OPS),
-                "others": ~np.isin(op, LIFECYCLE_OPS),
-                "start": rows["start_us"].to_numpy(),
-                "end": (rows["start_us"] + rows["dur_us"].fillna(0)).to_numpy(),
-                "closes": boundary & ~opens,
-            }
+        self.open = Parts(spark, os.path.join(folder, "open"), "conn_id bigint, begin bigint")
+        self.ends = Parts(spark, os.path.join(folder, "ends"), "done boolean")
+
+    def _open_before(self, spark: SparkSession, number: int | None) -> DataFrame:
+        """Open transactions before a batch, or now. Every batch writes all of them."""
+        held = self.open.rows(spark)
+        earlier = held if number is None else held.filter(F.col(BATCH) < number)
+        last = self.ends.rows(spark)
+        last = last if number is None else last.filter(F.col(BATCH) < number)
+        newest = last.agg(F.max(BATCH)).first()[0]
+        return earlier.filter(F.col(BATCH) == (-1 if newest is None else newest)).select("conn_id", "begin")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held = self._open_before(spark, number)
+        carried = held.select(
+            F.col("begin").alias("seq"),
+            "conn_id",
+            F.lit(BEGIN).alias("op"),
+            F.lit("").alias("query"),
+            F.lit(None).cast("bigint").alias("start_us"),
+            F.lit(None).cast("bigint").alias("dur_us"),
+            F.lit(True).alias("_carried"),
         )
-        parts = frame.groupby("part", sort=True).agg(
-            begin=("begin", "max"),
-            queries=("queries", "sum"),
-            others=("others", "sum"),
-            events=("begin", "size"),
-            start=("start", "first"),
-            end=("end", "last"),
-            closes=("closes", "max"),
+        own = batch.select("seq", "conn_id", "op", "query", "start_us", "dur_us", F.lit(False).alias("_carried"))
+        labelled = assign_tx(own.unionByName(carried), self.driver)
+        end = F.col("start_us") + F.coalesce(F.col("dur_us"), F.lit(0))
+        closes = F.col("op").isin(COMMIT, ROLLBACK)
+        inside = labelled.filter(F.col("tx_id").isNotNull() & ~F.col("_carried"))
+        self.parts.put(
+            inside.groupBy("tx_id").agg(
+                F.count_if(is_query_op(F.col("op"))).alias("n_queries"),
+                F.count_if(~is_lifecycle_op(F.col("op"))).alias("n_not_lifecycle"),
+                F.count(F.lit(1)).alias("n_events"),
+                F.min("seq").alias("first_seq"),
+                F.min_by("start_us", "seq").alias("start_us"),
+                F.max("seq").alias("last_seq"),
+                F.max_by(end, "seq").alias("end_us"),
+                F.bool_or(closes).alias("closed"),
+            ),
+            number,
         )
-        out = []
-        for p in parts.itertuples(index=False):
-            now = (int(p.begin), int(p.queries), int(p.others), int(p.events), int(p.start), int(p.end))
-            if now[0] >= 0:
-                if held is not None:
-                    out.append(row(held, False))
-                held = now
-            elif held is not None:
-                b, q, o, e, s, _ = held
-                held = (b, q + now[1], o + now[2], e + now[3], s, now[5])
-            if p.closes and held is not None:
-                out.append(row(held, True))
-                held = None
-        if held is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(held)
-            state.setTimeoutTimestamp(max((held[4] + idle_us) // 1000, state.getCurrentWatermarkMs()) + 1)
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-
-    events = with_event_time(stream, delay).withColumn("op", classify_op(F.col("op"), F.col("query"), driver))
-    return (
-        events.select("conn_id", "seq", "op", "start_us", "dur_us", "ts")
-        .groupBy("conn_id")
-        .applyInPandasWithState(
-            step,
-            "tx_id string, n_queries bigint, n_not_lifecycle bigint, n_events bigint, start_us bigint,"
-            " wall_us bigint, closed boolean",
-            "begin bigint, queries bigint, others bigint, events bigint, start bigint, last_end bigint",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
+        boundary = labelled.filter((F.col("op") == BEGIN) | closes)
+        last = boundary.groupBy("conn_id").agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("begin"))
+        self.open.put(last.filter(F.col("op") == BEGIN).select("conn_id", "begin"), number)
+        self.ends.put(spark.range(1).select(F.lit(True).alias("done")), number)
+
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """One row per transaction, `state` closed, replaced (by the next Begin of its connection) or open."""
+        merged = self.parts.rows(spark).groupBy("tx_id").agg(
+            F.sum("n_queries").alias("n_queries"),
+            F.sum("n_not_lifecycle").alias("n_not_lifecycle"),
+            F.sum("n_events").alias("n_events"),
+            F.min_by("start_us", "first_seq").alias("start_us"),
+            F.max_by("end_us", "last_seq").alias("_end"),
+            F.bool_or("closed").alias("_closed"),
+        )
+        name = F.concat(F.col("conn_id").cast("string"), F.lit("-"), F.col("begin").cast("string"))
+        running = self._open_before(spark, None).select(name.alias("tx_id"), F.lit(True).alias("_open"))
+        state = F.when(F.col("_closed"), "closed").when(F.col("_open"), "open").otherwise("replaced")
+        return merged.join(running, "tx_id", "left").select(
+            "tx_id", "n_queries", "n_not_lifecycle", "n_events", "start_us", (F.col("_end") - F.col("start_us")).alias("wall_us"), state.alias("state")
         )
-    )
 
 
 def late_event_report(stream: DataFrame, delay: str = "1 second", spread: int = 64) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -31,50 +32,81 @@ def result(spark, job, tmp_path, name="job"):
     return jobs.read_back(spark, jobs.run_available(job, str(tmp_path / "out"), name), job)
 
 
-@pytest.mark.parametrize(("slices", "cooldown"), [(1, 2_000_000), (5, 2_000_000), (5, 0)])
-def test_nplus1_equals_replay(spark, tmp_path, slices, cooldown):
-    rng = random.Random(slices)
+def traffic(seed: int, n: int = 500):
+    """Statements of two texts, some of which take up to half a minute, in order of completion."""
+    rng = random.Random(seed)
     t, rows = 1_000_000_000, []
-    for i in range(600):
+    for i in range(n):
         t += rng.choice([0, 0, 10, 40_000, 300_000]) if i % 150 else 5_000_000
-        rows.append({"query": rng.choice([Q] * 4 + ["SELECT a FROM b"]), "start_us": t})
+        slow = rng.choice([100_000] * 6 + [2_000_000, 30_000_000])
+        rows.append({"query": rng.choice([Q] * 4 + ["SELECT a FROM b"]), "start_us": t, "dur_us": slow})
+    return sorted(rows, key=lambda r: r["start_us"] + r["dur_us"])
+
+
+@pytest.mark.parametrize(("slices", "cooldown"), [(1, 2_000_000), (4, 2_000_000), (6, 100_000), (4, 0)])
+def test_nplus1_equals_replay(spark, tmp_path, slices, cooldown):
+    rows = traffic(3)
     config = DetectionConfig(4, 500_000, cooldown)
-    out = str(tmp_path / "out")
-    got = combined.nplus1_alerts(spark, files(spark, rows, tmp_path, slices), out, config).collect()
+    job = combined.nplus1_job(spark, files(spark, rows, tmp_path, slices), str(tmp_path / "out"), config)
     flags, alerts = replay_nplus1([(r["query"], r["start_us"], i) for i, r in enumerate(rows)], 4, 500_000, cooldown)
-    assert {r.seq: r.n_plus_1 for r in spark.read.parquet(f"{out}/nplus1").collect()} == flags
-    assert sorted((r.key, r.start_us, r.seq, r.cnt) for r in got) == alerts
+    assert {r.seq: r.n_plus_1 for r in job.flags(spark).collect()} == flags
+    assert sorted((r.key, r.start_us, r.seq, r.cnt) for r in job.alerts(spark).collect()) == alerts
+
+
+def test_nplus1_switched_off(spark, tmp_path):
+    rows = traffic(4, 40)
+    job = combined.nplus1_job(spark, files(spark, rows, tmp_path, 2), str(tmp_path / "out"), DetectionConfig(nplus1_threshold=0))
+    assert {r.n_plus_1 for r in job.flags(spark).collect()} == {False} and job.flags(spark).count() == 40
+    assert job.alerts(spark).count() == 0
+
 
+def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
+    rows = [{"seq": i} | r for i, r in enumerate(traffic(5, 60))]
+    job, stats = stateful.NPlus1Job(spark, str(tmp_path / "a")), jobs.TemplateStatsJob(spark, str(tmp_path / "b"))
+    tx = stateful.TxJob(spark, str(tmp_path / "c"))
+    first, second = statements(spark, rows[:30]), statements(spark, rows[30:])
+    for step in (job, stats, tx):
+        for batch, number in ((first, 0), (first, 0), (second, 1), (second, 1)):
+            step(batch, number)
+    assert job.flags(spark).count() == 60 and stats.stats(spark).agg(F.sum("n")).first()[0] == 60
 
-@pytest.mark.parametrize("slices", [1, 4])
+
+@pytest.mark.parametrize("slices", [1, 4, 6])
 def test_transactions_equal_batch(spark, tmp_path, slices):
     rng = random.Random(9)
     rows = [
         {
             "query": rng.choice(["BEGIN", "COMMIT", "ROLLBACK", "a", "b", "c"]),
-            "conn_id": rng.randint(1, 3),
+            "conn_id": rng.choice([1, 1, 1, 1, 2, 3]),
             "start_us": 1_000_000 + i * 1000,
             "dur_us": rng.choice([5, 50, None]),
         }
         for i in range(400)
     ]
-    stream = files(spark, rows, tmp_path, slices)
-    got = result(spark, stateful.stream_tx_summary(stream), tmp_path)
+    job = stateful.TxJob(spark, str(tmp_path / "out"))
+    jobs.run_batches(files(spark, rows, tmp_path, slices), str(tmp_path / "out"), "tx", job)
+    got = job.summary(spark).collect()
     batch = assign_tx(statements(spark, rows))
-    ended = batch.filter(F.col("op").isin(6, 7) & F.col("tx_id").isNotNull()).select("tx_id").distinct()
-    want = tx_summary(batch).join(ended, "tx_id")
+    want = tx_summary(batch)
     order = sorted(want.columns)
-    closed = got.filter("closed").select(order).collect()
-    assert sorted(map(tuple, closed)) == sorted(map(tuple, want.select(order).collect()))
-    replaced = {r.tx_id for r in got.filter("not closed").collect()}
-    assert replaced and not replaced & {r.tx_id for r in ended.collect()}
-
-
-def test_idle_transaction_times_out(spark, tmp_path):
-    rows = [{"query": "BEGIN", "start_us": 10**6}, {"query": "a", "start_us": 2 * 10**6}]
-    rows += [{"query": "x", "conn_id": 2, "start_us": t * 10**6} for t in (200, 201, 400, 401)]
-    got = result(spark, stateful.stream_tx_summary(files(spark, rows, tmp_path, 6)), tmp_path).collect()
-    assert [(r.tx_id, r.n_events, r.closed) for r in got] == [("1-0", 2, False)]
+    assert sorted(tuple(r[c] for c in order) for r in got) == sorted(map(tuple, want.select(order).collect()))
+    ended = {r.tx_id for r in batch.filter(F.col("op").isin(6, 7) & F.col("tx_id").isNotNull()).collect()}
+    assert {r.tx_id for r in got if r.state == "closed"} == ended
+    last = {}
+    for i, r in enumerate(rows):
+        if r["query"] in ("BEGIN", "COMMIT", "ROLLBACK"):
+            last[r["conn_id"]] = f"{r['conn_id']}-{i}" if r["query"] == "BEGIN" else None
+    assert {r.tx_id for r in got if r.state == "open"} == {v for v in last.values() if v}
+    assert any(r.state == "replaced" for r in got)
+
+
+def test_a_long_transaction_keeps_all_statements(spark, tmp_path):
+    rows = [{"query": "BEGIN", "start_us": 0}]
+    rows += [{"query": "a", "start_us": t * 10**6} for t in range(10, 150, 10)]
+    rows += [{"query": "COMMIT", "start_us": 150 * 10**6, "dur_us": 7}, {"query": "x", "conn_id": 2, "start_us": 400 * 10**6}]
+    job = stateful.TxJob(spark, str(tmp_path / "out"))
+    jobs.run_batches(files(spark, rows, tmp_path, 6), str(tmp_path / "out"), "tx", job)
+    assert [(r.tx_id, r.n_queries, r.n_events, r.wall_us, r.state) for r in job.summary(spark).collect()] == [("1-0", 14, 16, 150_000_007, "closed")]
 
 
 def test_late_events_are_counted(spark, tmp_path):
@@ -84,17 +116,39 @@ def test_late_events_are_counted(spark, tmp_path):
     assert tuple(got) == (2, 6)
 
 
-def test_windows_drop_late_rows_and_hold_open_ones(spark, tmp_path):
+@pytest.mark.parametrize("slices", [1, 3, 7])
+def test_windows_hold_all_rows(spark, tmp_path, slices):
     rows = [{"query": "a", "start_us": int(t * 10**6)} for t in (10, 10.5, 20, 20.2, 30, 10.7, 40)]
-    got = result(spark, jobs.stream_windowed_rates(files(spark, rows, tmp_path, 7)), tmp_path).collect()
-    assert sorted((r.window_us // 10**6, r.n) for r in got) == [(10, 2), (20, 2), (30, 1)]
+    job = jobs.WindowedRatesJob(spark, str(tmp_path / "out"))
+    jobs.run_batches(files(spark, rows, tmp_path, slices), str(tmp_path / "out"), "rates", job)
+    assert sorted((r.window_us // 10**6, r.n) for r in job.rates(spark).collect()) == [(10, 3), (20, 2), (30, 1), (40, 1)]
 
 
 def test_fanout_loses_nothing(spark, tmp_path):
     rows = [{"query": "a", "start_us": i, "error": "e" if i % 3 else ""} for i in range(90)]
     stream = files(spark, rows, tmp_path, 3)
-    out = combined.fanout_sinks(spark, stream, str(tmp_path / "out"), {"all": F.lit(True), "bad": F.col("error") != ""})
-    assert {n: spark.read.parquet(p).count() for n, p in out.items()} == {"all": 90, "bad": 60}
+    out = str(tmp_path / "out")
+    queries = combined.fanout_sinks(spark, stream, out, {"all": F.lit(True), "bad": F.col("error") != ""})
+    assert all(q.exception() is None for q in queries.values())
+    assert {n: spark.read.parquet(f"{out}/{n}").count() for n in queries} == {"all": 90, "bad": 60}
+
+
+def test_live_fanout_with_a_slow_subscriber(spark, tmp_path):
+    rows = [{"query": "a", "start_us": i} for i in range(30)]
+    stream = files(spark, rows, tmp_path, 3)
+    out, slowly = str(tmp_path / "out"), F.udf(lambda seq: time.sleep(0.05) is None, "boolean")("seq")
+    (tmp_path / "out" / "hub").mkdir(parents=True)
+    queries = combined.fanout_sinks(spark, stream, out, {"all": F.lit(True), "slow": slowly}, trigger={"processingTime": "1 second"})
+    try:
+        for _ in range(60):
+            got = {n: spark.read.schema("seq bigint").parquet(f"{out}/{n}").count() if (tmp_path / "out" / n).exists() else 0 for n in ("all", "slow")}
+            if got == {"all": 30, "slow": 30}:
+                break
+            time.sleep(0.5)
+        assert got == {"all": 30, "slow": 30} and all(q.isActive for q in queries.values())
+    finally:
+        for q in queries.values():
+            q.stop()
 
 
 def test_broken_json_lines(spark, tmp_path):
