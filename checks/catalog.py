@@ -262,9 +262,8 @@ def rows_affected(spark, sf):
     return tagged.select("msg", wire.rows_affected(F.col("tag")).alias("rows_affected"))
 
 
-@query
-def rebuild_statements(spark, sf):
-    return wire.rebuild_statements(fixture.wire_log(spark, sf)).select(
+def _rebuilt(messages: DataFrame, driver: str = "postgres") -> DataFrame:
+    return wire.rebuild_statements(messages, driver).select(
         "seq",
         "conn_id",
         "op",
@@ -278,6 +277,21 @@ def rebuild_statements(spark, sf):
     )
 
 
+@query
+def rebuild_statements(spark, sf):
+    return _rebuilt(fixture.wire_log(spark, sf))
+
+
+@query
+def rebuild_statements_bytes(spark, sf):
+    return _rebuilt(fixture.wire_log_bytes(spark, sf))
+
+
+@query
+def rebuild_statements_mysql(spark, sf):
+    return _rebuilt(fixture.wire_log_mysql(spark, sf), "mysql")
+
+
 # Enrichment
 
 

@@ -151,6 +151,35 @@ def _wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("msg", "conn_id", "us", "kind", "stmt", "query", "args", "oids", "tag", "seq")
 
 
+def wire_log_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages with bound values as bytes: a first argument that is a number is a binary int8."""
+    whole = lambda a, i: (i == 0) & a.rlike(r"\A-?[0-9]{1,18}\z")
+    big = lambda a: F.unhex(F.lpad(F.hex(a.try_cast("bigint")), 16, "0"))
+    payloads = F.transform("args", lambda a, i: F.when(whole(a, i), big(a)).otherwise(a.cast("binary")))
+    formats = F.transform("args", lambda a, i: F.when(whole(a, i), 1).otherwise(0).cast("smallint"))
+    # One code would hold for all values.
+    formats = F.when(F.size("args") == 1, F.concat(formats, F.array(F.lit(0).cast("smallint")))).otherwise(formats)
+    return wire_log(spark, sf_dir).withColumns({"payloads": payloads, "formats": formats}).withColumn("args", F.lit(None).cast("array<string>"))
+
+
+def wire_log_mysql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MySQL messages: EXEC names its statement and carries an int and a text, every third statement is closed."""
+    execs = F.col("kind") == "EXEC"
+    swapped = F.unhex(F.regexp_replace(F.reverse(F.lpad(F.hex("seq"), 8, "0")), "(.)(.)", "$2$1"))
+    payloads = F.array(swapped, F.concat(F.lit("v"), F.col("seq").cast("string")).cast("binary"), F.lit(None).cast("binary"))
+    answered = (F.col("kind") == "DONE") & (F.col("seq") % 5 != 0)
+    return wire_log(spark, sf_dir).filter("kind in ('REQ', 'PARSE', 'EXEC', 'DONE', 'ERR', 'RFQ')").withColumns(
+        {
+            "stmt": F.concat(F.lit("s"), (F.col("seq") % 3).cast("string")),
+            "kind": F.when((F.col("kind") == "RFQ") & (F.col("seq") % 3 == 1), "CLOSE").otherwise(F.col("kind")),
+            "payloads": F.when(execs, payloads),
+            "types": F.when(execs, F.array(F.lit(3), F.lit(253), F.lit(3))),
+            "tag": F.when(F.col("kind") == "ERR", F.col("tag")),
+            "affected": F.when(answered, F.col("seq") % 50),
+        }
+    )
+
+
 WIRE_DUCKDB = """
 wire_rows AS (
   SELECT *, CASE WHEN (conn_id + seq) % 4 = 0 THEN '' ELSE concat('s', CAST((conn_id + seq) % 3 AS VARCHAR)) END AS nm
@@ -261,10 +290,14 @@ def _parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("mysql_text", "mysql", 253, F.col("query").cast("binary")),
         ("mysql_null", "mysql", 6, F.lit(None).cast("binary")),
         ("mysql_short_data", "mysql", 8, little(seq, 4)),
+        ("tidb_long", "tidb", 3, little(seq, 4)),
+        ("tidb_text", "tidb", 253, F.col("query").cast("binary")),
+        ("mysql_no_type", "mysql", None, F.col("query").cast("binary")),
+        ("no_protocol", None, 23, F.col("query").cast("binary")),
     ]
     plain = F.array(
         *[
-            F.struct(F.lit(w).alias("what"), F.lit(p).alias("proto"), F.lit(t).alias("type_id"), b.alias("payload"))
+            F.struct(F.lit(w).alias("what"), F.lit(p).cast("string").alias("proto"), F.lit(t).cast("int").alias("type_id"), b.alias("payload"))
             for w, p, t, b in made
         ]
     )

@@ -391,6 +391,10 @@ _PARAMS = {
     "mysql_text": "query",
     "mysql_null": "'NULL'",
     "mysql_short_data": "'?'",
+    "tidb_long": "CAST(seq AS VARCHAR)",
+    "tidb_text": "query",
+    "mysql_no_type": "query",
+    "no_protocol": "query",
     "mysql_double": _DOUBLE.format(v="value"),
     "mysql_float": _DOUBLE.format(v="CAST(value AS FLOAT)"),
 }
@@ -433,6 +437,29 @@ add(
         WHERE w.kind IN ('REQ', 'EXEC')) w)""",
     TX.format(source="requests"),
 )
+ORACLES["rebuild_statements_bytes"] = ORACLES["rebuild_statements"]
+add(
+    "rebuild_statements_mysql",
+    f"""SELECT t.seq, t.conn_id, t.op, t.query, t.args, p.us AS start_us, p.answer_us - p.us AS dur_us,
+      CASE WHEN answer = 'ERR' OR p.seq_no % 5 = 0 THEN 0 ELSE p.seq_no % 50 END AS rows_affected,
+      CASE WHEN answer = 'ERR' THEN answer_tag ELSE '' END AS error, tx_id FROM tx t JOIN mpaired p ON p.msg = t.seq""",
+    *WIRE,
+    """mwire AS (SELECT * EXCLUDE (kind), CASE WHEN kind = 'RFQ' AND seq % 3 = 1 THEN 'CLOSE' ELSE kind END AS kind,
+        concat('s', CAST(seq % 3 AS VARCHAR)) AS name FROM wire WHERE kind IN ('REQ', 'PARSE', 'EXEC', 'DONE', 'ERR', 'RFQ'))""",
+    """mpaired AS (SELECT * FROM (SELECT msg, us, kind, lead(seq) OVER w AS seq_no, lead(kind) OVER w AS answer, lead(us) OVER w AS answer_us, lead(tag) OVER w AS answer_tag
+        FROM mwire WHERE kind IN ('REQ', 'EXEC', 'DONE', 'ERR') WINDOW w AS (PARTITION BY conn_id ORDER BY msg))
+        WHERE kind IN ('REQ', 'EXEC') AND answer IN ('DONE', 'ERR'))""",
+    """mtext AS (SELECT msg, CASE WHEN known.closed THEN '' ELSE coalesce(known.query, '') END AS text FROM (
+        SELECT msg, kind, last_value(CASE WHEN kind = 'PARSE' THEN {'query': query, 'closed': false}
+          WHEN kind = 'CLOSE' THEN {'query': CAST(NULL AS VARCHAR), 'closed': true} END IGNORE NULLS) OVER (
+          PARTITION BY conn_id, name ORDER BY msg ROWS UNBOUNDED PRECEDING) AS known FROM mwire WHERE kind IN ('PARSE', 'EXEC', 'CLOSE')) WHERE kind = 'EXEC')""",
+    """requests AS (SELECT seq, conn_id, query, args, CASE WHEN query LIKE 'BEGIN%' THEN 5 WHEN query LIKE 'COMMIT%' THEN 6
+          WHEN query LIKE 'ROLLBACK%' THEN 7 WHEN kind = 'EXEC' THEN 4 ELSE 0 END AS op FROM (
+        SELECT w.msg AS seq, w.conn_id, w.kind, CASE WHEN w.kind = 'EXEC' THEN m.text ELSE w.query END AS query,
+          CASE WHEN w.kind = 'EXEC' THEN concat(CAST(w.seq AS VARCHAR), '|v', CAST(w.seq AS VARCHAR), '|NULL') ELSE '' END AS args
+        FROM mwire w LEFT JOIN mtext m ON m.msg = w.msg WHERE w.kind IN ('REQ', 'EXEC')))""",
+    TX.format(source="requests"),
+)
 
 # Enrichment
 add("normalize_query", "SELECT seq, normalized_query FROM tpl", *BASE)

@@ -11,6 +11,7 @@ from stmtflow.plans.ordered import CHUNK_ROWS, LAST, running
 from stmtflow.schema import BEGIN, COMMIT, ROLLBACK, is_lifecycle_op, is_query_op, op_name
 
 SUMMARY_ROW, EVENT_ROW = 0, 1
+NONE_OPEN = -(1 << 62)
 
 
 def assign_tx(log: DataFrame, driver: str = "postgres", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -23,9 +24,10 @@ def assign_tx(log: DataFrame, driver: str = "postgres", chunk_rows: int = CHUNK_
     classified = log.withColumn("op", classify_op(F.col("op"), F.col("query"), driver))
     opens = F.col("op") == BEGIN
     closes = F.col("op").isin(COMMIT, ROLLBACK)
-    boundary = F.when(opens | closes, F.struct(F.when(opens, F.col("seq")).alias("begin_seq")))
+    # A number, not a struct, so that chunks are summarised by hash aggregation.
+    boundary = F.when(opens, F.col("seq")).when(closes, F.lit(NONE_OPEN))
     state = running(classified, ["conn_id"], "seq", {"_open": (LAST, boundary)}, inclusive=False, chunk_rows=chunk_rows)
-    begin_seq = F.when(opens, F.col("seq")).otherwise(F.col("_open.begin_seq"))
+    begin_seq = F.when(opens, F.col("seq")).when(F.col("_open") != NONE_OPEN, F.col("_open"))
     label = F.concat(F.col("conn_id").cast("string"), F.lit("-"), begin_seq.cast("string"))
     return state.withColumn("tx_id", label).drop("_open")
 
@@ -36,7 +38,7 @@ def tx_summary(events: DataFrame) -> DataFrame:
     `n_queries` counts Query, Exec and Execute; `n_not_lifecycle` counts everything but the lifecycle
     operations, as the browser does.
     """
-    end = F.struct((F.col("start_us") + F.coalesce(F.col("dur_us"), F.lit(0))).alias("us"))
+    end = F.col("start_us") + F.coalesce(F.col("dur_us"), F.lit(0))
     return (
         events.filter(F.col("tx_id").isNotNull())
         .groupBy("tx_id")
@@ -47,7 +49,7 @@ def tx_summary(events: DataFrame) -> DataFrame:
             F.min_by("start_us", "seq").alias("start_us"),
             F.max_by(end, "seq").alias("_end"),
         )
-        .withColumn("wall_us", F.col("_end.us") - F.col("start_us"))
+        .withColumn("wall_us", F.col("_end") - F.col("start_us"))
         .drop("_end")
     )
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stmtflow.functions.decode import decode_params, is_binary_format
 from stmtflow.functions.text import classify_op
 from stmtflow.operators.transactions import assign_tx
 from stmtflow.plans.materialize import materialize
@@ -18,6 +19,7 @@ from stmtflow.plans.ordered import CHUNK_ROWS, LAST, MIN, SUM, following, runnin
 REQUESTS = ("REQ", "EXEC")
 ANSWERS = ("DONE", "ERR")
 QUERY_OP, EXECUTE_OP = 0, 4
+NO_TEXT = -(1 << 62)
 
 
 def _is(*kinds: str) -> Column:
@@ -29,11 +31,38 @@ def rows_affected(tag: Column) -> Column:
     return F.coalesce(F.element_at(F.split(tag, " "), -1).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def with_bound_values(wire: DataFrame, driver: str = "postgres", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Set `args` from the bytes of bound values, where the log has them (column `payloads`).
+
+    PostgreSQL: BIND carries payloads and format codes; binary ones are read by the types in force for the statement,
+    others are text, and a null value is an empty text. MySQL: EXEC carries payloads and `types`; null is NULL.
+    """
+    if "payloads" not in wire.columns:
+        return wire
+    carriers = wire.filter(_is("BIND" if driver == "postgres" else "EXEC") & F.col("payloads").isNotNull())
+    if driver == "postgres":
+        in_force = resolve_param_types(wire.drop("payloads"), chunk_rows).select("msg", F.col("oids").alias("_types"))
+        typed = carriers.select("msg", "payloads", "formats").join(in_force, "msg", "left")
+        proto = F.when(is_binary_format(F.col("formats"), F.col("pos")), "pg").otherwise("text")
+    else:
+        typed = carriers.select("msg", "payloads", F.col("types").alias("_types"), F.lit(None).cast("array<smallint>").alias("formats"))
+        proto = F.lit("mysql")
+    values = typed.select("msg", "formats", "_types", F.posexplode("payloads").alias("pos", "payload"))
+    kind = F.coalesce(F.get("_types", F.col("pos")), F.lit(0))
+    decoded = decode_params(values.select("msg", "pos", "payload", proto.alias("proto"), kind.alias("type_id")))
+    empty = F.lit("" if driver == "postgres" else "NULL")
+    shown = F.when(F.col("payload").isNull(), empty).otherwise(F.col("value"))
+    lists = decoded.groupBy("msg").agg(F.sort_array(F.collect_list(F.struct("pos", shown.alias("value")))).alias("_found"))
+    bound = lists.select("msg", F.col("_found.value").alias("_bound"))
+    return wire.join(bound, "msg", "left").withColumn("args", F.coalesce("_bound", "args")).drop("_bound")
+
+
 def pair_requests(wire: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Requests with their answer: a request is answered when the next request or answer is an answer.
 
     A request that another one follows first is overwritten and lost; an answer without a request is
-    ignored.
+    ignored. Rows come from `affected`, the count of a MySQL OK, where the log has it, else from the tag; a result
+    set has neither and counts 0.
     """
     kept = wire.filter(_is(*REQUESTS, *ANSWERS))
     after = following(
@@ -45,6 +74,7 @@ def pair_requests(wire: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
             "answer_us": F.col("us"),
             "answer_tag": F.col("tag"),
             "answer_msg": F.col("msg"),
+            "answer_rows": F.col("affected") if "affected" in wire.columns else F.lit(None).cast("bigint"),
         },
         chunk_rows,
     )
@@ -58,7 +88,7 @@ def pair_requests(wire: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         "query",
         F.col("us").alias("start_us"),
         (F.col("answer_us") - F.col("us")).alias("dur_us"),
-        F.when(failed, F.lit(0).cast("bigint")).otherwise(rows_affected(F.col("answer_tag"))).alias("rows_affected"),
+        F.when(failed, F.lit(0).cast("bigint")).otherwise(F.coalesce("answer_rows", rows_affected(F.col("answer_tag")))).alias("rows_affected"),
         F.when(failed, F.col("answer_tag")).otherwise(F.lit("")).alias("error"),
         "answer_msg",
     )
@@ -75,31 +105,34 @@ def resolve_prepared(wire: DataFrame, driver: str = "postgres", chunk_rows: int
     last text parsed under any name when the name is empty or unknown. MySQL: EXEC names the statement
     itself, CLOSE removes it, and an unknown one has empty text.
     """
-    # PostgreSQL keeps the text of a closed name: only a new PARSE replaces it.
-    kept = wire.filter(_is("PARSE", "BIND", "EXEC") if driver == "postgres" else _is("PARSE", "BIND", "EXEC", "CLOSE"))
+    # Only message numbers are carried along a connection; texts and arguments are fetched by them at the end.
+    number = lambda *kinds: F.when(_is(*kinds), F.col("msg"))
+    parsed = wire.filter(_is("PARSE")).select(F.col("msg").alias("_parse"), F.col("query").alias("_text"))
     if driver == "postgres":
-        bound = F.when(_is("BIND"), F.struct(F.coalesce("stmt", F.lit("")).alias("stmt"), F.col("args")))
-        located = _as_of(
-            kept,
-            "msg",
-            {"_bind": bound, "_any": F.when(_is("PARSE"), F.col("query"))},
-            chunk_rows,
-        ).withColumn("args", F.when(_is("EXEC"), F.col("_bind.args")).otherwise(F.col("args")))
-        name = F.when(_is("EXEC"), F.col("_bind.stmt")).otherwise(F.col("stmt"))
+        # PostgreSQL keeps the text of a closed name: only a new PARSE replaces it.
+        kept = wire.filter(_is("PARSE", "BIND", "EXEC")).select("msg", "conn_id", "kind", "stmt")
+        located = _as_of(kept, "msg", {"_bind": number("BIND"), "_any": number("PARSE")}, chunk_rows)
+        bound = wire.filter(_is("BIND")).select(F.col("msg").alias("_bind"), F.col("stmt").alias("_bound"), "args")
+        runs = located.filter(_is("EXEC")).drop("stmt").join(bound, "_bind", "left").withColumnRenamed("_bound", "stmt")
     else:
-        located, name = kept.withColumn("_any", F.lit("")), F.col("stmt")
-    named = located.withColumn("_name", F.coalesce(name, F.lit(""))).filter(_is("PARSE", "EXEC", "CLOSE"))
-    known = F.when(_is("PARSE"), F.struct("query")).when(
-        _is("CLOSE"), F.struct(F.lit(None).cast("string").alias("query"))
-    )
-    found = running(named, ["conn_id", "_name"], "msg", {"_known": (LAST, known)}, chunk_rows=chunk_rows)
-    by_name = F.col("_known.query") if driver != "postgres" else F.when(F.col("_name") != "", F.col("_known.query"))
-    return found.filter(_is("EXEC")).select(
-        "msg",
-        "conn_id",
-        F.col("_name").alias("stmt"),
-        F.coalesce(by_name, F.col("_any"), F.lit("")).alias("query"),
-        F.coalesce("args", F.array().cast("array<string>")).alias("args"),
+        kept = wire.filter(_is("PARSE", "EXEC", "CLOSE")).select("msg", "conn_id", "kind", "stmt", "args")
+        located, runs = kept, kept.filter(_is("EXEC")).withColumn("_any", F.lit(None).cast("bigint"))
+    names = ["msg", "conn_id", "kind", F.coalesce("stmt", F.lit("")).alias("_name")]
+    given = located.filter(_is("PARSE", "CLOSE")).select(*names).unionByName(runs.select(*names))
+    known = number("PARSE") if driver == "postgres" else F.when(_is("CLOSE"), F.lit(NO_TEXT)).otherwise(number("PARSE"))
+    found = running(given, ["conn_id", "_name"], "msg", {"_known": (LAST, known)}, chunk_rows=chunk_rows)
+    by_name = F.col("_known") if driver != "postgres" else F.when(F.col("_name") != "", F.col("_known"))
+    chosen = found.filter(_is("EXEC")).select("msg", "_name", by_name.alias("_by_name")).join(runs, "msg")
+    return (
+        chosen.withColumn("_parse", F.coalesce("_by_name", "_any"))
+        .join(parsed, "_parse", "left")
+        .select(
+            "msg",
+            "conn_id",
+            F.col("_name").alias("stmt"),
+            F.coalesce("_text", F.lit("")).alias("query"),
+            F.coalesce("args", F.array().cast("array<string>")).alias("args"),
+        )
     )
 
 
@@ -184,8 +217,11 @@ def resolve_param_types(wire: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFr
 def rebuild_statements(wire: DataFrame, driver: str = "postgres", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The statement log of a message log: pairs, prepared text, operation and transaction labels.
 
-    `seq` is the arrival number of the request. Labels follow every request, answered or not.
+    `seq` is the arrival number of the request. Labels follow every request, answered or not. Bound values are
+    decoded if the log has their bytes.
     """
+    if "payloads" in wire.columns:
+        wire = materialize(with_bound_values(wire, driver, chunk_rows), "bound-values")
     prepared = resolve_prepared(wire, driver, chunk_rows).select(
         "msg", F.col("query").alias("_text"), F.col("args").alias("_args")
     )

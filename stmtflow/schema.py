@@ -53,6 +53,17 @@ WIRE = T.StructType(
 )
 
 
+# What a capture may add to it: bytes, format codes and types of bound values, and the row count of a MySQL OK.
+WIRE_VALUES = T.StructType(
+    [
+        T.StructField("payloads", T.ArrayType(T.BinaryType())),
+        T.StructField("formats", T.ArrayType(T.ShortType())),
+        T.StructField("types", T.ArrayType(T.IntegerType())),
+        T.StructField("affected", T.LongType()),
+    ]
+)
+
+
 def op_name(op: Column) -> Column:
     """Name of an operation code; unknown codes keep their number."""
     named = F.lit(None).cast("string")

@@ -69,6 +69,20 @@ def test_prepared(spark, chunk_rows):
     ]
 
 
+def test_a_closed_name_keeps_its_text_in_postgres(spark):
+    log = messages(
+        spark,
+        [
+            (1, "PARSE", {"stmt": "q", "query": "kept"}),
+            (1, "PARSE", {"stmt": "r", "query": "other"}),
+            (1, "CLOSE", {"stmt": "q"}),
+            (1, "BIND", {"stmt": "q", "args": ["3"]}),
+            (1, "EXEC", {}),
+        ],
+    )
+    assert [(r.query, r.args) for r in wire.resolve_prepared(log).collect()] == [("kept", ["3"])]
+
+
 def test_prepared_mysql(spark):
     log = messages(
         spark,
