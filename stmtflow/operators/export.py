@@ -16,6 +16,7 @@ from stmtflow.functions.render import format_ms, format_time, format_time_full,
 from stmtflow.functions.text import escape_pipes
 from stmtflow.operators.stats import template_stats_export
 from stmtflow.operators.transactions import tx_label
+from stmtflow.plans.materialize import materialize
 from stmtflow.plans.ordered import CHUNK_ROWS, with_ordinal
 from stmtflow.schema import is_lifecycle_op, op_name
 
@@ -60,9 +61,22 @@ def export_summary(events: DataFrame, filter_text: str = "", search: str = "", w
     return _summary(events, filter_text, search, web).drop("measured")
 
 
+def _evaluated(events: DataFrame, filter_text: str, search: str, web: bool) -> DataFrame:
+    """The events' columns that documents show, with `_wanted`, stored: filter, template and labels are evaluated once.
+
+    Of rows that are not exported only numbers are kept.
+    """
+    wanted = F.coalesce(compile_filter(filter_text, web) & compile_search(search), F.lit(False))
+    numbers = [c for c in ("seq", "start_us", "dur_us", "op", "rows_affected") if c in events.columns]
+    shown = [c for c in ("query", "args", "error", "tx_id", "normalized_query") if c in events.columns]
+    told = events.withColumn("_wanted", wanted)
+    kept = told.select(*numbers, *[F.when(F.col("_wanted"), F.col(c)).alias(c) for c in shown], "_wanted")
+    return materialize(kept, "export")
+
+
 def _summary(events: DataFrame, filter_text: str, search: str, web: bool) -> DataFrame:
     """The summary, with the number of exported rows that statistics may count."""
-    wanted = compile_filter(filter_text, web) & compile_search(search)
+    wanted = F.col("_wanted") if "_wanted" in events.columns else compile_filter(filter_text, web) & compile_search(search)
     at = F.when(wanted, F.col("seq"))
     counts = wanted & ~is_lifecycle_op(F.col("op"))
     if "normalized_query" in events.columns:
@@ -103,7 +117,8 @@ def export_markdown(events: DataFrame, filter_text: str = "", search: str = "",
     """
     if web and search:
         raise ValueError("the browser export has no search")
-    exported = exported_events(events, filter_text, search, web)
+    events = _evaluated(events, filter_text, search, web)
+    exported = events.filter("_wanted").drop("_wanted")
     escaped = escape_pipes if web else (lambda c: c)
     named = [("filter: ", filter_text), ("search: ", search)]
     given = [F.concat(F.lit(label), escaped(F.lit(text))) for label, text in named if text]
@@ -167,7 +182,10 @@ def export_markdown(events: DataFrame, filter_text: str = "", search: str = "",
 
 def export_json(events: DataFrame, filter_text: str = "", search: str = "", web: bool = False) -> DataFrame:
     """Lines (section, position, line) of the JSON document; read in order they are one valid object."""
-    exported = exported_events(events, filter_text, search, web)
+    if web and search:
+        raise ValueError("the browser export has no search")
+    events = _evaluated(events, filter_text, search, web)
+    exported = events.filter("_wanted").drop("_wanted")
     summary = export_summary(events, filter_text, search, web)
 
     def text(value: Column) -> Column:
@@ -215,7 +233,7 @@ def export_json(events: DataFrame, filter_text: str = "", search: str = "", web:
         "position",
         element(F.to_json(record), F.col("position") == F.col("_total")).alias("line"),
     )
-    stats = template_stats_export(exported)
+    stats = materialize(template_stats_export(exported), "export-stats")
     stat = F.struct(
         F.col("normalized_query").alias("query"), "count", "total_ms", "avg_ms", "p95_ms", "max_ms"
     )
