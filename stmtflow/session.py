@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -26,14 +30,21 @@ def local_session(cores: str = "*", app: str = "stmtflow", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+@functools.cache
+def _own_folder() -> str:
+    base = tempfile.mkdtemp(prefix="stmtflow-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for stream output and state, below the shared folder the cluster names.
 
-    Only a local session may fall back to a temporary folder of its own machine.
+    Only a session of one process may fall back to a temporary folder of its own machine, which goes with the process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="stmtflow-")
+        base = _own_folder()
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")

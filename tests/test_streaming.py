@@ -180,9 +180,10 @@ def test_work_dir_follows_the_session(spark, tmp_path):
     assert work_dir(spark, "a") != work_dir(spark, "a")
     named = SimpleNamespace(conf={"spark.checkpoint.dir": str(tmp_path)})
     assert work_dir(named, "a").startswith(str(tmp_path))
-    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn"))
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        work_dir(cluster, "a")
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master))
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            work_dir(cluster, "a")
 
 
 def test_backlog_is_taken_in_bounded_batches(spark, tmp_path):
