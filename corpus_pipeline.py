@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtflow.llm import lsh_forest, mixing, suffix_dedup, tiling, toxicity
-from stmtflow.llm.common import table
+from stmtflow.llm.common import Scratch, table
 from stmtflow.plans.materialize import materialize
 
 #: Documents with this score or more are rejected.
@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id. Of rows with one id, one stays."""
-    found = materialize(lsh_forest.near_duplicates(docs, width=WIDTH, percent=PERCENT), "classes")
+    found = lsh_forest.near_duplicates(docs, width=WIDTH, percent=PERCENT)
     gone = materialize(found.filter(~F.col("kept")).select("doc_id").distinct(), "near-duplicates")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
@@ -77,7 +77,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over all documents."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        kept = scratch(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)
+        docs = kept
+    return scratch.finish(STAGES[-1][1](spark, docs, sf_dir))

@@ -32,10 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stmtflow.llm.common import pieces
+from stmtflow.llm.common import Scratch, pieces
 from stmtflow.llm.components import components
 from stmtflow.llm.tokens import SPACE, mixed, ranges, runs_of, small_batches, words_of
-from stmtflow.plans.materialize import materialize
 
 WIDTH = 4
 PERCENT = 80
@@ -149,9 +148,9 @@ def neighbours(ids: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.minimum(a, b), np.maximum(a, b), d
 
 
-def walk_orders(trees: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def walk_orders(trees: DataFrame, scratch: Scratch, range_rows: int | None = None) -> DataFrame:
     """(a, b, depth, trees): candidate pairs of all orders; trees is how often a pair was met."""
-    ordered = trees.repartitionByRange(pieces(trees.count(), range_rows, 8), "region", "o1", "o2", "doc_id").sortWithinPartitions("region", "o1", "o2", "doc_id")
+    ordered = trees.repartitionByRange(pieces(trees.count(), range_rows or RANGE_ROWS, 8), "region", "o1", "o2", "doc_id").sortWithinPartitions("region", "o1", "o2", "doc_id")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -181,7 +180,7 @@ def walk_orders(trees: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
             names=[c.split()[0] for c in PAIR.split(", ")],
         )
 
-    walked = materialize(ordered.mapInArrow(walk, PAIR), "forest-pairs")
+    walked = scratch(ordered.mapInArrow(walk, PAIR), "forest-pairs")
     # A few rows per range: neighbours across borders.
     border = Window.partitionBy("tree_region").orderBy("o1", "o2", "a")
     edges = walked.filter("edge").select("a", "tree_region", "o1", "o2").distinct()
@@ -195,11 +194,10 @@ def walk_orders(trees: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("trees"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(a, b, link) of the pairs whose whole sets are similar enough (link) or nearly so."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +239,7 @@ def block_links(left: pa.Table, right: pa.Table, width: int, percent: int) -> pa
     return pa.table({"a": np.concatenate(none + a), "b": np.concatenate(none + b)})
 
 
-def settle(near: DataFrame, found: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame | None:
+def settle(near: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame | None:
     """Links of classes that are nearly similar to a member of another component, to any member of it.
 
     If x is linked to some y, it is nearly similar to whatever y is linked to. Such classes are few; each is
@@ -250,24 +248,23 @@ def settle(near: DataFrame, found: DataFrame, docs: DataFrame, text: str, width:
     label = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
     told = near.join(label("a"), "a", "left").join(label("b"), "b", "left")
     told = told.select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b")).filter("c_a <> c_b")
-    told = materialize(told, "near-candidates")
+    told = scratch(told, "near-candidates")
     open_ = told.select(F.col("a").alias("id"), F.col("c_b").alias("c")).union(told.select(F.col("b").alias("id"), F.col("c_a").alias("c"))).distinct()
-    open_ = materialize(open_, "open-classes")
+    open_ = scratch(open_, "open-classes")
     if not open_.limit(1).count():
         return None
     named = open_.select("c").distinct()
     grown = found.select(F.col("node").alias("id"), F.col("component").alias("c")).join(named, "c", "left_semi")
     alone = named.select(F.col("c").alias("id"), "c").join(found.select(F.col("component").alias("c")).distinct(), "c", "left_anti")
-    members = materialize(grown.select("id", "c").union(alone.select("id", "c")), "members")
+    members = scratch(grown.select("id", "c").union(alone.select("id", "c")), "members")
     sizes = members.groupBy("c").agg(F.count(F.lit(1)).alias("n")).join(open_.groupBy("c").agg(F.count(F.lit(1)).alias("m")), "c")
-    cuts = materialize(sizes.select("c", F.expr(f"cast(ceil(n / {BLOCK_TEXTS}) as bigint)").alias("right"), F.expr(f"cast(ceil(m / {BLOCK_TEXTS}) as bigint)").alias("left")), "blocks")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).alias("text"))
+    cuts = scratch(sizes.select("c", F.expr(f"cast(ceil(n / {BLOCK_TEXTS}) as bigint)").alias("right"), F.expr(f"cast(ceil(m / {BLOCK_TEXTS}) as bigint)").alias("left")), "blocks")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     to_all = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
     left = open_.join(cuts, "c").withColumn("x", place("left")).withColumn("y", to_all("right")).select("c", "x", "y", "id").join(texts, "id")
     right = members.join(cuts, "c").withColumn("y", place("right")).withColumn("x", to_all("left")).select("c", "x", "y", "id").join(texts, "id")
     key = ["c", "x", "y"]
-    left, right = materialize(left, "open-texts"), materialize(right, "member-texts")
+    left, right = scratch(left, "open-texts"), scratch(right, "member-texts")
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: block_links(a, b, width, percent), "a bigint, b bigint")
 
 
@@ -281,32 +278,39 @@ def best_of(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
-    spark = docs.sparkSession
-    rows = materialize(signed(docs, text, width), "signatures")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    rows = scratch(signed(docs, text, width), "signatures")
     some = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch(some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = some.join(classes, ["k1", "k2", "n_shingles"]).filter("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "forest")
     trees = reps.select(
         "doc_id", F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(forest[3 * t] as region, forest[3 * t + 1] as o1, forest[3 * t + 2] as o2))")).alias("key")
     ).select("key.region", "key.o1", "key.o2", "doc_id")
-    pairs = materialize(walk_orders(materialize(trees, "trees")), "candidates")
-    first = materialize(best_of(pairs), "best-candidates")
-    checked = materialize(confirmed(first, docs, text, width, percent), "checked")
-    found = components(checked.filter("link"))
+    trees = scratch(trees, "trees")
+    pairs = scratch(walk_orders(trees, scratch), "candidates")
+    scratch.drop(trees)
+    # Only texts of candidates are looked at again.
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    texts = scratch(texts, "candidate-texts")
+    first = scratch(best_of(pairs), "best-candidates")
+    checked = scratch(confirmed(first, texts, width, percent), "checked")
+    found = components(checked.filter("link"), scratch=scratch)
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
     label = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
     rest = rest.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    more = materialize(confirmed(materialize(rest, "open-candidates"), docs, text, width, percent), "checked")
+    more = scratch(confirmed(scratch(rest, "open-candidates"), texts, width, percent), "checked")
     checked = checked.union(more)
     links = checked.filter("link").select("a", "b")
     if more.filter("link").limit(1).count():
-        found = components(links)
-    last = settle(checked.filter("not link").select("a", "b"), found, docs, text, width, percent)
+        found = components(links, scratch=scratch)
+    last = settle(checked.filter("not link").select("a", "b"), found, texts, width, percent, scratch)
     if last is not None:
-        found = components(links.union(materialize(last, "links")))
+        found = components(links.union(scratch(last, "links")), scratch=scratch)
     of = found.select(F.col("node").alias("rep"), "component")
     joined = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes.join(of, "rep", "left"), ["k1", "k2", "n_shingles"], "left")
     component = F.coalesce("component", "rep", "doc_id")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(component).alias("component_id")).withColumn(
+    result = joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(component).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+    return scratch.finish(result)

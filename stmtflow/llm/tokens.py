@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -27,13 +28,19 @@ LOWER[0x41:0x5B] += 32
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[0] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[0]
+    """Powers of the base and of its inverse, at least n of each.
+
+    Only tasks keep them: what the driver kept would be shipped with every function that needs this module.
+    """
+    if 0 in _POWERS and len(_POWERS[0][0]) >= n:
+        return _POWERS[0]
+    size = max(1 << 16, 1 << int(n).bit_length())
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    made = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if TaskContext.get() is not None:
+        _POWERS[0] = made
+    return made
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

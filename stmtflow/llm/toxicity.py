@@ -36,7 +36,7 @@ from pyspark.sql.types import StructType
 from stmtflow.llm.common import held_out
 from stmtflow.llm.tokens import GAP, Words, small_batches, words_of
 
-MOST_TOXIC, MOST_CLEAN = 2_500, 5_000
+MOST_TOXIC, MOST_CLEAN = 2_000, 4_000
 PART_BYTES = (5, 6, 7, 8)
 MIN_TOXIC = 5
 MIN_WEIGHT = 2.0
@@ -217,23 +217,23 @@ def learned_arcs(texts: list[str], toxic: np.ndarray) -> list[Arc]:
     """Insult arcs over words and first parts that toxic documents hold far more often."""
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
     lengths = (0, *PART_BYTES)
-    found: dict[int, list] = {n: [] for n in lengths}
-    for begin, part in _chunks(texts):
-        words = _lowered(part)
-        for length in lengths:
+    chosen = {}
+    for length in lengths:
+        # One length at a time bounds what the driver holds.
+        parts = []
+        for begin, part in _chunks(texts):
+            words = _lowered(part)
             own = np.flatnonzero(words.end - words.start >= length)
             hashes, docs = _distinct(words.hashes(length or None)[own], words.doc[own])
-            found[length].append((hashes, docs + begin))
-    chosen = {}
-    for length, parts in found.items():
+            parts.append((hashes, (docs + begin).astype(np.int32)))
         term, doc = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(term, kind="stable")
         term, doc = term[order], doc[order]
         heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
         if not len(heads):
             continue
-        in_toxic = np.add.reduceat(toxic[doc].astype(np.int64), heads)
-        in_clean = np.add.reduceat((~toxic[doc]).astype(np.int64), heads)
+        in_toxic = np.add.reduceat(toxic[doc].astype(np.int32), heads)
+        in_clean = np.add.reduceat((~toxic[doc]).astype(np.int32), heads)
         odds = np.log((in_toxic + 0.5) / (n_toxic + 1)) - np.log((in_clean + 0.5) / (n_clean + 1))
         use = np.flatnonzero((in_toxic >= MIN_TOXIC) & (odds >= MIN_WEIGHT))
         chosen[length] = dict(zip(term[heads[use]].tolist(), odds[use].tolist()))
