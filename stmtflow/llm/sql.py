@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from stmtflow.llm.licenses import GAPS, MASS, TEMPLATES
+from stmtflow.llm import url_templates as ut
+from stmtflow.llm.licenses import MASS, TEMPLATES
 from stmtflow.llm.mixing import MOST, SEED, SHARE_PERCENT, WEIGHTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -127,3 +128,49 @@ WITH v AS (
 )
 SELECT * FROM r WHERE rank <= 20
 """
+
+_RULES = sorted(ut.RULES, key=lambda r: -len(r[0] + r[1]))
+
+
+def _by_rule(value: int | None) -> str:
+    """CASE over the rules, longest first: the rule itself or one of its fields."""
+    whens = (
+        f"WHEN (host = '{r[0]}' OR ends_with(host, '.{r[0]}')) AND starts_with(path, '{r[1]}') THEN '{r[0] + r[1] if value is None else r[value]}'"
+        for r in _RULES
+    )
+    return "CASE " + " ".join(whens) + " END"
+
+
+ORACLES["op1_url_templates"] = rf"""
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN url ELSE '' END AS u FROM pages
+), h AS (
+  SELECT page_id, translate(coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+    coalesce(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM p
+), s AS (
+  SELECT *, {_by_rule(None)} AS rule, {_by_rule(2)} AS said,
+    list_transform(string_split(path, '/'), lambda x: regexp_replace(x, '^[0-9]+([.][A-Za-z0-9]+)?$', '{{n}}\1')) AS segs FROM h
+), nodes AS (
+  SELECT page_id, host, i, segs[i] AS seg, array_to_string(segs[1 : i - 1], '/') AS parent
+  FROM (SELECT page_id, host, segs, unnest(range(1, len(segs) + 1)) AS i FROM s)
+), children AS (
+  SELECT host, i, parent, seg, count(*) AS n FROM nodes GROUP BY ALL
+), wild AS (
+  SELECT host, i, parent, seg FROM (SELECT *, count(*) OVER w AS kinds, sum(n) OVER w AS total FROM children WINDOW w AS (PARTITION BY host, i, parent))
+  WHERE kinds > {ut.WIDE} AND n < {ut.RARE_SHARE} * total AND NOT starts_with(seg, '{{')
+), t AS (
+  SELECT page_id, string_agg(CASE WHEN w.seg IS NULL THEN n.seg ELSE '{{*}}' END, '/' ORDER BY n.i) AS template
+  FROM nodes n LEFT JOIN wild w USING (host, i, parent, seg) GROUP BY page_id
+), c AS (
+  SELECT host, template, count(*) FILTER (said = 'block') AS b, count(said) AS l FROM s JOIN t USING (page_id) GROUP BY ALL
+), prior AS (
+  SELECT (sum(b) + 1) / (sum(l) + 2) AS base FROM c
+), branches AS (
+  SELECT template, (sum(b) + {ut.STRENGTH} * any_value(base)) / (sum(l) + {ut.STRENGTH}) AS branch FROM c, prior GROUP BY template
+), v AS (
+  SELECT host, template, CASE WHEN l > 0 AND (b - l * branch) * (b - l * branch) > {ut.CHI_SQUARE} * (l * branch) * (1 - branch)
+    THEN (b + {ut.STRENGTH} * branch) / (l + {ut.STRENGTH}) ELSE branch END AS impurity FROM c JOIN branches USING (template)
+)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN impurity >= {ut.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM s JOIN t USING (page_id) JOIN v USING (host, template)
+"""
