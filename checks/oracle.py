@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.fixture import PLANS_DUCKDB, WIRE_DUCKDB, statement_log_duckdb
-from stmtflow.operators.census import FUNCTIONS, KEYWORDS, PLAN_NODES
+from stmtflow.operators.census import FUNCTIONS, KEYWORDS, MEASURES, PLAN_NODES, SUMMARY_LINES
 from stmtflow.operators.ci import REPORT_TITLE
 from stmtflow.operators.export import TITLE
 from stmtflow.schema import OP_NAMES
@@ -799,7 +799,7 @@ _STRING = q("'(?:[^']|'')*'?")
 _BARE = f"regexp_replace(query, {_STRING}, {q(chr(39) * 2)}, 'g')"
 
 
-def _list(words: list[str]) -> str:
+def _list(words: tuple[str, ...]) -> str:
     return "(" + ", ".join(map(q, words)) + ")"
 
 
@@ -816,15 +816,15 @@ add(
         unnest(regexp_extract_all(query, {_STRING})) FROM tpl)) WHERE kind IS NOT NULL GROUP BY 1, 2""",
     *BASE,
 )
-_METRICS = r"'\((?:cost|actual time|loops|width|never executed)[^)]*\)'"
+_METRICS = q(rf"\((?:{'|'.join(MEASURES)})[^)]*\)")
 add(
     "plan_node_census",
     f"""SELECT kind, name, count(*) AS n FROM (
       SELECT 'summary' AS kind, lower(summary) AS name FROM l WHERE summary <> ''
       UNION ALL SELECT 'metrics', '' FROM l WHERE summary = '' AND regexp_matches(line, {_METRICS})
       UNION ALL SELECT 'node', lower(unnest(regexp_extract_all(regexp_replace(line, {_METRICS}, '', 'g'),
-        {q(chr(92) + 'b(?i:' + PLAN_NODES + ')' + chr(92) + 'b')}))) FROM l WHERE summary = '') GROUP BY 1, 2""",
+        {q(chr(92) + 'b(?i:' + '|'.join(PLAN_NODES) + ')' + chr(92) + 'b')}))) FROM l WHERE summary = '') GROUP BY 1, 2""",
     PLANS_DUCKDB,
-    """l AS (SELECT line, regexp_extract(line, '(?i)^[[:space:]]*(Planning Time|Execution Time|Query time):', 1) AS summary
+    f"""l AS (SELECT line, regexp_extract(line, '(?i)^[[:space:]]*({'|'.join(SUMMARY_LINES)}):', 1) AS summary
       FROM (SELECT unnest(string_split(plan, chr(10))) AS line FROM plans))""",
 )

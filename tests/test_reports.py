@@ -224,3 +224,13 @@ def test_census(spark):
         ("node", "index only scan"): 1,
         ("summary", "execution time"): 1,
     }
+
+
+def test_one_word_of_each_class(spark):
+    """Literal rows, so that a wrong word list shows."""
+    log = with_template(statements(spark, [{"query": "SELECT Coalesce(kg, $1), 'x', 7 FROM crates WHERE lot ILIKE ? RETURNING crate"}]))
+    got = {r.kind: r.n for r in census.sql_token_census(log).collect()}
+    assert got == {"keyword": 5, "function": 1, "parameter": 2, "string": 1, "number": 1}
+    plans = spark.createDataFrame([("Gather Merge  (cost=1 rows=2)\n  -> covering INDEX on x\n Query time: 3 ms",)], "plan string")
+    counted = {(r.kind, r.name): r.n for r in census.plan_node_census(plans).collect()}
+    assert counted == {("node", "gather merge"): 1, ("metrics", ""): 1, ("node", "covering index"): 1, ("summary", "query time"): 1}
