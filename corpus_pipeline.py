@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtflow.llm import lsh_forest, mixing, suffix_dedup, tiling, toxicity
-from stmtflow.llm.common import Scratch, table
+from stmtflow.llm.common import Scratch, by_ids, table
 from stmtflow.plans.materialize import materialize
 
 #: Documents with this score or more are rejected.
@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates, the one with the smallest id. Of rows with one id, one stays."""
     found = lsh_forest.near_duplicates(docs, width=WIDTH, percent=PERCENT)
     gone = materialize(found.filter(~F.col("kept")).select("doc_id").distinct(), "near-duplicates")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     repeated = materialize(repeated, "repeated-ids")
     if repeated.limit(1).count():

@@ -44,6 +44,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Ids (8 bytes each) that may be sent to every task; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join of rows with a stored table of ids; wide rows stay where they are while the ids are few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
 class Scratch:
     """Intermediate tables of one operator, in a folder of its own below the shared one.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stmtflow.llm.common import Scratch, pieces
+from stmtflow.llm.common import Scratch, by_ids, pieces
 from stmtflow.llm.components import components
 from stmtflow.llm.tokens import SPACE, mixed, ranges, runs_of, small_batches, words_of
 
@@ -290,9 +290,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = WIDTH, per
     pairs = scratch(walk_orders(trees, scratch), "candidates")
     scratch.drop(trees)
     # Only texts of candidates are looked at again.
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    texts = scratch(texts, "candidate-texts")
+    ids = scratch(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate-ids")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).alias("text"))
+    texts = scratch(by_ids(texts, ids, "id", "left_semi"), "candidate-texts")
     first = scratch(best_of(pairs), "best-candidates")
     checked = scratch(confirmed(first, texts, width, percent), "checked")
     found = components(checked.filter("link"), scratch=scratch)
