@@ -485,7 +485,7 @@ def _top(mode: str, ascending: bool = False) -> Query:
 
 for _mode in stats.SORT_MODES:
     QUERIES[f"top_templates_by_{_mode}"] = _top(_mode)
-QUERIES["top_templates_by_total_ascending"] = _top("total", ascending=True)
+    QUERIES[f"top_templates_by_{_mode}_ascending"] = _top(_mode, ascending=True)
 
 
 @query

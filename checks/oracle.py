@@ -566,7 +566,7 @@ add("template_stats_web", f"SELECT {_MS} FROM st", *BASE, f"st AS ({stats_of(_HO
 add("template_p95", "SELECT k AS normalized_query, p95 AS p95_us FROM st", *BASE, ALL_STATS)
 for mode, column in (("total", "total"), ("count", "n"), ("avg", "total // n"), ("p95", "p95"), ("max", "largest")):
     add(f"top_templates_by_{mode}", f"SELECT {_STATS} FROM st ORDER BY {column} DESC, k LIMIT 20", LOG, RAW_STATS)
-add("top_templates_by_total_ascending", f"SELECT {_STATS} FROM st ORDER BY total, k LIMIT 20", LOG, RAW_STATS)
+    add(f"top_templates_by_{mode}_ascending", f"SELECT {_STATS} FROM st ORDER BY {column}, k LIMIT 20", LOG, RAW_STATS)
 add("flagship", f"SELECT {_STATS} FROM st ORDER BY total DESC, k LIMIT 20", *BASE, ALL_STATS)
 PROBLEMS = """
 problems AS (

@@ -18,6 +18,16 @@ CHUNK_ROWS = 1 << 20
 LAST, SUM, MIN, MAX = "last", "sum", "min", "max"
 
 
+def chunk_width(df: DataFrame, order: str, rows: int = CHUNK_ROWS) -> int:
+    """How wide, in values of `order`, chunks must be to hold about `rows` rows each.
+
+    For arrival numbers with large gaps, such as times: with the plain width every row would be a chunk of its own,
+    and the one row per chunk that is scanned for a key would be the whole key.
+    """
+    n, low, high = df.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
+    return rows if not n else max(rows, rows * (high - low + 1) // n)
+
+
 def _aggregate(kind: str, value: Column) -> Column:
     if kind == LAST:
         return F.last(value, ignorenulls=True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stmtflow.functions.ints import floor_div
-from stmtflow.plans.ordered import LAST, MAX, MIN, SUM, following, prefix_sum, running, with_ordinal
+from stmtflow.plans.ordered import LAST, MAX, MIN, SUM, chunk_width, following, prefix_sum, running, with_ordinal
 from stmtflow.plans.quantile import stats_with_quantile
 
 
@@ -81,3 +81,12 @@ def test_quantile(spark, share):
         k: (len(vs), sum(vs), sorted(vs)[int(float(len(vs) - 1) * share)], max(vs), min(vs)) for k, vs in values.items()
     }
     assert {r.k: (r.n, r.total, r.quantile, r.largest, r.least) for r in got} == want
+
+
+def test_sparse_numbers_make_wide_chunks(spark):
+    rows = [(i * 1_000_000_007, "k", i % 3) for i in range(1000)]
+    df = spark.createDataFrame(rows, "o bigint, k string, v bigint")
+    width = chunk_width(df, "o", 100)
+    assert 9 <= 1000 * 1_000_000_007 / width <= 11 and chunk_width(df.limit(0), "o") == 1 << 20
+    got = running(df, ["k"], "o", {"b": (SUM, F.col("v"))}, chunk_rows=width).agg(F.max("b")).first()[0]
+    assert got == sum(i % 3 for i in range(1000))
