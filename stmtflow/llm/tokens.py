@@ -127,7 +127,7 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, counts)
 
 
-def small_batches(batches, column: int, most: int = 8 << 20):
+def small_batches(batches, column: int, most: int = 2 << 20):
     """Cut record batches so that the texts of each hold about `most` bytes; a longer text stays whole."""
     for batch in batches:
         sizes = np.diff(raw_bytes(batch.column(column).fill_null(""))[1])
