@@ -14,9 +14,16 @@ classes, whatever the size of a region.
 
 Candidates are confirmed on the whole sets, taken anew from the texts, by 100 * common >= PERCENT * union. First only each
 class's best candidates are; then, with the components these give, the candidates between components, until none is
-left. Pairs inside a component need no confirmation: they change nothing. At last, classes that proved nearly similar
+left. Pairs inside a component need no confirmation: they change nothing. Then classes that proved nearly similar
 to a member of another component (by at most 2 * (100 - PERCENT) per cent, as a common link would have it) are compared
-with all of that component, in blocks; this finds the links that neighbours and centres of a large region miss.
+with all of that component, in blocks; this finds most links that neighbours and centres of a large region miss.
+
+At last an exact join finds every link between components that is still missing, whatever the forest met. Shingles have
+one order for all classes, rarest first. Linked classes share a shingle among the first (100 - PERCENT) per cent of the
+larger one and the first part of the smaller one that a link to no smaller class must reach; classes of different
+components that do are confirmed on whole sets. The order only decides how many pairs that are: frequencies come from
+ORDER_TEXTS classes, and any order gives the same links. A passage shared by classes that are not linked stays out of
+the smaller one's part, and members of one component are never paired.
 
 Null and empty texts have empty sets and are linked with nothing; texts of fewer than WIDTH words have one shingle, all
 of their words. Null ids are classes of their own. Rows with equal ids and texts are in one class; each is returned.
@@ -43,6 +50,8 @@ RANGE_ROWS = 250_000
 #: Per cent below PERCENT that count as nearly similar: what is linked to one class is at most 2 * (100 - PERCENT) apart.
 NEAR = 20
 BLOCK_TEXTS = 512
+#: Classes whose shingles are counted for the order of the exact join, and frequent shingles that are sent to every task.
+ORDER_TEXTS, ORDER_SHINGLES = 50_000, 1_000_000
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, size=(2, TREES * DEPTH), dtype=np.int64).astype(np.uint64)
 FACTORS, SHIFTS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 
@@ -268,6 +277,93 @@ def settle(near: DataFrame, found: DataFrame, texts: DataFrame, width: int, perc
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: block_links(a, b, width, percent), "a bigint, b bigint")
 
 
+def frequencies(texts: DataFrame, width: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles in ascending order and in how many of the texts (id, text) each is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1, 4 << 20):
+            known, n = np.unique(shingle_sets(batch.column(1), width)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
+
+    counts = texts.select("id", "text").mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = scratch(counts, "frequencies")
+    least, room = 2, ORDER_SHINGLES
+    for n, kinds in sorted(((r.n, r.kinds) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("kinds")).collect()), reverse=True):
+        room -= kinds
+        if room < 0:
+            least = n + 1
+            break
+    most = counts.filter(F.col("n") >= least).toArrow()
+    known, n = most.column("g").to_numpy().view(np.uint64), most.column("n").to_numpy()
+    order = np.argsort(known)
+    return known[order], n[order]
+
+
+def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
+    """Of n shingles in the common order, how many to look at for partners of at most n shingles, and of at least n."""
+    return n + 1 - -(-percent * n // 100), n + 1 - -(-2 * percent * n // (100 + percent))
+
+
+def prefixes(texts: DataFrame, known: np.ndarray, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(g, id, c, n, at, short) of texts (id, c, text): the first shingles of each; short if also for larger partners."""
+    order = texts.sparkSession.sparkContext.broadcast((known, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = order.value
+        for batch in small_batches(batches, 2, 1 << 20):
+            sets, at = shingle_sets(batch.column(2), width)
+            often = np.zeros(len(sets), np.int64)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, sets), len(known) - 1)
+                often = np.where(known[place] == sets, counts[place], 0)
+            firsts, sizes, shorts = [sets[:0]], np.diff(at), []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                far, near = prefix_sizes(b - a, percent) if b > a else (0, 0)
+                firsts.append(sets[a:b][np.argsort(often[a:b], kind="stable")[:far]])
+                shorts.append(near)
+            far = np.array([len(f) for f in firsts[1:]], np.int64)
+            row = np.repeat(np.arange(len(far)), far)
+            place = ranges(np.zeros(len(far), np.int64), far)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(firsts).view(np.int64)),
+                    batch.column(0).take(pa.array(row)),
+                    batch.column(1).take(pa.array(row)),
+                    pa.array(sizes[row].astype(np.int64)),
+                    pa.array(place),
+                    pa.array(place < np.array(shorts, np.int64)[row]),
+                ],
+                names=["g", "id", "c", "n", "at", "short"],
+            )
+
+    return texts.select("id", "c", "text").mapInArrow(run, "g bigint, id bigint, c bigint, n bigint, at bigint, short boolean")
+
+
+def apart(texts: DataFrame, known: np.ndarray, counts: np.ndarray, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of different components that may be linked; all pairs that are linked are among them.
+
+    Components are paired per shingle before their members are, so a large component costs nothing by itself.
+    """
+    firsts = scratch(prefixes(texts, known, counts, width, percent), "prefixes")
+    met = firsts.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("short").alias("short")).filter("low <> high and short")
+    live = scratch(firsts.join(met.select("g"), "g", "left_semi"), "met-prefixes")
+    scratch.drop(firsts)
+    groups = live.groupBy("g", "c").agg(F.max("short").alias("short"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("head"))
+    groups = scratch(groups, "met-components")
+    small = groups.filter("short").select("g", F.col("c").alias("c_y"), F.col("least").alias("least_y"), F.col("most").alias("most_y"))
+    both = groups.select("g", F.col("c").alias("c_x"), "least", "most", "head").join(small, "g")
+    both = both.filter(f"c_x <> c_y and least_y <= most and 100 * most_y >= {percent} * least").select("g", "c_x", "c_y", "least", "most", "head")
+    both = scratch(both, "component-pairs")
+    y = live.filter("short").select("g", F.col("c").alias("c_y"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("at").alias("at_y"))
+    x = live.select("g", F.col("c").alias("c_x"), F.col("id").alias("x"), "n", "at")
+    # What is before the first shingle in common is not shared. Members of y are first held against bounds of all of x.
+    may = f"m <= most and 100 * m >= {percent} * least and {100 + percent} * least(most - head, m - at_y) >= {percent} * (least + m)"
+    some = both.join(y, ["g", "c_y"]).filter(may).select("g", "c_x", "c_y", "y", "m", "at_y")
+    pairs = scratch(some, "component-members").join(x, ["g", "c_x"])
+    fits = f"m <= n and 100 * m >= {percent} * n and {100 + percent} * least(n - at, m - at_y) >= {percent} * (n + m)"
+    return pairs.filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def best_of(pairs: DataFrame) -> DataFrame:
     """For each class the candidate met most often and deepest, as distinct pairs."""
     rank = F.struct("trees", "depth", "other")
@@ -306,7 +402,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = WIDTH, per
         found = components(links, scratch=scratch)
     last = settle(checked.filter("not link").select("a", "b"), found, texts, width, percent, scratch)
     if last is not None:
-        found = components(links.union(scratch(last, "links")), scratch=scratch)
+        links = links.union(scratch(last, "links"))
+        found = components(links, scratch=scratch)
+    # What is still apart, exactly.
+    wholes = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).alias("text"))
+    labelled = classes.select(F.col("rep").alias("id"), "k1").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    labelled = scratch(labelled.select("id", F.coalesce("component", "id").alias("c"), "k1").dropDuplicates(["id"]), "labelled-classes")
+    amount = pieces(labelled.count(), ORDER_TEXTS)
+    known, counts = frequencies(by_ids(wholes, labelled.filter(F.pmod("k1", F.lit(amount)) == 0).select("id"), "id", "left_semi"), width, scratch)
+    told = by_ids(wholes, labelled.select("id", "c"), "id", "inner")
+    open_ = scratch(apart(told, known, counts, width, percent, scratch), "pairs-apart")
+    unseen = open_.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    ids = scratch(unseen.select(F.col("a").alias("id")).union(unseen.select("b")).distinct(), "apart-ids")
+    exact = scratch(confirmed(unseen, scratch(by_ids(wholes, ids, "id", "left_semi"), "apart-texts"), width, percent), "checked")
+    if exact.filter("link").limit(1).count():
+        found = components(links.union(exact.filter("link").select("a", "b")), scratch=scratch)
     of = found.select(F.col("node").alias("rep"), "component")
     joined = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes.join(of, "rep", "left"), ["k1", "k2", "n_shingles"], "left")
     component = F.coalesce("component", "rep", "doc_id")

@@ -121,6 +121,20 @@ def test_neighbours_across_ranges(spark, monkeypatch):
     assert {r.component_id for r in lsh_forest.near_duplicates(df).collect()} == {0}
 
 
+def test_links_inside_a_shared_passage(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "TREES", 1)  # links must not depend on what the forest meets
+    rng = random.Random(21)
+    shared, rows = text_of(rng, 150).split(), []
+    for i in range(80):
+        own = text_of(rng, 35).split()
+        copy = [*text_of(rng, 17).split(), *own[17:]] if i % 2 else text_of(rng, 35).split()
+        rows += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + copy))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(df).collect()}
+    wanted = brute_classes(rows, 4, 80)
+    assert len(set(wanted.values())) == 120 and got == wanted
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, 5), (5, 9), (1, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
