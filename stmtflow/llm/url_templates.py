@@ -2,7 +2,8 @@ r"""Judge URLs by a tree of path templates per host.
 
 A path is cut at `/` into segments; each segment is a node below its parents. A segment that is a number (an
 extension may follow) is variable at once; other segments become a wildcard where their parent has many
-children of which most are rare. What remains is the host's template tree, e.g. `/en/{n}.html`.
+children of which most are rare. What remains is the host's template tree, e.g. `/en/{n}.html`. Wildcards are
+decided from the root down: once children become one, their subtrees are joined before the next level is counted.
 
 Host rules label the pages they fit. Labels are counted per template; a template shared by several hosts is one
 branch if the hosts' shares of blocked pages do not differ significantly (chi-square against the pooled share),
@@ -65,7 +66,7 @@ def lexed(path: Column) -> Column:
 
 
 def chained(segments: Column) -> Column:
-    """For each segment (parent, segment): parent is a hash of all segments above it."""
+    """For each segment (parent, segment): parent is a hash of all segments above it, see above()."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<parent:bigint,segment:string>>").alias("out"))
     return F.aggregate(
         segments,
@@ -78,41 +79,50 @@ def chained(segments: Column) -> Column:
     )
 
 
-def wildcards(pages: DataFrame, wide: int = WIDE, rare_share: float = RARE_SHARE) -> DataFrame:
-    """(host, parent, segment) that become a wildcard: rare children of nodes with more than `wide` children.
+def above(segments: Column, at: int) -> Column:
+    """The parent that chained() gives segment `at`."""
+    return F.aggregate(F.slice(segments, 1, at), F.lit(0).cast("bigint"), lambda acc, s: F.xxhash64(acc, s))
 
-    Children are counted first, so a hot node brings one row per child and task to the shuffle.
+
+def wildcards(pages: DataFrame, settled: int = -1, wide: int = WIDE, rare_share: float = RARE_SHARE) -> DataFrame:
+    """(host, at, parent, segment) that become a wildcard: rare children of nodes with more than `wide` children.
+
+    Only segments after number `settled` are looked at. Children are counted first, so a hot node brings one row per
+    child and task to the shuffle.
     """
-    nodes = pages.select("host", F.inline(chained(F.col("segments"))))
-    children = nodes.groupBy("host", "parent", "segment").agg(F.count(F.lit(1)).alias("n"))
-    parents = children.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"))
+    nodes = pages.select("host", F.posexplode(chained(F.col("segments"))).alias("at", "node")).filter(F.col("at") > settled)
+    children = nodes.groupBy("host", "at", "node.parent", "node.segment").agg(F.count(F.lit(1)).alias("n"))
+    parents = children.groupBy("host", "at", "parent").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"))
     wide_ones = parents.filter(F.col("kinds") > wide)
     return (
-        children.join(wide_ones, ["host", "parent"])
+        children.join(wide_ones, ["host", "at", "parent"])
         .filter((F.col("n") < F.lit(rare_share) * F.col("total")) & ~F.col("segment").startswith("{"))
-        .select("host", "parent", "segment")
+        .select("host", "at", "parent", "segment")
     )
 
 
+def rewritten(pages: DataFrame, wild: DataFrame, at: int) -> DataFrame:
+    """`pages` with segment number `at` as {*} where `wild` has it."""
+    dealt = wild.select("host", "parent", "segment", F.lit(True).alias("_wild"), F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    placed = pages.withColumns({"parent": above(F.col("segments"), at), "segment": F.get("segments", F.lit(at)), "salt": F.col("_row") % SALTS})
+    shown = F.transform("segments", lambda s, i: F.when(i == at, F.lit("{*}")).otherwise(s))
+    joined = placed.join(dealt, ["host", "parent", "segment", "salt"], "left")
+    return joined.withColumn("segments", F.when(F.col("_wild"), shown).otherwise(F.col("segments"))).select(*pages.columns)
+
+
 def with_templates(pages: DataFrame) -> DataFrame:
-    """Add `template`, the path with its variable segments as {n} or {*}. Needs host, path and a unique _row."""
+    """Add `template`, the path with its variable segments as {n} or {*}. Needs host, path and a unique _row.
+
+    Each round settles the paths down to the next level that has wildcards, so levels without any cost nothing.
+    """
     cut = pages.withColumn("segments", lexed(F.col("path")))
-    wild = wildcards(cut)
-    placed = cut.select("_row", "host", F.posexplode(chained(F.col("segments"))).alias("at", "node")).select(
-        "_row", "at", "host", "node.parent", "node.segment", (F.col("_row") % SALTS).alias("salt")
-    )
-    dealt = wild.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    changed = (
-        placed.join(dealt, ["host", "parent", "segment", "salt"], "left_semi")
-        .groupBy("_row")
-        .agg(F.collect_set("at").alias("_wild"))
-    )
-    shown = F.transform("segments", lambda s, i: F.when(F.array_contains("_wild", i), F.lit("{*}")).otherwise(s))
-    return (
-        cut.join(changed, "_row", "left")
-        .withColumn("template", F.array_join(F.when(F.col("_wild").isNull(), F.col("segments")).otherwise(shown), "/"))
-        .drop("segments", "_wild")
-    )
+    settled = -1
+    while True:
+        wild = materialize(wildcards(cut, settled), "url-wildcards")
+        settled = wild.agg(F.min("at")).first()[0]
+        if settled is None:
+            return cut.withColumn("template", F.array_join("segments", "/")).drop("segments")
+        cut = materialize(rewritten(cut, wild.filter(F.col("at") == settled), settled), "url-segments")
 
 
 def smoothed(blocked: str, labelled: str, prior: Column, strength: float) -> Column:

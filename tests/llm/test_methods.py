@@ -283,6 +283,14 @@ def test_url_wildcards_and_branches(spark):
     assert got[300].verdict == "block" and got[300].rule is None and got[200].verdict == "block"
 
 
+def test_url_wildcards_below_wildcards(spark):
+    rows = [(3 * i + k, f"http://a.net/user/name{i}x/slug{i}y{k}/{k}") for i in range(60) for k in range(3)]
+    rows += [(1000 + i, f"http://a.net/fixed/p{i % 2}/s{i}") for i in range(10)]
+    got = {r.page_id: r.template for r in url_templates.judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert {got[i] for i in range(180)} == {"/user/{*}/{*}/{n}"}
+    assert [got[1000 + i] for i in range(10)] == [f"/fixed/p{i % 2}/s{i}" for i in range(10)]
+
+
 def test_grammar_scores_clauses():
     model = toxicity.Model(toxicity.Lexicon.of(toxicity.built_in_arcs()), toxicity.FALLBACK)
     texts = ["you are an idiot", "they said you are an idiot", "you are not an idiot", "an idiot", "you idiot, you scum", "a calm day", "", "I will kill you", "the frost did kill plants"]
