@@ -591,6 +591,21 @@ def timeline_concurrency(spark, sf):
     return timeline.timeline_concurrency(bars(spark, sf), 10_000)
 
 
+@query
+def timeline_running_at(spark, sf):
+    """What runs in every seventh bucket, changed or not."""
+    drawn = bars(spark, sf)
+    asked = timeline.timeline_bounds(drawn).select(
+        F.explode(F.sequence(F.floor(F.col("min_us") / 10_000), F.floor(F.col("max_us") / 10_000) + 7, F.lit(7).cast("bigint"))).alias("bucket")
+    )
+    return timeline.running_at(timeline.timeline_concurrency(drawn, 10_000), asked)
+
+
+@query
+def timeline_peaks(spark, sf):
+    return timeline.timeline_peaks(timeline.timeline_concurrency(bars(spark, sf), 10_000), 100)
+
+
 # Text functions
 
 

@@ -147,7 +147,7 @@ def _wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     rows = log.select("seq", "conn_id", F.explode(messages).alias("m")).select("seq", "conn_id", "m.*")
-    numbered = with_ordinal(rows, int_div(F.col("us"), 1_000_000), ["us", "seq", "rank"], "msg")
+    numbered = with_ordinal(rows, ["us", "seq", "rank"], "msg")
     return numbered.select("msg", "conn_id", "us", "kind", "stmt", "query", "args", "oids", "tag", "seq")
 
 

@@ -716,13 +716,33 @@ add(
     BARS,
     BOUNDS,
 )
+# Overlaps are counted bar by bar, not from changes.
+_SPANS = "spans AS (SELECT seq, start_us // 10000 AS lo, (start_us + dur_us) // 10000 AS hi FROM bars)"
 add(
     "timeline_concurrency",
-    """SELECT bucket, CAST(sum(change) OVER (ORDER BY bucket) AS BIGINT) AS running FROM (
-      SELECT bucket, sum(change) AS change FROM (SELECT start_us // 10000 AS bucket, 1 AS change FROM bars
-        UNION ALL SELECT (start_us + dur_us) // 10000 + 1, -1 FROM bars) GROUP BY 1)""",
+    """SELECT bucket, lead(bucket) OVER (ORDER BY bucket) AS until, running FROM (
+      SELECT bucket, count(spans.seq) AS running
+      FROM (SELECT lo AS bucket FROM spans UNION SELECT hi + 1 FROM spans) LEFT JOIN spans ON lo <= bucket AND hi >= bucket GROUP BY 1)""",
     LOG,
     BARS,
+    _SPANS,
+)
+add(
+    "timeline_running_at",
+    """SELECT bucket, count(spans.seq) AS running FROM (
+      SELECT unnest(range((SELECT min(lo) FROM spans), (SELECT max(hi) + 8 FROM spans), 7)) AS bucket)
+    LEFT JOIN spans ON lo <= bucket AND hi >= bucket GROUP BY 1""",
+    LOG,
+    BARS,
+    _SPANS,
+)
+add(
+    "timeline_peaks",
+    """SELECT bucket // 100 AS cell, max(n) AS peak, CAST(sum(n) AS BIGINT) AS busy
+    FROM (SELECT bucket, count(*) AS n FROM (SELECT unnest(range(lo, hi + 1)) AS bucket FROM spans) GROUP BY 1) GROUP BY 1""",
+    LOG,
+    BARS,
+    _SPANS,
 )
 
 # Text functions

@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 
 from stmtflow.functions.binding import format_args
 from stmtflow.functions.filters import compile_filter, compile_search
-from stmtflow.functions.ints import floor_div
 from stmtflow.functions.render import format_ms, format_time, format_time_full, rfc3339_time
 from stmtflow.functions.text import escape_pipes
 from stmtflow.operators.stats import template_stats_export
 from stmtflow.operators.transactions import tx_label
 from stmtflow.plans.materialize import materialize
-from stmtflow.plans.ordered import CHUNK_ROWS, with_ordinal
+from stmtflow.plans.ordered import laid_out, part_starts
 from stmtflow.schema import is_lifecycle_op, op_name
 
 TITLE = "# SQL traffic export"
+# The headings below "## ..." and "| ... |" and the head lines "- ..." are the document's format.
 
 
 def _ms() -> Column:
@@ -64,14 +64,15 @@ def export_summary(events: DataFrame, filter_text: str = "", search: str = "", w
 def _evaluated(events: DataFrame, filter_text: str, search: str, web: bool) -> DataFrame:
     """The events' columns that documents show, with `_wanted`, stored: filter, template and labels are evaluated once.
 
-    Of rows that are not exported only numbers are kept.
+    Of rows that are not exported only numbers are kept. The rows are stored by range partitions, exported ones first
+    and by arrival, so that their places in the document follow from the partitions' sizes.
     """
     wanted = F.coalesce(compile_filter(filter_text, web) & compile_search(search), F.lit(False))
     numbers = [c for c in ("seq", "start_us", "dur_us", "op", "rows_affected") if c in events.columns]
     shown = [c for c in ("query", "args", "error", "tx_id", "normalized_query") if c in events.columns]
     told = events.withColumn("_wanted", wanted)
     kept = told.select(*numbers, *[F.when(F.col("_wanted"), F.col(c)).alias(c) for c in shown], "_wanted")
-    return materialize(kept, "export")
+    return laid_out(kept, [~F.col("_wanted"), F.col("seq")], "export")
 
 
 def _summary(events: DataFrame, filter_text: str, search: str, web: bool) -> DataFrame:
@@ -105,8 +106,11 @@ def _lines(section: int, lines: list[Column]) -> list[Column]:
     ]
 
 
-def _numbered(exported: DataFrame) -> DataFrame:
-    return with_ordinal(exported, floor_div(F.col("seq"), CHUNK_ROWS), ["seq"], "position", total="_total")
+def _numbered(evaluated: DataFrame) -> DataFrame:
+    """The exported rows with their `position` and `_total`, from the stored layout."""
+    starts = part_starts(evaluated, F.count_if("_wanted"), "_start", "_total")
+    position = (F.col("_start") + F.col("_place") + 1).cast("bigint")
+    return evaluated.filter("_wanted").join(F.broadcast(starts), "_part").withColumn("position", position)
 
 
 def export_markdown(events: DataFrame, filter_text: str = "", search: str = "", web: bool = False) -> DataFrame:
@@ -118,7 +122,7 @@ def export_markdown(events: DataFrame, filter_text: str = "", search: str = "",
     if web and search:
         raise ValueError("the browser export has no search")
     events = _evaluated(events, filter_text, search, web)
-    exported = events.filter("_wanted").drop("_wanted")
+    exported = events.filter("_wanted")
     escaped = escape_pipes if web else (lambda c: c)
     named = [("filter: ", filter_text), ("search: ", search)]
     given = [F.concat(F.lit(label), escaped(F.lit(text))) for label, text in named if text]
@@ -167,7 +171,7 @@ def export_markdown(events: DataFrame, filter_text: str = "", search: str = "",
         format_args(args),
         escape_pipes(F.col("error")),
     )
-    body = _numbered(exported).select(F.lit(1).alias("section"), "position", row.alias("line"))
+    body = _numbered(events).select(F.lit(1).alias("section"), "position", row.alias("line"))
     stats = template_stats_export(exported)
     stats_row = table_row(
         escape_pipes(F.col("normalized_query")),
@@ -185,7 +189,7 @@ def export_json(events: DataFrame, filter_text: str = "", search: str = "", web:
     if web and search:
         raise ValueError("the browser export has no search")
     events = _evaluated(events, filter_text, search, web)
-    exported = events.filter("_wanted").drop("_wanted")
+    exported = events.filter("_wanted")
     summary = export_summary(events, filter_text, search, web)
 
     def text(value: Column) -> Column:
@@ -228,7 +232,7 @@ def export_json(events: DataFrame, filter_text: str = "", search: str = "", web:
     def element(json: Column, last: Column) -> Column:
         return F.concat(F.lit("    "), json, F.when(last, F.lit("")).otherwise(F.lit(",")))
 
-    rows = _numbered(exported).select(
+    rows = _numbered(events).select(
         F.lit(1).alias("section"),
         "position",
         element(F.to_json(record), F.col("position") == F.col("_total")).alias("line"),

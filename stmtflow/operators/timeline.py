@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stmtflow.functions.ints import floor_div, int_div
 from stmtflow.functions.render import format_duration_ns, format_ms
-from stmtflow.plans.ordered import prefix_sum
+from stmtflow.plans.ordered import LAST, prefix_sum, running
 from stmtflow.schema import is_query_op
 
 
@@ -75,9 +75,10 @@ def timeline_ticks(bars: DataFrame, width: int, web: bool = False) -> DataFrame:
 
 
 def timeline_concurrency(bars: DataFrame, bucket_us: int) -> DataFrame:
-    """Statements running in each time bucket in which one starts or has just ended.
+    """(bucket, until, running): statements running in each time bucket in which one starts or has just ended.
 
-    Each statement adds one at its first bucket and takes it off after its last: two rows per statement
+    The number holds for all buckets before `until`, the next one with a change; null on the last row, after which
+    nothing runs. Each statement adds one at its first bucket and takes it off after its last: two rows per statement
     however long it runs, folded per bucket before the running sum.
     """
     first = floor_div(F.col("start_us"), bucket_us)
@@ -87,4 +88,33 @@ def timeline_concurrency(bars: DataFrame, bucket_us: int) -> DataFrame:
         F.struct(after.alias("bucket"), F.lit(-1).alias("change")),
     )
     folded = bars.select(F.inline(changes)).groupBy("bucket").agg(F.sum("change").alias("change"))
-    return prefix_sum(folded, "bucket", "change", "running").select("bucket", "running")
+    return prefix_sum(folded, "bucket", "change", "running", following="until").select("bucket", "until", "running")
+
+
+def running_at(levels: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(bucket, running) for any asked buckets, changed or not, from the rows of `timeline_concurrency`.
+
+    Asked buckets are put beside the levels in one order; each takes the last level at or before it. Before the first
+    level and after the last statement nothing runs.
+    """
+    asked = buckets.select("bucket").distinct()
+    marks = levels.select("bucket", F.lit(0).alias("_kind"), "running").unionByName(
+        asked.select("bucket", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("running"))
+    )
+    # Bucket and kind as one number: a level comes before a question about its own bucket.
+    numbered = marks.withColumn("_at", F.col("bucket") * 2 + F.col("_kind")).withColumn("_all", F.lit(0))
+    held = running(numbered, ["_all"], "_at", {"_held": (LAST, F.col("running"))})
+    return held.filter("_kind = 1").select("bucket", F.coalesce("_held", F.lit(0)).cast("bigint").alias("running"))
+
+
+def timeline_peaks(levels: DataFrame, per: int) -> DataFrame:
+    """(cell, peak, busy): most statements running at once, and statement-buckets, in each cell of `per` buckets.
+
+    A level that holds over several cells counts in each of them: in its first and its last by what it covers there,
+    and cells wholly inside it are listed too.
+    """
+    spans = levels.filter("running > 0").select("bucket", F.coalesce("until", F.col("bucket") + 1).alias("until"), "running")
+    cells = F.sequence(floor_div(F.col("bucket"), per), floor_div(F.col("until") - 1, per))
+    shown = spans.withColumn("cell", F.explode(cells))
+    covered = F.least("until", (F.col("cell") + 1) * per) - F.greatest("bucket", F.col("cell") * per)
+    return shown.groupBy("cell").agg(F.max("running").alias("peak"), F.sum(F.col("running") * covered).alias("busy"))

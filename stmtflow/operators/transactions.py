@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from stmtflow.functions.render import format_duration, format_time_full
 from stmtflow.functions.text import classify_op, squash_truncate
-from stmtflow.plans.ordered import CHUNK_ROWS, LAST, running
+from stmtflow.plans.ordered import LAST, running
 from stmtflow.schema import BEGIN, COMMIT, ROLLBACK, is_lifecycle_op, is_query_op, op_name
 
 SUMMARY_ROW, EVENT_ROW = 0, 1
 NONE_OPEN = -(1 << 62)
 
 
-def assign_tx(log: DataFrame, driver: str = "postgres", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def assign_tx(log: DataFrame, driver: str = "postgres", chunk_rows: int | None = None) -> DataFrame:
     """Set `op` to Begin, Commit or Rollback by the text and add `tx_id`, null outside transactions.
 
     BEGIN opens a label on its connection, replacing an open one; COMMIT and ROLLBACK carry the label and

@@ -14,7 +14,7 @@ from stmtflow.functions.decode import decode_params, is_binary_format
 from stmtflow.functions.text import classify_op
 from stmtflow.operators.transactions import assign_tx
 from stmtflow.plans.materialize import materialize
-from stmtflow.plans.ordered import CHUNK_ROWS, LAST, MIN, SUM, following, running
+from stmtflow.plans.ordered import LAST, MIN, SUM, chunk_width, following, running
 
 REQUESTS = ("REQ", "EXEC")
 ANSWERS = ("DONE", "ERR")
@@ -31,7 +31,7 @@ def rows_affected(tag: Column) -> Column:
     return F.coalesce(F.element_at(F.split(tag, " "), -1).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def with_bound_values(wire: DataFrame, driver: str = "postgres", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def with_bound_values(wire: DataFrame, driver: str = "postgres", chunk_rows: int | None = None) -> DataFrame:
     """Set `args` from the bytes of bound values, where the log has them (column `payloads`).
 
     PostgreSQL: BIND carries payloads and format codes; binary ones are read by the types in force for the statement,
@@ -57,7 +57,7 @@ def with_bound_values(wire: DataFrame, driver: str = "postgres", chunk_rows: int
     return wire.join(bound, "msg", "left").withColumn("args", F.coalesce("_bound", "args")).drop("_bound")
 
 
-def pair_requests(wire: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def pair_requests(wire: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Requests with their answer: a request is answered when the next request or answer is an answer.
 
     A request that another one follows first is overwritten and lost; an answer without a request is
@@ -94,11 +94,11 @@ def pair_requests(wire: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     )
 
 
-def _as_of(rows: DataFrame, order: str, names: dict[str, Column], chunk_rows: int) -> DataFrame:
+def _as_of(rows: DataFrame, order: str, names: dict[str, Column], chunk_rows: int | None) -> DataFrame:
     return running(rows, ["conn_id"], order, {n: (LAST, c) for n, c in names.items()}, chunk_rows=chunk_rows)
 
 
-def resolve_prepared(wire: DataFrame, driver: str = "postgres", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def resolve_prepared(wire: DataFrame, driver: str = "postgres", chunk_rows: int | None = None) -> DataFrame:
     """Per EXEC: the statement text and arguments in force.
 
     PostgreSQL: the last BIND names a statement; its text is what was last parsed under that name, or the
@@ -136,7 +136,7 @@ def resolve_prepared(wire: DataFrame, driver: str = "postgres", chunk_rows: int
     )
 
 
-def match_descriptions(wire: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def match_descriptions(wire: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Per PD that answers a DESC: the statement it describes.
 
     Within a query cycle the answers come in the order of the questions. Open questions are questions
@@ -180,7 +180,7 @@ def match_descriptions(wire: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFra
     return given.join(wanted, ["conn_id", "_cycle", "_n"]).select("msg", "conn_id", "stmt", "oids")
 
 
-def resolve_param_types(wire: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def resolve_param_types(wire: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Per BIND: the parameter types in force for its statement.
 
     PARSE sets the types of its name and of the fallback; a description sets one of the two. A name
@@ -214,7 +214,7 @@ def resolve_param_types(wire: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFr
     )
 
 
-def rebuild_statements(wire: DataFrame, driver: str = "postgres", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def rebuild_statements(wire: DataFrame, driver: str = "postgres", chunk_rows: int | None = None) -> DataFrame:
     """The statement log of a message log: pairs, prepared text, operation and transaction labels.
 
     `seq` is the arrival number of the request. Labels follow every request, answered or not. Bound values are
@@ -222,6 +222,8 @@ def rebuild_statements(wire: DataFrame, driver: str = "postgres", chunk_rows: in
     """
     if "payloads" in wire.columns:
         wire = materialize(with_bound_values(wire, driver, chunk_rows), "bound-values")
+    # Measured once; steps over sparse numbers cut their own rows by rank.
+    chunk_rows = chunk_rows or chunk_width(wire, "msg")
     prepared = resolve_prepared(wire, driver, chunk_rows).select(
         "msg", F.col("query").alias("_text"), F.col("args").alias("_args")
     )

@@ -1,9 +1,13 @@
-"""Ordered per-key computation without putting a whole key into one task.
+"""Ordered computation without putting a whole key, or the whole table, into one task.
 
-A plain window over `conn_id` sorts a connection's whole history in one task. Here the arrival number,
-which is unique, cuts every key into chunks of at most CHUNK_ROWS rows. Each chunk is scanned on its
-own, one summary row per (key, chunk) is scanned to find what earlier chunks carry in, and the carry is
-joined back on (key, chunk). The result equals the plain window; the largest group is a chunk.
+A plain window over `conn_id` sorts a connection's whole history in one task. Here every key is cut into chunks of at
+most about CHUNK_ROWS rows. Each chunk is scanned on its own, one summary row per (key, chunk) is scanned to find what
+earlier chunks carry in, and the carry is joined back on (key, chunk). The result equals the plain window; the largest
+group is a chunk.
+
+Chunks follow the rows, not the numbers: if the unique order numbers are dense, a chunk is a span of them as wide as
+their measured density asks for; if they are sparse or come in bursts, such as times, the rows are put in order by
+range partitions, numbered, and cut by that rank.
 """
 
 from __future__ import annotations
@@ -12,20 +16,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stmtflow.functions.ints import floor_div
+from stmtflow.plans.materialize import materialize
 
 CHUNK_ROWS = 1 << 20
+#: Numbers per row up to which spans of numbers serve as chunks: a span never holds more than this many times CHUNK_ROWS.
+SPARSE = 8
+#: Spark's monotonic row number is the partition number above this many bits, the place in the partition below.
+PLACE_BITS = 33
 
 LAST, SUM, MIN, MAX = "last", "sum", "min", "max"
 
 
-def chunk_width(df: DataFrame, order: str, rows: int = CHUNK_ROWS) -> int:
-    """How wide, in values of `order`, chunks must be to hold about `rows` rows each.
+def chunk_width(df: DataFrame, order: str, rows: int = CHUNK_ROWS) -> int | None:
+    """How wide, in values of a unique `order`, chunks must be to hold about `rows` rows each; None for sparse numbers."""
+    n, low, high = df.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
+    if not n or low is None:
+        return rows
+    gap = -(-(high - low + 1) // n)
+    return rows * gap if gap <= SPARSE else None
+
+
+def laid_out(df: DataFrame, order: list[str | Column], purpose: str = "ordered") -> DataFrame:
+    """The rows stored by range partitions in `order`, with `_part` and `_place`, the partition and the place in it.
 
-    For arrival numbers with large gaps, such as times: with the plain width every row would be a chunk of its own,
-    and the one row per chunk that is scanned for a key would be the whole key.
+    Spark samples the order columns to deal out partitions of like size, so neither gaps nor bursts in them matter.
+    Stored, because a partition's number would not outlast a second evaluation.
     """
-    n, low, high = df.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
-    return rows if not n else max(rows, rows * (high - low + 1) // n)
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_row", F.monotonically_increasing_id())
+    stored = materialize(placed, purpose)
+    return stored.withColumns(
+        {"_part": F.shiftright("_row", PLACE_BITS), "_place": F.col("_row").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}
+    ).drop("_row")
+
+
+def part_starts(laid: DataFrame, amount: Column, name: str, total: str | None = None) -> DataFrame:
+    """(_part, name): the sum of `amount` in all earlier partitions; one row for each partition of a stored layout."""
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = laid.groupBy("_part").agg(amount.alias("_amount"))
+    added = [] if total is None else [F.sum("_amount").over(whole).alias(total)]
+    return sums.select("_part", F.coalesce(F.sum("_amount").over(before), F.lit(0)).alias(name), *added)
+
+
+def with_ordinal(df: DataFrame, order: list[str | Column], name: str, total: str | None = None, first: int = 1) -> DataFrame:
+    """Number all rows by `order`, without sorting them in one task; optionally add the number of rows.
+
+    Only the sizes of the range partitions meet in one window. Rows equal in `order` are numbered in any order.
+    """
+    laid = laid_out(df, order)
+    starts = part_starts(laid, F.count(F.lit(1)), "_start", total)
+    position = (F.col("_start") + F.col("_place") + first).cast("bigint").alias(name)
+    added = [position] if total is None else [position, F.col(total)]
+    return laid.join(F.broadcast(starts), "_part").select(*df.columns, *added)
+
+
+def with_chunk(df: DataFrame, order: str, chunk_rows: int | None = None) -> DataFrame:
+    """Add `_chunk`, which rises with the unique `order`; by measured density or rank where no width is given."""
+    width = chunk_width(df, order) if chunk_rows is None else chunk_rows
+    if width is not None:
+        return df.withColumn("_chunk", floor_div(F.col(order), width))
+    return with_ordinal(df, [order], "_rank", first=0).withColumn("_chunk", floor_div(F.col("_rank"), CHUNK_ROWS)).drop("_rank")
 
 
 def _aggregate(kind: str, value: Column) -> Column:
@@ -54,16 +105,15 @@ def running(
     order: str,
     values: dict[str, tuple[str, Column]],
     inclusive: bool = True,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add running aggregates of each key in `order` (a unique bigint column).
 
     `values` maps a new column to (kind, expression), kind being last (non-null), sum, min or max, over
-    the rows up to the current one, or strictly before it when not `inclusive`.
+    the rows up to the current one, or strictly before it when not `inclusive`. `chunk_rows` fixes the width of a
+    chunk in numbers; without it chunks follow the rows.
     """
-    chunked = df.withColumns(
-        {"_chunk": floor_div(F.col(order), chunk_rows)} | {f"_v_{name}": v for name, (_, v) in values.items()}
-    )
+    chunked = with_chunk(df, order, chunk_rows).withColumns({f"_v_{name}": v for name, (_, v) in values.items()})
     within = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(order)
@@ -89,11 +139,11 @@ def running(
 
 
 def following(
-    df: DataFrame, keys: list[str], order: str, values: dict[str, Column], chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, keys: list[str], order: str, values: dict[str, Column], chunk_rows: int | None = None
 ) -> DataFrame:
     """Add values of the next row of each key in `order`; null on the last row of a key."""
     record = F.struct(*[v.alias(name) for name, v in values.items()])
-    chunked = df.withColumns({"_chunk": floor_div(F.col(order), chunk_rows), "_record": record})
+    chunked = with_chunk(df, order, chunk_rows).withColumn("_record", record)
     within = Window.partitionBy(*keys, "_chunk").orderBy(order)
     local = chunked.withColumn("_local", F.lead("_record").over(within))
     carry = (
@@ -105,42 +155,21 @@ def following(
     return local.join(carry, [*keys, "_chunk"]).select(*df.columns, *[chosen[name].alias(name) for name in values])
 
 
-def with_ordinal(
-    df: DataFrame, chunk: Column, order: list[str], name: str, total: str | None = None, first: int = 1
-) -> DataFrame:
-    """Number all rows by `order`, without sorting them in one task; optionally add the number of rows.
+def prefix_sum(df: DataFrame, position: str, value: str, name: str, following: str | None = None) -> DataFrame:
+    """Running sum of `value` over rows with distinct bigint positions, range partition by range partition.
 
-    `chunk` must rise with the order. Chunks are numbered apart; only their sizes, one row per chunk,
-    meet in a single window.
+    `following` names a column for the next position, null on the last row.
     """
-    chunked = df.withColumn("_chunk", chunk)
-    all_chunks = Window.orderBy("_chunk")
-    before = all_chunks.rowsBetween(Window.unboundedPreceding, -1)
-    whole = all_chunks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = (
-        chunked.groupBy("_chunk")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select(
-            "_chunk",
-            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
-            F.sum("_size").over(whole).alias("_total"),
-        )
-    )
-    numbered = chunked.withColumn("_n", F.row_number().over(Window.partitionBy("_chunk").orderBy(*order)))
-    position = (F.col("_start") + F.col("_n") + F.lit(first - 1)).cast("bigint").alias(name)
-    added = [position] if total is None else [position, F.col("_total").alias(total)]
-    return numbered.join(starts, "_chunk").select(*df.columns, *added)
-
-
-def prefix_sum(df: DataFrame, position: str, value: str, name: str, chunk_width: int = 1 << 16) -> DataFrame:
-    """Running sum of `value` over rows with distinct bigint positions, chunk by chunk as above."""
-    chunked = df.withColumn("_chunk", floor_div(F.col(position), chunk_width))
-    within = Window.partitionBy("_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        chunked.groupBy("_chunk")
-        .agg(F.sum(value).alias("_size"))
-        .select("_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    )
-    local = chunked.withColumn("_sum", F.sum(value).over(within))
-    return local.join(starts, "_chunk").select(*df.columns, (F.col("_start") + F.col("_sum")).alias(name))
+    laid = laid_out(df, [position])
+    own = Window.partitionBy("_part").orderBy(position)
+    starts = part_starts(laid, F.sum(value), "_start")
+    columns = {"_sum": F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0))}
+    if following:
+        edges = laid.groupBy("_part").agg(F.min(position).alias("_first"))
+        after = edges.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_after"))
+        starts = starts.join(after, "_part")
+        columns["_next"] = F.lead(position).over(own)
+    added = [(F.col("_start") + F.col("_sum")).alias(name)]
+    if following:
+        added.append(F.coalesce("_next", "_after").alias(following))
+    return laid.withColumns(columns).join(F.broadcast(starts), "_part").select(*df.columns, *added)

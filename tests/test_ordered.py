@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stmtflow.functions.ints import floor_div
-from stmtflow.plans.ordered import LAST, MAX, MIN, SUM, chunk_width, following, prefix_sum, running, with_ordinal
+from stmtflow.plans import ordered
+from stmtflow.plans.ordered import CHUNK_ROWS, LAST, MAX, MIN, SUM, chunk_width, following, laid_out, prefix_sum, running, with_chunk, with_ordinal
 from stmtflow.plans.quantile import stats_with_quantile
 
 
@@ -53,10 +53,12 @@ def test_following(spark, chunk_rows):
 
 def test_ordinal_and_prefix_sum(spark):
     rows, df = sample(spark)
-    numbered = with_ordinal(df, floor_div(F.col("o"), 50), ["o"], "n", total="all").collect()
+    numbered = with_ordinal(df, ["o"], "n", total="all").collect()
     assert {r.o: r.n for r in numbered} == {o: i + 1 for i, (o, _, _) in enumerate(rows)}
     assert {r["all"] for r in numbered} == {len(rows)}
-    sums = prefix_sum(df.fillna(0, ["v"]), "o", "v", "s", chunk_width=64).collect()
+    sums = prefix_sum(df.fillna(0, ["v"]), "o", "v", "s", following="after").collect()
+    places = [o for o, _, _ in rows]
+    assert {r.o: r.after for r in sums} == dict(zip(places, [*places[1:], None]))
     total, want = 0, {}
     for o, _, v in rows:
         total += v or 0
@@ -83,10 +85,47 @@ def test_quantile(spark, share):
     assert {r.k: (r.n, r.total, r.quantile, r.largest, r.least) for r in got} == want
 
 
-def test_sparse_numbers_make_wide_chunks(spark):
-    rows = [(i * 1_000_000_007, "k", i % 3) for i in range(1000)]
-    df = spark.createDataFrame(rows, "o bigint, k string, v bigint")
-    width = chunk_width(df, "o", 100)
-    assert 9 <= 1000 * 1_000_000_007 / width <= 11 and chunk_width(df.limit(0), "o") == 1 << 20
-    got = running(df, ["k"], "o", {"b": (SUM, F.col("v"))}, chunk_rows=width).agg(F.max("b")).first()[0]
-    assert got == sum(i % 3 for i in range(1000))
+def test_width_follows_density(spark):
+    frame = lambda numbers: spark.createDataFrame([(n,) for n in numbers], "o bigint")
+    assert chunk_width(frame(range(0, 3000, 3)), "o", 100) == 300
+    assert chunk_width(frame(range(100)), "o") == CHUNK_ROWS == chunk_width(frame([]), "o")
+    assert chunk_width(frame(range(0, 10**12, 10**9)), "o") is None
+
+
+def sparse(spark, n=6000, seed=3):
+    """Time-like numbers: gaps of 10^9 with bursts of neighbours, 70% of the rows on one key."""
+    rng, at, rows = random.Random(seed), -(10**12), []
+    for _ in range(n):
+        at += 1 if rng.random() < 0.5 else 10**9 + rng.randrange(1000)
+        rows.append((at, "hot" if rng.random() < 0.7 else f"k{rng.randrange(3)}", rng.randint(-5, 5)))
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    return rows, spark.createDataFrame(shuffled, "o bigint, k string, v bigint")
+
+
+def test_sparse_numbers(spark, monkeypatch):
+    """Chunks by rank: bounded, few, and the same results, with no width from the caller."""
+    rows, df = sparse(spark)
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 500)
+    sizes = [r["count"] for r in with_chunk(df, "o").groupBy("_chunk").count().collect()]
+    assert max(sizes) == 500 and len(sizes) == 12
+    got = running(df, ["k"], "o", {"s": (SUM, F.col("v")), "m": (MAX, F.col("v"))})
+    total, most, want = {}, {}, {}
+    for o, k, v in rows:
+        total[k], most[k] = total.get(k, 0) + v, max(most.get(k, v), v)
+        want[o] = (total[k], most[k])
+    assert {r.o: (r.s, r.m) for r in got.collect()} == want
+    after = {r.o: r.n for r in following(df, ["k"], "o", {"n": F.col("o")}).collect()}
+    later, wanted = {}, {}
+    for o, k, _ in reversed(rows):
+        wanted[o] = later.get(k)
+        later[k] = o
+    assert after == wanted
+
+
+def test_layout_parts_are_even(spark):
+    """Neither gaps nor bursts pile rows up in a partition; equal leading values are split by the next column."""
+    _, df = sparse(spark)
+    busy = df.withColumn("second", F.when(F.col("k") == "hot", F.lit(7)).otherwise(F.col("v") + 8)).repartition(8)
+    sizes = [r["count"] for r in laid_out(busy, ["second", "o"]).groupBy("_part").count().collect()]
+    assert max(sizes) <= 2 * 6000 / len(sizes) or len(sizes) == 1

@@ -205,8 +205,12 @@ def test_timeline(spark):
     ticks = timeline.timeline_ticks(bars, 30).orderBy("tick").collect()
     assert [(r.col, r.label) for r in ticks] == [(0, "0µs"), (14, "499.5ms"), (29, "999.0ms")]
     assert timeline.timeline_bounds(timeline.drawn(statements(spark, rows), 1)).first().n == 1
-    running = {r.bucket: r.running for r in timeline.timeline_concurrency(bars, 250_000).collect()}
-    assert running == {4: 1, 5: 2, 6: 1, 7: 1, 8: 0}
+    levels = timeline.timeline_concurrency(bars, 250_000)
+    running = {r.bucket: (r.until, r.running) for r in levels.collect()}
+    assert running == {4: (5, 1), 5: (6, 2), 6: (7, 1), 7: (8, 1), 8: (None, 0)}
+    asked = timeline.running_at(levels, bars.sparkSession.range(2, 10).withColumnRenamed("id", "bucket"))
+    assert {r.bucket: r.running for r in asked.collect()} == {2: 0, 3: 0, 4: 1, 5: 2, 6: 1, 7: 1, 8: 0, 9: 0}
+    assert {r.cell: (r.peak, r.busy) for r in timeline.timeline_peaks(levels, 3).collect()} == {1: (2, 3), 2: (1, 2)}
     empty = timeline.timeline_ticks(bars.limit(0), 30).collect()
     assert len(empty) == 3
 

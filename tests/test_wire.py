@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 
 import pytest
-from helpers import column, messages
+from helpers import column, messages, statements
 from pyspark.sql import functions as F
 
-from stmtflow.operators import wire
+from stmtflow.operators import export, wire
+from stmtflow.plans.enrich import with_template
 
 
 def test_tags(spark):
@@ -182,3 +183,35 @@ def test_rebuilt_statements(spark):
         (4, "INSERT INTO t VALUES ($1)", ["7"], 1, "", "1-0"),
         (6, "COMMIT", [], 0, "broken", "1-0"),
     ]
+
+
+def test_sparse_message_numbers(spark):
+    """Message numbers as far apart as times give the same statements as dense ones."""
+    rng, rows = random.Random(11), []
+    for i in range(300):
+        conn = 1 if rng.random() < 0.8 else 2
+        name = f"s{rng.randrange(3)}"
+        rows.append(rng.choice([
+            (conn, "PARSE", {"stmt": name, "query": "BEGIN" if i % 9 == 0 else f"SELECT {i}"}),
+            (conn, "BIND", {"stmt": name, "args": [str(i)]}),
+            (conn, "EXEC", {}),
+            (conn, "REQ", {"query": rng.choice(["BEGIN", "COMMIT", f"UPDATE t SET a = {i}"])}),
+            (conn, "DONE", {"tag": f"UPDATE {i}"}),
+            (conn, "ERR", {"tag": "no"}),
+        ]))
+    dense = messages(spark, rows)
+    far = dense.withColumn("msg", F.col("msg") * 1_000_000_007 + F.pmod(F.col("msg") * 7919, F.lit(1000)))
+    back = lambda c: F.floor(F.col(c) / 1_000_000_007)
+    shown = ["seq", "conn_id", "op", "query", "args", "start_us", "dur_us", "rows_affected", "error"]
+    want = wire.rebuild_statements(dense).select(*shown, (F.col("tx_id").isNotNull()).alias("in_tx"))
+    got = wire.rebuild_statements(far).withColumn("seq", back("seq")).select(*shown, (F.col("tx_id").isNotNull()).alias("in_tx"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert wire.chunk_width(far, "msg") is None
+
+
+def test_sparse_arrival_numbers_in_exports(spark):
+    rows = [{"seq": i * 10**9 + i % 7, "query": f"SELECT {i} FROM t"} for i in range(50)]
+    log = with_template(statements(spark, rows))
+    body = export.export_markdown(log).filter("section = 1").orderBy("position").collect()
+    assert [r.position for r in body] == list(range(1, 51))
+    assert all(f"| {i + 1} |" in r.line and f"SELECT {i} FROM" in r.line for i, r in enumerate(body))
