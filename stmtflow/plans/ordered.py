@@ -12,6 +12,8 @@ range partitions, numbered, and cut by that rank.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,9 @@ def chunk_width(df: DataFrame, order: str, rows: int = CHUNK_ROWS) -> int | None
     return rows * gap if gap <= SPARSE else None
 
 
-def laid_out(df: DataFrame, order: list[str | Column], purpose: str = "ordered") -> DataFrame:
+def laid_out(
+    df: DataFrame, order: list[str | Column], purpose: str = "ordered", store: Callable[[DataFrame, str], DataFrame] = materialize
+) -> DataFrame:
     """The rows stored by range partitions in `order`, with `_part` and `_place`, the partition and the place in it.
 
     Spark samples the order columns to deal out partitions of like size, so neither gaps nor bursts in them matter.
@@ -44,7 +48,7 @@ def laid_out(df: DataFrame, order: list[str | Column], purpose: str = "ordered")
     """
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_row", F.monotonically_increasing_id())
-    stored = materialize(placed, purpose)
+    stored = store(placed, purpose)
     return stored.withColumns(
         {"_part": F.shiftright("_row", PLACE_BITS), "_place": F.col("_row").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}
     ).drop("_row")
