@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtflow.llm import licenses, lsh_forest, mixing, mtree, rule_ensemble, suffix_dedup, tiling, toxicity, url_templates, warc
+from stmtflow.llm import (
+    licenses,
+    lsh_forest,
+    mixing,
+    mtree,
+    rule_ensemble,
+    sharding,
+    suffix_dedup,
+    tiling,
+    toxicity,
+    trie_codes,
+    url_templates,
+    warc,
+    whitening,
+)
 from stmtflow.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +103,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = tiling.find_leaks(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", F.inline("leaks")).withColumn("n_tiles", F.size("tiles")).drop("tiles")
+
+
+@query
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, fit = whitening.whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    shares = F.array(*[F.lit(e) for e in fit.explained]).cast("array<double>")
+    return rows.select("vec_id", F.col("deviation").cast("bigint").alias("deviation"), F.posexplode("whitened").alias("_at", "whitened")).select(
+        "vec_id",
+        (F.col("_at") + 1).alias("component"),
+        F.lit(fit.n).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("_at")).alias("explained"),
+        F.lit(fit.identity_error).alias("identity_error"),
+    )
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = trie_codes.encode(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    summed = trie_codes.with_label_error(coded)
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from stmtflow.llm import url_templates as ut
 from stmtflow.llm.licenses import MASS, TEMPLATES
+from stmtflow.llm import sharding as sh
+from stmtflow.llm import trie_codes as tc
 from stmtflow.llm.mixing import MOST, SEED, SHARE_PERCENT, WEIGHTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -174,3 +176,85 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN impurity >= {ut.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template
 FROM s JOIN t USING (page_id) JOIN v USING (host, template)
 """
+
+# The heap is a list of loads; CRC-32 is worked out byte by byte, its table by the polynomial's rule.
+ORACLES["op11_shards"] = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT doc_id, coalesce(text, '') AS body, strlen(coalesce(text, '')) + {sh.ROW_BYTES} AS size, sha256(coalesce(text, '')) AS h FROM documents
+), checked AS (
+  SELECT DISTINCT h, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda b: ('0x' || b)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS crc32 FROM d, crc
+), grain AS (
+  SELECT greatest(1, sum(size) // ({sh.SHARDS} * {sh.PIECES})) AS grain FROM d
+), g AS (
+  SELECT h, CAST(sum(size) AS BIGINT) AS bytes FROM d GROUP BY h
+), placed AS (
+  SELECT h, bytes, CASE WHEN bytes <= grain THEN ('0x' || substr(h, 1, {sh.DIGITS}))::INTEGER END AS bucket, grain FROM g, grain
+), bound AS (
+  SELECT h, bytes, bucket, CASE WHEN bucket IS NOT NULL THEN coalesce(sum(bytes) OVER (PARTITION BY bucket ORDER BY bytes DESC, h
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // grain END AS bundle FROM placed
+), items AS (
+  SELECT bucket, bundle, h, bytes FROM bound WHERE bucket IS NULL
+  UNION ALL SELECT bucket, bundle, NULL, CAST(sum(bytes) AS BIGINT) FROM bound WHERE bucket IS NOT NULL GROUP BY bucket, bundle
+), queue AS (
+  SELECT *, row_number() OVER (ORDER BY bytes DESC, bucket NULLS FIRST, bundle, h) AS r FROM items
+), lpt AS (
+  SELECT 0::BIGINT AS r, list_transform(range({sh.SHARDS}), lambda i: 0::BIGINT) AS loads, NULL::BIGINT AS shard
+  UNION ALL
+  SELECT q.r, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + q.bytes ELSE x END),
+    list_position(loads, list_min(loads)) - 1
+  FROM lpt JOIN queue q ON q.r = lpt.r + 1
+), dealt AS (
+  SELECT q.bucket, q.bundle, q.h, CAST(shard AS INTEGER) AS shard FROM lpt JOIN queue q USING (r)
+), grouped AS (
+  SELECT b.h, x.shard FROM bound b JOIN dealt x ON b.bucket IS NULL AND b.h = x.h OR b.bucket = x.bucket AND b.bundle = x.bundle
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc32 AS BIGINT) AS text_crc32, '{sh.LAW}' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, h) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM d JOIN grouped USING (h) JOIN checked USING (h)
+"""
+
+
+def _codes_sql() -> str:
+    """Plain assignment of every part of every vector, round by round."""
+    steps = [
+        f"""v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(c::DOUBLE * {tc.SCALE}) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+)""",
+        f"w AS (SELECT max(len(x)) // {tc.PARTS} AS w FROM v)",
+        f"p AS (SELECT vec_id, label, i AS pos, x[CAST(i * w + 1 AS BIGINT) : CAST((i + 1) * w AS BIGINT)] AS part FROM v, w, range({tc.PARTS}) t(i))",
+        f"book0 AS (SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS entry, part AS c FROM p"
+        f" QUALIFY row_number() OVER (PARTITION BY pos ORDER BY vec_id) <= {tc.ENTRIES})",
+    ]
+    for r in range(tc.ROUNDS + 1):
+        steps.append(
+            f"""near{r} AS MATERIALIZED (
+  SELECT vec_id, label, pos, part, entry, err FROM (SELECT p.*, entry,
+    list_sum(list_transform(list_zip(part, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS err FROM p JOIN book{r} USING (pos))
+  QUALIFY row_number() OVER (PARTITION BY vec_id, pos ORDER BY err, entry) = 1
+)"""
+        )
+        if r < tc.ROUNDS:
+            steps.append(
+                f"""book{r + 1} AS MATERIALIZED (
+  SELECT b.pos, b.entry, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT pos, entry, list(mean ORDER BY k) AS c FROM (
+      SELECT pos, entry, k, CAST(floor(sum(part[CAST(k + 1 AS BIGINT)])::HUGEINT / count(*)) AS BIGINT) AS mean FROM near{r}, w, range(w) t(k) GROUP BY ALL)
+    GROUP BY ALL) m USING (pos, entry)
+)"""
+            )
+    last = tc.ROUNDS
+    return f"""WITH {", ".join(steps)}, coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY pos) AS code, CAST(sum(err) AS BIGINT) AS error
+  FROM near{last} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pos, entry)) FROM book{last}) AS codebooks_sha256
+FROM coded"""
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
