@@ -336,6 +336,16 @@ def nplus1_alerts_template(spark, sf):
     return nplus1.nplus1_alerts(templated(spark, sf), F.col("normalized_query"))
 
 
+@query
+def nplus1_flags_arrival(spark, sf):
+    return nplus1.with_nplus1(fixture.completed_log(spark, sf), order="arrival").select("seq", "n_plus_1")
+
+
+@query
+def nplus1_alerts_arrival(spark, sf):
+    return nplus1.nplus1_alerts(fixture.completed_log(spark, sf), order="arrival")
+
+
 @query
 def slow_flags(spark, sf):
     return with_slow(log(spark, sf)).select("seq", "slow_query")

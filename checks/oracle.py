@@ -470,6 +470,25 @@ add("nplus1_flags", "SELECT seq, n_plus_1 FROM ev", *FLAGGED)
 add("nplus1_flags_template", "SELECT seq, n_plus_1 FROM ev", LOG, TPL, counted("normalized_query"))
 for name, key in (("nplus1_alerts", "query"), ("nplus1_alerts_template", "normalized_query")):
     add(name, "SELECT key, start_us, seq, cnt FROM alert", LOG, TPL, counted(key), CHAIN, recursive=True)
+# By arrival: the detector's list is replayed literally, every text one statement a step; `head` is the list's first place.
+_ARRIVED = (
+    LOG,
+    f"""done AS (
+      SELECT * EXCLUDE (seq), row_number() OVER (ORDER BY start_us + coalesce(dur_us, 0) + CASE WHEN seq % 37 = 0 THEN 20000000 ELSE 0 END, seq) AS seq FROM log)""",
+    f"""lists AS (
+      SELECT query AS key, list(start_us ORDER BY seq) AS times, list(seq ORDER BY seq) AS seqs FROM done WHERE {SELECT} AND {FROM} GROUP BY 1)""",
+    """steps AS (
+      SELECT key, 0::BIGINT AS n, 1::BIGINT AS head, NULL::BIGINT AS last, false AS flagged, false AS alert FROM lists
+      UNION ALL
+      SELECT key, n, head, CASE WHEN n - head + 1 >= 5 AND (last IS NULL OR t - last >= 10000000) THEN t ELSE last END,
+        n - head + 1 >= 5, n - head + 1 >= 5 AND (last IS NULL OR t - last >= 10000000)
+      FROM (SELECT s.key, n + 1 AS n, last, times[n + 1] AS t,
+          head + list_position(list_transform(times[head : n + 1], lambda x: x >= times[n + 1] - 1000000), true) - 1 AS head
+        FROM steps s JOIN lists USING (key) WHERE n < len(times)))""",
+    "shown AS (SELECT key, times[n] AS start_us, seqs[n] AS seq, n - head + 1 AS cnt, flagged, alert FROM steps JOIN lists USING (key) WHERE n > 0)",
+)
+add("nplus1_flags_arrival", "SELECT seq, coalesce(flagged, false) AS n_plus_1 FROM done LEFT JOIN shown USING (seq)", *_ARRIVED, recursive=True)
+add("nplus1_alerts_arrival", "SELECT key, start_us, seq, cnt FROM shown WHERE alert", *_ARRIVED, recursive=True)
 add("slow_flags", "SELECT seq, slow_query FROM tpl", *BASE)
 BAR = "CASE WHEN error <> '' THEN 'error' WHEN n_plus_1 THEN 'nplus1' WHEN slow_query THEN 'slow' ELSE 'normal' END"
 add("event_status", f"SELECT seq, {STATUS} AS status, {BAR} AS bar FROM ev", *FLAGGED)

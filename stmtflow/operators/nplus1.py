@@ -5,6 +5,12 @@ places before it, of the same text, started no more than a window earlier: a pla
 frame and no count over the window is needed. Texts are cut into time buckets so that a hot text spreads
 over many tasks, and of statements starting in the same microsecond only the first `threshold` count,
 which bounds a bucket whatever the traffic.
+
+In order of arrival (order="arrival", by `seq`) the detector keeps the starts of a text in a list and, with each statement,
+drops starts older than a window from the head of the list only. So the head is the first start within a window of the
+latest start seen so far, which lies where the running maximum of the starts first came within a window of itself: with that
+maximum in place of each start, the list is a sliding window over rising times, and the same operators apply. Alerts likewise
+follow the running maximum of the flagged starts: only a statement that reaches it can be a cooldown later than the last one.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from pyspark.sql import functions as F
 from stmtflow.config import DEFAULTS, DetectionConfig
 from stmtflow.functions.ints import floor_div
 from stmtflow.functions.text import is_table_select
+from stmtflow.plans.materialize import materialize
+from stmtflow.plans.ordered import MAX, running
 
 BUCKET_WINDOWS = 4
 CHAIN_COOLDOWNS = 16
@@ -30,6 +38,15 @@ def watched(log: DataFrame, key: Column) -> DataFrame:
     return log.filter(is_table_select(F.col("op"), F.col("query"))).select(key.alias("key"), "start_us", "seq")
 
 
+START, ARRIVAL = "start", "arrival"
+
+
+def _risen(rows: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+    """(key, start_us, seq, own_us): each start raised to the latest of its key so far by arrival; `own_us` is the start itself."""
+    raised = running(rows.withColumnRenamed("start_us", "own_us"), ["key"], "seq", {"start_us": (MAX, F.col("own_us"))}, chunk_rows=chunk_rows)
+    return raised.select("key", "start_us", "seq", "own_us")
+
+
 def flagged_cells(selects: DataFrame, config: DetectionConfig = DEFAULTS) -> DataFrame:
     """Flagged (key, start_us) with the first flagged arrival in it; later arrivals there are flagged too."""
     threshold, window = config.nplus1_threshold, config.nplus1_window_us
@@ -66,15 +83,22 @@ def with_nplus1(
     key: Column | None = None,
     config: DetectionConfig = DEFAULTS,
     detect_on: DataFrame | None = None,
+    order: str = START,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
-    """Add `n_plus_1`. The key is the raw text unless given.
+    """Add `n_plus_1`. The key is the raw text unless given; statements are taken by start, or in order of arrival.
 
     `detect_on` may name an earlier, cheaper form of the same log to run the detection on.
     """
+    if order not in (START, ARRIVAL):
+        raise ValueError(f"unknown order: {order}")
     if config.nplus1_threshold == 0:
         return log.withColumn("n_plus_1", F.lit(False))
     key = F.col("query") if key is None else key
     selects = watched(log if detect_on is None else detect_on, key)
+    if order == ARRIVAL:
+        hits = _flagged_by_arrival(selects, config, chunk_rows).select("seq", F.lit(True).alias("_hit"))
+        return log.join(hits, "seq", "left").select(*log.columns, F.coalesce("_hit", F.lit(False)).alias("n_plus_1"))
     cells = flagged_cells(selects, config).withColumnRenamed("start_us", "_cell_us")
     keyed = log.withColumn("_key", F.when(is_table_select(F.col("op"), F.col("query")), key))
     joined = keyed.join(
@@ -83,14 +107,44 @@ def with_nplus1(
     return joined.select(*log.columns, F.coalesce(F.col("seq") >= F.col("first_seq"), F.lit(False)).alias("n_plus_1"))
 
 
-def nplus1_alerts(log: DataFrame, key: Column | None = None, config: DetectionConfig = DEFAULTS) -> DataFrame:
+def _flagged_by_arrival(selects: DataFrame, config: DetectionConfig, chunk_rows: int | None = None) -> DataFrame:
+    """(key, start_us, seq, own_us) of the statements flagged in order of arrival, `start_us` being the raised start."""
+    # Both sides of the join below come from this table.
+    risen = materialize(_risen(selects, chunk_rows), "arrivals")
+    return risen.join(flagged_cells(risen.drop("own_us"), config), ["start_us", "key"]).filter("seq >= first_seq").drop("first_seq")
+
+
+def _alerts_by_arrival(selects: DataFrame, config: DetectionConfig, chunk_rows: int | None) -> DataFrame:
+    window, cooldown = config.nplus1_window_us, config.nplus1_cooldown_us
+    risen = materialize(_risen(selects, chunk_rows), "arrivals")
+    flagged = risen.join(flagged_cells(risen.drop("own_us"), config), ["start_us", "key"]).filter("seq >= first_seq")
+    # The running maximum of the flagged starts; an alert is a statement that reaches it.
+    peaks = _risen(flagged.select("key", F.col("own_us").alias("start_us"), "seq"), chunk_rows)
+    reached = peaks.filter("own_us = start_us")
+    if cooldown:
+        cells = reached.groupBy("key", "start_us").agg(F.min("seq").alias("first_seq"))
+        reached = cooldown_chain(cells, cooldown)
+    counts = window_counts(risen.drop("own_us"), window).select("seq", "cnt")
+    return reached.select("key", "start_us", "seq").join(counts, "seq").select("key", "start_us", "seq", "cnt")
+
+
+def nplus1_alerts(
+    log: DataFrame,
+    key: Column | None = None,
+    config: DetectionConfig = DEFAULTS,
+    order: str = START,
+    chunk_rows: int | None = None,
+) -> DataFrame:
     """Alerts (key, start_us, seq, cnt): the first flagged statement, then one per cooldown at most.
 
-    `cnt` is the number of statements of the text in the window up to and including this one.
+    `cnt` is the number of statements of the text in the window up to and including this one. By arrival, a statement that
+    starts less than a cooldown after the last alert, or before it, raises none.
     """
     selects = watched(log, F.col("query") if key is None else key)
     if config.nplus1_threshold == 0:
         return selects.limit(0).withColumn("cnt", F.lit(0).cast("bigint"))
+    if order == ARRIVAL:
+        return _alerts_by_arrival(selects, config, chunk_rows)
     cells = flagged_cells(selects, config)
     if config.nplus1_cooldown_us == 0:
         return window_counts(selects, config.nplus1_window_us).filter(F.col("cnt") >= config.nplus1_threshold)

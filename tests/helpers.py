@@ -49,3 +49,18 @@ def replay_nplus1(rows, threshold, window, cooldown):
             last[key] = t
             alerts.append((key, t, seq, count))
     return flags, sorted(alerts)
+
+
+def replay_arrival(rows, threshold, window, cooldown):
+    """Flags and alerts of (key, start_us, seq) rows taken by seq, with the list of starts kept as the detector keeps it."""
+    kept, last, flags, alerts = {}, {}, {}, []
+    for key, t, seq in sorted(rows, key=lambda r: r[2]):
+        times = kept.setdefault(key, [])
+        while times and times[0] < t - window:
+            times.pop(0)
+        times.append(t)
+        flags[seq] = len(times) >= threshold
+        if flags[seq] and (key not in last or t - last[key] >= cooldown):
+            last[key] = t
+            alerts.append((key, t, seq, len(times)))
+    return flags, sorted(alerts)

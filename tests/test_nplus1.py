@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from helpers import replay_nplus1, statements
+from helpers import replay_arrival, replay_nplus1, statements
 from pyspark.sql import functions as F
 
 from stmtflow.config import DetectionConfig
@@ -95,3 +95,31 @@ def test_bad_settings():
         DetectionConfig(slow_us=-1)
     with pytest.raises(ValueError, match="window"):
         DetectionConfig(nplus1_window_us=0)
+
+
+@pytest.mark.parametrize("chunk_rows", [50, None])
+@pytest.mark.parametrize(("threshold", "window", "cooldown"), [(5, 50, 200), (2, 7, 1), (3, 40, 0), (4, 20, 5000), (1, 30, 15)])
+def test_order_of_arrival(spark, threshold, window, cooldown, chunk_rows):
+    """Statements that arrive after later ones, some of them very late; a hot text crosses chunks."""
+    rng = random.Random(threshold * 100 + window)
+    rows, t = [], 0
+    for seq in range(1500):
+        t += rng.choice([0, 0, 1, 2, 5, 20] if seq % 300 < 200 else [60, 90])
+        late = rng.choice([0] * 6 + [3, 10, window, 3 * window, 4 * cooldown])
+        rows.append((rng.choice([Q] * 8 + [P]), t - late, seq))
+    config = DetectionConfig(threshold, window, cooldown)
+    log = statements(spark, [{"query": q, "start_us": t, "seq": s} for q, t, s in rows]).repartition(3)
+    flags, alerts = replay_arrival(rows, threshold, window, cooldown)
+    marked = with_nplus1(log, config=config, order="arrival", chunk_rows=chunk_rows)
+    assert marked.columns == [*log.columns, "n_plus_1"]
+    assert {r.seq: r.n_plus_1 for r in marked.collect()} == flags
+    got = nplus1_alerts(log, config=config, order="arrival", chunk_rows=chunk_rows)
+    assert sorted((r.key, r.start_us, r.seq, r.cnt) for r in got.collect()) == alerts
+
+
+def test_orders_agree_on_rising_starts(spark):
+    rows = [{"query": Q, "start_us": i * 100 * MS} for i in range(12)]
+    log = statements(spark, rows)
+    assert with_nplus1(log, order="arrival").filter("n_plus_1").count() == with_nplus1(log).filter("n_plus_1").count() == 8
+    with pytest.raises(ValueError):
+        with_nplus1(log, order="sideways")
