@@ -710,7 +710,7 @@ def stream_nplus1_alerts(spark, sf):
 
 @query
 def stream_alert_feed(spark, sf):
-    return combined.stream_alert_feed(spark, replay(spark, sf, True), work_dir(spark, "feed"))
+    return combined.stream_alert_feed(spark, replay(spark, sf, True), work_dir(spark, "feed")).feed(spark)
 
 
 @query
@@ -718,12 +718,15 @@ def stream_template_stats(spark, sf):
     folder = work_dir(spark, "stats")
     job = jobs.TemplateStatsJob(spark, folder)
     jobs.run_batches(replay(spark, sf, True), folder, "stats", job)
-    return job.stats(spark)
+    found = job.stats(spark)
+    # The sketched p95 is held against the ranks of all events; three times the stated error leaves chance no part.
+    near = stats.rank_check(found, templated(spark, sf), 3 * job.SKETCH_ERROR).select("normalized_query", F.col("within").alias("p95_near"))
+    return found.drop("p95_us").join(near, "normalized_query")
 
 
-def _rates(spark: SparkSession, sf: str, slide: str | None = None) -> DataFrame:
+def _rates(spark: SparkSession, sf: str, slide: int | None = None) -> DataFrame:
     folder = work_dir(spark, "rates")
-    job = jobs.WindowedRatesJob(spark, folder, slide=slide)
+    job = jobs.WindowedRatesJob(spark, folder, slide_us=slide)
     jobs.run_batches(replay(spark, sf, True), folder, "rates", job)
     return job.rates(spark)
 
@@ -735,20 +738,33 @@ def stream_windowed_rates(spark, sf):
 
 @query
 def stream_sliding_rates(spark, sf):
-    return _rates(spark, sf, "200 milliseconds")
+    return _rates(spark, sf, 200_000)
 
 
 @query
 def stream_tx_summary(spark, sf):
     folder = work_dir(spark, "tx")
     job = stateful.TxJob(spark, folder)
-    jobs.run_batches(replay(spark, sf), folder, "tx", job)
+    jobs.run_batches(replay(spark, sf, True), folder, "tx", job)
     return job.summary(spark)
 
 
 @query
 def stream_ci_gate(spark, sf):
-    return ci.ci_problems(combined.flagged_events(spark, replay(spark, sf, True), work_dir(spark, "gate")))
+    return combined.stream_ci_gate(spark, replay(spark, sf, True), work_dir(spark, "gate")).problems(spark)
+
+
+@query
+def stream_ci_verdict(spark, sf):
+    """The verdict that the last micro-batch wrote."""
+    verdicts = combined.stream_ci_gate(spark, replay(spark, sf, True), work_dir(spark, "gate")).verdicts.rows(spark)
+    newest = verdicts.orderBy(F.col("batch").desc()).limit(1)
+    return newest.select("total", "problems", "has_problems", "exit_code")
+
+
+@query
+def stream_ci_report(spark, sf):
+    return combined.stream_ci_gate(spark, replay(spark, sf, True), work_dir(spark, "gate")).report(spark)
 
 
 @query

@@ -619,6 +619,7 @@ add(
     PROBLEMS,
     f"su AS (SELECT {_SUMMARY} FROM problems)",
 )
+ORACLES["stream_ci_verdict"], ORACLES["stream_ci_report"] = ORACLES["ci_summary"], ORACLES["ci_report"]
 _INSERTS = "regexp_matches(query, '(?i)^[[:space:]]*insert') AND contains(lower(query), 'orders')"
 add(
     "export_summary",
@@ -799,12 +800,13 @@ ORACLES["stream_alert_feed"] = ORACLES["alert_feed"]
 add("stream_nplus1_off", "SELECT key, start_us, seq, false AS n_plus_1, cnt FROM counted", *FLAGGED)
 add(
     "stream_template_stats",
-    """SELECT normalized_query, count(*) AS n, CAST(sum(dur_us) AS BIGINT) AS total_us, max(dur_us) AS max_us
+    """SELECT normalized_query, count(*) AS n, CAST(sum(dur_us) AS BIGINT) AS total_us, CAST(sum(dur_us) // count(*) AS BIGINT) AS avg_us,
+      max(dur_us) AS max_us, true AS p95_near
     FROM tpl WHERE op NOT IN (2, 3, 5, 6, 7) AND normalized_query <> '' GROUP BY 1""",
     *BASE,
 )
 _RATES = """SELECT window_us, normalized_query, count(*) AS n, count(*) FILTER (WHERE error <> '') AS errors,
-  count(*) FILTER (WHERE slow_query) AS slow FROM w GROUP BY 1, 2"""
+  count(*) FILTER (WHERE slow_query) AS slow, window_us + 1000000 <= (SELECT max(start_us) FROM tpl) - 1000000 AS closed FROM w GROUP BY 1, 2"""
 add("stream_windowed_rates", _RATES, *BASE, "w AS (SELECT *, start_us // 1000000 * 1000000 AS window_us FROM tpl)")
 add(
     "stream_sliding_rates",

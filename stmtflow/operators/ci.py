@@ -12,7 +12,7 @@ from stmtflow.plans.materialize import materialize
 REPORT_TITLE = "SQL traffic CI report"
 
 
-def _folded(events: DataFrame) -> DataFrame:
+def folded(events: DataFrame) -> DataFrame:
     """Counts per template, or raw text where there is none; all unflagged events share the null key."""
     flagged = F.col("n_plus_1") | F.col("slow_query")
     key = F.when(flagged, F.coalesce(F.nullif("normalized_query", F.lit("")), F.col("query")))
@@ -25,23 +25,23 @@ def _folded(events: DataFrame) -> DataFrame:
     )
 
 
-def _problems(folded: DataFrame) -> DataFrame:
+def problems_of(counts: DataFrame) -> DataFrame:
     nplus1 = F.struct(
         F.lit("N+1").alias("kind"), F.col("nplus1").alias("n"), F.lit(None).cast("bigint").alias("avg_us")
     )
     average = int_div(F.col("slow_us"), F.greatest(F.col("slow"), F.lit(1)))
     slow = F.struct(F.lit("SLOW").alias("kind"), F.col("slow").alias("n"), average.alias("avg_us"))
     return (
-        folded.select("query", F.explode(F.array(nplus1, slow)).alias("_p"))
+        counts.select("query", F.explode(F.array(nplus1, slow)).alias("_p"))
         .filter(F.col("_p.n") > 0)
         .select("_p.kind", "query", "_p.n", "_p.avg_us")
     )
 
 
-def _verdict(folded: DataFrame) -> DataFrame:
+def verdict_of(counts: DataFrame) -> DataFrame:
     found = (F.col("nplus1") > 0).cast("bigint") + (F.col("slow") > 0).cast("bigint")
     zero = F.lit(0).cast("bigint")
-    return folded.agg(
+    return counts.agg(
         F.coalesce(F.sum("events"), zero).alias("total"), F.coalesce(F.sum(found), zero).alias("problems")
     ).select(
         "total",
@@ -56,7 +56,7 @@ def ci_problems(events: DataFrame) -> DataFrame:
 
     A template, or the raw text where it has none, gives an N+1 row, a SLOW row, or both.
     """
-    return _problems(_folded(events))
+    return problems_of(folded(events))
 
 
 def ordered_problems(problems: DataFrame) -> DataFrame:
@@ -66,13 +66,17 @@ def ordered_problems(problems: DataFrame) -> DataFrame:
 
 def ci_summary(events: DataFrame) -> DataFrame:
     """One row: statements of every kind, problems found, verdict and exit code."""
-    return _verdict(_folded(events))
+    return verdict_of(folded(events))
 
 
 def ci_report(events: DataFrame) -> DataFrame:
     """Report lines, to be ordered by (section, kind, n descending, query)."""
     # Head and body both read the folded counts; the events are read once.
-    folded = materialize(_folded(events), "ci")
+    return report_of(materialize(folded(events), "ci"))
+
+
+def report_of(counts: DataFrame) -> DataFrame:
+    """The report of folded counts."""
     average = duration_text(int_div(F.col("avg_us"), 1000) * 1_000_000)
     shown = F.when(
         F.col("kind") == "N+1",
@@ -90,7 +94,7 @@ def ci_report(events: DataFrame) -> DataFrame:
             F.lit(" occurrences)"),
         )
     )
-    problems = _problems(folded).select(
+    problems = problems_of(counts).select(
         F.lit(3).alias("section"), "kind", "n", "query", shown.alias("line")
     )
     total, found = F.col("total").cast("string"), F.col("problems").cast("string")
@@ -102,7 +106,7 @@ def ci_report(events: DataFrame) -> DataFrame:
         (4, F.when(bad, F.concat(F.lit("Exit: 1 ("), found, F.lit(" problems found)")))),
     ]
     parts = F.array(*[F.struct(F.lit(s).alias("section"), line.alias("line")) for s, line in head])
-    frame = _verdict(folded).select(F.inline(parts)).filter(F.col("line").isNotNull())
+    frame = verdict_of(counts).select(F.inline(parts)).filter(F.col("line").isNotNull())
     return frame.select(
         "section", F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("n"), F.lit("").alias("query"), "line"
     ).unionByName(problems)

@@ -78,11 +78,16 @@ def template_p95_approx(events: DataFrame, accuracy: int = 10_000) -> DataFrame:
 
 def template_p95_check(events: DataFrame, accuracy: int = 10_000) -> DataFrame:
     """Per template the events and whether the approximate p95 has a rank within the sketch's stated accuracy."""
-    near = template_p95_approx(events, accuracy)
-    placed = measured(events).join(near, "normalized_query")
-    below, upto = F.count_if(F.col("dur_us") < F.col("p95_us_approx")), F.count_if(F.col("dur_us") <= F.col("p95_us_approx"))
+    near = template_p95_approx(events, accuracy).withColumnRenamed("p95_us_approx", "p95_us")
+    return rank_check(near, events, 1 / accuracy)
+
+
+def rank_check(near: DataFrame, events: DataFrame, error: float) -> DataFrame:
+    """Per template its events and whether `p95_us` has a rank within `error` of all its events from the true one."""
+    placed = measured(events).join(near.select("normalized_query", "n", "p95_us"), "normalized_query")
+    below, upto = F.count_if(F.col("dur_us") < F.col("p95_us")), F.count_if(F.col("dur_us") <= F.col("p95_us"))
     ranks = placed.groupBy("normalized_query", "n").agg(below.alias("_below"), upto.alias("_upto"))
-    slack, rank = F.col("n") / accuracy + 1, F.col("n") * P95
+    slack, rank = F.col("n") * error + 1, F.col("n") * P95
     within = (F.col("_below") <= rank + slack) & (F.col("_upto") >= rank - slack)
     return ranks.select("normalized_query", "n", within.alias("within"))
 

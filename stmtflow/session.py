@@ -48,3 +48,26 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own_folder()
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store it is."""
+    store, where = _located(spark, path)
+    return store.exists(where)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    store, where = _located(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(where)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this program's own."""
+    store, where = _located(spark, path)
+    store.delete(where, True)

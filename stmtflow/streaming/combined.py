@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stmtflow.config import DEFAULTS, DetectionConfig
+from stmtflow.functions.text import normalize_query
+from stmtflow.operators import ci
 from stmtflow.operators.feed import alert_feed
 from stmtflow.sources.log import BYTES_PER_TRIGGER
-from stmtflow.streaming.jobs import read_back, run_available, run_batches, start, stream_enrich
+from stmtflow.streaming.jobs import run_batches, start, stream_enrich
 from stmtflow.streaming.stateful import NPlus1Job
+from stmtflow.streaming.tables import Parts, Sums
 
 
 def fanout_sinks(
@@ -46,13 +51,67 @@ def nplus1_job(
     return job
 
 
-def flagged_events(spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS) -> DataFrame:
-    """Run the enrichment and the N+1 job over the stream; the events with both flags, from their files."""
-    enriched = stream_enrich(stream, config)
-    marks = nplus1_job(spark, stream, folder, config).flags(spark)
-    events = read_back(spark, run_available(enriched, folder, "enriched"), enriched)
-    hits = marks.filter("n_plus_1").select("seq", F.lit(True).alias("n_plus_1"))
-    return events.join(hits, "seq", "left").withColumn("n_plus_1", F.coalesce("n_plus_1", F.lit(False)))
+class FeedJob:
+    """The live alert feed: each micro-batch writes its lines when it has been taken in.
+
+    A statement that turns out to be repeated gets an N+1 line in the batch that shows it, also if an earlier batch had it
+    as slow; the N+1 line is then the one that holds.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, config: DetectionConfig = DEFAULTS):
+        self.config, self.detector = config, NPlus1Job(spark, folder, config=config)
+        self.parts = Parts(spark, os.path.join(folder, "lines"), "seq bigint, repeated boolean, line string")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        hits = self.detector.step(batch, number)
+        shown = hits.select("seq", F.col("key").alias("query"), F.lit(True).alias("n_plus_1"), F.lit(False).alias("slow_query"))
+        repeated = alert_feed(shown).withColumn("repeated", F.lit(True))
+        slow = stream_slow_feed(batch, self.config).join(hits.select("seq"), "seq", "left_anti").withColumn("repeated", F.lit(False))
+        self.parts.put(repeated.unionByName(slow), number)
+
+    def lines(self, spark: SparkSession, batch: int) -> DataFrame:
+        """The lines that one micro-batch wrote."""
+        return self.parts.of(spark, batch)
+
+    def feed(self, spark: SparkSession) -> DataFrame:
+        """One line per flagged statement, as far as is known."""
+        return self.parts.rows(spark).groupBy("seq").agg(F.max_by("line", "repeated").alias("line"))
+
+
+class GateJob:
+    """The CI gate of a stream: problems, totals and exit code after each micro-batch.
+
+    Kept are counts per problem key. A batch adds its own statements, and one to the N+1 count of a template for each
+    statement, of this batch or an earlier one, that it shows to be repeated. The stream is not read again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, config: DetectionConfig = DEFAULTS, every: int = 16):
+        self.config, self.detector = config, NPlus1Job(spark, folder, config=config)
+        counts = ("events", "nplus1", "slow", "slow_us")
+        schema = "query string, " + ", ".join(f"{c} bigint" for c in counts)
+        self.sums = Sums(spark, os.path.join(folder, "gate"), schema, dict.fromkeys(counts, F.sum), every)
+        self.verdicts = Parts(spark, os.path.join(folder, "verdicts"), "total bigint, problems bigint, has_problems boolean, exit_code int")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        hits = self.detector.step(batch, number)
+        own = ci.folded(stream_enrich(batch, self.config).withColumn("n_plus_1", F.lit(False)))
+        key = F.coalesce(F.nullif(normalize_query(F.col("key")), F.lit("")), F.col("key"))
+        none = F.lit(None).cast("bigint")
+        repeated = hits.groupBy(key.alias("query")).agg(F.count(F.lit(1)).alias("nplus1"))
+        added = repeated.select("query", F.lit(0).cast("bigint").alias("events"), "nplus1", F.lit(0).cast("bigint").alias("slow"), none.alias("slow_us"))
+        self.sums.put(own.unionByName(added), number)
+        self.verdicts.put(self.summary(batch.sparkSession), number)
+
+    def problems(self, spark: SparkSession) -> DataFrame:
+        return ci.problems_of(self.sums.rows(spark))
+
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """One row: statements, problems, verdict and exit code so far."""
+        return ci.verdict_of(self.sums.rows(spark))
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """The lines of the gate's report so far."""
+        return ci.report_of(self.sums.rows(spark))
 
 
 def stream_slow_feed(stream: DataFrame, config: DetectionConfig = DEFAULTS) -> DataFrame:
@@ -60,10 +119,15 @@ def stream_slow_feed(stream: DataFrame, config: DetectionConfig = DEFAULTS) -> D
     return alert_feed(stream_enrich(stream, config).withColumn("n_plus_1", F.lit(False)))
 
 
-def stream_alert_feed(spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS) -> DataFrame:
-    """The alert feed: N+1 lines, and slow lines of the other events, each kept by its own job."""
-    marked = nplus1_job(spark, stream, folder, config).flags(spark).filter("n_plus_1")
-    repeated = alert_feed(marked.select("seq", F.col("key").alias("query"), "n_plus_1", F.lit(False).alias("slow_query")))
-    slow = stream_slow_feed(stream, config)
-    slow_lines = read_back(spark, run_available(slow, folder, "slow"), slow)
-    return repeated.unionByName(slow_lines.join(repeated, "seq", "left_anti"))
+def stream_alert_feed(spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS) -> FeedJob:
+    """Run the alert feed over everything present."""
+    job = FeedJob(spark, folder, config)
+    run_batches(stream, folder, "feed", job)
+    return job
+
+
+def stream_ci_gate(spark: SparkSession, stream: DataFrame, folder: str, config: DetectionConfig = DEFAULTS) -> GateJob:
+    """Run the gate over everything present."""
+    job = GateJob(spark, folder, config)
+    run_batches(stream, folder, "gate", job)
+    return job

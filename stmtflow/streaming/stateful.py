@@ -2,165 +2,195 @@
 
 Events come in order of completion, so a slow statement starts long before the ones beside it, and a late one may come
 at any time. Order is (start_us, seq) for the N+1 detector and seq, the arrival, within a connection, as in batch. The
-detector keeps the watched statements by time slice and evaluates the slices that a batch touches with the batch
-operators anew; results are corrected, not dropped. So they do not depend on how files are cut into batches.
+rows are kept by stretches of that order; a batch has the stretches it touches evaluated anew with the batch operators, and
+reads nothing else. So results do not depend on how files are cut into batches, nor a batch's work on how many came before.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stmtflow.config import DEFAULTS, DetectionConfig
 from stmtflow.functions.ints import floor_div
+from stmtflow.functions.text import classify_op
 from stmtflow.operators.nplus1 import BUCKET_WINDOWS, cooldown_chain, watched, window_counts
-from stmtflow.operators.transactions import assign_tx
+from stmtflow.operators.transactions import NONE_OPEN
+from stmtflow.plans.ordered import LAST, running
 from stmtflow.schema import BEGIN, COMMIT, ROLLBACK, is_lifecycle_op, is_query_op
 from stmtflow.streaming.jobs import with_event_time
-from stmtflow.streaming.tables import BATCH, Parts, Slices
+from stmtflow.streaming.tables import BATCH, Stretches
+
+#: Slices of the detector, and arrival numbers of a connection, in one stretch.
+PART_SLICES = 16
+#: Slices of one batch that are held as a list.
+FEW_SLICES = 10_000
+TX_CHUNK = 1 << 16
+#: The transaction of rows before the first boundary of their stretch: whichever is open when the stretch begins.
+CARRIED = NONE_OPEN + 1
 
 
 class NPlus1Job:
-    """Flags and alerts of a stream, for `run_batches`; `flags` and `alerts` read what is known so far."""
+    """Flags and alerts of a stream, for `run_batches`; `flags` and `alerts` read what is known so far.
+
+    A count never falls when more statements come, and a flag, once set, stays. So each batch only adds the counts that it
+    changes, and the largest is the one that holds.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, key: Column | None = None, config: DetectionConfig = DEFAULTS):
         self.key = F.col("query") if key is None else key
         self.config = config
         self.width = BUCKET_WINDOWS * max(config.nplus1_window_us, 1)
         row = "key string, start_us bigint, seq bigint"
-        self.events = Parts(spark, os.path.join(folder, "watched"), f"slice bigint, {row}")
-        self.results = Slices(spark, os.path.join(folder, "flags"), f"{row}, n_plus_1 boolean, cnt bigint")
-        self.raised = Slices(spark, os.path.join(folder, "alerts"), f"{row}, cnt bigint")
+        self.events = Stretches(spark, os.path.join(folder, "watched"), row)
+        self.results = Stretches(spark, os.path.join(folder, "flags"), f"{row}, cnt bigint, fresh boolean")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
+        self.step(batch, number)
+
+    def step(self, batch: DataFrame, number: int) -> DataFrame:
+        """Take a batch in; the statements (key, start_us, seq, cnt) that it shows to be flagged for the first time."""
         spark = batch.sparkSession
-        rows = watched(batch, self.key).withColumn("slice", floor_div(F.col("start_us"), self.width))
-        self.events.put(rows, number)
-        new = self.events.rows(spark).filter(F.col(BATCH) == number).select("slice").distinct()
+        slice_of = floor_div(F.col("start_us"), self.width)
+        part_of = floor_div(F.col("slice"), PART_SLICES).alias("part")
+        rows = watched(batch, self.key).filter(F.col("start_us").isNotNull()).withColumn("slice", slice_of).persist()
+        self.events.put(rows.select("key", "start_us", "seq", part_of), number)
         # A statement also counts for the first window of the next slice, and needs the last window of its own past.
-        shifted = lambda *by: reduce(DataFrame.union, [new.select((F.col("slice") + n).alias("slice")) for n in by]).distinct()
-        self._touch(spark, shifted(0, 1), shifted(-1, 0, 1), number)
-        first = new.agg(F.min("slice")).first()[0]
-        if self.config.nplus1_threshold and self.config.nplus1_cooldown_us:
-            self._alert(spark, first, shifted(0, 1), number)
-
-    def _touch(self, spark: SparkSession, touched: DataFrame, seen: DataFrame, number: int) -> None:
-        known = self.events.rows(spark).join(seen, "slice", "left_semi").select("key", "start_us", "seq")
-        counts = window_counts(known, self.config.nplus1_window_us)
-        flagged = F.lit(False) if not self.config.nplus1_threshold else F.col("cnt") >= self.config.nplus1_threshold
-        own = counts.withColumn("slice", floor_div(F.col("start_us"), self.width)).join(touched, "slice", "left_semi")
-        self.results.put(own.withColumn("n_plus_1", flagged), touched, number)
-
-    def _alert(self, spark: SparkSession, first: int | None, touched: DataFrame, number: int) -> None:
-        """Alerts from the first touched slice on; the last alert before it says until when a text is quiet."""
-        empty = self.results.rows(spark).limit(0)
-        if first is None:
-            self.raised.put(empty.select("slice", "key", "start_us", "seq", "cnt"), touched, number)
-            return
-        cooldown = self.config.nplus1_cooldown_us
-        later = self.results.rows(spark).filter(F.col("slice") >= first)
-        cells = later.filter("n_plus_1").groupBy("key", "start_us").agg(F.min("seq").alias("first_seq"))
-        before = self.raised.rows(spark).filter((F.col("slice") < first) & (F.col("start_us") > first * self.width - cooldown))
-        carried = before.groupBy("key").agg(F.max("start_us").alias("start_us")).withColumn("first_seq", F.lit(-1).cast("bigint"))
-        chain = cooldown_chain(cells.unionByName(carried), cooldown).filter("seq >= 0")
-        found = chain.select("seq").join(later, "seq").select("slice", "key", "start_us", "seq", "cnt")
-        all_later = self.results.marks.rows(spark).filter(F.col("slice") >= first).select("slice").distinct()
-        self.raised.put(found, all_later, number)
+        touched, seen, parts = self._around(rows.select("slice").distinct())
+        known = self.events.rows(spark, parts).filter(F.col(BATCH) <= number).withColumn("slice", slice_of)
+        counts = window_counts(known.join(seen, "slice", "left_semi").select("key", "start_us", "seq"), self.config.nplus1_window_us)
+        own = counts.withColumn("slice", slice_of).join(touched, "slice", "left_semi")
+        told = self.results.rows(spark, parts).filter(F.col(BATCH) < number).groupBy("seq").agg(F.max("cnt").alias("_told"))
+        changed = own.join(told, "seq", "left").filter("_told is null or cnt > _told")
+        least = self.config.nplus1_threshold
+        first = F.lit(False) if not least else (F.col("cnt") >= least) & (F.coalesce("_told", F.lit(0)) < least)
+        self.results.put(changed.select("key", "start_us", "seq", "cnt", first.alias("fresh"), part_of), number)
+        rows.unpersist()
+        found = self.results.rows(spark, parts).filter((F.col(BATCH) == number) & F.col("fresh"))
+        return found.select("key", "start_us", "seq", "cnt")
+
+    def _around(self, new: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+        """The slices whose counts may change, those to look at, and the stretches these lie in."""
+        spark = new.sparkSession
+        first = [r.slice for r in new.limit(FEW_SLICES + 1).collect()]
+        if len(first) <= FEW_SLICES:
+            near = lambda *by: sorted({s + n for s in first for n in by})
+            frame = lambda slices: F.broadcast(spark.createDataFrame([(s,) for s in slices], "slice bigint"))
+            return frame(near(0, 1)), frame(near(-1, 0, 1)), [s // PART_SLICES for s in near(-1, 0, 1)]
+        shifted = lambda *by: new.withColumn("slice", F.explode(F.array(*[F.col("slice") + n for n in by]))).distinct()
+        part = floor_div(F.col("slice"), PART_SLICES).alias("part")
+        return shifted(0, 1), shifted(-1, 0, 1), [r.part for r in shifted(-1, 0, 1).select(part).distinct().collect()]
 
     def flags(self, spark: SparkSession) -> DataFrame:
         """Watched statements with `n_plus_1` and their count in the window."""
-        return self.results.rows(spark).select("key", "start_us", "seq", "n_plus_1", "cnt")
+        merged = self.results.rows(spark).groupBy("seq").agg(
+            F.any_value("key").alias("key"), F.any_value("start_us").alias("start_us"), F.max("cnt").alias("cnt")
+        )
+        least = self.config.nplus1_threshold
+        flagged = F.col("cnt") >= least if least else F.lit(False)
+        return merged.select("key", "start_us", "seq", flagged.alias("n_plus_1"), "cnt")
 
     def alerts(self, spark: SparkSession) -> DataFrame:
-        """Alerts (key, start_us, seq, cnt): one per key and cooldown at most, all flagged ones without a cooldown."""
-        rows = self.raised.rows(spark) if self.config.nplus1_cooldown_us else self.results.rows(spark).filter("n_plus_1")
-        return rows.select("key", "start_us", "seq", "cnt")
+        """Alerts (key, start_us, seq, cnt): one per key and cooldown at most, all flagged ones without a cooldown.
+
+        A late statement may move every later alert of its text, so the chain is followed when alerts are asked for, over the
+        flagged instants only.
+        """
+        flagged = self.flags(spark).filter("n_plus_1")
+        if not self.config.nplus1_cooldown_us:
+            return flagged.select("key", "start_us", "seq", "cnt")
+        cells = flagged.groupBy("key", "start_us").agg(F.min("seq").alias("first_seq"))
+        chain = cooldown_chain(cells, self.config.nplus1_cooldown_us)
+        return flagged.join(chain.select("seq"), "seq").select("key", "start_us", "seq", "cnt")
 
 
 class TxJob:
     """Transactions of a stream, for `run_batches`. No time limit ends a transaction: only its connection does.
 
-    Each batch is labelled like a log of its own, with the Begin of each open transaction put before it; what is kept
-    is one open Begin per connection and one part of a summary per transaction and batch. A connection is cut
-    into chunks by arrival, so a hot one is no task of its own.
+    The rows of a connection are kept in stretches of TX_CHUNK arrival numbers. A batch has the stretches of the connections
+    it touches summed up anew: a piece per transaction, one for what stands before the first boundary, and the last
+    boundary. The summary chains the stretches' last boundaries along each connection and adds the pieces up, so
+    an event counts for its transaction also when it comes after the COMMIT, or after later stretches.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, driver: str = "postgres"):
-        self.driver = driver
-        self.parts = Parts(
-            spark,
-            os.path.join(folder, "parts"),
-            "tx_id string, n_queries bigint, n_not_lifecycle bigint, n_events bigint, first_seq bigint,"
-            " start_us bigint, last_seq bigint, end_us bigint, closed boolean",
-        )
-        self.open = Parts(spark, os.path.join(folder, "open"), "conn_id bigint, begin bigint")
-        self.ends = Parts(spark, os.path.join(folder, "ends"), "done boolean")
-
-    def _open_before(self, spark: SparkSession, number: int | None) -> DataFrame:
-        """Open transactions before a batch, or now. Every batch writes all of them."""
-        held = self.open.rows(spark)
-        earlier = held if number is None else held.filter(F.col(BATCH) < number)
-        last = self.ends.rows(spark)
-        last = last if number is None else last.filter(F.col(BATCH) < number)
-        newest = last.agg(F.max(BATCH)).first()[0]
-        return earlier.filter(F.col(BATCH) == (-1 if newest is None else newest)).select("conn_id", "begin")
+    SUMS = (
+        "n_queries bigint, n_not_lifecycle bigint, n_events bigint, first_seq bigint, start_us bigint, last_seq bigint,"
+        " end_us bigint, closed boolean"
+    )
+
+    def __init__(self, spark: SparkSession, folder: str, driver: str = "postgres", chunk: int = TX_CHUNK):
+        self.driver, self.chunk = driver, chunk
+        row = "conn_id bigint, seq bigint, op int, start_us bigint, end_us bigint"
+        self.events = Stretches(spark, os.path.join(folder, "events"), row)
+        self.pieces = Stretches(spark, os.path.join(folder, "pieces"), f"conn_id bigint, begin bigint, {self.SUMS}")
+        self.edges = Stretches(spark, os.path.join(folder, "edges"), "conn_id bigint, last bigint")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        held = self._open_before(spark, number)
-        carried = held.select(
-            F.col("begin").alias("seq"),
-            "conn_id",
-            F.lit(BEGIN).alias("op"),
-            F.lit("").alias("query"),
-            F.lit(None).cast("bigint").alias("start_us"),
-            F.lit(None).cast("bigint").alias("dur_us"),
-            F.lit(True).alias("_carried"),
-        )
-        own = batch.select("seq", "conn_id", "op", "query", "start_us", "dur_us", F.lit(False).alias("_carried"))
-        labelled = assign_tx(own.unionByName(carried), self.driver)
+        op = classify_op(F.col("op"), F.col("query"), self.driver)
         end = F.col("start_us") + F.coalesce(F.col("dur_us"), F.lit(0))
-        closes = F.col("op").isin(COMMIT, ROLLBACK)
-        inside = labelled.filter(F.col("tx_id").isNotNull() & ~F.col("_carried"))
-        self.parts.put(
-            inside.groupBy("tx_id").agg(
-                F.count_if(is_query_op(F.col("op"))).alias("n_queries"),
-                F.count_if(~is_lifecycle_op(F.col("op"))).alias("n_not_lifecycle"),
-                F.count(F.lit(1)).alias("n_events"),
-                F.min("seq").alias("first_seq"),
-                F.min_by("start_us", "seq").alias("start_us"),
-                F.max("seq").alias("last_seq"),
-                F.max_by(end, "seq").alias("end_us"),
-                F.bool_or(closes).alias("closed"),
-            ),
-            number,
+        part = floor_div(F.col("seq"), self.chunk).alias("part")
+        rows = batch.select("conn_id", "seq", op.alias("op"), "start_us", end.alias("end_us"), part).persist()
+        self.events.put(rows, number)
+        touched = rows.select("conn_id", "part").distinct()
+        parts = [r.part for r in touched.select("part").distinct().collect()]
+        known = self.events.rows(spark, parts).filter(F.col(BATCH) <= number).join(touched, ["conn_id", "part"], "left_semi")
+        opens, closes = F.col("op") == BEGIN, F.col("op").isin(COMMIT, ROLLBACK)
+        boundary = F.when(opens, F.col("seq")).when(closes, F.lit(NONE_OPEN))
+        earlier = Window.partitionBy("conn_id", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.last(boundary, ignorenulls=True).over(earlier), F.lit(CARRIED))
+        labelled = known.withColumns({"begin": F.when(opens, F.col("seq")).otherwise(before), "_boundary": boundary})
+        pieces = labelled.filter(F.col("begin") != NONE_OPEN).groupBy("conn_id", "part", "begin").agg(
+            F.count_if(is_query_op(F.col("op"))).alias("n_queries"),
+            F.count_if(~is_lifecycle_op(F.col("op"))).alias("n_not_lifecycle"),
+            F.count(F.lit(1)).alias("n_events"),
+            F.min("seq").alias("first_seq"),
+            F.min_by("start_us", "seq").alias("start_us"),
+            F.max("seq").alias("last_seq"),
+            F.max_by("end_us", "seq").alias("end_us"),
+            F.bool_or(closes).alias("closed"),
         )
-        boundary = labelled.filter((F.col("op") == BEGIN) | closes)
-        last = boundary.groupBy("conn_id").agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("begin"))
-        self.open.put(last.filter(F.col("op") == BEGIN).select("conn_id", "begin"), number)
-        self.ends.put(spark.range(1).select(F.lit(True).alias("done")), number)
+        self.pieces.put(pieces, number)
+        last = F.max_by("_boundary", F.when(F.col("_boundary").isNotNull(), F.col("seq")))
+        self.edges.put(labelled.groupBy("conn_id", "part").agg(last.alias("last")), number)
+        rows.unpersist()
 
     def summary(self, spark: SparkSession) -> DataFrame:
         """One row per transaction, `state` closed, replaced (by the next Begin of its connection) or open."""
-        merged = self.parts.rows(spark).groupBy("tx_id").agg(
-            F.sum("n_queries").alias("n_queries"),
-            F.sum("n_not_lifecycle").alias("n_not_lifecycle"),
-            F.sum("n_events").alias("n_events"),
-            F.min_by("start_us", "first_seq").alias("start_us"),
-            F.max_by("end_us", "last_seq").alias("_end"),
-            F.bool_or("closed").alias("_closed"),
+        # The newest evaluation of a stretch has seen all its rows.
+        edges = self.edges.rows(spark).groupBy("conn_id", "part").agg(F.max_by("last", BATCH).alias("last"), F.max(BATCH).alias(BATCH))
+        entered = running(edges, ["conn_id"], "part", {"_in": (LAST, F.col("last"))}, inclusive=False)
+        held = self.pieces.rows(spark).join(entered.select("conn_id", "part", BATCH, "_in"), ["conn_id", "part", BATCH])
+        begin = F.when(F.col("begin") == CARRIED, F.col("_in")).otherwise(F.col("begin"))
+        merged = (
+            held.withColumn("begin", begin)
+            .filter(F.col("begin") != NONE_OPEN)
+            .groupBy("conn_id", "begin")
+            .agg(
+                F.sum("n_queries").alias("n_queries"),
+                F.sum("n_not_lifecycle").alias("n_not_lifecycle"),
+                F.sum("n_events").alias("n_events"),
+                F.min_by("start_us", "first_seq").alias("start_us"),
+                F.max_by("end_us", "last_seq").alias("_end"),
+                F.bool_or("closed").alias("_closed"),
+            )
         )
-        name = F.concat(F.col("conn_id").cast("string"), F.lit("-"), F.col("begin").cast("string"))
-        running = self._open_before(spark, None).select(name.alias("tx_id"), F.lit(True).alias("_open"))
+        newest = edges.filter("last is not null").groupBy("conn_id").agg(F.max_by("last", "part").alias("begin"))
         state = F.when(F.col("_closed"), "closed").when(F.col("_open"), "open").otherwise("replaced")
-        return merged.join(running, "tx_id", "left").select(
-            "tx_id", "n_queries", "n_not_lifecycle", "n_events", "start_us", (F.col("_end") - F.col("start_us")).alias("wall_us"), state.alias("state")
+        name = F.concat(F.col("conn_id").cast("string"), F.lit("-"), F.col("begin").cast("string"))
+        return merged.join(newest.withColumn("_open", F.lit(True)), ["conn_id", "begin"], "left").select(
+            name.alias("tx_id"),
+            "n_queries",
+            "n_not_lifecycle",
+            "n_events",
+            "start_us",
+            (F.col("_end") - F.col("start_us")).alias("wall_us"),
+            state.alias("state"),
         )
 
 

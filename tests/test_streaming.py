@@ -13,7 +13,10 @@ from stmtflow.operators.transactions import assign_tx, tx_summary
 from stmtflow.session import work_dir
 from stmtflow.sources.log import read_event_feed, read_statement_log, stream_statement_log
 from stmtflow.sources.sinks import write_enriched, write_event_feed
-from stmtflow.streaming import jobs, combined, stateful
+from stmtflow.operators import ci
+from stmtflow.operators.feed import alert_feed
+from stmtflow.plans.enrich import enrich
+from stmtflow.streaming import combined, jobs, stateful, tables
 
 Q = "SELECT id FROM users WHERE id = $1"
 
@@ -60,6 +63,50 @@ def test_nplus1_switched_off(spark, tmp_path):
     assert job.alerts(spark).count() == 0
 
 
+@pytest.mark.parametrize("slices", [1, 4])
+def test_feed_and_gate_after_each_batch(spark, tmp_path, slices):
+    """Whatever the cut, feed and gate end where the batch operators do; each batch's verdict is that of all so far."""
+    rows = [{"seq": i} | r for i, r in enumerate(traffic(6, 160))]
+    config = DetectionConfig(4, 500_000, 2_000_000, 150_000)
+    feed, gate = (job(spark, str(tmp_path / job.__name__), config) for job in (combined.FeedJob, combined.GateJob))
+    size = -(-len(rows) // slices)
+    for number, i in enumerate(range(0, len(rows), size)):
+        batch = statements(spark, rows[i : i + size])
+        feed(batch, number)
+        gate(batch, number)
+        so_far = enrich(statements(spark, rows[: i + size]), config)
+        assert tuple(gate.verdicts.of(spark, number).first()) == tuple(ci.ci_summary(so_far).first())
+        if number < 2:
+            assert feed.lines(spark, number).count() > 0
+    whole = enrich(statements(spark, rows), config)
+    assert sorted(map(tuple, gate.problems(spark).collect()), key=str) == sorted(map(tuple, ci.ci_problems(whole).collect()), key=str)
+    assert sorted(map(tuple, feed.feed(spark).collect())) == sorted(map(tuple, alert_feed(whole).select("seq", "line").collect()))
+
+
+def test_a_batch_reads_only_what_it_touches(spark, tmp_path, monkeypatch):
+    """The files a batch reads do not grow with the batches before it."""
+    read = []
+    plain = tables.Stretches.rows
+
+    def counted(self, spark, parts=None):
+        found = plain(self, spark, parts)
+        read.append(len(found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(tables.Stretches, "rows", counted)
+    job = stateful.NPlus1Job(spark, str(tmp_path / "out"))
+    spent = []
+    for number in range(8):
+        begin = 10**9 + number * job.width * stateful.PART_SLICES
+        rows = [{"seq": number * 40 + i, "query": Q, "start_us": begin + i * 100_000} for i in range(40)]
+        read.clear()
+        job(statements(spark, rows), number)
+        spent.append(sum(read))
+    assert max(spent[2:]) <= spent[2] + 1
+    monkeypatch.undo()
+    assert job.flags(spark).count() == 320
+
+
 def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     rows = [{"seq": i} | r for i, r in enumerate(traffic(5, 60))]
     job, stats = stateful.NPlus1Job(spark, str(tmp_path / "a")), jobs.TemplateStatsJob(spark, str(tmp_path / "b"))
@@ -100,6 +147,37 @@ def test_transactions_equal_batch(spark, tmp_path, slices):
     assert any(r.state == "replaced" for r in got)
 
 
+@pytest.mark.parametrize("slices", [1, 7])
+def test_transactions_in_any_order(spark, tmp_path, slices):
+    """Events of one connection come in any order, also long after the COMMIT; stretches of 8 numbers."""
+    rng = random.Random(slices)
+    rows = [
+        {
+            "seq": i,
+            "query": rng.choice(["BEGIN", "COMMIT", "a", "b", "c", "d"]),
+            "conn_id": rng.choice([1, 1, 1, 2]),
+            "start_us": 1_000_000 + i * 1000,
+            "dur_us": rng.choice([5, 50, None]),
+        }
+        for i in range(120)
+    ]
+    want = tx_summary(assign_tx(statements(spark, rows)))
+    mixed = rows[:]
+    rng.shuffle(mixed)
+    job = stateful.TxJob(spark, str(tmp_path / "out"), chunk=8)
+    size = -(-len(mixed) // slices)
+    for number, i in enumerate(range(0, len(mixed), size)):
+        job(statements(spark, mixed[i : i + size]), number)
+    order = sorted(want.columns)
+    got = job.summary(spark)
+    assert sorted(map(tuple, got.select(order).collect())) == sorted(map(tuple, want.select(order).collect()))
+    last = {}
+    for r in rows:
+        if r["query"] in ("BEGIN", "COMMIT"):
+            last[r["conn_id"]] = f"{r['conn_id']}-{r['seq']}" if r["query"] == "BEGIN" else None
+    assert {r.tx_id for r in got.filter("state = 'open'").collect()} == {v for v in last.values() if v}
+
+
 def test_a_long_transaction_keeps_all_statements(spark, tmp_path):
     rows = [{"query": "BEGIN", "start_us": 0}]
     rows += [{"query": "a", "start_us": t * 10**6} for t in range(10, 150, 10)]
@@ -116,12 +194,49 @@ def test_late_events_are_counted(spark, tmp_path):
     assert tuple(got) == (2, 6)
 
 
-@pytest.mark.parametrize("slices", [1, 3, 7])
-def test_windows_hold_all_rows(spark, tmp_path, slices):
+@pytest.mark.parametrize(
+    ("slices", "width", "slide"), [(1, 1_000_000, 200_000), (7, 1_000_000, 1_000_000), (3, 500_000, 200_000), (3, 200_000, 500_000)]
+)
+def test_windows_are_sums_of_panes(spark, tmp_path, slices, width, slide):
     rows = [{"query": "a", "start_us": int(t * 10**6)} for t in (10, 10.5, 20, 20.2, 30, 10.7, 40)]
-    job = jobs.WindowedRatesJob(spark, str(tmp_path / "out"))
+    job = jobs.WindowedRatesJob(spark, str(tmp_path / "out"), width, slide, every=2)
     jobs.run_batches(files(spark, rows, tmp_path, slices), str(tmp_path / "out"), "rates", job)
-    assert sorted((r.window_us // 10**6, r.n) for r in job.rates(spark).collect()) == [(10, 3), (20, 2), (30, 1), (40, 1)]
+    want = {}
+    for t in (r["start_us"] for r in rows):
+        for start in range((t - width) // slide * slide, t + 1, slide):
+            if start <= t < start + width:
+                want[start] = want.get(start, 0) + 1
+    got = {r.window_us: r for r in job.rates(spark).collect()}
+    assert {w: r.n for w, r in got.items()} == want
+    assert all(r.closed == (w + width <= 39 * 10**6) for w, r in got.items())
+    plan = job.counts(statements(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "Generate" not in plan
+
+
+def test_live_statistics(spark, tmp_path):
+    """Averages and p95 over many small batches and several folds; the p95 is held against the ranks of all rows."""
+    rng = random.Random(8)
+    rows = [{"query": rng.choice([Q, "SELECT a FROM b"]), "dur_us": int(rng.expovariate(1e-4)), "start_us": i} for i in range(3000)]
+    job = jobs.TemplateStatsJob(spark, str(tmp_path / "out"), every=2)
+    jobs.run_batches(files(spark, rows, tmp_path, 7), str(tmp_path / "out"), "stats", job)
+    for r in job.stats(spark).collect():
+        own = sorted(x["dur_us"] for x in rows if x["query"].lower()[:9] == r.normalized_query.lower()[:9])
+        assert (r.n, r.total_us, r.avg_us, r.max_us) == (len(own), sum(own), sum(own) // len(own), own[-1])
+        low, high = sum(d < r.p95_us for d in own), sum(d <= r.p95_us for d in own)
+        assert low <= (0.95 + 0.0105) * len(own) + 1 and high >= (0.95 - 0.0105) * len(own) - 1
+    left = [p.name for p in (tmp_path / "out" / "stats").iterdir()]
+    assert len(left) <= 2 * 2 + 2
+
+
+def test_folds_survive_a_batch_that_runs_again(spark, tmp_path):
+    sums = tables.Sums(spark, str(tmp_path / "sums"), "k string, n bigint, top bigint", {"n": F.sum, "top": F.max}, every=3)
+    total = 0
+    for number in range(11):
+        part = spark.createDataFrame([("a", number, number), ("b", 1, -number)], "k string, n bigint, top bigint")
+        for _ in range(2 if number % 2 else 1):
+            sums.put(part, number)
+        total += number
+        assert {r.k: (r.n, r.top) for r in sums.rows(spark).collect()} == {"a": (total, number), "b": (number + 1, 0)}
 
 
 def test_fanout_loses_nothing(spark, tmp_path):
