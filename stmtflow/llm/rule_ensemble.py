@@ -195,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     rows = labels.select("doc_id", F.col(label).cast("int").alias("_label")).filter(~held_out("doc_id") & F.col("_label").isin(0, 1))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(MOST_ROWS)
     told, names = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    got = told.select("doc_id", "_label", *names).limit(2 * MOST_ROWS).toPandas().sort_values(["doc_id", *names], kind="stable")
+    # Ids may repeat: the bound takes rows in order of id, then of their statistics.
+    got = told.select("doc_id", "_label", *names).orderBy("doc_id", *names, "_label").limit(2 * MOST_ROWS).toPandas()
     return fit(got[names].to_numpy(float), got["_label"].to_numpy(float), names)
 
 

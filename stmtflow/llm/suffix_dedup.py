@@ -12,16 +12,19 @@ contexts are sent once per block of documents, as their first occurrence.
 A shard builds the suffix array of its contexts by induced sorting: suffixes are classified, leftmost-smaller substrings
 are sorted by inducing, named and ranked, and the array is induced from them. Induction goes bucket by bucket with numpy
 over whole buckets, so it is linear in the shard. Names, whose alphabet is too large for buckets, are ranked by
-doubling up to MATCH bytes, beyond which order does not matter here. Common prefixes with the predecessor are taken in
-text order and clipped at MATCH bytes; stretches of the array where they reach MATCH are equal windows. Contexts lie in
+doubling up to MATCH bytes, beyond which order does not matter here. Lengths of common prefixes with the predecessor are
+taken in text order (permuted) and clipped at MATCH bytes; stretches of the array where they reach MATCH are equal windows. Contexts lie in
 the shard's text in the order of their occurrence, so the first occurrence of a window is its smallest place.
 The shard tells which windows are first occurrences; all others of a repeated anchor are removed.
 
 An anchor hash with many distinct contexts (HOT), such as the edge of a passage that a third of all documents share,
-would bring an unbounded group to one shard. Its windows are sent one by one instead, to shards by a 128-bit hash of the
-window and once per block, and the first of each hash is kept.
+would bring an unbounded group to one shard. Its windows are sent one by one instead, to shards by a hash of the window and
+once per block, and the first of each hash is kept. The hash joins 64 bits of the block's rolling sums with two independent
+residues modulo the prime 2^31 - 1: whatever the bytes, two different windows agree in those two with a chance below
+(MATCH / 2^31)^2 over the choice of bases, besides the other 64 bits.
 
-Blocks, shards and the parts in which anchors are counted have bounded sizes, their number follows the bytes of the corpus.
+Blocks, shards and the parts in which anchors are counted have bounded sizes, their number follows the bytes of the corpus. A
+text longer than a block is a block of its own; anchors are chosen STEP starts at a time, so its length is not limited.
 
 Null and empty texts have no bytes; texts shorter than MATCH lose nothing. Rows with equal ids are ordered as they are read and
 count as different documents; null ids come first. Texts are read whole.
@@ -34,6 +37,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import as_strided
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,13 +50,35 @@ MATCH, GRAM = 100, 32
 SPAN = MATCH - GRAM + 1
 BLOCK_BYTES, SHARD_BYTES, ANCHORS_PER_PART = 2 << 20, 4 << 20, 1_000_000
 HOT = 4096
-PLACE_BITS = 26
+#: Window starts whose anchors are chosen at once, and bits of a place among them.
+STEP, PLACE_BITS = 1 << 22, 26
+#: The prime of the windows' residues, and two bases, powers of its root 7.
+PRIME = (1 << 31) - 1
+BASES = (pow(7, 104_729, PRIME), pow(7, 224_737, PRIME))
 
 ANCHORS = "h bigint, block bigint, times bigint, kinds bigint"
 MARKS = "block bigint, kind int, h bigint, doc bigint, row bigint, start bigint, stop bigint"
 PARTS = "route bigint, kind int, w1 bigint, w2 bigint, block bigint, doc bigint, row bigint, start bigint, bytes binary"
 
 
+_FIELDS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def field_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo PRIME, at least n of each; tasks keep them."""
+    if base in _FIELDS and len(_FIELDS[base][0]) >= n:
+        return _FIELDS[base]
+    made = []
+    for b in (base, pow(base, -1, PRIME)):
+        values = np.ones(1, np.uint64)
+        while len(values) < n:
+            values = np.concatenate([values, values * np.uint64(pow(b, len(values), PRIME)) % np.uint64(PRIME)])
+        made.append(values)
+    if TaskContext.get() is not None:
+        _FIELDS[base] = (made[0], made[1])
+    return made[0], made[1]
+
+
 class Block:
     """Texts of a block in order of (id, row), with their anchors: context i has window starts first[i] to last[i]."""
 
@@ -69,10 +95,10 @@ class Block:
         self.data, self.offsets = raw_bytes(texts)
         self._anchors()
 
-    def _sums(self, salt: int) -> np.ndarray:
+    def _sums(self) -> np.ndarray:
         n = len(self.data)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) * np.uint64(2 * salt + 1) + np.uint64(1 + salt)) * powers(n + 1)[0][:n], out=sums[1:])
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(n + 1)[0][:n], out=sums[1:])
         return sums
 
     def _hash(self, sums: np.ndarray, start: np.ndarray, size) -> np.ndarray:
@@ -80,34 +106,53 @@ class Block:
 
     def _anchors(self) -> None:
         n = len(self.data)
-        empty = np.zeros(0, np.int64)
-        self.first = self.last = self.doc = empty
+        self.first = self.last = self.doc = np.zeros(0, np.int64)
         self.h = np.zeros(0, np.uint64)
         if n < MATCH:
             return
-        self.sums = self._sums(0)
-        at = np.arange(n - GRAM + 1)
-        gram = self._hash(self.sums, at, GRAM)
+        self.sums = self._sums()
         low = np.uint64((1 << PLACE_BITS) - 1)
-        assert n <= int(low), "a block is larger than its places"
-        key = (gram & ~low) | at.astype(np.uint64)
-        width = 1
-        while 2 * width <= SPAN:
-            key = np.minimum(key[:-width], key[width:])
-            width *= 2
-        if width < SPAN:
-            key = np.minimum(key[: len(key) - (SPAN - width)], key[SPAN - width :])
-        chosen = (key & low).astype(np.int64)
-        doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))[: len(chosen)]
-        inside = np.arange(len(chosen)) + MATCH <= self.offsets[doc + 1]
-        new = np.empty(len(chosen), bool)
-        new[0] = True
-        new[1:] = (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(chosen)) - 1
-        good = inside[head]
-        self.first, self.last = head[good], tail[good]
-        self.doc, self.h = doc[self.first], gram[chosen[self.first]]
+        heads, anchors, insides, docs = [], [], [], []
+        before = None
+        for lo in range(0, n - MATCH + 1, STEP):
+            at = np.arange(lo, min(lo + STEP + SPAN - 1, n - GRAM + 1))
+            gram = self._hash(self.sums, at, GRAM)
+            key = (gram & ~low) | (at - lo).astype(np.uint64)
+            width = 1
+            while 2 * width <= SPAN:
+                key = np.minimum(key[:-width], key[width:])
+                width *= 2
+            if width < SPAN:
+                key = np.minimum(key[: len(key) - (SPAN - width)], key[SPAN - width :])
+            place = (key & low).astype(np.int64)
+            start = lo + np.arange(len(place))
+            doc = np.searchsorted(self.offsets, start, side="right") - 1
+            inside = start + MATCH <= self.offsets[doc + 1]
+            new = np.ones(len(place), bool)
+            new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+            # A context that began in the last step goes on.
+            new[0] = before != (lo + place[0], doc[0], inside[0])
+            before = (lo + place[-1], doc[-1], inside[-1])
+            heads.append(start[new])
+            anchors.append(gram[place[new]])
+            insides.append(inside[new])
+            docs.append(doc[new])
+        head, inside = np.concatenate(heads), np.concatenate(insides)
+        tail = np.append(head[1:], n - MATCH + 1) - 1
+        self.first, self.last = head[inside], tail[inside]
+        self.doc, self.h = np.concatenate(docs)[inside], np.concatenate(anchors)[inside]
+
+    def residues(self, start: np.ndarray, base: int) -> np.ndarray:
+        """The windows from `start` as polynomials in a base, modulo PRIME."""
+        up, down = field_powers(base, len(self.data) + 1)
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)] % np.uint64(PRIME), out=sums[1:])
+        return (sums[start + MATCH] - sums[start]) % np.uint64(PRIME) * down[start] % np.uint64(PRIME)
+
+    def window_hash(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two words that tell windows apart, the second independent of the first."""
+        w2 = (self.residues(start, BASES[0]) << np.uint64(31)) | self.residues(start, BASES[1])
+        return self._hash(self.sums, start, MATCH), w2
 
     def context_hash(self) -> np.ndarray:
         size = self.last - self.first + MATCH
@@ -177,7 +222,7 @@ def block_parts(rows: pa.Table, marks: pa.Table, shards: int) -> pa.Table:
     window, w1, w2 = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     if len(hot_at):
         window = ranges(block.first[hot_at], block.last[hot_at] - block.first[hot_at] + 1)
-        w1, w2 = block._hash(block.sums, window, MATCH), block._hash(block._sums(1), window, MATCH)
+        w1, w2 = block.window_hash(window)
         keep = np.lexsort((window, w2, w1))
         new = np.concatenate([[True], (w1[keep][1:] != w1[keep][:-1]) | (w2[keep][1:] != w2[keep][:-1])])
         keep = keep[new]
@@ -312,17 +357,22 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     return _induce(text, small, ordered, ends)
 
 
-def equal_to_previous(text: np.ndarray, places: np.ndarray, match: int = MATCH) -> np.ndarray:
-    """For windows in suffix order: does each share `match` bytes with the one before it? In text order, by words."""
+def common_prefixes(text: np.ndarray, places: np.ndarray, match: int = MATCH) -> np.ndarray:
+    """For windows in suffix order: how many of `match` bytes each shares with the one before it, taken in text order."""
     before = np.full(len(text), -1, np.int64)
     before[places[1:]] = places[:-1]
     at = np.flatnonzero(before >= 0)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = as_strided(padded[:8].view(np.uint64), shape=(len(text),), strides=(1,))
-    common = np.zeros(len(text), bool)
+    common = np.zeros(len(text), np.int16)
     for shift in [*range(0, match - 7, 8), *([match - 8] if match % 8 else [])]:
-        at = at[words[at + shift] == words[before[at] + shift]]
-    common[at] = True
+        apart = words[at + shift] ^ words[before[at] + shift]
+        ends = apart != 0
+        # The lowest set bit lies in the first byte that differs.
+        lowest = apart[ends] & (~apart[ends] + np.uint64(1))
+        common[at[ends]] = shift + (np.log2(lowest.astype(float)) // 8).astype(np.int16)
+        at = at[~ends]
+    common[at] = match
     return common[places]
 
 
@@ -342,7 +392,7 @@ def first_windows(contexts: list[bytes] | pa.Array, windows: np.ndarray, match:
     start[places] = True
     array = suffix_array(text, match)
     ordered = array[start[array]].astype(np.int64)
-    same = equal_to_previous(flat, ordered, match)
+    same = common_prefixes(flat, ordered, match) >= match
     head = np.flatnonzero(~same)
     first = np.minimum.reduceat(ordered, head)
     owner = np.zeros(n + k + 1, bool)

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,78 @@ def test_repeated_strings(spark, monkeypatch, hot):
     assert got == brute_repeats(rows)
 
 
+def in_process(rows: list[tuple[int, str | None]], blocks: int, shards: int) -> dict[int, tuple]:
+    """The steps of the repeated-string removal one after the other, without Spark, so that tests may set its bounds."""
+    tables = []
+    for b in range(blocks):
+        own = [(d, t, i) for i, (d, t) in enumerate(rows) if i % blocks == b]
+        tables.append(pa.table({
+            "_doc": pa.array([{"doc_id": d} for d, _, _ in own], pa.struct([("doc_id", pa.int64())])),
+            "doc_id": pa.array([d for d, _, _ in own], pa.int64()),
+            "text": pa.array([t for _, t, _ in own], pa.string()),
+            "_row": pa.array([i for _, _, i in own], pa.int64()),
+            "block": pa.array([b] * len(own), pa.int64()),
+        }))
+    anchors = pa.concat_tables([suffix_dedup.block_anchors(t) for t in tables])
+    marks = pa.Table.from_batches(suffix_dedup.repeated_anchors(anchors.combine_chunks().to_batches()))
+    mine = lambda table, b: table.filter(pc.equal(table.column("block"), b))
+    parts = pa.concat_tables([suffix_dedup.block_parts(t, mine(marks, b), shards) for b, t in enumerate(tables)])
+    firsts = [suffix_dedup.shard_firsts(parts.filter(pc.equal(parts.column("route"), r))) for r in range(shards)]
+    marks = pa.concat_tables([marks, *[f.cast(marks.schema) for f in firsts]])
+    names = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    schema = pa.schema([("_doc", pa.struct([("doc_id", pa.int64())])), *names])
+    out = {}
+    for b, t in enumerate(tables):
+        for r in suffix_dedup.block_result(t, mine(marks, b), schema, False).to_pylist():
+            out[r["_doc"]["doc_id"]] = (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+    return out
+
+
+@pytest.mark.parametrize(("hot", "step"), [(1, 1 << 22), (2, 50), (4096, 7), (1, 64)])
+def test_repeats_whatever_the_bounds(monkeypatch, hot, step):
+    """Hot anchors and steps through long texts change nothing."""
+    rng = random.Random(hot * 100 + step)
+    passage, other = text_of(rng, 40), "ünï" + text_of(rng, 30)
+    rows = [(0, None), (1, ""), (2, "x" * 350), (3, passage), (4, "x" * 99), (5, "x" * 100), (6, "ab" * 200)]
+    for i in range(7, 40):
+        parts = [text_of(rng, rng.randint(1, 60)), rng.choice([passage, other, passage[37:]]), text_of(rng, rng.randint(1, 30))]
+        rows.append((i, " ".join(parts[: rng.randint(1, 3)])))
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "STEP", step)
+    assert in_process(rows, 3, 2) == brute_repeats(rows)
+
+
+def test_window_hashes_are_independent():
+    """Windows that one word confuses are told apart by the other."""
+    base = int(tokens._BASE)
+    # In sums modulo 2^64 these strings of Thue and Morse meet, whatever the odd base; 1,024 bytes are more than a window,
+    # so the residues are taken of the whole strings.
+    word = [0]
+    for _ in range(10):
+        word += [1 - w for w in word]
+    one, two = (bytes(97 + (w ^ flip) for w in word) for flip in (0, 1))
+    rolling = lambda b: sum((v + 1) * pow(base, i, 1 << 64) for i, v in enumerate(b)) % (1 << 64)
+    residue = lambda b, q: sum((v + 1) * pow(q, i, suffix_dedup.PRIME) for i, v in enumerate(b)) % suffix_dedup.PRIME
+    assert rolling(one) == rolling(two)
+    assert all(residue(one, q) != residue(two, q) for q in suffix_dedup.BASES)
+    block = suffix_dedup.Block(pa.table({"doc_id": [1], "text": ["q" * 7 + "w" * 200], "_row": [0], "block": [0]}))
+    text = b"q" * 7 + b"w" * 200
+    for start in (0, 3, 107):
+        window = text[start : start + suffix_dedup.MATCH]
+        assert [int(block.residues(np.array([start]), q)[0]) for q in suffix_dedup.BASES] == [residue(window, q) for q in suffix_dedup.BASES]
+
+
+def test_common_prefixes_are_lengths():
+    rng = random.Random(6)
+    text = np.array([rng.choice([3, 4]) for _ in range(400)], np.uint8)
+    places = np.array(sorted(range(300), key=lambda i: text[i:].tobytes()))
+    got = suffix_dedup.common_prefixes(text, places, 100)
+    for k in range(1, len(places)):
+        a, b = text[places[k - 1] :], text[places[k] :]
+        want = next((i for i in range(100) if a[i] != b[i]), 100)
+        assert got[k] == want
+
+
 def brute_classes(rows: list[tuple[int, str | None]], width: int, percent: int) -> dict[int, int]:
     sets = {}
     for doc, text in rows:

@@ -105,3 +105,16 @@ def test_columns_of_all_but_the_last_stage(spark, corpus):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("n_chars", F.col("n_chars").cast("int"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).dtypes == docs.dtypes
+
+
+def test_different_texts_of_one_id_stay(spark, corpus):
+    """Only the text that has a near copy goes; equal rows are thinned to one; rows without id stay."""
+    rng = random.Random(5)
+    first, second, third = (text_of(rng, 60) for _ in range(3))
+    near = first.replace(first.split()[30], "other")
+    rows = [(1, first), (5, near), (5, second), (5, second), (7, third), (None, first), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id bigint, text string, `_own` string, source string, n_chars int")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, corpus[0])
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert got == sorted([(1, first), (5, second), (7, third), (None, first), (None, None), (9, "")], key=str)
