@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stmtflow.llm import lsh_forest, mixing, suffix_dedup, tiling, toxicity
 from stmtflow.llm.common import Scratch, by_ids, table
 from stmtflow.plans.materialize import materialize
+from stmtflow.plans.ordered import with_ordinal
 
 #: Documents with this score or more are rejected.
 TOXIC = 0.5
@@ -29,17 +30,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).filter(F.col("toxicity") < TOXIC).select(*docs.columns)
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """A column name that is not taken."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id. Of rows with one id, one stays."""
-    found = lsh_forest.near_duplicates(docs, width=WIDTH, percent=PERCENT)
-    gone = materialize(found.filter(~F.col("kept")).select("doc_id").distinct(), "near-duplicates")
-    left = by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated = materialize(repeated, "repeated-ids")
-    if repeated.limit(1).count():
-        one = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-        left = left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
-    return left
+    """One document of each group of near-duplicates, the one with the smallest id.
+
+    Of rows with one id and one text, one stays. Different texts of one id are documents of their own: they are numbered by
+    (id, text) for the comparison, and each stays or goes by its own group. Rows without id stay.
+    """
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").count()
+    if not ids.filter("count > 1").limit(1).count():
+        found = lsh_forest.near_duplicates(docs, width=WIDTH, percent=PERCENT)
+        gone = materialize(found.filter(~F.col("kept")).select("doc_id"), "near-duplicates")
+        return by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    own, body = _free("_own", docs.columns), _free("_body", docs.columns)
+    hashed = docs.withColumn(body, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    single = hashed.filter("doc_id is not null").dropDuplicates(["doc_id", body])
+    numbered = with_ordinal(single, ["doc_id", body], own)
+    found = lsh_forest.near_duplicates(numbered.select(F.col(own).alias("doc_id"), "text"), width=WIDTH, percent=PERCENT)
+    gone = materialize(found.filter(~F.col("kept")).select(F.col("doc_id").alias(own)), "near-duplicates")
+    left = by_ids(numbered, gone, own, "left_anti").select(*docs.columns)
+    return left.unionByName(docs.filter("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
