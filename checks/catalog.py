@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import fixture
 from stmtflow.config import DetectionConfig
 from stmtflow.functions import binding, decode, render, text
-from stmtflow.operators import census, ci, export, feed, listing, nplus1, stats, timeline, transactions, wire
+from stmtflow.operators import census, ci, export, feed, listing, nplus1, saved, search, stats, timeline, transactions, wire
 from stmtflow.plans.enrich import enrich, with_slow, with_template
 from stmtflow.schema import op_name
 from stmtflow.session import work_dir
@@ -442,6 +442,17 @@ def describe_filter(spark, sf):
     return listing.describe_filters(fixture.saved_filters(spark, sf))
 
 
+@query
+def saved_filter_matches(spark, sf):
+    lines = fixture.watch_lists(spark, sf).unionByName(fixture.saved_filters(spark, sf))
+    return saved.saved_filter_matches(flagged(spark, sf), lines)
+
+
+@query
+def search_index(spark, sf):
+    return search.search_index(search.build_index(log(spark, sf)), fixture.searches(spark, sf))
+
+
 @query
 def match_counts(spark, sf):
     return listing.match_counts(log(spark, sf), FILTER, "users")

@@ -214,6 +214,28 @@ def saved_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def watch_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another filter line per event: operations, words that statements hold or do not, durations and flags."""
+    pick = lambda by, *choices: F.element_at(F.array(*map(F.lit, choices)), (F.floor(F.col("value") * by) % len(choices) + 1).cast("int"))
+    limit = (F.floor("value") % 50).cast("string")
+    return read_table(spark, sf_dir, "events").select(
+        F.concat(
+            pick(1, "op:select ", "op:UPDATE ", "", "op:execute ", "op:merge "),
+            pick(10, "users ", "POSTS ", "", "e ", "event_type ", "from users ", "u"),
+            pick(100, "d>", "d<"),
+            limit,
+            pick(7, "ms", ".5ms slow", "ms ERROR", "0us", "ms n+1"),
+        ).alias("filter")
+    )
+
+
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search per statement: a piece of its text of up to eight characters, some turned around, some in capitals."""
+    piece = F.substring(F.col("query"), (F.col("seq") % 23 + 1).cast("int"), (F.col("seq") % 9).cast("int"))
+    shown = F.when(F.col("seq") % 5 == 1, F.reverse(piece)).when(F.col("seq") % 5 == 2, F.upper(piece)).otherwise(piece)
+    return statement_log(spark, sf_dir).select(shown.alias("search"))
+
+
 def stored_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An EXPLAIN text per event."""
     nl = F.lit("\n")

@@ -561,6 +561,52 @@ add(
     WHERE op NOT IN (2, 3, 5, 6, 7) AND normalized_query <> '' GROUP BY 1""",
     *BASE,
 )
+_PICK = "[{}][CAST(floor(value * {}) AS BIGINT) % {} + 1]"
+
+
+def _pick(by: int, *choices: str) -> str:
+    return _PICK.format(", ".join(map(q, choices)), by, len(choices))
+
+
+# Every saved line against every statement, condition by condition.
+add(
+    "saved_filter_matches",
+    f"""SELECT canonical, saved, matched, (SELECT count(*) FROM ev) AS total FROM (
+      SELECT canonical, count(*) AS saved, any_value(matched) AS matched FROM lines JOIN counted_lines USING (line) GROUP BY 1)""",
+    *FLAGGED,
+    f"""lines AS (
+      SELECT concat({_pick(1, "op:select ", "op:UPDATE ", "", "op:execute ", "op:merge ")},
+        {_pick(10, "users ", "POSTS ", "", "e ", "event_type ", "from users ", "u")}, {_pick(100, "d>", "d<")},
+        CAST(CAST(floor(value) AS BIGINT) % 50 AS VARCHAR), {_pick(7, "ms", ".5ms slow", "ms ERROR", "0us", "ms n+1")}) AS line FROM events
+      UNION ALL
+      SELECT concat(' OP:Select  d>', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), 'ms ', event_type, '  d<1.5s n+1') FROM events)""",
+    r"""tokens AS (
+      SELECT line, i, lower(t) AS t
+      FROM (SELECT line, unnest(regexp_extract_all(line, '[^ ]+')) AS t, generate_subscripts(regexp_extract_all(line, '[^ ]+'), 1) AS i
+        FROM (SELECT DISTINCT line FROM lines)))""",
+    r"""conds AS (
+      SELECT line, i, t, CASE WHEN regexp_matches(t, '^d[><][0-9]+([.][0-9]+)?(us|ms|s)$') THEN CAST(CAST(regexp_extract(t, '[0-9.]+') AS DECIMAL(18, 3))
+          * CASE WHEN t LIKE '%us' THEN 1000 WHEN t LIKE '%ms' THEN 1000000 ELSE 1000000000 END AS BIGINT) END AS ns FROM tokens)""",
+    f"""named AS (
+      SELECT line, string_agg(CASE WHEN ns IS NOT NULL THEN concat(substr(t, 1, 2), {duration_text("ns")}) WHEN t IN ('error', 'slow', 'n+1') THEN t
+        WHEN t LIKE 'op:_%' THEN t ELSE concat('text:', t) END, ' ' ORDER BY i) AS canonical FROM conds GROUP BY 1)""",
+    """met AS (
+      SELECT line, seq, bool_and(CASE WHEN ns IS NOT NULL THEN CASE WHEN t LIKE 'd>%' THEN dur_us * 1000 > ns ELSE dur_us * 1000 < ns END
+        WHEN t = 'error' THEN error <> '' WHEN t = 'slow' THEN slow_query WHEN t = 'n+1' THEN n_plus_1
+        WHEN t = 'op:execute' THEN op = 4 WHEN t IN ('op:select', 'op:update') THEN starts_with(lower(trim(query)), substr(t, 4))
+        WHEN t LIKE 'op:_%' THEN false ELSE contains(lower(query), t) END) AS yes
+      FROM conds, (SELECT min(seq) AS seq, query, op, error, slow_query, n_plus_1, dur_us FROM ev GROUP BY ALL) GROUP BY 1, 2)""",
+    """sizes AS (SELECT min(seq) AS seq, count(*) AS n FROM ev GROUP BY query, op, error, slow_query, n_plus_1, dur_us)""",
+    """counted_lines AS (
+      SELECT line, canonical, CAST(coalesce(sum(n) FILTER (WHERE yes), 0) AS BIGINT) AS matched FROM met JOIN named USING (line) JOIN sizes USING (seq) GROUP BY 1, 2)""",
+)
+add(
+    "search_index",
+    """SELECT search, count(text) AS texts, CAST(coalesce(sum(n), 0) AS BIGINT) AS matched
+    FROM (SELECT DISTINCT CASE seq % 5 WHEN 1 THEN reverse(piece) WHEN 2 THEN upper(piece) ELSE piece END AS search
+      FROM (SELECT seq, substr(query, CAST(seq % 23 + 1 AS BIGINT), CAST(seq % 9 AS BIGINT)) AS piece FROM log))
+    LEFT JOIN (SELECT lower(query) AS text, count(*) AS n FROM log GROUP BY 1) ON contains(text, lower(search)) GROUP BY 1""",
+)
 add("match_counts", f"SELECT count(*) FILTER (WHERE {SEARCHED}) AS matched, count(*) AS total FROM log")
 
 # Aggregations
