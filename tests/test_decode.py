@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import struct
 import uuid
 
@@ -15,12 +16,15 @@ def run(spark, cases, proto):
 
 
 def test_postgres_values(spark):
+    epoch = dt.datetime(2000, 1, 1, tzinfo=dt.UTC)
+    instant = epoch + dt.timedelta(days=4004, microseconds=86_399_000_501)
+    micros = (instant - epoch) // dt.timedelta(microseconds=1)
     some = uuid.UUID("12345678-9abc-def0-1234-56789abcdef0")
     cases = [
-        (struct.pack(">q", 826159500119733), 1114, "2026-03-07T00:45:00.119733Z"),
+        (struct.pack(">q", micros), 1114, instant.strftime("%Y-%m-%dT%H:%M:%S.%fZ")),
         (struct.pack(">q", 0), 1184, "2000-01-01T00:00:00Z"),
         (struct.pack(">q", -1), 1184, "1999-12-31T23:59:59.999999Z"),
-        (struct.pack(">q", 826159500119733), 0, "826159500119733"),
+        (struct.pack(">q", micros), 0, str(micros)),
         (struct.pack(">q", -(2**63)), 0, str(-(2**63))),
         (b"\x00\x00\x00\x2a", 0, "42"),
         (struct.pack(">i", -42), 0, "-42"),

@@ -10,28 +10,14 @@ from stmtflow.operators import census, ci, export, feed, stats, timeline
 from stmtflow.plans.enrich import enrich, with_slow, with_template
 from stmtflow.sources.sinks import write_document
 
-BASE = 1_771_599_845_123_000  # 2026-02-20T15:04:05.123Z
+# A small warehouse day: two readings of one template around noon, a slow move, a failed correction.
+NOON = 1_300_017_599_750_000  # 2011-03-13T11:59:59.750Z
+READ, MOVE, FIX = "SELECT kg FROM crates WHERE lot = $1", "UPDATE crates SET bay = $1 WHERE lot = $2", "DELETE FROM crates WHERE kg < 0"
 EXPORT = [
-    {
-        "query": "SELECT id FROM users WHERE email = $1",
-        "args": ["alice@example.com"],
-        "dur_us": 152_300,
-        "start_us": BASE,
-    },
-    {
-        "query": "SELECT id FROM users WHERE email = $1",
-        "args": ["bob|@example.com"],
-        "dur_us": 203_100,
-        "start_us": BASE + 1_000_000,
-    },
-    {
-        "query": "INSERT INTO orders (user_id) VALUES ($1)",
-        "op": 1,
-        "args": ["1"],
-        "dur_us": 50_000,
-        "start_us": BASE + 2_000_000,
-        "error": "a|b",
-    },
+    {"query": MOVE, "op": 4, "args": ["n|4", "L1"], "start_us": NOON, "dur_us": 1_250_000},
+    {"query": READ, "args": ["L1"], "start_us": NOON + 250_000, "dur_us": 8_000},
+    {"query": FIX, "op": 1, "start_us": NOON + 260_000, "dur_us": 999, "error": "lock|wait"},
+    {"query": READ, "args": ["L2"], "start_us": NOON + 61_000_000, "dur_us": 24_600},
 ]
 
 
@@ -45,56 +31,50 @@ def lines(df):
 
 def test_markdown(spark):
     got = lines(export.export_markdown(exported(spark)))
-    assert got[2:5] == [
-        "- Captured: 3 queries",
-        "- Exported: 3 queries",
-        "- Period: 15:04:05 — 15:04:07",
+    assert got[2:5] == ["- Captured: 4 queries", "- Exported: 4 queries", "- Period: 11:59:59 — 12:01:00"]
+    assert got[10:14] == [
+        f"| 1 | 11:59:59.750 | Execute | 1.25s | {MOVE} | ['n|4', 'L1'] |  |",
+        f"| 2 | 12:00:00.000 | Query | 8.0ms | {READ} | ['L1'] |  |",
+        "| 3 | 12:00:00.010 | Exec | 1.0ms | DELETE FROM crates WHERE kg < 0 |  | lock\\|wait |",
+        f"| 4 | 12:01:00.750 | Query | 24.6ms | {READ} | ['L2'] |  |",
     ]
-    assert got[10:13] == [
-        "| 1 | 15:04:05.123 | Query | 152.3ms | SELECT id FROM users WHERE email = $1 | ['alice@example.com'] |  |",
-        "| 2 | 15:04:06.123 | Query | 203.1ms | SELECT id FROM users WHERE email = $1 | ['bob|@example.com'] |  |",
-        "| 3 | 15:04:07.123 | Exec | 50.0ms | INSERT INTO orders (user_id) VALUES ($1) | ['1'] | a\\|b |",
-    ]
-    assert got[18:] == [
-        "| SELECT id FROM users WHERE email = $1 | 2 | 177.7ms | 152.3ms | 203.1ms | 355.4ms |",
-        "| INSERT INTO orders (user_id) VALUES ($1) | 1 | 50.0ms | 50.0ms | 50.0ms | 50.0ms |",
+    assert got[19:] == [
+        f"| {MOVE} | 1 | 1.25s | 1.25s | 1.25s | 1.25s |",
+        f"| {READ} | 2 | 16.3ms | 8.0ms | 24.6ms | 32.6ms |",
+        "| DELETE FROM crates WHERE kg < ? | 1 | 1.0ms | 1.0ms | 1.0ms | 1.0ms |",
     ]
 
 
 def test_markdown_filtered_and_empty(spark):
-    got = lines(export.export_markdown(exported(spark), "op:select", "USERS"))
-    assert "- Exported: 2 queries (filter: op:select, search: USERS)" in got
-    assert not any("INSERT" in line for line in got)
-    none = lines(export.export_markdown(exported(spark), "op:begin"))
-    assert "- Exported: 0 queries (filter: op:begin)" in none
+    got = lines(export.export_markdown(exported(spark), "op:select", "KG from"))
+    assert "- Exported: 2 queries (filter: op:select, search: KG from)" in got
+    assert not any("UPDATE" in line or "DELETE" in line for line in got)
+    none = lines(export.export_markdown(exported(spark), "op:rollback"))
+    assert "- Exported: 0 queries (filter: op:rollback)" in none
     assert not any("Period" in line or "Analytics" in line for line in none)
-    web = lines(export.export_markdown(exported(spark), "a|b", web=True))
-    assert "- Exported: 1 queries (filter: a\\|b)" in web
-    assert any("['1']" in line for line in web)
+    web = lines(export.export_markdown(exported(spark), "lock|w", web=True))
+    assert "- Exported: 1 queries (filter: lock\\|w)" in web
+    assert any("lock\\|wait" in line for line in web)
     with pytest.raises(ValueError, match="search"):
         export.export_markdown(exported(spark), search="x", web=True)
 
 
-@pytest.mark.parametrize(("filter_text", "n"), [("op:select", 2), ("", 3), ("op:begin", 0)])
+@pytest.mark.parametrize(("filter_text", "n"), [("op:select", 2), ("", 4), ("op:rollback", 0)])
 def test_json_document(spark, tmp_path, filter_text, n):
     path = str(tmp_path / "doc")
     write_document(export.export_json(exported(spark), filter_text), path)
     parts = sorted((tmp_path / "doc").glob("part-*"))
     doc = json.loads("".join(p.read_text() for p in parts))
-    assert (doc["captured"], doc["exported"], doc["filter"]) == (3, n, filter_text)
+    assert (doc["captured"], doc["exported"], doc["filter"]) == (4, n, filter_text)
     assert len(doc["queries"]) == n
     if n:
-        assert doc["period"]["start"] == "15:04:05"
-        first = doc["queries"][0]
-        assert first["duration_ms"] == 152.3 and first["args"] == ["alice@example.com"] and first["tx_id"] == ""
-        assert doc["analytics"][0] == {
-            "query": "SELECT id FROM users WHERE email = $1",
-            "count": 2,
-            "total_ms": 355.4,
-            "avg_ms": 177.7,
-            "p95_ms": 152.3,
-            "max_ms": 203.1,
-        }
+        wanted = [r for r in EXPORT if n == 4 or r["query"] == READ]
+        assert [(q["duration_ms"], q["args"], q["error"], q["tx_id"]) for q in doc["queries"]] == [
+            (r["dur_us"] / 1000, r.get("args", []), r.get("error", ""), "") for r in wanted
+        ]
+        own = next(s for s in doc["analytics"] if s["query"] == READ)
+        assert own == {"query": READ, "count": 2, "total_ms": 32.6, "avg_ms": 16.3, "p95_ms": 8.0, "max_ms": 24.6}
+        assert doc["period"]["end"] == "12:01:00"
     else:
         assert doc["analytics"] == [] and doc["period"] == {"start": "", "end": ""}
 
