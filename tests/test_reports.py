@@ -35,13 +35,13 @@ def test_markdown(spark):
     assert got[10:14] == [
         f"| 1 | 11:59:59.750 | Execute | 1.25s | {MOVE} | ['n|4', 'L1'] |  |",
         f"| 2 | 12:00:00.000 | Query | 8.0ms | {READ} | ['L1'] |  |",
-        "| 3 | 12:00:00.010 | Exec | 1.0ms | DELETE FROM crates WHERE kg < 0 |  | lock\\|wait |",
+        "| 3 | 12:00:00.010 | Exec | 999µs | DELETE FROM crates WHERE kg < 0 |  | lock\\|wait |",
         f"| 4 | 12:01:00.750 | Query | 24.6ms | {READ} | ['L2'] |  |",
     ]
     assert got[19:] == [
         f"| {MOVE} | 1 | 1.25s | 1.25s | 1.25s | 1.25s |",
         f"| {READ} | 2 | 16.3ms | 8.0ms | 24.6ms | 32.6ms |",
-        "| DELETE FROM crates WHERE kg < ? | 1 | 1.0ms | 1.0ms | 1.0ms | 1.0ms |",
+        "| DELETE FROM crates WHERE kg < ? | 1 | 999µs | 999µs | 999µs | 999µs |",
     ]
 
 
