@@ -80,9 +80,13 @@ class Scratch:
 
     def finish(self, df: DataFrame) -> DataFrame:
         kept = materialize(df, self.purpose)
-        remove(self.spark, self.folder)
+        self.clear()
         return kept
 
+    def clear(self) -> None:
+        """Remove all of it, when nothing reads it any more."""
+        remove(self.spark, self.folder)
+
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of this program's own, in whatever store it is."""

@@ -2,11 +2,12 @@ r"""Find licences by a positional index of rare licence words, with DataFrame fu
 
 Templates are short licence texts. Their words, without glue words, form the vocabulary. One pass over the texts
 stores the positional index: a row (document, position, word) for each vocabulary word, and one row for the
-start of each document. The index gives each word's document frequency over all documents, hence its IDF and
-each template's anchor, its rarest word.
+start of each document. The index gives each word's document frequency over all documents, hence its IDF.
 
-A file's postings are looked up only for templates whose anchor is among its words. A posting at position p of a
-word that stands at offset o of a template votes for the template starting at p - o; votes are counted per
+A file is looked up by its rarest licence words: a word names the templates of which it is among the rarest words, so many of
+them that together they hold more than the mass a template may lack. A place that fits holds at least one of these, so no
+template is missed, whichever of its words is altered; a base phrase needs all its words, so its rarest one is enough. Only
+postings of the templates named are intersected. A posting at position p of a word that stands at offset o of a template votes for the template starting at p - o; votes are counted per
 (document, template, start), which intersects the postings by relative position. A template fits with all of its
 words (base phrases, where the words must be consecutive) or with MASS of its IDF mass, and then only if its
 mandatory key phrases fit too. The score is the largest share of a template's mass in one place.
@@ -24,8 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtflow.llm.common import ascii_lower
-from stmtflow.plans.materialize import materialize
+from stmtflow.llm.common import Scratch, ascii_lower
 
 #: A run of characters that do not belong to words, before lower-casing.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -99,31 +99,35 @@ def idf_of(index: DataFrame, words: list[str]) -> dict[str, float]:
 
 
 def template_postings(idf: dict[str, float], templates: tuple[Template, ...]) -> list[tuple]:
-    """(word, template, offset, mass, anchor, need): the small side of the lookup."""
+    """(word, template, offset, mass, names, need): the small side of the lookup; `names` marks words that name the template."""
     rows = []
     for t in templates:
         posts = t.postings()
         whole = sum(idf[w] for _, w in posts)
-        anchor = max(posts, key=lambda p: (idf[p[1]], p[1]))[1]
-        rows += [(w, t.name, o, idf[w] / whole, anchor, len(posts)) for o, w in posts]
+        before, naming = 0.0, set()
+        for word in sorted({w for _, w in posts}, key=lambda w: (idf[w], w), reverse=True):
+            if not naming or (not t.base and round(before, 9) <= round(1 - MASS, 9)):
+                naming.add(word)
+            before += sum(idf[w] / whole for _, w in posts if w == word)
+        rows += [(w, t.name, o, idf[w] / whole, w in naming, len(posts)) for o, w in posts]
     return rows
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels and score of each document."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "licences")
     words = vocabulary(templates)
-    index = materialize(positional_index(docs, words, key, text), "licence-index")
+    index = scratch(positional_index(docs, words, key, text), "index")
     lookup = spark.createDataFrame(
         template_postings(idf_of(index, words), templates),
-        "word string, template string, offset bigint, mass double, anchor string, need bigint",
+        "word string, template string, offset bigint, mass double, names boolean, need bigint",
     )
     known = index.filter("word is not null").select("_row", "pos", "word")
-    anchors = lookup.select(F.col("anchor").alias("word"), "template").distinct()
+    naming = lookup.filter("names").select("word", "template").distinct()
     # The files' rarest licence words name the templates to look at.
-    wanted = known.select("_row", "word").join(F.broadcast(anchors), "word").select("_row", "template").distinct()
+    wanted = known.select("_row", "word").join(F.broadcast(naming), "word").select("_row", "template").distinct()
     votes = (
-        known.join(F.broadcast(lookup), "word")
+        known.join(F.broadcast(lookup.drop("names")), "word")
         .join(wanted, ["_row", "template"], "left_semi")
         .groupBy("_row", "template", (F.col("pos") - F.col("offset")).alias("start"))
         .agg(F.count(F.lit(1)).alias("found"), F.sum("mass").alias("share"), F.first("need").alias("need"))
@@ -156,7 +160,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tu
         label_list(sound).alias("labels"),
         "score",
     )
-    return (
+    return scratch.finish(
         index.filter("at = 0")
         .select(F.col("_key").alias(key), "_row", "n_words")
         .join(best, "_row", "left")

@@ -76,12 +76,16 @@ WITH d AS (
   SELECT v.word, ln((1 + (SELECT count(*) FROM d)) / (1.0 + count(DISTINCT r))) + 1 AS idf
   FROM (SELECT DISTINCT word FROM tp) v LEFT JOIN p USING (word) GROUP BY v.word
 ), tm AS (
-  SELECT tp.*, idf / sum(idf) OVER (PARTITION BY name) AS mass, count(*) OVER (PARTITION BY name) AS need,
-    first_value(word) OVER (PARTITION BY name ORDER BY idf DESC, word DESC) AS anchor
-  FROM tp JOIN idf USING (word)
+  SELECT tp.*, idf, idf / sum(idf) OVER (PARTITION BY name) AS mass, count(*) OVER (PARTITION BY name) AS need FROM tp JOIN idf USING (word)
+), naming AS (
+  SELECT name, word FROM (
+    SELECT name, word, base, row_number() OVER rarest AS nth, coalesce(sum(mass) OVER (rarest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+    FROM (SELECT name, word, base, idf, sum(mass) AS mass FROM tm GROUP BY ALL) WINDOW rarest AS (PARTITION BY name ORDER BY idf DESC, word DESC))
+  WHERE nth = 1 OR NOT base AND round(ahead, 9) <= round(1 - {MASS}, 9)
 ), votes AS (
   SELECT r, name, any_value(label) AS label, any_value(base) AS base, any_value(keys) AS keys, pos - o AS start, count(*) AS found, sum(mass) AS share, any_value(need) AS need
-  FROM p JOIN tm USING (word) SEMI JOIN p AS a ON a.r = p.r AND a.word = tm.anchor
+  FROM p JOIN tm USING (word)
+  WHERE EXISTS (SELECT 1 FROM p AS a JOIN naming n ON n.word = a.word WHERE a.r = p.r AND n.name = tm.name)
   GROUP BY r, name, pos - o
 ), fits AS (
   SELECT *, CASE WHEN base THEN found = need ELSE share >= {MASS} END AS fit FROM votes

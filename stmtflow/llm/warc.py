@@ -5,12 +5,16 @@ largest id becomes a response record, the others revisit records that refer to i
 bytes Spark's text writer stores as they are; the separator of lines is the empty lines that end a record. So
 archives go through Spark's own output, to any store it can write, with whatever codec is asked for.
 
-Reading. Archives are bounded (RECORDS_PER_FILE), read whole as binary rows and parsed by Content-Length, so
-payloads may hold anything. Digests are taken anew from the payloads read.
+Reading. Archives are bounded, read whole as binary rows and parsed by Content-Length, so payloads may hold anything. Pages are
+written by classes of size (CLASSES), each with so many records a file that a file holds at most 64 MB of payloads, or one
+record. Digests are taken anew from the payloads read.
 
 Index. Each archive yields one capture run, sorted by URL key, time and id. Runs are dealt by ranges of that key;
 within a range a loser tree merges its runs, and the ranges one after the other are the history in global order.
 A range is bounded by the range partitioning, not by a host: ids make the keys unique.
+
+Null payloads and urls count as empty, null dates as the epoch. Rows with equal ids and payloads are equal captures. A null id
+is always a response. Empty tables give an empty history. Only the columns named are looked at.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stmtflow.llm.common import pieces
+from stmtflow.llm.common import Scratch, pieces, remove
 from stmtflow.plans.materialize import materialize
 from stmtflow.session import work_dir
 
-RECORDS_PER_FILE = 5_000
+#: Payloads of up to so many bytes go so many to a file; larger ones go one by one.
+CLASSES = ((1 << 14, 4096), (1 << 20, 64))
 RANGE_ROWS = 50_000
 END = "\r\n\r\n"
 #: The date of records whose page has none.
@@ -46,16 +51,25 @@ def base32(hex_digest: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", DIGITS_32)
 
 
-def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row per page: key and `value`, its WARC record without the closing empty lines."""
-    payload = F.coalesce(F.col(html), F.lit(""))
-    cut = pages.select(F.col(key).alias("_id"), F.coalesce(F.col(url), F.lit("")).alias("_url"), payload.alias("_payload"))
-    cut = cut.withColumns({"_digest": base32(F.sha1(F.col("_payload").cast("binary"))), "_size": F.octet_length("_payload")})
-    slim = materialize(cut.select("_id", "_digest"), "payload-digests").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
+def revisits(pages: DataFrame, scratch: Scratch, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(_id, _digest, _last) of the pages that repeat the payload of a page with a larger id."""
+    digest = base32(F.sha1(F.coalesce(F.col(html), F.lit("")).cast("binary")))
+    slim = scratch(pages.select(F.col(key).alias("_id"), digest.alias("_digest")), "digests").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
     last = slim.groupBy("_digest").agg(F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     dealt = last.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    revisits = slim.join(dealt, ["_digest", "_salt"]).filter("_id <> _last").select("_id", "_digest", "_last").distinct()
-    known = cut.join(revisits, ["_id", "_digest"], "left")
+    return scratch(slim.join(dealt, ["_digest", "_salt"]).filter("_id <> _last").select("_id", "_digest", "_last").distinct(), "revisits")
+
+
+def records(pages: DataFrame, again: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", captured: str | None = None) -> DataFrame:
+    """One row per page: key and `value`, its WARC record without the closing empty lines. `captured` names a timestamp."""
+    payload = F.coalesce(F.col(html), F.lit(""))
+    date = F.lit(EPOCH)
+    if captured is not None:
+        utc = F.to_utc_timestamp(F.col(captured).cast("timestamp"), pages.sparkSession.conf.get("spark.sql.session.timeZone"))
+        date = F.date_format(F.coalesce(utc, F.timestamp_micros(F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    cut = pages.select(F.col(key).alias("_id"), F.coalesce(F.col(url), F.lit("")).alias("_url"), payload.alias("_payload"), date.alias("_date"))
+    cut = cut.withColumns({"_digest": base32(F.sha1(F.col("_payload").cast("binary"))), "_size": F.octet_length("_payload")})
+    known = cut.join(again, ["_id", "_digest"], "left")
     again = F.col("_last").isNotNull()
     # A line feed in a url would end a header; such bytes are percent-encoded here and decoded when read.
     safe_url = F.regexp_replace(F.regexp_replace(F.regexp_replace("_url", "%", "%25"), "\r", "%0D"), "\n", "%0A")
@@ -64,7 +78,7 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(">")),
-        F.concat(F.lit(f"WARC-Date: {EPOCH}")),
+        F.concat(F.lit("WARC-Date: "), F.col("_date")),
         F.concat(F.lit("WARC-Target-URI: "), safe_url),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("_digest")),
         F.concat(F.lit("WARC-X-Payload-Length: "), F.col("_size").cast("string")),
@@ -78,10 +92,20 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     )
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """WARC files below `path`, gzipped, of at most RECORDS_PER_FILE records each."""
-    out = records(pages, key, url, html).select("value")
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_archives(
+    pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", captured: str | None = None
+) -> None:
+    """Gzipped WARC files below `path`, a folder for each class of size."""
+    scratch = Scratch(pages.sparkSession, "warc")
+    again = revisits(pages, scratch, key, html)
+    size = F.coalesce(F.octet_length(html), F.lit(0))
+    above = -1
+    for number, (most, each) in enumerate([*CLASSES, (None, 1)]):
+        own = pages.filter((size > above) & (size <= most) if most is not None else size > above)
+        out = records(own, again, key, url, html, captured).select("value")
+        out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", each).text(f"{path}/size-{number}")
+        above = most
+    scratch.clear()
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], int, memoryview]]:
@@ -193,14 +217,19 @@ def merge_runs(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return ranges.mapInArrow(merged, INDEX + ", place bigint")
 
 
-def archive_history(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def archive_history(
+    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", captured: str | None = None, path: str | None = None
+) -> DataFrame:
     """Write all pages as archives, read them back and return the merged index.
 
-    Null urls and payloads are empty; an empty table gives an empty history; rows with one id and one payload
-    are equal captures. A null id takes no part in the choice of a response and is always one.
+    Archives stay at `path` when it is given, else they go when their runs have been read. `captured` names a timestamp
+    column, the records' date.
     """
     spark = pages.sparkSession
-    path = work_dir(spark, "warc")
-    write_archives(pages, path, key, url, html)
-    archives = spark.read.format("binaryFile").schema(BINARY).option("pathGlobFilter", "*.gz").load(path)
-    return merge_runs(materialize(capture_runs(archives), "capture-runs"))
+    place = path or work_dir(spark, "warc")
+    write_archives(pages, place, key, url, html, captured)
+    archives = spark.read.format("binaryFile").schema(BINARY).option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(place)
+    runs = materialize(capture_runs(archives), "capture-runs")
+    if path is None:
+        remove(spark, place)
+    return merge_runs(runs)

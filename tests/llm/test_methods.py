@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import random
 import re
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from stmtflow.llm import lsh_forest, mixing, mtree, rule_ensemble, suffix_dedup, tiling, tokens, toxicity, url_templates, warc
+from stmtflow.llm import licenses, lsh_forest, mixing, mtree, rule_ensemble, suffix_dedup, tiling, tokens, toxicity, url_templates, warc
 from stmtflow.llm.components import components
 
 WORDS = [a + b for a in "ba de fi go lu mo ne pi ra su".split() for b in "ba de fi go lu mo ne pi ra su".split()]
@@ -399,3 +400,46 @@ def test_rules_separate(spark):
     model = rule_ensemble.train(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
     assert model.rules and model.describe()
     assert all((r.quality_score >= 0.5) == (r.doc_id % 3 > 0) for r in rule_ensemble.score(df, model).collect())
+
+
+def test_altered_licence_words(spark):
+    """Whichever word of a grant is altered, its label stays as long as MASS of its words' weight is left."""
+    grant = next(t for t in licenses.TEMPLATES if t.name == "mit grant")
+    words = grant.text.split()
+    docs = [(0, grant.text)] + [(i + 1, " ".join("zzz" if j == i else w for j, w in enumerate(words))) for i in range(len(words))]
+    # Some files that hold single words, so that weights differ.
+    docs += [(100 + i, w) for i, w in enumerate(words) for _ in range(i % 4)] + [(200, " ".join(words[:4])), (201, None)]
+    index = licenses.positional_index(spark.createDataFrame(docs, "doc_id bigint, text string"), licenses.vocabulary())
+    idf = licenses.idf_of(index, licenses.vocabulary())
+    whole = sum(idf[w] for _, w in grant.postings())
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    kept = 0
+    for i in range(len(words)):
+        share = sum(idf[w] for o, w in grant.postings() if o != i) / whole
+        assert ("mit" in got[i + 1].labels.split(",")) == (share >= licenses.MASS)
+        assert got[i + 1].score == pytest.approx(min(round(share, 6), 1.0))
+        kept += share >= licenses.MASS
+    assert kept > len(words) - 3 and got[0].score == 1.0 and got[200].labels == ""
+
+
+def test_several_captures_of_one_url(spark, tmp_path, monkeypatch):
+    """Captures come by time; null dates are the epoch; large pages have archives of their own."""
+    monkeypatch.setattr(warc, "CLASSES", ((10, 2), (1000, 3)))
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        day = None if i % 10 == 9 else dt.datetime(2020, 1, 1 + rng.randrange(28), 12, 0, rng.randrange(60), 250 * (i % 3))
+        rows.append((i, f"https://e.org/{i % 4}", rng.choice(["x", "y" * 500, "z" * 5000, None]), day))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, seen timestamp")
+    history = warc.archive_history(pages, captured="seen", path=str(tmp_path / "warc")).withColumn("range", F.spark_partition_id()).collect()
+    history.sort(key=lambda r: (r.range, r.place))
+    epoch = dt.datetime(1970, 1, 1)
+    assert [r.page_id for r in history] == [r[0] for r in sorted(rows, key=lambda r: (r[1], r[3] or epoch, r[0]))]
+    by_id = {r[0]: r for r in rows}
+    for r in history:
+        assert r.captured == (by_id[r.page_id][3] or epoch).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+        assert r.payload_bytes == len(by_id[r.page_id][2] or "")
+    counts = {}
+    for r in history:
+        counts[r.run] = counts.get(r.run, 0) + 1
+    assert all(n <= {"0": 2, "1": 3, "2": 1}[re.search(r"size-([0-9])", run).group(1)] for run, n in counts.items())
