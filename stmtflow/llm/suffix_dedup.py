@@ -37,7 +37,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import as_strided
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,9 +50,9 @@ SPAN = MATCH - GRAM + 1
 BLOCK_BYTES, SHARD_BYTES, ANCHORS_PER_PART = 2 << 20, 4 << 20, 1_000_000
 HOT = 4096
 #: Window starts whose anchors are chosen at once, and bits of a place among them.
-STEP, PLACE_BITS = 1 << 22, 26
-#: The prime of the windows' residues, and two bases, powers of its root 7.
-PRIME = (1 << 31) - 1
+STEP, PLACE_BITS = 1 << 19, 26
+#: The prime of the windows' residues, bytes summed up at once, and two bases, powers of the prime's root 7.
+PRIME, FIELD = (1 << 31) - 1, 1 << 16
 BASES = (pow(7, 104_729, PRIME), pow(7, 224_737, PRIME))
 
 ANCHORS = "h bigint, block bigint, times bigint, kinds bigint"
@@ -61,22 +60,12 @@ MARKS = "block bigint, kind int, h bigint, doc bigint, row bigint, start bigint,
 PARTS = "route bigint, kind int, w1 bigint, w2 bigint, block bigint, doc bigint, row bigint, start bigint, bytes binary"
 
 
-_FIELDS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def field_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo PRIME, at least n of each; tasks keep them."""
-    if base in _FIELDS and len(_FIELDS[base][0]) >= n:
-        return _FIELDS[base]
-    made = []
-    for b in (base, pow(base, -1, PRIME)):
-        values = np.ones(1, np.uint64)
-        while len(values) < n:
-            values = np.concatenate([values, values * np.uint64(pow(b, len(values), PRIME)) % np.uint64(PRIME)])
-        made.append(values)
-    if TaskContext.get() is not None:
-        _FIELDS[base] = (made[0], made[1])
-    return made[0], made[1]
+def field_powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base modulo PRIME."""
+    values = np.ones(1, np.uint64)
+    while len(values) < n:
+        values = np.concatenate([values, values * np.uint64(pow(base, len(values), PRIME)) % np.uint64(PRIME)])
+    return values[:n]
 
 
 class Block:
@@ -143,11 +132,17 @@ class Block:
         self.doc, self.h = np.concatenate(docs)[inside], np.concatenate(anchors)[inside]
 
     def residues(self, start: np.ndarray, base: int) -> np.ndarray:
-        """The windows from `start` as polynomials in a base, modulo PRIME."""
-        up, down = field_powers(base, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)] % np.uint64(PRIME), out=sums[1:])
-        return (sums[start + MATCH] - sums[start]) % np.uint64(PRIME) * down[start] % np.uint64(PRIME)
+        """The windows from `start` as polynomials in a base, modulo PRIME. Sums are taken FIELD bytes at a time."""
+        prime, n = np.uint64(PRIME), len(self.data)
+        up, back = field_powers(base, FIELD), pow(base, -1, PRIME)
+        sums, carried = np.zeros(n + 1, np.uint32), np.uint64(0)
+        for lo in range(0, n, FIELD):
+            part = (self.data[lo : lo + FIELD].astype(np.uint64) + np.uint64(1)) * up[: min(FIELD, n - lo)] % prime
+            part = (np.cumsum(part * np.uint64(pow(base, lo, PRIME)) % prime) + carried) % prime
+            sums[lo + 1 : lo + 1 + len(part)], carried = part, part[-1]
+        low, high = field_powers(back, FIELD), field_powers(pow(back, FIELD, PRIME), n // FIELD + 1)
+        held = (sums[start + MATCH].astype(np.uint64) + prime - sums[start]) % prime
+        return held * low[start % FIELD] % prime * high[start // FIELD] % prime
 
     def window_hash(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two words that tell windows apart, the second independent of the first."""

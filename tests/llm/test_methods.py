@@ -115,8 +115,10 @@ def test_repeats_whatever_the_bounds(monkeypatch, hot, step):
     assert in_process(rows, 3, 2) == brute_repeats(rows)
 
 
-def test_window_hashes_are_independent():
+@pytest.mark.parametrize("field", [64, 1 << 16])
+def test_window_hashes_are_independent(monkeypatch, field):
     """Windows that one word confuses are told apart by the other."""
+    monkeypatch.setattr(suffix_dedup, "FIELD", field)
     base = int(tokens._BASE)
     # In sums modulo 2^64 these strings of Thue and Morse meet, whatever the odd base; 1,024 bytes are more than a window,
     # so the residues are taken of the whole strings.
