@@ -217,9 +217,9 @@ def test_components(spark):
     assert got == {**{i: 100 for i in range(100, 141)}, 5: 5, 7: 5, 9: 5}
 
 
-def brute_tiles(doc: list, item: list, least: int) -> int:
-    """Words covered by greedy tiles, longest first."""
-    free_d, free_i, covered = [True] * len(doc), [True] * len(item), 0
+def brute_tiles(doc: list, item: list, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles, always the longest that is left, of several the first in the document, then in the item."""
+    free_d, free_i, tiles = [True] * len(doc), [True] * len(item), []
     while True:
         best = (0, 0, 0)
         for d in range(len(doc)):
@@ -230,21 +230,61 @@ def brute_tiles(doc: list, item: list, least: int) -> int:
                 best = max(best, (n, -d, -i))
         n, d, i = best[0], -best[1], -best[2]
         if n < least:
-            return covered
+            return sorted(tiles)
         free_d[d : d + n] = free_i[i : i + n] = [False] * n
-        covered += n
-
-
-def test_greedy_tiles():
-    rng = np.random.default_rng(2)
-    for _ in range(30):
-        item = rng.integers(0, 30, 40).astype(np.uint64)
-        cut = int(rng.integers(6, 34))
-        doc = np.concatenate([rng.integers(100, 130, 9).astype(np.uint64), item[cut:], rng.integers(100, 130, 3).astype(np.uint64), item[:cut]])
-        tiles = tiling.tile(doc, item, 5)
-        assert sum(n for _, _, n in tiles) >= 0.9 * brute_tiles(doc.tolist(), item.tolist(), 5)
-        assert all((doc[d : d + n] == item[i : i + n]).all() and n >= 5 for d, i, n in tiles)
-        assert sum(n for _, _, n in tiles) == 40
+        tiles.append((d, i, n))
+
+
+@pytest.mark.parametrize("letters", [2, 4, 30])
+def test_greedy_tiles(letters):
+    """The very tiles of the plain rule, also where few different words give many runs that overlap."""
+    rng = np.random.default_rng(letters)
+    for _ in range(12):
+        item = rng.integers(0, letters, 30).astype(np.uint64)
+        cut = int(rng.integers(6, 24))
+        doc = np.concatenate([rng.integers(0, letters + 2, 9).astype(np.uint64), item[cut:], rng.integers(100, 130, 3).astype(np.uint64), item[: cut + 3]])
+        for least in (2, 5):
+            assert tiling.tile(doc, item, least) == brute_tiles(doc.tolist(), item.tolist(), least)
+    one = np.zeros(300, np.uint64)
+    assert tiling.tile(one, one[:40], 5) == [(0, 0, 40)]
+
+
+def test_items_that_share_a_phrase():
+    """Documents are put beside the items whose rare words they hold, not beside all that begin alike."""
+    rng = random.Random(12)
+    phrase = "which of the following is"
+    items = [f"{phrase} {text_of(rng, 12)} {i}" for i in range(3000)]
+    block = tiling.Block.of(list(range(len(items))), pa.array(items))
+    docs = [f"{phrase} nothing at all"] * 50 + [f"zz {items[7]} yy {items[8]}", items[9] * 1, phrase * 200]
+    words, first = tiling.word_hashes(pa.array(docs))
+    assert len(block.pairs(words, first)) <= 6
+    got = tiling.leaks(pa.array(docs), block)
+    assert [[x["item_id"] for x in g] for g in got] == [[]] * 50 + [[7, 8], [9], []]
+
+
+@pytest.mark.parametrize("coverage", [0.5, 0.8, 1.0])
+def test_no_leak_is_missed_by_filing(coverage):
+    """Against tiling every pair."""
+    rng = random.Random(int(coverage * 10))
+    items = [text_of(rng, rng.randint(1, 25)) for _ in range(30)]
+    items += [f"{items[3]} {items[4]}", items[5], "ba ba ba ba ba ba ba"]
+    docs = []
+    for _ in range(60):
+        w = rng.choice(items).split()
+        a, b = sorted(rng.sample(range(len(w) + 1), 2)) if len(w) > 1 else (0, 1)
+        docs.append(" ".join([text_of(rng, 3), *w[b:], "zz", *w[:a], "yy", *w[a:b]] if rng.random() < 0.5 else [*w[a:b], text_of(rng, 4)]))
+    docs += [items[5] + " " + items[31], "ba " * 90, None]
+    block = tiling.Block.of(list(range(len(items))), pa.array(items), coverage)
+    got = [[x["item_id"] for x in g] for g in tiling.leaks(pa.array(docs), block, coverage)]
+    words, first = tiling.word_hashes(pa.array(docs))
+    for d in range(len(docs)):
+        own = words[first[d] : first[d + 1]]
+        want = []
+        for i in range(len(items)):
+            item = block.words[block.first[i] : block.first[i + 1]]
+            if len(own) and sum(n for _, _, n in tiling.tile(own, item, min(len(item), 5))) >= coverage * len(item):
+                want.append(i)
+        assert got[d] == want
 
 
 def test_leaks(spark):
