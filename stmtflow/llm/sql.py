@@ -147,39 +147,77 @@ def _by_rule(value: int | None) -> str:
     return "CASE " + " ".join(whens) + " END"
 
 
-ORACLES["op1_url_templates"] = rf"""
-WITH p AS (
+#: Levels that the SQL follows: wildcards and merges deeper than this many segments are the operator's alone.
+URL_LEVELS = 6
+
+
+def _url_sql() -> str:
+    steps = [
+        rf"""p AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN url ELSE '' END AS u FROM pages
 ), h AS (
   SELECT page_id, translate(coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
     coalesce(regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM p
 ), s AS (
-  SELECT *, {_by_rule(None)} AS rule, {_by_rule(2)} AS said,
-    list_transform(string_split(path, '/'), lambda x: regexp_replace(x, '^[0-9]+([.][A-Za-z0-9]+)?$', '{{n}}\1')) AS segs FROM h
-), nodes AS (
-  SELECT page_id, host, i, segs[i] AS seg, array_to_string(segs[1 : i - 1], '/') AS parent
-  FROM (SELECT page_id, host, segs, unnest(range(1, len(segs) + 1)) AS i FROM s)
-), children AS (
-  SELECT host, i, parent, seg, count(*) AS n FROM nodes GROUP BY ALL
-), wild AS (
-  SELECT host, i, parent, seg FROM (SELECT *, count(*) OVER w AS kinds, sum(n) OVER w AS total FROM children WINDOW w AS (PARTITION BY host, i, parent))
+  SELECT *, row_number() OVER () AS row, {_by_rule(None)} AS rule, {_by_rule(2)} AS said FROM h
+), t0 AS (
+  SELECT row, host, list_transform(string_split(path, '/'), lambda x: regexp_replace(x, '^[0-9]+([.][A-Za-z0-9]+)?$', '{{n}}\1')) AS segs FROM s
+)"""
+    ]
+    for i in range(1, URL_LEVELS + 1):
+        steps.append(
+            f"""wild{i} AS MATERIALIZED (
+  SELECT host, parent, seg FROM (SELECT *, count(*) OVER w AS kinds, sum(n) OVER w AS total FROM (
+    SELECT host, segs[1 : {i - 1}] AS parent, segs[{i}] AS seg, count(*) AS n FROM t{i - 1} WHERE len(segs) >= {i} GROUP BY ALL)
+    WINDOW w AS (PARTITION BY host, parent))
   WHERE kinds > {ut.WIDE} AND n < {ut.RARE_SHARE} * total AND NOT starts_with(seg, '{{')
-), t AS (
-  SELECT page_id, string_agg(CASE WHEN w.seg IS NULL THEN n.seg ELSE '{{*}}' END, '/' ORDER BY n.i) AS template
-  FROM nodes n LEFT JOIN wild w USING (host, i, parent, seg) GROUP BY page_id
-), c AS (
-  SELECT host, template, count(*) FILTER (said = 'block') AS b, count(said) AS l FROM s JOIN t USING (page_id) GROUP BY ALL
-), prior AS (
+), t{i} AS MATERIALIZED (
+  SELECT row, t.host, CASE WHEN w.seg IS NULL THEN segs ELSE list_concat(segs[1 : {i - 1}], ['{{*}}'], segs[{i + 1} :]) END AS segs
+  FROM t{i - 1} t LEFT JOIN wild{i} w ON t.host = w.host AND len(segs) >= {i} AND segs[1 : {i - 1}] = w.parent AND segs[{i}] = w.seg
+)"""
+        )
+    steps.append(
+        f"""t AS (SELECT row, array_to_string(segs, '/') AS template FROM t{URL_LEVELS}
+), c AS MATERIALIZED (
+  SELECT host, template, count(*) FILTER (said = 'block') AS b, count(said) AS l FROM s JOIN t USING (row) GROUP BY ALL
+), m0 AS (SELECT *, string_split(template, '/') AS segs FROM c)"""
+    )
+    for i in range(1, URL_LEVELS + 1):
+        steps.append(
+            f"""kids{i} AS MATERIALIZED (
+  SELECT host, segs[1 : {i - 1}] AS parent, segs[{i}] AS seg, CAST(sum(b) AS BIGINT) AS b, CAST(sum(l) AS BIGINT) AS l
+  FROM m{i - 1} WHERE len(segs) >= {i} AND NOT starts_with(segs[{i}], '{{') GROUP BY ALL
+), near{i} AS MATERIALIZED (
+  SELECT host, parent, seg, sum(CASE WHEN pb IS NULL OR CAST((b * pl - pb * l) * (b * pl - pb * l) * (l + pl) AS DOUBLE)
+      > {ut.CHI_SQUARE}::DOUBLE * CAST((b + pb) * (l + pl - b - pb) * l * pl AS DOUBLE) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY host, parent ORDER BY share, seg ROWS UNBOUNDED PRECEDING) AS branch
+  FROM (SELECT *, b / l AS share, lag(b) OVER w AS pb, lag(l) OVER w AS pl FROM kids{i} WHERE l > 0 WINDOW w AS (PARTITION BY host, parent ORDER BY b / l, seg))
+), same{i} AS MATERIALIZED (
+  SELECT host, parent, seg, branch FROM (SELECT *, count(*) OVER (PARTITION BY host, parent, branch) AS size FROM (
+    FROM near{i} UNION ALL SELECT k.host, k.parent, k.seg, 1 FROM kids{i} k
+      JOIN (SELECT host, parent FROM near{i} GROUP BY ALL HAVING max(branch) = 1) o ON k.host = o.host AND k.parent = o.parent WHERE k.l = 0))
+  WHERE size > 1
+), m{i} AS MATERIALIZED (
+  SELECT m.host, template, b, l, CASE WHEN w.seg IS NULL THEN segs
+    ELSE list_concat(segs[1 : {i - 1}], ['{{=' || CAST(branch AS VARCHAR) || '}}'], segs[{i + 1} :]) END AS segs
+  FROM m{i - 1} m LEFT JOIN same{i} w ON m.host = w.host AND len(segs) >= {i} AND segs[1 : {i - 1}] = w.parent AND segs[{i}] = w.seg
+)"""
+        )
+    return f"""WITH {", ".join(steps)}, prior AS (
   SELECT (sum(b) + 1) / (sum(l) + 2) AS base FROM c
-), branches AS (
-  SELECT template, (sum(b) + {ut.STRENGTH} * any_value(base)) / (sum(l) + {ut.STRENGTH}) AS branch FROM c, prior GROUP BY template
+), shapes AS (
+  SELECT template, (sum(b) + {ut.STRENGTH} * any_value(base)) / (sum(l) + {ut.STRENGTH}) AS shape FROM c, prior GROUP BY template
+), g AS (
+  SELECT host, template, sum(b) OVER w AS b, sum(l) OVER w AS l FROM m{URL_LEVELS} WINDOW w AS (PARTITION BY host, segs)
 ), v AS (
-  SELECT host, template, CASE WHEN l > 0 AND (b - l * branch) * (b - l * branch) > {ut.CHI_SQUARE} * (l * branch) * (1 - branch)
-    THEN (b + {ut.STRENGTH} * branch) / (l + {ut.STRENGTH}) ELSE branch END AS impurity FROM c JOIN branches USING (template)
+  SELECT host, template, CASE WHEN l > 0 AND (b - l * shape) * (b - l * shape) > {ut.CHI_SQUARE} * (l * shape) * (1 - shape)
+    THEN (b + {ut.STRENGTH} * shape) / (l + {ut.STRENGTH}) ELSE shape END AS impurity FROM g JOIN shapes USING (template)
 )
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN impurity >= {ut.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template
-FROM s JOIN t USING (page_id) JOIN v USING (host, template)
-"""
+SELECT page_id, s.host, path, rule, coalesce(said, CASE WHEN impurity >= {ut.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM s JOIN t USING (row) JOIN v USING (host, template)"""
+
+
+ORACLES["op1_url_templates"] = _url_sql()
 
 # The heap is a list of loads; CRC-32 is worked out byte by byte, its table by the polynomial's rule.
 ORACLES["op11_shards"] = rf"""

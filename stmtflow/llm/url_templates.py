@@ -5,11 +5,12 @@ extension may follow) is variable at once; other segments become a wildcard wher
 children of which most are rare. What remains is the host's template tree, e.g. `/en/{n}.html`. Wildcards are
 decided from the root down: once children become one, their subtrees are joined before the next level is counted.
 
-Host rules label the pages they fit. Labels are counted per template; a template shared by several hosts is one
-branch if the hosts' shares of blocked pages do not differ significantly (chi-square against the pooled share),
-so a host with few labels borrows those of similar hosts. The smoothed share of blocked pages,
-(blocked + STRENGTH * parent) / (labelled + STRENGTH), goes from all pages over the shape of the path to the
-host's own template; the method blocks where it reaches REJECT.
+Host rules label the pages they fit. Labels are counted per template, and similar branches of a host's tree are merged, level
+by level under merged parents: the children of a node are put in order of their shares of blocked pages, and neighbours
+whose shares do not differ significantly (chi-square of two samples) become one branch. Children without labels join if all
+labelled ones are one branch. So a thin branch borrows the labels of its similar siblings. The smoothed share of blocked
+pages, (blocked + STRENGTH * parent) / (labelled + STRENGTH), goes from all pages over the template, which several hosts may
+share, to the host's own merged branch, where that differs significantly; the method blocks where it reaches REJECT.
 
 Counts are taken per (host, template) before anything is joined, and what is joined back to pages is one
 verdict per (host, template). Hot hosts are dealt over SALTS keys.
@@ -21,10 +22,10 @@ they have.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stmtflow.plans.materialize import materialize
+from stmtflow.llm.common import Scratch
 
 #: (host, path, verdict)
 RULES = (
@@ -110,7 +111,7 @@ def rewritten(pages: DataFrame, wild: DataFrame, at: int) -> DataFrame:
     return joined.withColumn("segments", F.when(F.col("_wild"), shown).otherwise(F.col("segments"))).select(*pages.columns)
 
 
-def with_templates(pages: DataFrame) -> DataFrame:
+def with_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Add `template`, the path with its variable segments as {n} or {*}. Needs host, path and a unique _row.
 
     Each round settles the paths down to the next level that has wildcards, so levels without any cost nothing.
@@ -118,18 +119,59 @@ def with_templates(pages: DataFrame) -> DataFrame:
     cut = pages.withColumn("segments", lexed(F.col("path")))
     settled = -1
     while True:
-        wild = materialize(wildcards(cut, settled), "url-wildcards")
+        wild = scratch(wildcards(cut, settled), "wildcards")
         settled = wild.agg(F.min("at")).first()[0]
         if settled is None:
             return cut.withColumn("template", F.array_join("segments", "/")).drop("segments")
-        cut = materialize(rewritten(cut, wild.filter(F.col("at") == settled), settled), "url-segments")
+        cut = scratch(rewritten(cut, wild.filter(F.col("at") == settled), settled), "segments")
 
 
 def smoothed(blocked: str, labelled: str, prior: Column, strength: float) -> Column:
     return (F.col(blocked) + F.lit(strength) * prior) / (F.col(labelled) + F.lit(strength))
 
 
-def template_purity(pages: DataFrame, strength: float = STRENGTH) -> DataFrame:
+def similar_siblings(counts: DataFrame, settled: int = -1) -> DataFrame:
+    """(host, at, parent, segment, branch): children of one node that merge, and the number of the branch they become.
+
+    Needs host, segments, blocked and labelled. A node has few children that are no wildcards: wide ones keep those that are
+    not rare.
+    """
+    nodes = counts.select("host", "blocked", "labelled", F.posexplode(chained(F.col("segments"))).alias("at", "node")).filter(F.col("at") > settled)
+    plain = nodes.filter(~F.col("node.segment").startswith("{"))
+    children = plain.groupBy("host", "at", "node.parent", "node.segment").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
+    node = ["host", "at", "parent"]
+    by_share = Window.partitionBy(*node).orderBy("share", "segment")
+    told = children.filter("l > 0").withColumn("share", F.col("b") / F.col("l"))
+    told = told.withColumns({"pb": F.lag("b").over(by_share), "pl": F.lag("l").over(by_share)})
+    gap, both, all_ = F.col("b") * F.col("pl") - F.col("pb") * F.col("l"), F.col("b") + F.col("pb"), F.col("l") + F.col("pl")
+    differ = (gap * gap * all_).cast("double") > F.lit(CHI_SQUARE) * (both * (all_ - both) * F.col("l") * F.col("pl")).cast("double")
+    begins = F.when(F.col("pb").isNull() | differ, 1).otherwise(0)
+    grouped = told.withColumn("branch", F.sum(begins).over(by_share.rowsBetween(Window.unboundedPreceding, 0)))
+    lone = grouped.groupBy(*node).agg(F.max("branch").alias("branch")).filter("branch = 1")
+    joined = children.filter("l = 0").join(lone, node)
+    every = grouped.select(*node, "segment", "branch").unionByName(joined.select(*node, "segment", "branch"))
+    sizes = every.groupBy(*node, "branch").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return every.join(sizes, [*node, "branch"]).select(*node, "segment", "branch")
+
+
+def merged_branches(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Add `segments`, the template's segments with merged branches as {=number}; counts have one row per (host, template)."""
+    cut = counts.withColumn("segments", F.split("template", "/"))
+    settled = -1
+    while True:
+        same = scratch(similar_siblings(cut, settled), "siblings")
+        settled = same.agg(F.min("at")).first()[0]
+        if settled is None:
+            return cut
+        level = same.filter(F.col("at") == settled).select("host", "parent", "segment", F.concat(F.lit("{="), "branch", F.lit("}")).alias("_branch"))
+        placed = cut.withColumns({"parent": above(F.col("segments"), settled), "segment": F.get("segments", F.lit(settled))})
+        joined = placed.join(level, ["host", "parent", "segment"], "left")
+        shown = F.transform("segments", lambda s, i: F.when(i == settled, F.col("_branch")).otherwise(s))
+        named = F.when(F.col("_branch").isNotNull(), shown).otherwise(F.col("segments"))
+        cut = scratch(joined.withColumn("segments", named).select(*cut.columns), "branches")
+
+
+def template_purity(pages: DataFrame, scratch: Scratch, strength: float = STRENGTH) -> DataFrame:
     """(host, template, impurity): smoothed share of blocked pages of each host's template.
 
     Needs host, template and said (allow, block or null).
@@ -137,19 +179,22 @@ def template_purity(pages: DataFrame, strength: float = STRENGTH) -> DataFrame:
     counts = pages.groupBy("host", "template").agg(
         F.count(F.when(F.col("said") == "block", 1)).alias("blocked"), F.count("said").alias("labelled")
     )
-    counts = materialize(counts, "url-templates")
+    counts = scratch(counts, "templates")
+    cut = merged_branches(counts, scratch)
     whole = counts.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
     prior = F.broadcast(whole.select(((F.coalesce("b", F.lit(0)) + 1) / (F.coalesce("l", F.lit(0)) + 2)).alias("base")))
-    branches = (
+    shapes = (
         counts.groupBy("template")
-        .agg(F.sum("blocked").alias("branch_blocked"), F.sum("labelled").alias("branch_labelled"))
+        .agg(F.sum("blocked").alias("shape_blocked"), F.sum("labelled").alias("shape_labelled"))
         .join(prior)
-        .withColumn("branch", smoothed("branch_blocked", "branch_labelled", F.col("base"), strength))
+        .withColumn("shape", smoothed("shape_blocked", "shape_labelled", F.col("base"), strength))
     )
-    expected = F.col("labelled") * F.col("branch")
-    strange = (F.col("blocked") - expected) * (F.col("blocked") - expected) > CHI_SQUARE * expected * (1 - F.col("branch"))
-    own = F.when((F.col("labelled") > 0) & strange, smoothed("blocked", "labelled", F.col("branch"), strength))
-    return counts.join(branches, "template").select("host", "template", F.coalesce(own, F.col("branch")).alias("impurity"))
+    branches = cut.groupBy("host", "segments").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
+    named = cut.select("host", "template", "segments").join(branches, ["host", "segments"]).join(shapes.select("template", "shape"), "template")
+    expected = F.col("l") * F.col("shape")
+    strange = (F.col("b") - expected) * (F.col("b") - expected) > CHI_SQUARE * expected * (1 - F.col("shape"))
+    own = F.when((F.col("l") > 0) & strange, smoothed("b", "l", F.col("shape"), strength))
+    return named.select("host", "template", F.coalesce(own, F.col("shape")).alias("impurity"))
 
 
 def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -158,12 +203,12 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple
     rule, said = fitting_rule(rules)
     parsed = pages.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"))
     parsed = parsed.withColumns({"rule": rule, "said": said, "_row": F.monotonically_increasing_id()})
-    parsed = materialize(parsed, "urls")
-    templated = materialize(with_templates(parsed), "url-paths")
-    verdicts = template_purity(templated)
+    scratch = Scratch(pages.sparkSession, "url-templates")
+    templated = scratch(with_templates(scratch(parsed, "urls"), scratch), "paths")
+    verdicts = template_purity(templated, scratch)
     dealt = verdicts.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     judged = templated.withColumn("salt", F.col("_row") % SALTS).join(dealt, ["host", "template", "salt"], "left")
     method = F.when(F.col("impurity") >= REJECT, "block").otherwise("allow")
-    return judged.select(
-        F.col("_key").alias(key), "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", "impurity"
+    return scratch.finish(
+        judged.select(F.col("_key").alias(key), "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", "impurity")
     )

@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +15,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stmtflow.llm import licenses, lsh_forest, mixing, mtree, rule_ensemble, suffix_dedup, tiling, tokens, toxicity, url_templates, warc
+from stmtflow.llm.common import Scratch
 from stmtflow.llm.components import components
+from stmtflow.llm.sql import ORACLES
 
 WORDS = [a + b for a in "ba de fi go lu mo ne pi ra su".split() for b in "ba de fi go lu mo ne pi ra su".split()]
 
@@ -407,6 +410,45 @@ def test_url_wildcards_below_wildcards(spark):
     assert [got[1000 + i] for i in range(10)] == [f"/fixed/p{i % 2}/s{i}" for i in range(10)]
 
 
+def test_url_siblings_merge(spark):
+    """A thin branch takes the verdict of its similar sibling, not that of the corpus or of a different one."""
+    rules = (("a.net", "/shop/", "block"), ("a.net", "/store/1", "block"), ("a.net", "/news/", "allow"), ("b.net", "/", "allow"))
+    urls = [f"http://a.net/shop/{i}" for i in range(30)] + [f"http://a.net/store/{i}" for i in (1, 2, 3, 4)]
+    urls += [f"http://a.net/news/{i}" for i in range(30)] + [f"http://b.net/x/{i}" for i in range(200)]
+    counts = spark.createDataFrame(
+        [("a.net", "/shop/{n}", 30, 30), ("a.net", "/store/{n}", 1, 1), ("a.net", "/news/{n}", 0, 30), ("a.net", "/odd/{n}", 0, 0)],
+        "host string, template string, blocked bigint, labelled bigint",
+    )
+    merged = url_templates.merged_branches(counts, Scratch(spark, "test")).collect()
+    branch = {r.template: "/".join(r.segments) for r in merged}
+    assert branch["/shop/{n}"] == branch["/store/{n}"] != "/shop/{n}"
+    assert branch["/news/{n}"] == "/news/{n}" and branch["/odd/{n}"] == "/odd/{n}"
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {urls[r.page_id]: r.verdict for r in url_templates.judge(pages, rules=rules).collect()}
+    assert {got[f"http://a.net/store/{i}"] for i in (1, 2, 3, 4)} == {"block"} and got["http://a.net/news/4"] == "allow"
+
+
+def test_url_levels_equal_sql(spark):
+    """Wildcards below wildcards, merges below merges, null and odd urls: operator and SQL agree."""
+    rng = random.Random(31)
+    urls: list[str | None] = [None, "nothing", "http://a.org", "x://a.org//", "http://a.org/es/1?q=/en/1"]
+    for i in range(900):
+        host = rng.choice(["a.example.org", "b.example.org", "c.com", "d.com"])
+        head = rng.choice(["en", "es", "fr", "de", *[f"u{rng.randrange(60)}"] * 3])
+        rest = [rng.choice(["list", f"s{i}", f"r{i}", f"q{i}", f"{i}", f"t{rng.randrange(3)}"]) for _ in range(rng.randrange(0, 3))]
+        urls.append("/".join([f"http://{host}", head, *rest]))
+    con = duckdb.connect()
+    con.register("given", pa.table({"page_id": list(range(len(urls))), "url": urls}))
+    con.execute("CREATE VIEW pages AS SELECT * FROM given")
+    names = ["host", "page_id", "path", "rule", "template", "verdict"]
+    rel = con.sql(ORACLES["op1_url_templates"])
+    want = rel.select(*[duckdb.ColumnExpression(n) for n in names]).fetchall()
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = url_templates.judge(pages)
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want, key=str)
+    assert got.filter("template like '%{*}%{*}%'").count() > 0
+
+
 def test_grammar_scores_clauses():
     model = toxicity.Model(toxicity.Lexicon.of(toxicity.built_in_arcs()), toxicity.FALLBACK)
     texts = ["you are an idiot", "they said you are an idiot", "you are not an idiot", "an idiot", "you idiot, you scum", "a calm day", "", "I will kill you", "the frost did kill plants"]
