@@ -9,15 +9,20 @@ Filling: with ceilings c, weights w and the whole T, the targets are min(c, leve
 which they sum to T. Passing the excess over a ceiling on by weight, again and again, ends there. The level
 is found by repeating T minus the ceilings reached, over the weights left; each pass is one aggregation over
 the sources and only two numbers come back.
+
+Null and empty texts have size 0 and stay, with no words taken. A null source is a source, the last one. Repeated rows and
+equal ids draw the same number and are taken alike; null ids draw as empty ones. Sources of size 0 have target 0. Columns of
+the added names are replaced; an empty table gives an empty result. Texts are counted whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtflow.llm.common import word_count
 from stmtflow.plans.materialize import materialize
+from stmtflow.plans.ordered import with_ordinal
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -30,21 +35,12 @@ SALTS = 64
 def source_table(sized: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size, weight), weights dealt in turn to the sources by code point, null last.
 
-    Ranks come from chunks by the first character of the name, so sources are not sorted in one task; only
-    the chunks' sizes meet.
+    Sources are ranked by range partitions, so that however many there are, and however alike their names, they are not
+    sorted in one task.
     """
     sums = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
-    first = F.coalesce(F.ascii(F.substring("source", 1, 1)).cast("bigint"), F.lit(1 << 40))
-    chunked = sums.withColumn("_chunk", first)
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        chunked.groupBy("_chunk")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    rank = F.row_number().over(Window.partitionBy("_chunk").orderBy(F.col("source").asc_nulls_last())) - 1
-    ranked = chunked.withColumn("_rank", rank).join(F.broadcast(starts), "_chunk")
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("_start") + F.col("_rank")) % len(weights) + 1).cast("int"))
+    ranked = with_ordinal(sums, [F.col("source").asc_nulls_last()], "_rank", first=0)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
     return ranked.select("source", "source_size", weight.cast("bigint").alias("weight"))
 
 
