@@ -6,6 +6,8 @@ share one with a chance of about 2**-60.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,15 +36,33 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """
     if 0 in _POWERS and len(_POWERS[0][0]) >= n:
         return _POWERS[0]
-    size = max(1 << 16, 1 << int(n).bit_length())
-    up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    made = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    if TaskContext.get() is not None:
+    in_task = TaskContext.get() is not None
+    if in_task:
+        tidy()
+    size = ((int(n) >> 18) + 1) << 18
+    made = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+    for table in made:
+        table[0] = 1
+        np.multiply.accumulate(table, out=table)
+    if in_task:
         _POWERS[0] = made
     return made
 
 
+def tidy() -> None:
+    """Give back the memory of tasks that came before in this worker.
+
+    Spark keeps Python workers, and the tables of a function that has come to its end wait in cycles for the collector.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Not a C library that can.
+        return
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the entropy of 64-bit values over all bits."""
     h = h ^ (h >> np.uint64(33))
