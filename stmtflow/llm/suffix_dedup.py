@@ -9,7 +9,12 @@ each other and form a context, so each window is in exactly one context. An anch
 windows that do not repeat. The contexts of the other hashes go to shards by hash, so equal windows meet in one shard; equal
 contexts are sent once per block of documents, as their first occurrence.
 
-A shard builds the suffix array of its contexts by induced sorting: suffixes are classified, leftmost-smaller substrings
+A window of a context holds the anchor and 68 more bytes, so it holds the SIDE bytes before the anchor or the SIDE bytes after it.
+Once equal contexts are one, a context whose anchor meets no other with the same SIDE bytes on either side holds no window of
+another context, nor one window twice, as equal windows have equal anchors at equal places. All its windows are first ones; only
+the other contexts are sorted.
+
+A shard builds the suffix array of these contexts by induced sorting: suffixes are classified, leftmost-smaller substrings
 are sorted by inducing, named and ranked, and the array is induced from them. Induction goes bucket by bucket with numpy
 over whole buckets, so it is linear in the shard. Names, whose alphabet is too large for buckets, are ranked by
 doubling up to MATCH bytes, beyond which order does not matter here. Lengths of common prefixes with the predecessor are
@@ -47,10 +52,12 @@ from stmtflow.llm.tokens import mixed, powers, ranges, raw_bytes
 
 MATCH, GRAM = 100, 32
 SPAN = MATCH - GRAM + 1
+#: Bytes that a window holds beside its anchor on one side at least.
+SIDE = (MATCH - GRAM) // 2
 BLOCK_BYTES, SHARD_BYTES, ANCHORS_PER_PART = 2 << 20, 4 << 20, 1_000_000
 HOT = 4096
-#: Window starts whose anchors are chosen at once, and bits of a place among them.
-STEP, PLACE_BITS = 1 << 19, 26
+#: Window starts whose anchors are chosen at once, few enough for a processor's cache, and bits of a place among them.
+STEP, PLACE_BITS = 1 << 15, 26
 #: The prime of the windows' residues, bytes summed up at once, and two bases, powers of the prime's root 7.
 PRIME, FIELD = (1 << 31) - 1, 1 << 16
 BASES = (pow(7, 104_729, PRIME), pow(7, 224_737, PRIME))
@@ -68,8 +75,33 @@ def field_powers(base: int, n: int) -> np.ndarray:
     return values[:n]
 
 
+def modulo(values: np.ndarray) -> np.ndarray:
+    """Numbers below 2^62 modulo PRIME, whose bits above the 31st count as ones."""
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    for _ in range(2):
+        values = (values & prime) + (values >> bits)
+    values[values == prime] = 0
+    return values
+
+
+def running_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of data + 1 as digits of the base of `tokens.powers`, from no value to all, taken FIELD values at a time."""
+    n, up = len(data), powers(len(data) + 1)[0]
+    sums = np.zeros(n + 1, np.uint64)
+    for lo in range(0, n, FIELD):
+        part = data[lo : lo + FIELD].astype(np.uint64)
+        part += np.uint64(1)
+        part *= up[lo : lo + len(part)]
+        part[:1] += sums[lo : lo + 1]
+        np.cumsum(part, out=sums[lo + 1 : lo + 1 + len(part)])
+    return sums
+
+
 class Block:
-    """Texts of a block in order of (id, row), with their anchors: context i has window starts first[i] to last[i]."""
+    """Texts of a block in order of (id, row), with their anchors: context i has window starts first[i] to last[i].
+
+    The anchor of context i starts at place[i].
+    """
 
     def __init__(self, rows: pa.Table):
         ids, row = rows.column("doc_id"), rows.column("_row").to_numpy()
@@ -84,29 +116,30 @@ class Block:
         self.data, self.offsets = raw_bytes(texts)
         self._anchors()
 
-    def _sums(self) -> np.ndarray:
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(n + 1)[0][:n], out=sums[1:])
-        return sums
-
     def _hash(self, sums: np.ndarray, start: np.ndarray, size) -> np.ndarray:
         return mixed((sums[start + size] - sums[start]) * powers(len(self.data) + 1)[1][start])
 
     def _anchors(self) -> None:
         n = len(self.data)
-        self.first = self.last = self.doc = np.zeros(0, np.int64)
+        self.first = self.last = self.place = np.zeros(0, np.int64)
         self.h = np.zeros(0, np.uint64)
         if n < MATCH:
             return
-        self.sums = self._sums()
+        sums, down = running_sums(self.data), powers(n + 1)[1]
+        self.sums = sums
+        # Windows that reach beyond their document.
+        edges = self.offsets[1:-1]
+        begin = np.maximum(edges - MATCH + 1, 0)
+        inside = np.ones(n - MATCH + 1, bool)
+        inside[ranges(begin, np.maximum(np.minimum(edges, n - MATCH + 1) - begin, 0))] = False
         low = np.uint64((1 << PLACE_BITS) - 1)
-        heads, anchors, insides, docs = [], [], [], []
-        before = None
+        number = np.arange(min(STEP + SPAN - 1, n - GRAM + 1), dtype=np.uint64)
+        heads, anchors, places = [], [], []
+        before = -1
         for lo in range(0, n - MATCH + 1, STEP):
-            at = np.arange(lo, min(lo + STEP + SPAN - 1, n - GRAM + 1))
-            gram = self._hash(self.sums, at, GRAM)
-            key = (gram & ~low) | (at - lo).astype(np.uint64)
+            hi = min(lo + STEP + SPAN - 1, n - GRAM + 1)
+            gram = mixed((sums[lo + GRAM : hi + GRAM] - sums[lo:hi]) * down[lo:hi])
+            key = (gram & ~low) | number[: hi - lo]
             width = 1
             while 2 * width <= SPAN:
                 key = np.minimum(key[:-width], key[width:])
@@ -114,44 +147,50 @@ class Block:
             if width < SPAN:
                 key = np.minimum(key[: len(key) - (SPAN - width)], key[SPAN - width :])
             place = (key & low).astype(np.int64)
-            start = lo + np.arange(len(place))
-            doc = np.searchsorted(self.offsets, start, side="right") - 1
-            inside = start + MATCH <= self.offsets[doc + 1]
-            new = np.ones(len(place), bool)
-            new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+            within = inside[lo : lo + len(place)]
+            new = np.empty(len(place), bool)
+            new[1:] = (place[1:] != place[:-1]) | (within[1:] != within[:-1])
             # A context that began in the last step goes on.
-            new[0] = before != (lo + place[0], doc[0], inside[0])
-            before = (lo + place[-1], doc[-1], inside[-1])
-            heads.append(start[new])
-            anchors.append(gram[place[new]])
-            insides.append(inside[new])
-            docs.append(doc[new])
-        head, inside = np.concatenate(heads), np.concatenate(insides)
+            new[0] = before != lo + place[0] or inside[lo - 1] != within[0]
+            before = lo + place[-1]
+            at = np.flatnonzero(new)
+            heads.append(lo + at)
+            places.append(lo + place[at])
+            anchors.append(gram[place[at]])
+        head = np.concatenate(heads)
         tail = np.append(head[1:], n - MATCH + 1) - 1
-        self.first, self.last = head[inside], tail[inside]
-        self.doc, self.h = np.concatenate(docs)[inside], np.concatenate(anchors)[inside]
+        use = inside[head]
+        self.first, self.last, self.place = head[use], tail[use], np.concatenate(places)[use]
+        self.h = np.concatenate(anchors)[use]
 
     def residues(self, start: np.ndarray, base: int) -> np.ndarray:
-        """The windows from `start` as polynomials in a base, modulo PRIME. Sums are taken FIELD bytes at a time."""
-        prime, n = np.uint64(PRIME), len(self.data)
+        """The windows from rising `start` as polynomials in a base, modulo PRIME. Sums are taken FIELD bytes at a time."""
+        prime = np.uint64(PRIME)
+        # Only the bytes under these windows count.
+        runs = np.flatnonzero(np.concatenate([[True], np.diff(start) > MATCH]))
+        size = start[np.append(runs[1:], len(start)) - 1] + MATCH - start[runs]
+        data = self.data[ranges(start[runs], size)]
+        start = start - np.repeat(start[runs] - (np.cumsum(size) - size), np.diff(np.append(runs, len(start))))
+        n = len(data)
         up, back = field_powers(base, FIELD), pow(base, -1, PRIME)
         sums, carried = np.zeros(n + 1, np.uint32), np.uint64(0)
         for lo in range(0, n, FIELD):
-            part = (self.data[lo : lo + FIELD].astype(np.uint64) + np.uint64(1)) * up[: min(FIELD, n - lo)] % prime
-            part = (np.cumsum(part * np.uint64(pow(base, lo, PRIME)) % prime) + carried) % prime
+            part = modulo((data[lo : lo + FIELD].astype(np.uint64) + np.uint64(1)) * up[: min(FIELD, n - lo)])
+            part = modulo(np.cumsum(modulo(part * np.uint64(pow(base, lo, PRIME)))) + carried)
             sums[lo + 1 : lo + 1 + len(part)], carried = part, part[-1]
         low, high = field_powers(back, FIELD), field_powers(pow(back, FIELD, PRIME), n // FIELD + 1)
-        held = (sums[start + MATCH].astype(np.uint64) + prime - sums[start]) % prime
-        return held * low[start % FIELD] % prime * high[start // FIELD] % prime
+        held = modulo(sums[start + MATCH].astype(np.uint64) + prime - sums[start])
+        return modulo(modulo(held * low[start % FIELD]) * high[start // FIELD])
 
     def window_hash(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two words that tell windows apart, the second independent of the first."""
         w2 = (self.residues(start, BASES[0]) << np.uint64(31)) | self.residues(start, BASES[1])
         return self._hash(self.sums, start, MATCH), w2
 
-    def context_hash(self) -> np.ndarray:
-        size = self.last - self.first + MATCH
-        return self._hash(self.sums, self.first, size) ^ mixed(size.astype(np.uint64)) if len(size) else self.h
+    def context_hash(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the contexts `at`."""
+        size = self.last[at] - self.first[at] + MATCH
+        return self._hash(self.sums, self.first[at], size) ^ mixed(size.astype(np.uint64)) if len(size) else self.h[at]
 
 
 def members(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -166,12 +205,18 @@ def block_anchors(rows: pa.Table) -> pa.Table:
     """How often each anchor hash of a block occurs, and with how many distinct contexts."""
     block = Block(rows)
     number = rows.column("block")[0].as_py() if rows.num_rows else 0
-    order = np.lexsort((block.context_hash(), block.h))
-    h, c = block.h[order], block.context_hash()[order]
+    order = np.argsort(block.h)
+    h = block.h[order]
     head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]).astype(np.int64) if len(h) else head
     times = np.diff(np.append(head, len(h)))
-    kinds = np.add.reduceat(new, head) if len(h) else head
+    kinds = np.ones(len(head), np.int64)
+    many = np.repeat(times > 1, times)
+    if many.any():
+        group, c = np.repeat(np.arange(len(head)), times)[many], block.context_hash(order[many])
+        by = np.lexsort((c, group))
+        group, c = group[by], c[by]
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (c[1:] != c[:-1])])
+        kinds = np.bincount(group[new], minlength=len(head)) + (times == 1)
     return pa.table({"h": h[head].view(np.int64), "block": np.full(len(head), number), "times": times, "kinds": kinds})
 
 
@@ -182,7 +227,7 @@ def repeated_anchors(batches):
         return
     rows = pa.Table.from_batches(got)
     h, block, times, kinds = (rows.column(c).to_numpy() for c in ("h", "block", "times", "kinds"))
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     head = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
     number = np.zeros(len(h), np.int64)
     number[head[1:]] = 1
@@ -198,7 +243,10 @@ def repeated_anchors(batches):
 
 
 def block_parts(rows: pa.Table, marks: pa.Table, shards: int) -> pa.Table:
-    """The contexts (kind 0) or windows (kind 1) of a block's repeated anchors, equal ones once."""
+    """The contexts (kind 0) or windows (kind 1) of a block's repeated anchors, equal ones once.
+
+    Contexts carry the place of their anchor as w2.
+    """
     block = Block(rows)
     known = marks.column("h").to_numpy().view(np.uint64)
     order = np.argsort(known)
@@ -207,7 +255,7 @@ def block_parts(rows: pa.Table, marks: pa.Table, shards: int) -> pa.Table:
     plain = np.flatnonzero((at >= 0) & ~hot)
     number = rows.column("block")[0].as_py() if rows.num_rows else 0
     if len(plain):
-        _, one = np.unique(block.context_hash()[plain], return_index=True)
+        _, one = np.unique(block.context_hash(plain), return_index=True)
         plain = plain[np.sort(one)]
     size = block.last[plain] - block.first[plain] + MATCH
     text = block.data[ranges(block.first[plain], size)]
@@ -231,7 +279,7 @@ def block_parts(rows: pa.Table, marks: pa.Table, shards: int) -> pa.Table:
             "route": route.astype(np.int64),
             "kind": (np.arange(n + m) >= n).astype(np.int32),
             "w1": np.concatenate([np.zeros(n, np.uint64), w1]).view(np.int64),
-            "w2": np.concatenate([np.zeros(n, np.uint64), w2]).view(np.int64),
+            "w2": np.concatenate([(block.place[plain] - block.first[plain]).astype(np.uint64), w2]).view(np.int64),
             "block": np.full(n + m, number),
             "doc": block.ids[doc],
             "row": block.row[doc],
@@ -315,7 +363,7 @@ def _rank(names: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: max(n - reach, 0)] = rank[reach:] + 1
         key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         rank = np.empty(n, np.int64)
         rank[order] = new
@@ -339,8 +387,7 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     # Substrings from one leftmost-smaller place to the next: equal length and bytes are equal names.
     stop = np.empty(n, np.int64)
     stop[lms] = np.append(lms[1:], n - 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers(n + 1)[0][:n], out=sums[1:])
+    sums = running_sums(text)
     size = stop[by_substring] - by_substring + 1
     value = (sums[by_substring + size] - sums[by_substring]) * powers(n + 1)[1][by_substring]
     new = np.concatenate([[0], np.cumsum((value[1:] != value[:-1]) | (size[1:] != size[:-1]))])
@@ -405,11 +452,14 @@ def shard_firsts(rows: pa.Table) -> pa.Table:
         contexts = rows.column("bytes").combine_chunks()
         contexts = pa.concat_arrays(contexts.chunks) if isinstance(contexts, pa.ChunkedArray) else contexts
         contexts = contexts.take(pa.array(at))
-        _, one = np.unique(context_keys(contexts), return_index=True)
+        sums, offsets = context_sums(contexts)
+        _, one = np.unique(context_keys(sums, offsets), return_index=True)
         one = np.sort(one)
-        at, contexts = at[one], contexts.take(pa.array(one))
-        windows = np.diff(raw_bytes(contexts)[1]) - MATCH + 1
-        owner = first_windows(contexts, windows)
+        at, windows = at[one], (np.diff(offsets) - MATCH + 1)[one]
+        near = may_share(sums, offsets[one], windows, rows.column("w2").to_numpy()[at])
+        owner = np.ones(windows.sum(), bool)
+        if near.any():
+            owner[np.repeat(near, windows)] = first_windows(contexts.take(pa.array(one[near])), windows[near])
         context = np.repeat(np.arange(len(at)), windows)
         place = ranges(start[at], windows)
         new = owner & np.concatenate([[True], ~owner[:-1] | (context[1:] != context[:-1])])
@@ -437,13 +487,32 @@ def shard_firsts(rows: pa.Table) -> pa.Table:
     )
 
 
-def context_keys(contexts: pa.Array) -> np.ndarray:
-    """64-bit keys of contexts."""
+def context_sums(contexts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums over all bytes of contexts, and the offsets of each."""
     data, offsets = raw_bytes(contexts)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return running_sums(data), offsets
+
+
+def context_keys(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit keys of contexts."""
     size = np.diff(offsets)
-    return mixed((sums[offsets[1:]] - sums[offsets[:-1]]) * powers(len(data) + 1)[1][offsets[:-1]]) ^ mixed(size.astype(np.uint64))
+    return mixed((sums[offsets[1:]] - sums[offsets[:-1]]) * powers(len(sums))[1][offsets[:-1]]) ^ mixed(size.astype(np.uint64))
+
+
+def may_share(sums: np.ndarray, begin: np.ndarray, windows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Which of different contexts may share a window with another, by the bytes on either side of their anchors.
+
+    A context begins at `begin`, has so many windows and its anchor at place `anchor`.
+    """
+    down = powers(len(sums))[1]
+    near = np.zeros(len(begin), bool)
+    before, after = anchor >= SIDE, windows - 1 + MATCH >= anchor + GRAM + SIDE
+    for side, shift in ((before, -SIDE), (after, 0)):
+        at = np.flatnonzero(side)
+        start = begin[at] + anchor[at] + shift
+        _, which, times = np.unique((sums[start + GRAM + SIDE] - sums[start]) * down[start], return_inverse=True, return_counts=True)
+        near[at[times[which] > 1]] = True
+    return near
 
 
 def removed_bytes(block: Block, marks: pa.Table) -> np.ndarray:

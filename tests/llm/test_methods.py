@@ -118,6 +118,21 @@ def test_repeats_whatever_the_bounds(monkeypatch, hot, step):
     assert in_process(rows, 3, 2) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize(("shared", "sorted_bytes"), [(60, 0), (99, None), (100, None), (130, None)])
+def test_only_contexts_that_may_share_a_window_are_sorted(monkeypatch, shared, sorted_bytes):
+    """Strings shorter than a window that many texts hold bring no context into a suffix array, or lose no window."""
+    rng = random.Random(shared)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    common = noise(shared)
+    rows = [(i, noise(150 + i) + chr(65 + i) + common + chr(65 + i) + noise(150)) for i in range(20)]
+    sent, plain = [], suffix_dedup.first_windows
+    monkeypatch.setattr(suffix_dedup, "first_windows", lambda contexts, *rest: sent.append(sum(map(len, contexts.to_pylist()))) or plain(contexts, *rest))
+    got = in_process(rows, 3, 2)
+    assert got == brute_repeats(rows)
+    assert sum(r[1] for r in got.values()) == (19 * shared if shared >= suffix_dedup.MATCH else 0)
+    assert sorted_bytes is None or sum(sent) == sorted_bytes
+
+
 @pytest.mark.parametrize("field", [64, 1 << 16])
 def test_window_hashes_are_independent(monkeypatch, field):
     """Windows that one word confuses are told apart by the other."""
