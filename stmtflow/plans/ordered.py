@@ -38,29 +38,42 @@ def chunk_width(df: DataFrame, order: str, rows: int = CHUNK_ROWS) -> int | None
     return rows * gap if gap <= SPARSE else None
 
 
+def _free(name: str, df: DataFrame) -> str:
+    """A column name that is not taken."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def laid_out(
-    df: DataFrame, order: list[str | Column], purpose: str = "ordered", store: Callable[[DataFrame, str], DataFrame] = materialize
+    df: DataFrame,
+    order: list[str | Column],
+    purpose: str = "ordered",
+    store: Callable[[DataFrame, str], DataFrame] = materialize,
+    part: str = "_part",
+    place: str = "_place",
 ) -> DataFrame:
-    """The rows stored by range partitions in `order`, with `_part` and `_place`, the partition and the place in it.
+    """The rows stored by range partitions in `order`, with `part` and `place`, the partition and the place in it.
 
     Spark samples the order columns to deal out partitions of like size, so neither gaps nor bursts in them matter.
     Stored, because a partition's number would not outlast a second evaluation.
     """
-    columns = [F.col(c) if isinstance(c, str) else c for c in order]
-    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_row", F.monotonically_increasing_id())
+    columns, row = [F.col(c) if isinstance(c, str) else c for c in order], _free("_row", df)
+    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn(row, F.monotonically_increasing_id())
     stored = store(placed, purpose)
     return stored.withColumns(
-        {"_part": F.shiftright("_row", PLACE_BITS), "_place": F.col("_row").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}
-    ).drop("_row")
+        {part: F.shiftright(row, PLACE_BITS), place: F.col(row).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}
+    ).drop(row)
 
 
-def part_starts(laid: DataFrame, amount: Column, name: str, total: str | None = None) -> DataFrame:
-    """(_part, name): the sum of `amount` in all earlier partitions; one row for each partition of a stored layout."""
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = laid.groupBy("_part").agg(amount.alias("_amount"))
+def part_starts(laid: DataFrame, amount: Column, name: str, total: str | None = None, part: str = "_part") -> DataFrame:
+    """(part, name): the sum of `amount` in all earlier partitions; one row for each partition of a stored layout."""
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = laid.groupBy(part).agg(amount.alias("_amount"))
     added = [] if total is None else [F.sum("_amount").over(whole).alias(total)]
-    return sums.select("_part", F.coalesce(F.sum("_amount").over(before), F.lit(0)).alias(name), *added)
+    return sums.select(part, F.coalesce(F.sum("_amount").over(before), F.lit(0)).alias(name), *added)
 
 
 def with_ordinal(df: DataFrame, order: list[str | Column], name: str, total: str | None = None, first: int = 1) -> DataFrame:
@@ -68,11 +81,12 @@ def with_ordinal(df: DataFrame, order: list[str | Column], name: str, total: str
 
     Only the sizes of the range partitions meet in one window. Rows equal in `order` are numbered in any order.
     """
-    laid = laid_out(df, order)
-    starts = part_starts(laid, F.count(F.lit(1)), "_start", total)
-    position = (F.col("_start") + F.col("_place") + first).cast("bigint").alias(name)
+    part, place, start = (_free(c, df) for c in ("_part", "_place", "_start"))
+    laid = laid_out(df, order, part=part, place=place)
+    starts = part_starts(laid, F.count(F.lit(1)), start, total, part)
+    position = (F.col(start) + F.col(place) + first).cast("bigint").alias(name)
     added = [position] if total is None else [position, F.col(total)]
-    return laid.join(F.broadcast(starts), "_part").select(*df.columns, *added)
+    return laid.join(F.broadcast(starts), part).select(*df.columns, *added)
 
 
 def with_chunk(df: DataFrame, order: str, chunk_rows: int | None = None) -> DataFrame:

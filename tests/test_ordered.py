@@ -66,6 +66,14 @@ def test_ordinal_and_prefix_sum(spark):
     assert {r.o: r.s for r in sums} == want
 
 
+def test_ordinal_keeps_columns_of_its_own_names(spark):
+    own = ["_ROW", "_part", "_place", "_start", "_amount"]
+    df = spark.range(50).withColumns({c: F.concat(F.lit(c), F.col("id")) for c in own})
+    got = with_ordinal(df, [F.col("id").desc()], "n", total="all")
+    assert got.columns == ["id", *own, "n", "all"]
+    assert sorted(got.collect()) == [(i, *[f"{c}{i}" for c in own], 50 - i, 50) for i in range(50)]
+
+
 @pytest.mark.parametrize("share", [0.0, 0.5, 0.95, 1.0])
 def test_quantile(spark, share):
     rng = random.Random(5)
