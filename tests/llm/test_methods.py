@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import math
 import random
 import re
 
@@ -443,6 +444,37 @@ def test_url_siblings_merge(spark):
     assert {got[f"http://a.net/store/{i}"] for i in (1, 2, 3, 4)} == {"block"} and got["http://a.net/news/4"] == "allow"
 
 
+def test_url_siblings_with_many_pages(spark):
+    """Counts whose products pass 63 bits and 38 digits: as the test says, worked out in whole numbers."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(200):
+        l, pl = (rng.randrange(1, 10 ** (1 + i % 10)) for _ in "ab")
+        b = rng.randrange(l + 1)
+        # Shares near the other's, so that both answers occur.
+        pb = min(pl, max(0, b * pl // l + rng.randrange(-2, 3) * math.isqrt(pl)))
+        rows.append((b, l, pb, pl))
+    top = (1 << 63) - 1
+    rows += [(0, 6600, 6600, 6600), (top, top, 0, top), (top // 2, top, top // 2, top), (0, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "b bigint, l bigint, pb bigint, pl bigint").coalesce(1)
+    got = df.select("b", "l", "pb", "pl", url_templates.shares_differ(*map(F.col, ("b", "l", "pb", "pl"))).alias("differ")).collect()
+
+    def differ(b, l, pb, pl):
+        return 1000 * (b * pl - pb * l) ** 2 * (l + pl) > round(1000 * url_templates.CHI_SQUARE) * (b + pb) * (l + pl - b - pb) * l * pl
+
+    assert {tuple(r) for r in got} == {(*r, differ(*r)) for r in rows}
+    assert {r.differ for r in got if r.l + r.pl > 10**9} == {True, False}
+
+
+def test_url_hosts_with_many_pages(spark):
+    """Siblings with 10,000 labelled pages each: one blocked, two allowed."""
+    counts = spark.createDataFrame(
+        [("a.org", f"/{s}/{{n}}", 10_000 * (s == "es"), 10_000) for s in ("es", "de", "fr")], "host string, template string, blocked bigint, labelled bigint"
+    )
+    merged = {r.template: "/".join(r.segments) for r in url_templates.merged_branches(counts, Scratch(spark, "test")).collect()}
+    assert merged["/de/{n}"] == merged["/fr/{n}"] == "/{=1}/{n}" and merged["/es/{n}"] == "/es/{n}"
+
+
 def test_url_levels_equal_sql(spark):
     """Wildcards below wildcards, merges below merges, null and odd urls: operator and SQL agree."""
     rng = random.Random(31)
