@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
 import hashlib
 import math
+import os
 import random
 import re
+import threading
 
 import duckdb
 import numpy as np
@@ -355,6 +358,62 @@ def test_top_k_with_ties_and_bad_rows(spark):
     assert set(got) == set(range(0, 420, 20))
 
 
+def brute_top_k(ids, whole, queries, k=20):
+    """(query_id, rank, vec_id, score) by looking at all pairs."""
+    want = set()
+    for q in queries:
+        score = (whole @ whole[q]).tolist()
+        best = sorted((-s, i) for s, i in zip(score, ids) if i != ids[q])[:k]
+        want |= {(ids[q], n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    return want
+
+
+@pytest.mark.parametrize(("scale", "share"), [(1, 7), (1, 1), (1_000, 3), (30_000_000, 3)])
+def test_top_k_of_many_units_and_blocks(spark, monkeypatch, scale, share):
+    """Scores of 15 to 62 bits, ties, clusters; subtrees of a few vectors in units of two, blocks of about 50 queries."""
+    for name, value in {"PAGE": 1, "UNIT": 2, "WIDE": 3, "BLOCK": 50}.items():
+        monkeypatch.setattr(mtree, name, value)
+    rng = np.random.default_rng(5)
+    whole = np.concatenate([rng.integers(-9, 9, (600, 5)), rng.integers(-2, 2, (600, 5)) + 8, np.repeat(rng.integers(-9, 9, (2, 5)), 60, axis=0)])
+    whole = whole.astype(np.int64) * 2 * scale + (rng.integers(0, 2, whole.shape) if scale > 1 else 0)
+    ids = rng.permutation(len(whole)).tolist()
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in zip(ids, whole)], "vec_id bigint, embedding array<double>")
+    got = mtree.top_k(df, F.col("vec_id") % share == 0).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == brute_top_k(ids, whole, [n for n, i in enumerate(ids) if i % share == 0])
+
+
+def test_top_k_workers_stay_small(spark, monkeypatch):
+    """8,000 queries that reach all of some 250 subtrees: no Python worker grows with queries times subtrees."""
+    monkeypatch.setattr(mtree, "PAGE", 1)
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(0, 0.125, (8000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>").coalesce(1)
+    base, most, done = {}, [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            for status in glob.glob("/proc/[0-9]*/status"):
+                try:
+                    with open(status) as f:
+                        lines = dict(line.rstrip().split(":", 1) for line in f)
+                except OSError:
+                    continue
+                if lines["Name"].strip().startswith("python") and "VmRSS" in lines and int(lines["Pid"]) != os.getpid():
+                    now = int(lines["VmRSS"].split()[0]) >> 10
+                    most[0] = max(most[0], now - base.setdefault(status, min(now, 150)))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = mtree.top_k(df, F.lit(True)).filter("query_id < 20").collect()
+    finally:
+        done.set()
+        watcher.join()
+    whole = np.floor(vectors * 64).astype(np.int64)
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == brute_top_k(list(range(8000)), whole, range(20))
+    assert most[0] < 500
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in range(8):
