@@ -65,3 +65,20 @@ def test_searches_equal_scans(spark):
     held = [t.lower() for t in texts if t is not None for _ in range(1 + len(t) % 3)]
     got = {r.search: (r.texts, r.matched) for r in search.search_index(index, asked).collect()}
     assert got == {w: (len({t for t in held if w.lower() in t}), sum(w.lower() in t for t in held)) for w in words}
+
+
+@pytest.mark.parametrize(("sent", "bits"), [(1 << 30, 12), (0, 2)])
+def test_searches_in_shards(spark, monkeypatch, sent, bits):
+    """Shards of few texts, wanted grams by shuffle: as scans would have it. Joins of postings and texts are no broadcasts, whatever
+    their size on disk: only the wanted grams and a one-row table are sent to all."""
+    monkeypatch.setattr(search, "BROADCAST_BYTES", sent)
+    monkeypatch.setattr(search, "SHARD_BITS", bits)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc d") for _ in range(rng.randrange(0, 25))) for _ in range(200)]
+    words = {t[i : i + rng.randrange(1, 12)].upper() for t in texts for i in (0, 5)} | {"abca", "zzzz", "a" * 9, "abz"}
+    index = search.build_index(statements(spark, [{"query": t} for t in texts]).repartition(3))
+    found = search.search_index(index, spark.createDataFrame([(w,) for w in words], "search string"))
+    got = {r.search: (r.texts, r.matched) for r in found.collect()}
+    assert got == {w: (len({t for t in texts if w.lower() in t}), sum(w.lower() in t for t in texts)) for w in words}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("BroadcastExchange") == (2 if sent else 1)
