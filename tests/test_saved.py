@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from helpers import statements
 from pyspark.sql import functions as F
 
+from stmtflow.functions.filters import parse_filter
 from stmtflow.operators import listing, saved, search
 
 LINES = [
@@ -82,3 +84,63 @@ def test_searches_in_shards(spark, monkeypatch, sent, bits):
     assert got == {w: (len({t for t in texts if w.lower() in t}), sum(w.lower() in t for t in texts)) for w in words}
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("BroadcastExchange") == (2 if sent else 1)
+
+
+def test_events_and_lines_are_read_once(spark, monkeypatch):
+    """However many blocks the filters make, the log and the table of lines pass once."""
+    monkeypatch.setattr(saved, "BLOCK", 5)
+    passed = {name: spark.sparkContext.accumulator(0) for name in ("events", "lines")}
+
+    def counted(df, name):
+        def run(batches):
+            for batch in batches:
+                passed[name].add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    lines = spark.createDataFrame([(x,) for x in LINES], "filter string")
+    got = saved.saved_filter_matches(counted(log(spark), "events"), counted(lines, "lines")).collect()
+    assert {r.total for r in got} == {400} and sum(r.saved for r in got) == len(LINES)
+    assert {name: n.value for name, n in passed.items()} == {"events": 400, "lines": len(LINES)}
+
+
+@pytest.mark.parametrize(("classes", "held"), [(1, 1 << 20), (10**6, 1 << 20), (10**6, 8)])
+def test_kinds_of_classes(monkeypatch, classes, held):
+    """Counts by kind and range of durations equal those of each filter on each class, wherever a task stops to count."""
+    monkeypatch.setattr(saved, "CLASSES", classes)
+    monkeypatch.setattr(saved, "HELD_BYTES", held)
+    rng = random.Random(3)
+    words, flags = ["users", "use", "e", "rs w", "ünï", "zz"], ["error", "slow", "n+1", "op:select", "op:update", "op:execute", "op:none"]
+    lines = ["", "d>3us d<2us", "d<1us", "d>0us"]
+    for _ in range(300):
+        own = rng.sample(words, rng.randrange(3)) + rng.sample(flags, rng.randrange(3)) + [f"d{rng.choice('<>')}{rng.randrange(12)}us" for _ in range(rng.randrange(3))]
+        lines.append(" ".join(w.replace(" ", "") for w in own))
+    rows = [
+        {
+            "text": rng.choice([None, "", "select users where", "update e", "ünï users", "insert rsw"]),
+            "keyword": rng.choice([None, "", "select", "update", "insert"]),
+            "op": rng.choice([None, 0, 4, 9]),
+            "error": rng.random() < 0.3,
+            "n+1": rng.random() < 0.3,
+            "slow": rng.random() < 0.3,
+            "dur_us": rng.choice([None, *range(13), 1 << 62]),
+            "n": rng.randrange(1, 5),
+        }
+        for _ in range(600)
+    ]
+    schema = pa.schema([("text", "string"), ("keyword", "string"), ("op", "int32"), *[(f, pa.bool_()) for f in saved.FLAGS], ("dur_us", "int64"), ("n", "int64")])
+    kinds = saved.Kinds(saved.compiled(lines, lines))
+    for lo in range(0, 600, 200):
+        kinds.add(pa.RecordBatch.from_pylist(rows[lo : lo + 200], schema))
+    kinds.count()
+
+    def holds(cond, r):
+        if cond.kind == "duration":
+            return r["dur_us"] is not None and (r["dur_us"] * 1000 < cond.value if cond.less else r["dur_us"] * 1000 > cond.value)
+        if cond.kind == "op":
+            return r["op"] == 4 if cond.value == "execute" else r["keyword"] == cond.value and cond.value in ("select", "update")
+        return cond.value in (r["text"] or "") if cond.kind == "text" else r[cond.kind]
+
+    want = [sum(r["n"] for r in rows if all(holds(c, r) for c in parse_filter(line))) for line in lines]
+    assert kinds.total.tolist() == want
