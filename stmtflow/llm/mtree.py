@@ -69,7 +69,7 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
 
 def stored_type(most: int) -> np.dtype:
     """The narrowest whole numbers that hold components of up to `most`."""
-    return next(np.dtype(t) for t in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(t).max)
+    return next((np.dtype(t) for t in (np.int8, np.int16, np.int32) if most <= np.iinfo(t).max), np.dtype(np.int64))
 
 
 def exact_type(most: int, dim: int) -> np.dtype:
@@ -205,7 +205,7 @@ def look(ids: np.ndarray, q: np.ndarray, floor: np.ndarray, pages: Pages, pivots
     to_parent = distances(high, pivots[pages.parents])[:, pages.parent]
     left = np.abs(to_parent - pages.up) - pages.radius <= limit[:, None]
     at = np.flatnonzero(left.any(axis=0))
-    far = np.full((n, m), np.inf)
+    far = np.zeros((n, m))
     far[:, at] = distances(high, pages.routing[at])
     nearest = np.where(left, np.maximum(far - pages.radius, 0), np.inf)
 
