@@ -230,4 +230,4 @@ def saved_filter_matches(events: DataFrame, saved: DataFrame, column: str = "fil
     matched = found.groupBy("canonical").agg(F.sum("matched").alias("matched"))
     zero = F.lit(0).cast("bigint")
     total = classes.agg(F.coalesce(F.sum("n"), zero).alias("total"))
-    return lines.join(matched, "canonical", "left").crossJoin(F.broadcast(total)).select("canonical", "saved", F.coalesce("matched", zero).alias("matched"), "total")
+    return lines.join(matched.hint("merge"), "canonical", "left").crossJoin(F.broadcast(total)).select("canonical", "saved", F.coalesce("matched", zero).alias("matched"), "total")
